@@ -3,8 +3,7 @@
 Every document of a source gets the same expected number of copies, target / size of the source.
 Its fraction is rounded in pairs: two documents move mass between each other in a random direction,
 with the words they stand for kept in sum, until one of them is integral. Each block of a source
-leaves at most one fractional document, and these residuals meet in a reduction tree of blocks, so
-that a source's taken words miss its target by at most half of one document.
+leaves at most one fractional document, and these residuals meet in a reduction tree of blocks.
 """
 
 from __future__ import annotations
@@ -49,12 +48,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     return s.select("source", "docs", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("water") * F.col("w")).alias("target"))
 
 
-_STATE = "source string, block long, docs long, source_size long, target double, doc_id long, size long, copies long, p double"
+_STATE = "source string, block long, doc_id long, size long, copies long, p double"
 
 
-def _pivot(seed: int, level: int, final: bool):
-    """Rounds one block: descending sizes, one fractional document carried along. Where a source
-    has a single block left (final), its last residual goes to the nearer integer."""
+def _pivot(seed: int, level: int, last: bool, nearest: bool):
+    """Rounds one block: descending sizes, one fractional document carried along. On the last level
+    the residual of a source goes to the nearer integer, or is drawn if a later class makes up for it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last", kind="stable").reset_index(drop=True)
@@ -79,8 +78,8 @@ def _pivot(seed: int, level: int, final: bool):
                 if k not in near:
                     p[k] = round(p[k])
             carry = near[0] if near else -1
-        if carry >= 0 and final:
-            p[carry] = float(p[carry] >= 0.5)
+        if carry >= 0 and last:
+            p[carry] = float(p[carry] >= (0.5 if nearest else rng.random()))
             carry = -1
         done = np.ones(len(rows), bool)
         if carry >= 0:
@@ -93,36 +92,62 @@ def _pivot(seed: int, level: int, final: bool):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: the whole copies of each document in the mix.
+def _size_class(size: Column, mean: Column) -> Column:
+    """0: over four times its source's mean, 1: over a quarter of it, 2: the rest."""
+    return F.when(size > 4 * mean, 0).when(size * 4 > mean, 1).otherwise(2)
 
-    size counts the words of the text (null: 0). No document has more than `most` copies. Reruns
-    agree: the draws depend on the seed and the rows only. Each row counts by itself where rows
-    repeat a doc_id; rows that are alike in doc_id, source and size are interchangeable. Documents
-    without words keep their whole copies and take no words. A null source is a source of its own.
-    An empty table gives no rows; other columns are ignored.
-    """
-    scratch = scratch or Scratch(docs.sparkSession)
-    sized = scratch.cut(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    targets = scratch.cut(source_targets(sized, weights, most), "targets")
-    most_docs = targets.agg(F.max("docs")).first()[0] or 0
-    share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.ceil(F.col("docs") / BLOCK))
-    rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
-        sized["source"], block.alias("block"), "docs", "source_size", "target", "doc_id", "size", F.floor(share).alias("copies"), (share - F.floor(share)).alias("p")
-    )
+
+def _round(scratch: Scratch, rows: DataFrame, most_docs: int, seed: int, final: bool) -> DataFrame:
+    """(source, doc_id, size, copies) with whole copies, by the tree of blocks."""
     whole = (F.col("p") <= 0) | (F.col("size") == 0)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.ceil(F.col("docs") / BLOCK))).drop("docs")
     settled = [rows.where(whole)]
-    open_rows, blocks, level = rows.where(~whole), max(1, -(-most_docs // BLOCK)), 0
+    pending, blocks, level = rows.where(~whole), max(1, -(-most_docs // BLOCK)), 0
     while True:
-        # Of a level, only the last can be final; sources with fewer blocks wait at block 0.
-        state = scratch.cut(open_rows.groupBy("source", "block").applyInPandas(_pivot(seed, level, blocks == 1), _STATE), f"level{level}")
+        state = pending.groupBy("source", "block").applyInPandas(_pivot(seed, level, blocks == 1, final), _STATE)
+        state = scratch.cut(state, f"level{level}")
         settled.append(state.where("p is null"))
         if blocks == 1:
             break
-        open_rows = state.where("p is not null").withColumn("block", F.floor(F.col("block") / FAN_IN))
+        pending = state.where("p is not null").withColumn("block", F.floor(F.col("block") / FAN_IN))
         blocks, level = -(-blocks // FAN_IN), level + 1
-    out = settled[0].select("doc_id", "size", "source_size", "target", "copies")
+    out = settled[0].select("source", "doc_id", "size", "copies")
     for part in settled[1:]:
         out = out.union(part.select(out.columns))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: the whole copies of each document in the mix.
+
+    size counts the words of the text (null: 0). No document has more than `most` copies. The
+    documents far above their source's mean size are rounded first and the smallest last; each
+    class gets the copy probability that makes up for what the class before it missed, so the
+    error that stays is at most half of a small document where there are any. Reruns agree: the
+    draws depend on the seed and the rows only. Each row counts by itself where rows repeat a
+    doc_id; rows alike in doc_id, source and size are interchangeable. Documents without words
+    take none. A null source is a source of its own. An empty table gives no rows; other columns
+    are ignored.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    sized = scratch.cut(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    targets = scratch.cut(source_targets(sized, weights, most), "targets")
+    most_docs = targets.agg(F.max("docs")).first()[0] or 0
+    rest = targets.select("source", "docs", (F.col("source_size") / F.col("docs")).alias("mean"), F.col("target").alias("left"), F.col("source_size").alias("open"))
+    done = None
+    for k in range(3):
+        r = rest.withColumnRenamed("source", "_s")
+        share = F.when(F.col("open") > 0, F.least(F.greatest(F.col("left") / F.col("open"), F.lit(0.0)), F.lit(float(most)))).otherwise(F.lit(0.0))
+        rows = sized.join(r, sized["source"].eqNullSafe(F.col("_s"))).where(_size_class(F.col("size"), F.col("mean")) == k)
+        rows = rows.select("source", "doc_id", "size", "docs", F.floor(share).alias("copies"), (share - F.floor(share)).alias("p"))
+        part = _round(scratch, rows, most_docs, seed + k, k > 0)
+        done = part if done is None else done.union(part)
+        if k < 2:
+            used = part.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("copies") * F.col("size")).alias("took"), F.sum("size").alias("had"))
+            rest = rest.join(used, rest["source"].eqNullSafe(F.col("_s")), "left")
+            rest = rest.select("source", "docs", "mean", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), (F.col("open") - F.coalesce("had", F.lit(0))).alias("open"))
+            rest = scratch.cut(rest, "rest")
+    t = targets.select(F.col("source").alias("_s"), "source_size", "target")
+    return done.join(t, done["source"].eqNullSafe(F.col("_s"))).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
