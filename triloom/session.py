@@ -22,3 +22,20 @@ def local_session(cores: int | str = 4, partitions: int = 8, app: str = "triloom
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, wherever the driver imported it from."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_triloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as stage:
+        shutil.copytree(package, f"{stage}/src/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='triloom-')}/triloom", "zip", f"{stage}/src")
+    context.addPyFile(archive)
+    context._triloom_shipped = True
