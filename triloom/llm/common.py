@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triloom.session import ship
+
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -32,6 +35,7 @@ class Scratch:
     the skewed side of a later join."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.llm import op02_url_filter, op03_exact_dedup, op05_mixing, op06_license_scan
+from triloom.llm import op02_url_filter, op03_exact_dedup, op05_mixing, op06_license_scan, op08_minhash_dedup, op09_packing
 from triloom.llm import op10_sharding as sharding
 from triloom.llm.common import A_Z, a_z, read
 
@@ -30,12 +30,20 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.grid(40))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_exact_dedup, op5_mixing, op6_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (op2_url_filter, op3_exact_dedup, op5_mixing, op6_license_scan, op8_minhash_dedup, op9_packing, op10_sharding)}
 
 
 def _url_sql() -> str:
