@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.llm import op02_url_filter, op03_exact_dedup, op05_mixing, op06_license_scan, op08_minhash_dedup, op09_packing
+from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op08_minhash_dedup, op09_packing
 from triloom.llm import op10_sharding as sharding
 from triloom.llm.common import A_Z, a_z, read
 
@@ -14,6 +14,10 @@ R = op02_url_filter.Rule
 URL_RULES = [R("allow", "org", "/"), R("block", "example.org", "/es/"), R("allow", "example.org", "/en/1"), R("allow", "com", "/fr/"), R("block", "com", "/de/")]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_quality.quality_of_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -22,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_exact_dedup.duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_language_id.language_of_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_exact_dedup, op5_mixing, op6_license_scan, op8_minhash_dedup, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_exact_dedup, op4_language_id, op5_mixing, op6_license_scan, op8_minhash_dedup, op9_packing, op10_sharding)}
 
 
 def _url_sql() -> str:
