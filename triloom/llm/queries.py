@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op08_minhash_dedup, op09_packing
+from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op07_embedding_dedup, op08_minhash_dedup, op09_packing
 from triloom.llm import op10_sharding as sharding
 from triloom.llm.common import A_Z, a_z, read
 
@@ -38,6 +38,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
 
@@ -51,7 +55,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_exact_dedup, op4_language_id, op5_mixing, op6_license_scan, op8_minhash_dedup, op9_packing, op10_sharding)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality,
+            op2_url_filter,
+            op3_exact_dedup,
+            op4_language_id,
+            op5_mixing,
+            op6_license_scan,
+            op7_embedding_dedup,
+            op8_minhash_dedup,
+            op9_packing,
+            op10_sharding,
+        )
+    }
 
 
 def _url_sql() -> str:
