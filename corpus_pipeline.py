@@ -1,2 +1,72 @@
+"""A corpus pipeline of five stages over documents, each one of the training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triloom.llm import op03_exact_dedup, op04_language_id, op05_mixing, op08_minhash_dedup, op09_packing
+from triloom.llm.common import Scratch, read
+
+#: A document goes if it shares less than this with the nearest language's profile; those of the
+#: learned languages share 0.4 and more.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from the table itself; those without a letter or
+    far from all profiles go."""
+    learning = docs.where(~op04_language_id.held_out(F.col("doc_id")))
+    profiles = op04_language_id.learn(learning)
+    found = op04_language_id.identify(docs, profiles)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest doc_id."""
+    scratch = Scratch(spark)
+    gone = op03_exact_dedup.duplicates(docs, scratch).where("not kept").select("doc_id")
+    return docs.join(scratch.cut(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with
+    the least doc_id."""
+    scratch = Scratch(spark)
+    gone = op08_minhash_dedup.near_duplicates(docs, words=5, percent=80, scratch=scratch).where("not kept").select("doc_id")
+    return docs.join(scratch.cut(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, none to three times; rows that repeat a doc_id go by the most copies of any."""
+    scratch = Scratch(spark)
+    copies = op05_mixing.mix(docs, scratch=scratch).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    taken = docs.join(scratch.cut(copies, "copies"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return taken.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return op09_packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
+
+#: No stage before the last can be told in SQL as a whole, so the pipeline is tested against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each stage's result is written and read again."""
+    scratch = Scratch(spark)
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
