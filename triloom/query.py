@@ -186,7 +186,8 @@ class SamplesQuery:
         else:
             if "sample_id" in frame.columns:
                 raise ValueError("a column sample_id is in the way")
-            meta = frame.join(self.db.samples, frame[sample_names_column] == self.db.samples["sample_name"]).drop(self.db.samples["sample_name"])
+            names = self.db.samples.select("sample_id", F.col("sample_name").alias("_name"))
+            meta = frame.join(names, frame[sample_names_column] == F.col("_name")).drop("_name")
         kept = self.state.join(meta.select("sample_id"), "sample_id", "left_semi")
         return self._next(kept, "join(dataframe)", metadata=meta, default_kind=default_isa_kind, default_column=default_isa_column)
 
