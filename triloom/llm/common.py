@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -25,6 +25,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, A_Z, a_z))
 
 
+#: What a Python worker gets at once: texts are long, and a worker keeps what it once needed.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound the Arrow batches of this session (smaller settings stay)."""
+    ship(spark)
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -35,7 +49,7 @@ class Scratch:
     the skewed side of a later join."""
 
     def __init__(self, spark: SparkSession):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
