@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 
 from triloom.llm.common import Scratch, ascii_lower
 
-#: After at least 1,024 characters a chunk ends at the next end of a sentence or line, and after
-#: 8,192 in any case. The rule looks at the content behind the last cut only, so a long document
-#: that shares a passage with others soon shares its chunks too.
-CHUNK = r"(?s).{1024,8192}?(?:[.!?\n](?=\s)|\z)|.{1,8192}"
+def _marks(residue: int) -> str:
+    """A class of every eighth character of the alphabets up to U+07FF."""
+    return "[" + "".join(f"\\u{c:04X}" for c in range(0x20, 0x800) if c % 8 == residue) + "]"
+
+
+#: A chunk ends behind three characters of these classes in a row (about one place in a thousand),
+#: but not before 256 characters and after 8,192 in any case. Whether a place is a boundary depends
+#: on its own three characters, so texts that share a long passage cut it alike after the first
+#: boundary in it, wherever it stands.
+LEAST, MOST = 256, 8192
+CHUNK = rf"(?s).{{{LEAST - 3},{MOST - 3}}}?(?:{_marks(7)}{_marks(2)}{_marks(3)}|\z)|.{{1,{MOST}}}"
 
 
 def chunks(text: Column) -> Column:
