@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm.common import Scratch
+from triloom.llm.memory import release, trimmed
 from triloom.llm.op04_language_id import held_out
 from triloom.llm.shingles import word_hashes
 
@@ -154,7 +155,7 @@ def bags(labelled: DataFrame, most: int = FIT_PASSAGES) -> DataFrame:
                 [batch.column(1), pa.array([len(x) for x in out], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], ["label", "rows", "values"]
             )
 
-    return labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, rows int, values binary")
+    return labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(trimmed(run), "label int, rows int, values binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS, scratch: Scratch | None = None) -> AttentionMIL | None:
@@ -189,6 +190,7 @@ def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text") -> Da
                     out.append(model.scores(held))
                     held, size = [], 0
             yield pd.Series(np.concatenate([*out, model.scores(held)]))
+        release()
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
     rows = docs.select(*kept, call(F.col(text)).alias("score"))

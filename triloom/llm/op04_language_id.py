@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triloom.llm.common import Scratch
+from triloom.llm.memory import release, trimmed
 
 #: n-grams of a profile, and the lengths counted.
 TOP, LENGTHS = 400, (1, 2, 3)
@@ -100,7 +101,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
+    return docs.select("text", "lang").mapInArrow(trimmed(run), "lang string, gram long, n long")
 
 
 def learn(docs: DataFrame, top: int = TOP, scratch: Scratch | None = None) -> dict[str, list[int]]:
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, te
         model = Profiles(profiles, top)
         for t in texts:
             yield pd.DataFrame([model.identify(x) for x in t], columns=["lang_pred", "score"])
+        release()
 
     return docs.withColumn("_id", call(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], "_id.lang_pred", "_id.score")
 

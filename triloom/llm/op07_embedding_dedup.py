@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm.common import Scratch, connected_components
+from triloom.llm.memory import trimmed
 
 #: Vectors the codebooks and the traversal's end are fitted on; vectors a cell should hold; rows of a block.
 FIT_VECTORS, PER_CELL, BLOCK = 8192, 256, 1024
-#: Share of the pairs exactly at the limit, in random directions, that the traversals must find.
-RECALL = 0.999
+#: Share of the pairs that the traversals must find: of those exactly at the limit in random
+#: directions, and of the sample's own; vectors of the sample whose links are looked at for that.
+RECALL, FIT_PAIRS = 0.999, 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -62,7 +64,17 @@ class MultiIndex:
         a, b = self.distances(x), self.distances(y)
         # Either end of a pair may find the other.
         need = np.minimum(self._slack(a, b), self._slack(b, a))
-        self.slack = float(np.quantile(need, recall)) + 1e-9
+        self.slack = max(float(np.quantile(need, recall)), self._of_pairs(x, a, limit, recall)) + 1e-9
+
+    def _of_pairs(self, x: np.ndarray, d: tuple[np.ndarray, np.ndarray], limit: float, recall: float) -> float:
+        """The same for the links within the sample, which lie along its clusters: of FIT_PAIRS
+        vectors, evenly spread, against all of it."""
+        need = [np.zeros(1, np.float32)]
+        for i in np.unique(np.linspace(0, len(x) - 1, FIT_PAIRS).astype(int)):
+            j = np.flatnonzero(x @ x[i] >= limit)
+            own, other = tuple(np.repeat(t[i : i + 1], len(j), axis=0) for t in d), tuple(t[j] for t in d)
+            need.append(np.minimum(self._slack(own, other), self._slack(other, own)).astype(np.float32))
+        return float(np.quantile(np.concatenate(need), recall))
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _squares(x[:, : self.half], self.books[0]), _squares(x[:, self.half :], self.books[1])
@@ -205,7 +217,7 @@ def near_duplicates(
         models[g["dim"]] = MultiIndex(np.array([r["vec"] for r in sample]), k, limit, recall)
     kind = dict(classes.dtypes)
     filed = classes.select("id", "copies", "label", "vec", "dim").mapInArrow(
-        _file(models), f"id long, copies long, label {kind['label']}, vec {kind['vec']}, dim int, cell int, visits array<int>"
+        trimmed(_file(models)), f"id long, copies long, label {kind['label']}, vec {kind['vec']}, dim int, cell int, visits array<int>"
     )
     filed = scratch.cut(filed, "filed")
 
@@ -222,7 +234,7 @@ def near_duplicates(
     key = [*place, "mb", "qb"]
     units = members.select(*key, F.lit(0).alias("role"), *tail).union(queries.select(*key, F.lit(1).alias("role"), *tail))
     units = units.repartition(*key).sortWithinPartitions(*key, "role")
-    found = scratch.cut(units.mapInArrow(_search(limit), "id long, links long, low long"), "found")
+    found = scratch.cut(units.mapInArrow(trimmed(_search(limit)), "id long, links long, low long"), "found")
 
     parts = connected_components(scratch, found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

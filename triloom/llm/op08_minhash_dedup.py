@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm.common import Scratch, connected_components
+from triloom.llm.memory import trimmed
 from triloom.llm.shingles import alike, circulant, shingle_set
 
 #: 48 bands of 6 coordinates: a pair at 0.8 misses all bands with probability 5e-7.
@@ -49,7 +50,7 @@ def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 _LINKS = "a long, b long"
@@ -169,7 +170,7 @@ def near_duplicates(
     leaders = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("doc_id"))
     units = members.union(leaders).join(texts, "doc_id").select("lead", "chunk", "doc_id", "text")
     units = units.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col("doc_id") != F.col("lead"))
-    links = scratch.cut(units.mapInArrow(_against_leader(words, percent), _LINKS), "links")
+    links = scratch.cut(units.mapInArrow(trimmed(_against_leader(words, percent)), _LINKS), "links")
     known = scratch.cut(connected_components(scratch, links), "known")
 
     placed = buckets.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
@@ -184,7 +185,7 @@ def near_duplicates(
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "doc_id")
     full = dealt.join(texts, "doc_id").select("key", "i", "j", "block", "comp", "doc_id", "text")
     full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
-    more = scratch.cut(full.mapInArrow(_within_units(words, percent, rows, bands), _LINKS), "more")
+    more = scratch.cut(full.mapInArrow(trimmed(_within_units(words, percent, rows, bands)), _LINKS), "more")
 
     found = scratch.cut(connected_components(scratch, known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "found")
     label = classes.join(found, classes["rep"] == found["id"], "left").where("copies > 1 or id is not null")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm.common import Scratch, ranked
+from triloom.llm.memory import trimmed
 
 END = 2
 
@@ -69,7 +70,7 @@ def tokenized_pieces(docs: DataFrame, room: int = 1024, vocabulary: str | None =
             yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32()))] if with_ids else cols, [*names, "ids"] if with_ids else names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def sweeps(counts: dict[int, int], room: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
