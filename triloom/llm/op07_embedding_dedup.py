@@ -241,6 +241,7 @@ def near_duplicates(
     known = classes.select("id", "copies", "label", "vec").join(links, "id", "left").join(parts, "id", "left")
     known = known.select("label", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     known = scratch.cut(known, "known")
+    scratch.free(classes, filed, held, asks, found)
     out = good.join(known, ["label", "vec"], "left").select("vec_id", "n_links", "component_id")
     rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

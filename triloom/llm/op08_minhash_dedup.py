@@ -190,5 +190,7 @@ def near_duplicates(
     found = scratch.cut(connected_components(scratch, known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "found")
     label = classes.join(found, classes["rep"] == found["id"], "left").where("copies > 1 or id is not null")
     label = scratch.cut(label.select("digest", F.coalesce("component", "rep").alias("component_id")), "labels")
+    # All that led here has been written on; the sketch and the labels are what the result reads.
+    scratch.free(classes, reps, shared, buckets, texts, sizes, links, known, placed, active, more, found)
     out = sketch.join(label, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
