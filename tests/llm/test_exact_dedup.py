@@ -43,7 +43,7 @@ def test_random_texts_with_shared_passages(spark):
 
 def test_chunks_make_up_the_text_and_share_passages(spark):
     r = random.Random(9)
-    words = ["one", "two.", "three", "four", "five\n", "wordgrks", "obcd"]
+    words = ["one", "two.", "three", "four", "five\n"] * 8 + ["phase"]
     long = " ".join(r.choice(words) for _ in range(20000))
     rows = [(1, long), (2, "An insertion at the front. " + long), (3, "y" * 50000), (4, "")]
     from pyspark.sql import functions as F
