@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.plans import q_features, q_identifiers, q_ingest, q_intervals, q_states, q_trees  # noqa: F401  they register
+from triloom.plans import q_features, q_files, q_identifiers, q_ingest, q_intervals, q_states, q_trees  # noqa: F401  they register
 from triloom.plans.projection import Tables
 from triloom.plans.registry import ORACLES, QUERIES
 from triloom.query import SamplesQuery

@@ -39,3 +39,13 @@ def ship(spark: SparkSession) -> None:
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='triloom-')}/triloom", "zip", f"{stage}/src")
     context.addPyFile(archive)
     context._triloom_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), or a
+    temporary one where none is set, as in tests."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="triloom-")
+    return f"{root.rstrip('/')}/triloom-{uuid.uuid4().hex}/{name}"

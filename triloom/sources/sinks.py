@@ -23,7 +23,8 @@ def query_tsv(rows: DataFrame, path: str) -> None:
     """Tab-separated with header, doubles to four significant digits, null as -."""
     def cell(f: T.StructField):
         c = F.col(f"`{f.name}`")
-        return F.coalesce(F.format_string("%.4g", c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string"), F.lit("-")).alias(f.name)
+        text = F.format_string("%.4g", c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
+        return F.when(c.isNull(), "-").otherwise(text).alias(f.name)
 
     rows.select([cell(f) for f in rows.schema]).write.mode("overwrite").csv(path, sep="\t", header=True)
 
