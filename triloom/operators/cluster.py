@@ -24,8 +24,9 @@ def mrca_jaccard(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     leaf = nodes.where("is_leaf").select("tree_id", "name", "lft")
     g = groups.select("group", "name").distinct().join(leaf, "name", "left")
     span = g.groupBy("group").agg(F.min("lft").alias("lo"), F.max("lft").alias("hi"), F.count("lft").alias("inside"), F.count("*").alias("n"))
-    over = span.join(nodes.select("lft", "rgt", "depth"), (F.col("lft") <= F.col("lo")) & (F.col("rgt") >= F.col("hi")), "left")
-    best = over.groupBy("group").agg(F.max_by(F.col("rgt") - F.col("lft") + 1, F.col("depth")).alias("below"), F.first("inside").alias("inside"), F.first("n").alias("n"))
+    above = tree.ancestors(nodes).select(F.col("leaf").alias("lo"), "lft", "rgt", "depth")
+    below = span.join(above, "lo").where("rgt >= hi").groupBy("group").agg(F.max_by(F.col("rgt") - F.col("lft") + 1, F.col("depth")).alias("below"))
+    best = span.join(below, "group", "left")
     score = F.when(F.col("inside") > 0, F.col("inside") / (F.col("below") + F.col("n") - F.col("inside"))).otherwise(F.lit(float("nan")))
     return best.select("group", score.cast("double").alias("score"))
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 KEYS = ["sequence"]
 
 
-def merge(a: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Sorted, with overlapping and bookended intervals merged: a running end starts islands."""
+#: Positions that are merged among themselves before the rest of their sequence.
+_SPAN = 1 << 16
+
+
+def _islands(a: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start0", "end0")
     before = F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col("start0") > before), 1).otherwise(0)
@@ -17,16 +20,26 @@ def merge(a: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return island.groupBy(*keys, "_island").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_island")
 
 
+def merge(a: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Sorted, with overlapping and bookended intervals merged: a running end starts islands.
+
+    Spans of a sequence are merged first, so that a long or hot sequence is dealt to many tasks and
+    only the islands that are left meet in one.
+    """
+    spans = a.select(*keys, "start0", "end0", F.floor(F.col("start0") / _SPAN).alias("_span"))
+    return _islands(_islands(spans, [*keys, "_span"]), keys)
+
+
 def _sweep(a: DataFrame, b: DataFrame, keys: list[str], keep: Column) -> DataFrame:
     """Segments between neighbouring boundaries of a and b where keep holds of the coverages _a and _b,
     merged. One sort per key whatever the overlaps: no pair of intervals is formed."""
     def ends(t: DataFrame, x: int, y: int) -> DataFrame:
         return t.select(*keys, F.explode(F.array(F.struct(F.col("start0").alias("at"), F.lit(x).alias("da"), F.lit(y).alias("db")), F.struct(F.col("end0").alias("at"), F.lit(-x).alias("da"), F.lit(-y).alias("db")))).alias("e")).select(*keys, "e.*")
 
-    points = ends(a, 1, 0).union(ends(b, 0, 1)).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    points = ends(merge(a, keys), 1, 0).union(ends(merge(b, keys), 0, 1)).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     w = Window.partitionBy(*keys).orderBy("at")
     seg = points.select(*keys, F.col("at").alias("start0"), F.lead("at").over(w).alias("end0"), F.sum("da").over(w).alias("_a"), F.sum("db").over(w).alias("_b"))
-    return merge(seg.where(keep & F.col("end0").isNotNull()), keys)
+    return _islands(seg.where(keep & F.col("end0").isNotNull()), keys)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -113,6 +113,14 @@ def tree_nodes(spark: SparkSession, root: Node, tree_id: str = "tree") -> DataFr
     return spark.createDataFrame(node_rows(root, tree_id), TREE_NODES)
 
 
+def ancestors(nodes: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """(tree_id, leaf, lft, rgt, root_dist, depth): every leaf number with each node above it, so that
+    ancestors are found by an equi join; leaves times depth rows, dealt out in chunks."""
+    n = nodes.select("tree_id", "lft", "rgt", "root_dist", "depth")
+    n = n.withColumn("_from", F.explode(F.sequence("lft", "rgt", F.lit(chunk))))
+    return n.withColumn("leaf", F.explode(F.sequence("_from", F.least("rgt", F.col("_from") + chunk - 1)))).drop("_from")
+
+
 def mrca(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """(tree_id, lft, rgt, root_dist) of the deepest node over all anchors (name); none without an anchor."""
     a = nodes.where("is_leaf").join(anchors.select("name").distinct(), "name", "left_semi").groupBy("tree_id").agg(F.min("lft").alias("lo"), F.max("lft").alias("hi"))
@@ -133,7 +141,8 @@ def distances(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     one row per anchor and ancestor range, not each pair with each node."""
     leaf = nodes.where("is_leaf").select("tree_id", "name", "lft", "root_dist")
     a = leaf.join(anchors.select("name").distinct(), "name", "left_semi").select("tree_id", F.col("name").alias("anchor"), F.col("lft").alias("al"), F.col("root_dist").alias("ad"))
-    up = a.join(nodes.select("tree_id", F.col("lft").alias("nl"), F.col("rgt").alias("nr"), F.col("root_dist").alias("nd"), "depth"), "tree_id").where("al between nl and nr")
+    above = ancestors(nodes).select("tree_id", F.col("leaf").alias("al"), F.col("lft").alias("nl"), F.col("rgt").alias("nr"), F.col("root_dist").alias("nd"), "depth")
+    up = a.join(above, ["tree_id", "al"])
     hit = up.join(leaf, "tree_id").where("lft between nl and nr")
     far = hit.groupBy("anchor", "name").agg(F.max_by("nd", "depth").alias("nd"), F.first("ad").alias("ad"), F.first("root_dist").alias("rd"))
     return far.select("anchor", "name", (F.col("ad") + F.col("rd") - 2 * F.col("nd")).alias("distance"))

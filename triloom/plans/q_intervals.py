@@ -135,10 +135,11 @@ def _(t: Tables) -> DataFrame:
     return intervals.from_variants(_spans(t))
 
 
-@query("mask_subtract_vcf", _runs("SELECT DISTINCT sequence, unnest(range(start0, end0)) AS p FROM gm EXCEPT SELECT sequence, unnest(range(start0, end0)) FROM vs"), gm=_GM, vs=_VS)
+@query("mask_subtract_vcf", _runs("SELECT DISTINCT sequence, unnest(range(start0, end0)) AS p FROM gm EXCEPT SELECT sequence, unnest(range(start0, end0)) FROM vs"), gm=_GM, vs=_VS.replace("insertion <> '?'", "var_type = 'SNP'"))
 def _(t: Tables) -> DataFrame:
     m = t.masks.select(F.concat(F.lit("chr"), (F.col("sample_id") % 5).cast("string")).alias("sequence"), (F.col("start0") % 1500).alias("start0"), (F.col("start0") % 1500 + F.col("end0") - F.col("start0")).alias("end0"))
-    return intervals.subtract(m, intervals.from_variants(_spans(t)))
+    snps = t.calls.where("var_type = 'SNP'").select(F.col("sequence").alias("chrom"), F.col("position").alias("pos"), F.repeat(F.lit("N"), F.col("deletion")).alias("ref"))
+    return intervals.subtract(m, intervals.from_variants(snps))
 
 
 # Alignments.
