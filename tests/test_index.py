@@ -81,6 +81,25 @@ def test_summaries(index):
     assert c["ref:3:1:T"]["x_proportion"] == 1 and c["ref:3:1:T"]["none_proportion"] is None and c["ref:3:1:T"]["none_total"] == 0
 
 
+def test_index_level_lookups(spark, index):
+    assert index.sample_names()[:3] == ["A", "B", "C"] and index.reference_names() == ["genome"] and index.mlst_schemes() == ["ecoli"]
+    assert (index.count_samples(), index.count_references()) == (3, 1)
+    assert (index.count_mutations("genome"), index.count_mutations("genome", include_unknown=True)) == (3, 5)
+    top = {r["feature"]: (r["count"], r["total"]) for r in index.features_summary("mutations", "genome").collect()}
+    assert top == {"ref:3:1:T": (2, 3), "ref:5:1:C": (2, 3), "ref:7:2:G": (1, 3)}
+    alleles = {r["feature"]: (r["count"], r["total"]) for r in index.features_summary("mlst", "ecoli").collect()}
+    assert alleles == {"mlst:ecoli:adk:1": (2, 2), "mlst:ecoli:bgl:2": (1, 2)}
+    with pytest.raises(ValueError):
+        index.features_summary("other")
+    assert index.sample_ids(["A", "Z"], ignore_missing=True).count() == 1
+    with pytest.raises(ValueError, match="Z"):
+        index.sample_ids(["A", "Z"])
+    assert index.count_samples_by_features(["ref:3:G:T", "mlst:ecoli:adk:9"]) == {"ref:3:G:T": 2, "mlst:ecoli:adk:9": 0}
+    assert index.spdi_with_bases(["ref:7:2:G"]) == {"ref:7:2:G": "ref:7:GT:G"} and not index.has_kmer_index("A")
+    frame = spark.createDataFrame([("A",)], "who string")
+    assert index.samples_query("dataframe", data_frame=frame, sample_names_column="who").toset() == {"A"}
+
+
 def test_metadata(spark, index):
     m = spark.createDataFrame([("A", "red"), ("B", "blue"), ("Z", "red")], "who string, color string")
     q = SamplesQuery.all(index).join(m, sample_names_column="who")

@@ -152,6 +152,86 @@ class SampleIndex:
 
         return SamplesQuery.all(self)
 
+    # Queries and summaries of the whole index.
+
+    def samples_query(self, universe: str = "all", reference_name: str | None = None, data_frame: DataFrame | None = None, sample_ids_column: str | None = None, sample_names_column: str | None = None):
+        """A query over all samples, those on a reference ('mutations') or those of a frame ('dataframe')."""
+        from triloom.query import SamplesQuery
+
+        if universe == "all":
+            return SamplesQuery.all(self)
+        if universe == "mutations":
+            return SamplesQuery.on_reference(self, reference_name)
+        if universe == "dataframe":
+            return SamplesQuery.all(self).join(data_frame, sample_ids_column, sample_names_column)
+        raise ValueError(f"unknown universe {universe}")
+
+    def sample_names(self) -> list[str]:
+        return [r[0] for r in self.samples.select("sample_name").orderBy("sample_name").collect()]
+
+    def reference_names(self) -> list[str]:
+        return [r[0] for r in self.references.select("reference_name").distinct().orderBy("reference_name").collect()]
+
+    def mlst_schemes(self) -> list[str]:
+        return [r[0] for r in self.mlst.select("scheme").distinct().orderBy("scheme").collect()]
+
+    def count_samples(self) -> int:
+        return self.samples.count()
+
+    def count_references(self) -> int:
+        return self.references.select("reference_name").distinct().count()
+
+    def count_mutations(self, reference_name: str, include_unknown: bool = False) -> int:
+        on = self.references.where(F.col("reference_name") == reference_name)
+        calls = self.calls.join(on, "sequence", "left_semi")
+        return (calls if include_unknown else calls.where("insertion <> '?'")).select("spdi").distinct().count()
+
+    def mutations_summary(self, reference_name: str, **which) -> DataFrame:
+        """Of the samples on the reference; features of other references are not filtered out, as in the original."""
+        return self.samples_query("mutations", reference_name).features_summary("mutations", **which)
+
+    def mlst_summary(self, scheme: str | None = None, locus: str | None = None, **which) -> DataFrame:
+        """Of all samples, or of those with the scheme where one is given."""
+        query = self.samples_query()
+        if scheme:
+            query = query.set_universe(self.mlst.where(F.col("scheme") == scheme))
+        return query.features_summary("mlst", scheme=scheme, locus=locus, **which)
+
+    def features_summary(self, kind: str = "mutations", scope: str | None = None, **which) -> DataFrame:
+        if kind in ("mutations", "mutation"):
+            return self.mutations_summary(scope, **which)
+        if kind == "mlst":
+            return self.mlst_summary(scope, **which)
+        raise ValueError(f"unknown kind {kind}")
+
+    def sample_ids(self, names: list[str], ignore_missing: bool = False) -> DataFrame:
+        """(sample_id, sample_name) of the names; unknown ones are an error that lists ten of them, unless ignored."""
+        asked = self.spark.createDataFrame([(n,) for n in names], "sample_name string").distinct()
+        if not ignore_missing:
+            lost = [r[0] for r in asked.join(self.samples, "sample_name", "left_anti").orderBy("sample_name").limit(10).collect()]
+            if lost:
+                raise ValueError(f"no such samples: {', '.join(lost)}")
+        return self.samples.join(asked, "sample_name", "left_semi")
+
+    def find_samples_by_features(self, features: list[str]) -> dict[str, list[str]]:
+        """Names of the samples that are found to have each feature."""
+        from triloom.query import SamplesQuery
+
+        return {f: SamplesQuery.all(self).hasa(f).tolist() for f in features}
+
+    def count_samples_by_features(self, features: list[str]) -> dict[str, int]:
+        return {f: len(n) for f, n in self.find_samples_by_features(features).items()}
+
+    def has_kmer_index(self, sample_name: str) -> bool:
+        return not self.sketch.join(self.samples.where(F.col("sample_name") == sample_name), "sample_id", "left_semi").isEmpty()
+
+    def spdi_with_bases(self, spdi: list[str]) -> dict[str, str]:
+        """Ids with the deletion spelled out from the reference."""
+        t = self.spark.createDataFrame([(x,) for x in spdi], "spdi string").select("spdi", ids.spdi_parse(ids.spdi_normalize(F.col("spdi"))).alias("p"))
+        t = t.select("spdi", "p.*").join(self.sequences, "sequence")
+        bases = F.substring("bases", F.col("position"), F.col("deletion").cast("int"))
+        return {r[0]: r[1] for r in t.select("spdi", ids.spdi_format(F.col("sequence"), F.col("position"), bases, F.col("insertion"))).collect()}
+
     # Ingest.
 
     def add_samples(self, names: DataFrame) -> DataFrame:
