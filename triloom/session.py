@@ -41,11 +41,21 @@ def ship(spark: SparkSession) -> None:
     context._triloom_shipped = True
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), or a
-    temporary one where none is set, as in tests."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint
+    folder. Only a local session that has neither gets a temporary one."""
     import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="triloom-")
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="triloom-")
-    return f"{root.rstrip('/')}/triloom-{uuid.uuid4().hex}/{name}"
+    return f"{shared_root(spark)}/triloom-{uuid.uuid4().hex}/{name}"
