@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom.session import ship
+from triloom.session import shared_root, ship
 
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of characters other than ASCII white space.
@@ -51,11 +50,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         prepare(spark)
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            current = spark.sparkContext.getCheckpointDir()
-            root = current or tempfile.mkdtemp(prefix="triloom-")
-        self.root = f"{root.rstrip('/')}/triloom-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark)}/triloom-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, str] = {}
 
