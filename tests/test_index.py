@@ -100,6 +100,22 @@ def test_index_level_lookups(spark, index):
     assert index.samples_query("dataframe", data_frame=frame, sample_names_column="who").toset() == {"A"}
 
 
+def test_kmer_queries(spark, tmp_path):
+    own = SampleIndex(spark, str(tmp_path / "own"))
+    sets = {"A": range(10), "B": range(5, 15), "C": range(100, 110)}
+    rows = [(n, k, h) for n, hs in sets.items() for h in hs for k in (21, 31)]
+    own.add_sketches(spark.createDataFrame(rows, "sample string, ksize int, hash long"))
+    own.add_sketches(spark.createDataFrame([("A", 31, 77)], "sample string, ksize int, hash long"))  # has one, is skipped
+    q = own.samples_query()
+    assert q.within("A", distance=0.67, units="kmer_jaccard").toset() == {"A", "B"} and own.has_kmer_index("A")
+    ids_, m = q.to_distances()
+    assert m[0, 1] == pytest.approx(2 / 3) and m[0, 2] == 1 and len(ids_) == 3
+    t = q.build_tree("kmer")
+    assert t.isin(["A", "B"], kind="mrca").toset() == {"A", "B"}
+    with pytest.raises(ValueError):
+        q.to_distances(kmer_size=51)
+
+
 def test_metadata(spark, index):
     m = spark.createDataFrame([("A", "red"), ("B", "blue"), ("Z", "red")], "who string, color string")
     q = SamplesQuery.all(index).join(m, sample_names_column="who")

@@ -145,7 +145,7 @@ class SamplesQuery:
             return self._next(state.restrict(self.state, self._by_name(tree.leaves_below(self._tree(), top))), "isin(mrca)")
         if kind == "distance":
             if units == "kmer_jaccard":
-                near = kmer.within(self.db.sketch, self._ids(data), distance)
+                near = kmer.within(self._sketch(kmer_size), self._ids(data), distance)
             elif units in ("substitutions", "substitutions/site"):
                 names = self._names(data)
                 lost = names.join(self._tree().where("is_leaf").select("name"), "name", "left_anti").count()
@@ -211,7 +211,7 @@ class SamplesQuery:
         chosen = self.state.where(F.col("status") == PRESENT).select("sample_id")
         names = {r["sample_id"]: r["sample_name"] for r in self.db.samples.join(chosen, "sample_id", "left_semi").collect()}
         if kind == "kmer":
-            order, matrix = kmer.distance_matrix(self.db.sketch, chosen)
+            order, matrix = kmer.distance_matrix(self._sketch(how.get("kmer_size", 31)), chosen)
             return self.join_tree(tree.single_linkage([names[i] for i in order], matrix))
         if kind in ("mutation", "mutation_experimental"):
             import numpy as np
@@ -328,10 +328,14 @@ class SamplesQuery:
         table, _ = self._table(kind, True, False)
         return {r[0] for r in table.join(self._selected(), "sample_id", "left_semi").select("feature").distinct().collect()}
 
-    def to_distances(self, kind: str = "kmer"):
+    def _sketch(self, kmer_size: int) -> DataFrame:
+        return self.db.sketch.where(F.col("ksize") == kmer_size)
+
+    def to_distances(self, kind: str = "kmer", kmer_size: int = 31):
+        """(sample ids, matrix) of the present samples on the driver; a sample without sketch is an error."""
         if kind != "kmer":
             raise ValueError(f"unknown kind {kind}")
-        return kmer.distance_matrix(self.db.sketch, self._selected())
+        return kmer.distance_matrix(self._sketch(kmer_size), self._selected())
 
     def score_groups(self, column: str, **how) -> DataFrame:
         meta = self.metadata.join(self.db.samples, "sample_id").select(F.col("sample_name").alias("name"), column)
