@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.llm import op03_exact_dedup, op04_language_id, op05_mixing, op08_minhash_dedup, op09_packing
-from triloom.llm.common import Scratch, read
+from triloom.llm.common import Scratch, read, row_keys
 
 #: A document goes if it shares less than this with the nearest language's profile; those of the
 #: learned languages share 0.4 and more.
@@ -23,18 +23,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest doc_id."""
+    """One row of each group of equal texts, the one with the largest doc_id; rows count each by
+    itself where a doc_id is repeated or null."""
     scratch = Scratch(spark)
-    gone = op03_exact_dedup.duplicates(docs, scratch).where("not kept").select("doc_id")
-    return docs.join(scratch.cut(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    keyed = row_keys(scratch, docs, nulls_first=True)
+    rows, key = (docs, "doc_id") if keyed is None else (keyed, "_key")
+    gone = op03_exact_dedup.duplicates(rows, scratch, ident=key).where("not kept").select(F.col("doc_id").alias(key))
+    return rows.join(scratch.cut(gone, "gone"), key, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with
-    the least doc_id."""
+    """One row of each group of near copies (five-word shingles, similarity 0.8), the one with the
+    least doc_id; rows count each by itself where a doc_id is repeated or null."""
     scratch = Scratch(spark)
-    gone = op08_minhash_dedup.near_duplicates(docs, words=5, percent=80, scratch=scratch).where("not kept").select("doc_id")
-    return docs.join(scratch.cut(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    keyed = row_keys(scratch, docs)
+    rows, key = (docs, "doc_id") if keyed is None else (keyed, "_key")
+    found = op08_minhash_dedup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), words=5, percent=80, scratch=scratch)
+    gone = found.where("not kept").select(F.col("doc_id").alias(key))
+    return rows.join(scratch.cut(gone, "gone"), key, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

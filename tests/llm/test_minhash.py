@@ -138,3 +138,10 @@ def test_awkward_rows(awkward):
         assert (by[i]["n_shingles"], by[i]["component_id"], by[i]["kept"]) == (0, i, True)
     assert by[5]["n_shingles"] == 1 and by[6]["n_shingles"] == 1
     assert found(op.near_duplicates(awkward.limit(0))) == []
+
+
+def test_all_texts_of_a_repeated_id_are_linked(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    rows = [(5, a), (5, b), (8, a + " more"), (9, b + " more")]
+    got = found(op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows) and {r[2] for r in got} == {5}

@@ -89,3 +89,16 @@ def test_registered_queries():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_dedup_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(40)) for p in "abcd")
+    rows = [(5, a), (5, b), (9, b.upper()), (7, c), (7, c), (None, d), (None, d), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.exact_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, a), (9, b.upper()), (7, c), (None, d)], key=str)
+
+    near = [(5, a), (5, b), (9, b + " more"), (7, c), (7, c), (None, d), (None, d + " more"), (None, c + " more")]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    left = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(5, "a"), (5, "b"), (7, "c"), (None, "d")], key=str)

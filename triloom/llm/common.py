@@ -98,6 +98,17 @@ def ranked(scratch: Scratch, df: DataFrame, order: list[Column], rank: str = "ra
     return out.drop("_pid", "_row", "_start"), total
 
 
+def row_keys(scratch: Scratch, docs: DataFrame, nulls_first: bool = False) -> DataFrame | None:
+    """docs with a gapless `_key` for each row in the order of doc_id, if a doc_id is null or repeated;
+    None if doc_id names the rows already. Only then are texts moved and written."""
+    same = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null")
+    if same.isEmpty():
+        return None
+    own = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
+    rows = docs.withColumn("_tie", F.monotonically_increasing_id())  # equal rows too are dealt to many tasks
+    return ranked(scratch, rows, [own, F.xxhash64("text"), F.col("_tie")], "_key")[0].drop("_tie")
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every end of an edge; component is the smallest id reachable.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch, connected_components
+from triloom.llm.common import Scratch, connected_components, row_keys
 from triloom.llm.memory import trimmed
 from triloom.llm.shingles import alike, circulant, shingle_set
 
@@ -145,16 +145,32 @@ def near_duplicates(
     Two documents are linked if 100 * intersection >= percent * union of their sets of `words`-word
     shingles (A-Z lower-cased; a shorter text is one shingle, an empty or null one has none and no
     link). component_id is the least doc_id reachable, kept says doc_id = component_id. Whole texts
-    count, of any length. Rows that repeat a doc_id share its links; rows without doc_id follow the
-    documents with their set. An empty table gives no rows; other columns are ignored.
+    count, of any length. Rows that repeat a doc_id share the links of all its texts; rows without
+    doc_id are linked each by itself, and a group of them alone has no component_id. An empty table
+    gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
+    keyed = row_keys(scratch, docs)
+    if keyed is None:
+        return _by_id(docs, words, percent, rows, bands, scratch)
+    ids = keyed.select("_key", F.col("doc_id").alias("_own"))
+    found = _by_id(keyed.select(F.col("_key").alias("doc_id"), "text"), words, percent, rows, bands, scratch)
+    found = scratch.cut(found.join(ids, found["doc_id"] == ids["_key"]).select("_key", "_own", "n_shingles", F.col("component_id").alias("_comp")), "by-row")
+    low = scratch.cut(found.where("_own is not null").groupBy("_own").agg(F.min("_comp").alias("_low")), "by-doc")
+    same = connected_components(scratch, found.join(low, "_own").select(F.col("_comp").alias("a"), F.col("_low").alias("b")))
+    whole = found.join(same, found["_comp"] == same["id"], "left").select("_own", "n_shingles", F.coalesce("component", "_comp").alias("_comp"))
+    named = ids.select(F.col("_key").alias("_comp"), F.col("_own").alias("component_id"))  # the least row has the least doc_id
+    out = whole.join(named, "_comp").select(F.col("_own").alias("doc_id"), "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _by_id(docs: DataFrame, words: int, percent: int, rows: int, bands: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates() of rows (doc_id, text) whose doc_id is neither null nor repeated."""
     sketch = scratch.cut(sketches(docs, words, rows, bands), "sketch")
     classes = sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.cut(classes, "classes")
-    reps = sketch.where("digest is not null").join(classes, "digest").where("doc_id = rep").select("doc_id", "bands").dropDuplicates(["doc_id"])
+    reps = sketch.where("digest is not null").join(classes, "digest").where("doc_id = rep").select("doc_id", "bands")
     reps = scratch.cut(reps, "reps")
 
     entries = reps.select(F.explode("bands").alias("key"), "doc_id")
