@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 from triloom.llm import op03_exact_dedup, op04_language_id, op05_mixing, op08_minhash_dedup, op09_packing
 from triloom.llm.common import Scratch, read, row_keys
 
-#: A document goes if it shares less than this with the nearest language's profile; those of the
-#: learned languages share 0.4 and more.
-LEAST_LANGUAGE_SCORE = 0.2
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the table itself; those without a letter or
-    far from all profiles go."""
+    """Documents in one of the languages learned from the table itself; only those without a letter
+    and those that share no n-gram with any profile (score 0, so no language is told) go."""
     learning = docs.where(~op04_language_id.held_out(F.col("doc_id")))
     profiles = op04_language_id.learn(learning)
     found = op04_language_id.identify(docs, profiles)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 
 from tests.llm.test_minhash import brute as near_groups
-from triloom.llm import op09_packing
+from triloom.llm import op04_language_id, op09_packing
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -102,3 +102,14 @@ def test_dedup_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(near, "doc_id long, text string")
     left = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(left, key=str) == sorted([(5, "a"), (5, "b"), (7, "c"), (None, "d")], key=str)
+
+
+def test_short_texts_of_a_language_with_many_letters_stay(spark):
+    r = random.Random(5)
+    signs, weights = [chr(0x4E00 + i) for i in range(1500)], [1 / (i + 9) for i in range(1500)]
+    rows = [(i, "".join(r.choices(signs, weights, k=30)), "zh") for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, "123 !", "zh"), (301, "ααα βββ", None)], "doc_id long, text string, lang string")
+    learning = docs.where(~op04_language_id.held_out(docs["doc_id"]))
+    scores = [x["score"] for x in op04_language_id.identify(docs.where("doc_id < 300"), op04_language_id.learn(learning)).collect()]
+    assert 0 < min(scores) < 0.2
+    assert sorted(x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, "").collect()) == list(range(300))
