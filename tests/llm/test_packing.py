@@ -105,3 +105,13 @@ def test_awkward_rows(awkward):
 def test_lengths_out_of_range(spark):
     with pytest.raises(ValueError):
         op.pack(spark.createDataFrame([(5,)], "length long"), room=4)
+
+
+def test_documents_get_the_ids_of_the_tokenizer_at_its_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x\n <|endoftext|>\n\n y", "<|endoftext", "é  <|endoftext|>'s"]
+    rows = op.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}

@@ -27,6 +27,8 @@ from triloom.llm.common import Scratch, ranked
 from triloom.llm.memory import trimmed
 
 END = 2
+#: The added token of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=1)
@@ -38,12 +40,13 @@ def encoder(vocabulary: str | None):
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
-def token_ids(text: str | None, vocabulary: str | None = None) -> np.ndarray:
-    """The ids of a text (null: none) and the end id; strings of special tokens are ordinary text."""
-    ids = encoder(vocabulary).encode_to_numpy(text or "", disallowed_special=())
+def token_ids(text: str | None, vocabulary: str | None = None, added: bool = False) -> np.ndarray:
+    """The ids of a text (null: none) and the end id. With `added`, strings of added tokens get
+    their id, as the tokenizer does by itself; else they are ordinary text."""
+    ids = encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all" if added else set(), disallowed_special=())
     return np.append(ids.astype("<u4"), np.uint32(END))
 
 
@@ -54,13 +57,14 @@ def cuts(n: int, room: int) -> list[tuple[int, int]]:
 
 
 def tokenized_pieces(docs: DataFrame, room: int = 1024, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (little-endian 32-bit ids) and, on request, ids."""
+    """doc_id, piece, start, length, ids_crc32 (little-endian 32-bit ids) and, on request, ids; the
+    ids are those of the tokenizer at its default settings, added tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ids = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = token_ids(text, vocabulary)
+                t = token_ids(text, vocabulary, added=True)
                 for k, (s, n) in enumerate(cuts(len(t), room)):
                     rows.append((doc, k, s, n, zlib.crc32(t[s : s + n].tobytes())))
                     if with_ids:
