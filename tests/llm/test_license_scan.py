@@ -1,5 +1,6 @@
 import hashlib
 import re
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
@@ -59,3 +60,21 @@ def test_awkward_rows_and_plan(awkward):
     df = op.scan(awkward)
     assert df.count() == awkward.count() and df.where(F.col("license_id").isNotNull()).count() == 0
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_full_texts_and_usual_forms(spark):
+    bsd, isc = op.LICENSES["BSD-2-Clause"], op.LICENSES["ISC"]
+    folder = Path(op.__file__).parent / "licenses"
+    texts = [(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "EPL-1.0", "Unlicense"} <= {n for n, _ in texts}
+    texts += [
+        ("GPL-3.0", dict(texts)["GPL-3.0"].split("END OF TERMS")[0]),
+        ("MIT", MIT.replace("MIT License", "The MIT License (MIT)")),
+        ("MIT", "Copyright Foo Bar\n" + MIT),
+        ("MIT", MIT.replace("The above copyright notice", "The above\ncopyright notice").replace("MIT License", "MIT License\n\nCopyright Foo, Inc.")),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, X\n" + bsd),
+        ("BSD-2-Clause", bsd.replace("1. ", "* ").replace("2. ", "* ")),
+        ("ISC", "ISC License\n\n" + isc),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert [r["license_id"] for r in op.scan(docs).orderBy("doc_id").collect()] == [n for n, _ in texts]

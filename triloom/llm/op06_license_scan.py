@@ -6,6 +6,10 @@ and the digest of the whole form is looked up among the digests of known licence
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +115,48 @@ LICENSES = {
     "MIT-0": "MIT No Attribution\n\n" + _MIT_GRANT + ".\n\n" + _MIT_WARRANTY,
     "MIT-line": "Released under the MIT License.",
 }
+#: A copyright line of a name alone: it starts with the word, and no licence's own sentence goes on like this.
+NAMED_LINE = r"(?:^|\n)[ \t*#/;%-]*copyright[ \t:]+(?!(?:notice|holder|owner|law|licen[sc]e|statement|disclaimer|interest|permission|protection|right|treat|and|or|in|on|is|to|of|the|as|for)(?:s|ies|y)?\b)[^\n]*"
+
+#: Titles that the short licences go by; each is known without a title too.
+TITLES = {
+    "0BSD": ("Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License", "The Zero-Clause BSD License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License", "The BSD License", "BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause", "New BSD License", "Modified BSD License", "The BSD License", "BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0", "MIT-0 License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+_FSF = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+_FSF_LINE = r"\n[ \t]*(?:51 Franklin|59 Temple|675 Mass)[^\n]*(?:\n[ \t]*Boston[^\n]*)?"
+
+
+@lru_cache(maxsize=1)
+def forms() -> tuple[tuple[str, str], ...]:
+    """(license_id, text) of every known form: LICENSES, the full texts beside this file, and their
+    usual variants of title, bullets, wording, publisher's address and appendix."""
+    out = set(LICENSES.items())
+    bare = {k: LICENSES[k].removeprefix("MIT License\n").removeprefix("MIT No Attribution\n") for k in TITLES if k in LICENSES}
+    full = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    bare["Unlicense"] = full["Unlicense"]
+    for name, body in bare.items():
+        bodies = {body, body.replace("and/or distribute", "and distribute"), body.replace("modify, and/or", "modify, and")} if name in ("ISC", "0BSD") else {body}
+        if name.startswith("BSD"):
+            bodies |= {b.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR AND CONTRIBUTORS").replace("COPYRIGHT HOLDER OR", "AUTHOR OR") for b in bodies}
+            bodies |= {b.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR") for b in bodies}
+            bodies |= {re.sub(r"(?m)^[123]\. ", "* ", b) for b in bodies} | {re.sub(r"(?m)^([123])\. ", lambda m: "abc"[int(m[1]) - 1] + ") ", b) for b in bodies}
+        out |= {(name, f"{title}\n\n{b}") for b in bodies for title in ("", *TITLES[name])}
+    for name, body in full.items():
+        bodies = {body}
+        for end in ("END OF TERMS AND CONDITIONS", "ADDENDUM: How to use this License"):
+            head, found, _ = body.partition(end)
+            if found:
+                bodies |= {head + end, head}
+        if re.search(_FSF_LINE, body):
+            bodies |= {re.sub(_FSF_LINE, "\n" + a, b) for b in bodies for a in _FSF} | {re.sub(_FSF_LINE, "", b) for b in bodies}
+        out |= {(name, b) for b in bodies}
+    return tuple(sorted(out))
 
 
 def canonical(text: Column) -> Column:
@@ -126,8 +172,9 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, licenses: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id), one row a digest: the least name of licences that have one form."""
-    rows = spark.createDataFrame(sorted((licenses or LICENSES).items()), "license_id string, body string")
+    """(digest, license_id), one row a digest: the least name of licences that have one form; of
+    all forms() if no licences are given."""
+    rows = spark.createDataFrame(sorted(licenses.items()) if licenses else list(forms()), "license_id string, body string")
     return rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -135,18 +182,23 @@ def scan(docs: DataFrame, known: DataFrame | None = None, ident: str = "doc_id",
     """doc_id, digest, canonical_chars, license_id (null if the whole text is no known licence).
 
     Every row is returned, repeated rows too. A null or empty text, or one of copyright lines only,
-    has the empty form and no licence. The digest join moves no text; the side of the known
+    has the empty form and no licence. Where the form itself is unknown, that without copyright
+    lines of a name alone is looked up too. The digest joins move no text; the side of the known
     licences is broadcast if adaptive execution finds it small. Other columns are ignored.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    form = canonical(F.col(text))
-    rows = docs.select(F.col(ident).alias("doc_id"), form.alias("form")).select("doc_id", F.sha2("form", 256).alias("digest"), F.char_length("form").cast("long").alias("canonical_chars"))
+    form, low = canonical(F.col(text)), ascii_lower(F.col(text))
+    named = F.when(low.rlike(NAMED_LINE), F.sha2(canonical(F.regexp_replace(low, NAMED_LINE, "\n")), 256))
+    rows = docs.select(F.col(ident).alias("doc_id"), form.alias("form"), named.alias("named"))
+    digest = F.sha2("form", 256)
+    rows = rows.select("doc_id", digest.alias("digest"), F.coalesce("named", digest).alias("named"), F.char_length("form").cast("long").alias("canonical_chars"))
     hit = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
-    return rows.join(hit, "digest", "left").select("doc_id", "digest", "canonical_chars", "license_id")
+    other = hit.select(F.col("digest").alias("named"), F.col("license_id").alias("_named_id"))
+    return rows.join(hit, "digest", "left").join(other, "named", "left").select("doc_id", "digest", "canonical_chars", F.coalesce("license_id", "_named_id").alias("license_id"))
 
 
 def scan_sql(licenses: dict[str, str] | None = None) -> str:
-    """DuckDB SQL for scan() of documents."""
+    """DuckDB SQL for scan() of documents, with LICENSES alone; it knows none of the other forms()."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(text: str) -> str:
