@@ -129,6 +129,46 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     assert found(op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4)) == want
 
 
+def hot_group(n, seed=6):
+    """n edits of one text: most link to the others, one in eight is edited beyond that."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(n):
+        v = list(base)
+        at = r.randrange(60)
+        for k in range(at, at + (18 if i % 8 == 3 else 2)):
+            v[k] = f"z{r.randrange(10**6)}"
+        rows.append((i, " ".join(v)))
+    return rows
+
+
+def test_rows_of_a_hot_group_grow_in_proportion(spark, monkeypatch):
+    """Rows of the units of the full comparison against entries of the buckets, at two sizes of one group of near copies."""
+    monkeypatch.setattr(op, "BLOCK", 8)
+    sent, cut = {}, op.Scratch.cut
+
+    def counted(self, df, name="t"):
+        out = cut(self, df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op.Scratch, "cut", counted)
+    for n in (200, 600):
+        rows = hot_group(n)
+        assert found(op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4)) == brute(rows, 4)
+        assert 0 < sent["wide"] <= sent["buckets"] and sent["units"] <= sent["wide"]
+
+
+def test_common_counts_in_slices():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40))).astype("u8") for _ in range(20)]
+    left, right = np.arange(5), np.arange(3, 20)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    for width in (1, 7, 4096):
+        assert op.common_counts(sets, left, right, width).tolist() == want
+
+
 def test_awkward_rows(awkward):
     got = op.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()

@@ -5,14 +5,18 @@
    doc_id goes on, so exact copies cost nothing further.
 2. In each bucket (documents that share a band key) all are compared with the bucket's least
    document; verified links give components.
-3. Buckets whose members are not all in one component yet are compared in full: a bucket is dealt
-   into blocks, each pair of blocks is one unit of bounded size, and a unit returns a spanning
-   forest of its links, never its pairs. So no bucket is capped and no link between different
-   texts is lost.
+3. Buckets whose members are not all in one component yet are compared across components. A bucket
+   of at most one block is a unit. In a larger one only members outside its largest component ask,
+   and they ask only members that can be alike: a shingle that no other member of such buckets holds
+   bounds what a document can share, and so bounds the sizes of its partners. Questions and members
+   meet by size class, dealt into blocks, so a unit stays bounded; it returns a spanning forest of
+   its links, never its pairs. No bucket is capped and nothing is skipped on an estimate, so every
+   link between documents that share a band is found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +31,10 @@ from triloom.llm.shingles import alike, circulant, shingle_set
 
 #: 48 bands of 6 coordinates: a pair at 0.8 misses all bands with probability 5e-7.
 ROWS, BANDS = 6, 48
-#: Members of a leader's unit, and of a block.
-UNIT, BLOCK = 256, 256
+#: Members of a leader's unit, and of a block; shingles that a unit or a block should hold at most.
+UNIT, BLOCK, TOKENS = 256, 256, 4_000_000
+#: Ratio of the size classes within which large buckets are compared.
+STEP = 1.05
 
 
 def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
@@ -56,19 +62,45 @@ def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
 _LINKS = "a long, b long"
 
 
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and its sorted distinct shingle hashes as bytes, so that no later unit shingles a text again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingle_set(text, words).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["doc_id", "held"])
+
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, held binary")
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(doc_id, own): how many shingles of a document no other one of `sets` holds. One aggregation
+    by shingle with map-side combine; documents without any such shingle are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1).to_pylist()
+            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(h) // 8 for h in held])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), "i8")), pa.array(doc, pa.int64())], ["shingle", "doc_id"])
+
+    flat = sets.mapInArrow(trimmed(run), "shingle long, doc_id long")
+    single = flat.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1")
+    return single.groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
 def _arrow_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
-def _against_leader(words: int, percent: int):
-    """Rows (lead, chunk, doc_id, text) sorted so that a unit's leader comes first."""
+def _against_leader(percent: int):
+    """Rows (lead, chunk, doc_id, held) sorted so that a unit's leader comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, None
         for batch in batches:
             links = []
-            for a, b, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                s = shingle_set(text, words)
+            for a, b, held in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                s = np.frombuffer(held, "u8")
                 if a == b:
                     lead, own = a, s
                 elif a == lead and alike(own, s, percent):
@@ -90,49 +122,63 @@ class _Forest(dict):
         return at
 
 
-def _unit_links(rows: list[tuple[int, int, int, str]], words: int, percent: int, hasher) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members (block, component, doc_id, text) of different
-    components; members of one block are only compared if the unit holds a single block."""
-    sets = [shingle_set(r[3], words) for r in rows]
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets[left] with sets[right]: products of incidence matrices,
+    `width` shingles at a time, over the shingles that at least two of the sets hold."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = n > 1
+    place = np.cumsum(twice) - 1
+    keep = twice[at]
+    at, of = place[at[keep]], of[keep]
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    out = np.zeros((len(left), len(right)))
+    for c in range(0, int(twice.sum()), width):
+        lo, hi = np.searchsorted(at, [c, c + width])
+        dense = np.zeros((len(sets), width), np.float32)
+        dense[of[lo:hi], at[lo:hi] - c] = 1
+        out += dense[left] @ dense[right].T
+    return out.astype(np.int64)
+
+
+def _unit_links(rows: list[tuple[int, int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows (role, component, doc_id, held) of different
+    components: those of role 1 with those of role 0, or all among them if there is no role 1."""
+    sets = [np.frombuffer(r[3], "u8") for r in rows]
+    role, comp, ids = (np.array([r[i] for r in rows]) for i in range(3))
+    right = np.flatnonzero(role == 0)
+    left = np.flatnonzero(role == 1) if role.any() else right
+    if not len(left) or not len(right):
+        return []
     size = np.array([len(s) for s in sets])
-    block, comp, ids = (np.array([r[i] for r in rows]) for i in range(3))
-    sigs = np.array([hasher.signature(s) for s in sets])
-    across = len(set(block.tolist())) > 1
+    both = common_counts(sets, left, right)
+    link = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
     forest, links = _Forest(), []
-    # A pair at the limit agrees in that share of coordinates, give or take 0.025: six times that is spared.
-    least = (percent / 100 - 6 * (0.25 * 0.64 / hasher.size) ** 0.5 * 2) * hasher.size
-    for i in range(len(rows) - 1):
-        j = np.arange(i + 1, len(rows))
-        ok = (comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))
-        if across:
-            ok &= block[j] != block[i]
-        j = j[ok]
-        if len(j):
-            j = j[np.count_nonzero(sigs[j] == sigs[i], axis=1) >= least]
-        for k in j.tolist():
-            x, y = forest.root(int(comp[i])), forest.root(int(comp[k]))
-            if x != y and alike(sets[i], sets[k], percent):
-                forest[max(x, y)] = min(x, y)
-                links.append((int(ids[i]), int(ids[k])))
+    for i, j in np.argwhere(link & (comp[left][:, None] != comp[right][None, :])):
+        x, y = forest.root(int(comp[left[i]])), forest.root(int(comp[right[j]]))
+        if x != y:
+            forest[max(x, y)] = min(x, y)
+            links.append((int(ids[left[i]]), int(ids[right[j]])))
     return links
 
 
-def _within_units(words: int, percent: int, rows: int, bands: int):
-    """Rows (key, i, j, block, component, doc_id, text) sorted by unit (key, i, j); a unit is bounded by two blocks."""
+def _within_units(keys: int, percent: int):
+    """Rows (unit of `keys` columns, role, component, doc_id, held) sorted by unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, unit, held = circulant(rows, bands), None, []
+        unit, rows = None, []
         for batch in batches:
             links = []
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                if (key, i, j) != unit:
-                    if held:
-                        links += _unit_links(held, words, percent, hasher)
-                    unit, held = (key, i, j), []
-                held.append(tuple(row))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:keys] != unit:
+                    if rows:
+                        links += _unit_links(rows, percent)
+                    unit, rows = row[:keys], []
+                rows.append(row[keys:])
             yield _arrow_links(links)
-        if held:
-            yield _arrow_links(_unit_links(held, words, percent, hasher))
+        if rows:
+            yield _arrow_links(_unit_links(rows, percent))
 
     return run
 
@@ -165,48 +211,78 @@ def near_duplicates(
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _across(placed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between components within large buckets, from rows (key, doc_id, size, comp, most).
+
+    With c of a document's a shingles held by others, a partner of size b shares at most c of them,
+    so 100 * c >= percent * (a + b - c) bounds b from above; a document whose bound lies below
+    percent * a / 100 is alike to none. Such documents go, and the others meet by size class.
+    """
+    placed = scratch.cut(placed, "wide")
+    own = _own_shingles(sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi"))
+    size, other = F.col("size"), F.col("size") - F.coalesce("own", F.lit(0))
+    lo = F.ceil(size * percent / 100)
+    hi = F.least(F.floor(size * 100 / percent), F.floor(other * (100 + percent) / percent) - size)
+    kind = lambda x: F.floor(F.log(x) / math.log(STEP)).cast("int")
+    members = placed.join(scratch.cut(own, "own"), "doc_id", "left").withColumns({"lo": lo, "hi": hi}).where("hi >= lo")
+    members = members.select("key", "doc_id", "comp", "most", "size", kind(size).alias("kind"), kind(F.col("lo")).alias("from"), kind(F.col("hi")).alias("to"))
+    members = scratch.cut(members, "members")
+    asks = members.where("comp <> most").withColumn("kind", F.explode(F.sequence("from", "to")))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / TOKENS)).cast("int")
+    grid = members.groupBy("key", "kind").agg(blocks.alias("mbs")).join(asks.groupBy("key", "kind").agg(blocks.alias("qbs")), ["key", "kind"])
+    grid = scratch.cut(grid, "grid")
+    deal = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    unit = ["key", "kind", "i", "j"]
+    told = members.join(grid, ["key", "kind"]).withColumn("i", deal("mbs", 1)).withColumn("j", every("qbs")).select(*unit, F.lit(0).alias("role"), "comp", "doc_id")
+    asking = asks.join(grid, ["key", "kind"]).withColumn("j", deal("qbs", 2)).withColumn("i", every("mbs")).select(*unit, F.lit(1).alias("role"), "comp", "doc_id")
+    rows = scratch.cut(told.union(asking), "units").join(sets, "doc_id").select(*unit, "role", "comp", "doc_id", "held")
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit)
+    return rows.mapInArrow(trimmed(_within_units(4, percent)), _LINKS)
+
+
 def _by_id(docs: DataFrame, words: int, percent: int, rows: int, bands: int, scratch: Scratch) -> DataFrame:
     """near_duplicates() of rows (doc_id, text) whose doc_id is neither null nor repeated."""
     sketch = scratch.cut(sketches(docs, words, rows, bands), "sketch")
     classes = sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.cut(classes, "classes")
-    reps = sketch.where("digest is not null").join(classes, "digest").where("doc_id = rep").select("doc_id", "bands")
+    reps = sketch.where("digest is not null").join(classes, "digest").where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("size"), "bands")
     reps = scratch.cut(reps, "reps")
 
-    entries = reps.select(F.explode("bands").alias("key"), "doc_id")
-    shared = entries.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    entries = reps.select(F.explode("bands").alias("key"), "doc_id", "size")
+    shared = entries.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n"), F.sum("size").alias("tokens")).where("n > 1")
     shared = scratch.cut(shared, "shared")
-    buckets = scratch.cut(entries.join(shared, "key"), "buckets")  # key, doc_id, lead, n
-    texts = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = scratch.cut(texts, "texts")
+    buckets = scratch.cut(entries.join(shared, "key"), "buckets")  # key, doc_id, size, lead, n, tokens
+    sets = scratch.cut(shingle_sets(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), words), "sets")
 
     pairs = buckets.where("doc_id <> lead").select("lead", "doc_id").distinct()
     sizes = scratch.cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / UNIT).alias("chunks")), "leads")
     members = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), "doc_id")
     leaders = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("doc_id"))
-    units = members.union(leaders).join(texts, "doc_id").select("lead", "chunk", "doc_id", "text")
+    units = members.union(leaders).join(sets, "doc_id").select("lead", "chunk", "doc_id", "held")
     units = units.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col("doc_id") != F.col("lead"))
-    links = scratch.cut(units.mapInArrow(trimmed(_against_leader(words, percent)), _LINKS), "links")
+    links = scratch.cut(units.mapInArrow(trimmed(_against_leader(percent)), _LINKS), "links")
     known = scratch.cut(connected_components(scratch, links), "known")
 
-    placed = buckets.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    placed = buckets.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp"))
     placed = scratch.cut(placed, "placed")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    parts = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max_by("comp", F.struct("n", "comp")).alias("most"))
     # A bucket of two was compared in full already.
-    active = placed.where("n > 2").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    active = scratch.cut(active, "active")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = placed.join(active, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # A block meets each other block once; by itself it is a unit of its own.
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "doc_id")
-    full = dealt.join(texts, "doc_id").select("key", "i", "j", "block", "comp", "doc_id", "text")
-    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
-    more = scratch.cut(full.mapInArrow(trimmed(_within_units(words, percent, rows, bands)), _LINKS), "more")
+    active = scratch.cut(parts.where("n > 2 and comps > 1"), "active")
+    wide = (F.col("n") > BLOCK) | (F.col("tokens") > TOKENS)
+    near = placed.join(active.where(~wide).select("key"), "key").join(sets, "doc_id").select("key", F.lit(0).alias("role"), "comp", "doc_id", "held")
+    near = near.repartition("key").sortWithinPartitions("key")
+    more = scratch.cut(near.mapInArrow(trimmed(_within_units(1, percent)), _LINKS), "more")
+    big = active.where(wide).select("key", "most")
+    if not big.isEmpty():
+        far = scratch.cut(_across(placed.join(big, "key"), sets, percent, scratch), "far")
+        more = scratch.cut(more.union(far), "more")
 
     found = scratch.cut(connected_components(scratch, known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "found")
     label = classes.join(found, classes["rep"] == found["id"], "left").where("copies > 1 or id is not null")
     label = scratch.cut(label.select("digest", F.coalesce("component", "rep").alias("component_id")), "labels")
     # All that led here has been written on; the sketch and the labels are what the result reads.
-    scratch.free(classes, reps, shared, buckets, texts, sizes, links, known, placed, active, more, found)
+    scratch.free(classes, reps, shared, buckets, sets, sizes, links, known, placed, active, more, found)
     out = sketch.join(label, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
