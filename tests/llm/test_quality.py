@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -37,6 +39,109 @@ def test_passages_cover_the_whole_text():
         assert op.passages(empty).shape == (1, op.WIDTH) and not op.passages(empty).any()
 
 
+def brute_features(text):
+    """Each passage's features by loops over its bytes and words."""
+    data, marks = text.encode(), ".,;:!?'\"-_()[]{}<>|*#$%&/@+=\\"
+    words, at = [], 0  # (start, word)
+    for w in re.split(rb"([ \t-\r]+)", data):
+        if w and w[0] not in b" \t\n\x0b\x0c\r":
+            words.append((at, w.lower()))
+        at += len(w)
+    cuts = [0, *(words[i][0] for i in range(op.WORDS, len(words), op.WORDS))]
+    bounds = []
+    for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True):
+        bounds += [(x, min(b, x + op.BYTES)) for x in range(a, b, op.BYTES)]
+
+    def kind(c):
+        ch = chr(c)
+        if c == 10:
+            return 6
+        if c in b" \t\x0b\x0c\r":
+            return 0
+        if ch in marks and c < 128:
+            return 7 + marks.index(ch)
+        return 5 if c >= 128 else 2 if ch.islower() else 3 if ch.isupper() else 4 if ch.isdigit() else 1
+
+    out = []
+    for a, b in bounds:
+        one, two = [0.0] * 37, [0.0] * 64
+        for i in range(a, b):
+            one[kind(data[i])] += 1 / (b - a)
+            if i:
+                pair = kind(data[i - 1]) * 37 + kind(data[i])
+                two[(pair * 2654435761 % 2**32 >> 16) % 64] += 1 / (b - a)
+        own = [w for s, w in words if a <= s < b]
+        n = max(1, len(own))
+        more = [sum(x == y for x, y in zip(own, own[1:], strict=False)) / n, len(set(own)) / n, min((b - a) / n, 50) / 10]
+        more += [min(data[a:b].count(10) / n, 1), min(len(own), op.WORDS) / op.WORDS, min(1.0, len(words) / 2000)]
+        out.append([math.sqrt(x) for x in one + two] + more)
+    return out
+
+
+MIXED = ["One two, two THREE (4)! Été\n" * 90, "a b c", "x" * 9000 + " end " * 70, "\n\n lead and trail \n"]
+
+
+@pytest.mark.parametrize("segment", [1, 700, 1 << 20])
+@pytest.mark.parametrize("text", MIXED)
+def test_features_match_loops_in_any_segments(monkeypatch, text, segment):
+    monkeypatch.setattr(op, "SEGMENT", segment)
+    assert op.passages(text) == pytest.approx(np.array(brute_features(text)), abs=1e-6)
+
+
+def test_score_matches_loops(spark):
+    m, r = op.AttentionMIL(), np.random.default_rng(8)
+    m.mean, m.scale = r.normal(size=op.WIDTH) * 0.1, 1 + r.random(op.WIDTH)
+    p = {k: v.tolist() for k, v in m.p.items()}
+
+    def squash(x):
+        return 1 / (1 + math.exp(-x))
+
+    def dot(v, matrix, j):
+        return sum(a * row[j] for a, row in zip(v, matrix, strict=True))
+
+    def brute(text):
+        bag, weights = [], []
+        for f in brute_features(text):
+            x = [(a - b) / c for a, b, c in zip(f, m.mean, m.scale, strict=True)]
+            h = [math.tanh(dot(x, p["E"], j) + p["e"][j]) for j in range(24)]
+            gate = [math.tanh(dot(h, p["V"], j)) * squash(dot(h, p["U"], j)) for j in range(12)]
+            bag.append(h)
+            weights.append(math.exp(sum(a * b for a, b in zip(gate, p["w"], strict=True))))
+        z = [sum(w * h[j] for w, h in zip(weights, bag, strict=True)) / sum(weights) for j in range(24)]
+        return squash(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["b"][0])
+
+    docs = spark.createDataFrame(list(enumerate(MIXED)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in op.score(docs, m).collect()}
+    assert got == pytest.approx({i: brute(t) for i, t in enumerate(MIXED)}, abs=1e-5)
+
+
+def test_every_passage_of_a_long_document_is_fitted_on(spark):
+    """Labels rest on one passage of 200, at any place."""
+    rows = []
+    for i in range(120):
+        words = ["good words here now"] * 3200
+        if i % 2:
+            words[(i * 26) % 3200] = "BUY!! NOW!! " * 40
+        rows.append((i, " ".join(words), 1 - i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    held = op.bags(docs.join(spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int"), "doc_id"))
+    assert {r["rows"] for r in held.select("rows").collect()} <= set(range(200, 203))
+    model = op.fit(held)
+    got = op.score(docs, model).collect()
+    assert np.mean([r["predicted"] == 1 - r["doc_id"] % 2 for r in got]) > 0.97
+
+
+def test_memory_of_a_long_text_is_a_few_times_its_size():
+    import tracemalloc
+
+    text = "some words of text, again. " * 400_000  # 10.8 MB
+    tracemalloc.start()
+    x = op.passages(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) == -(-2_000_000 // op.WORDS) and peak < 12 * len(text)
+
+
 def sample(n, seed):
     r = random.Random(seed)
     out = []

@@ -23,12 +23,16 @@ from triloom.llm.shingles import word_hashes
 
 #: Words of a passage, and bytes after which a passage ends in any case.
 WORDS, BYTES = 64, 4096
-#: Bounds of what is fitted on: labelled documents, and passages of each (evenly spread).
-FIT_DOCS, FIT_PASSAGES = 6000, 32
+#: Bound of what is fitted on, in labelled documents; all passages of each count.
+FIT_DOCS = 6000
+#: Documents of a task that sums gradients, bags' passages it holds at once, and steps of the fit.
+SHARE, PASSAGES, STEPS = 1500, 20_000, 40
+#: Bytes of a text that are encoded at once.
+SEGMENT = 1 << 20
 
 # Byte classes: 0-25 letters by themselves after lower-casing would tell languages, so letters are
 # classed by case only; each common mark has a class of its own.
-_CLASS = np.full(256, 1, np.intp)  # other ASCII
+_CLASS = np.full(256, 1, np.uint8)  # other ASCII
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 2, 3, 4, 5
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[0x0A] = 6
@@ -37,12 +41,16 @@ for _i, _c in enumerate(".,;:!?'\"-_()[]{}<>|*#$%&/@+=\\"):
 _N = 7 + 30
 #: Class pairs are folded into this many columns.
 _PAIRS = 64
-_FOLD = (np.arange(_N * _N) * 2654435761 % 2**32 >> 16) % _PAIRS
+_FOLD = (np.arange(_N * _N) * 2654435761 % 2**32 >> 16) % _PAIRS  # of class pairs
 WIDTH = _N + _PAIRS + 6
 
 
 def passages(text: str | None) -> np.ndarray:
-    """One row of WIDTH features for each passage of the whole text; a single row of zeros if it has no word."""
+    """One row of WIDTH features for each passage of the whole text; a single row of zeros if it has no word.
+
+    Texts are encoded in runs of passages of about SEGMENT bytes, so that a long one needs a few
+    times its own size and no more.
+    """
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     kind = _CLASS[data]
     space = (kind == 0) | (kind == 6)
@@ -52,36 +60,52 @@ def passages(text: str | None) -> np.ndarray:
     # A passage is a run of words; one of overlong words is cut by bytes.
     first = start[::WORDS].copy()
     first[0] = 0
-    wide = np.diff(np.append(first, len(data))) > BYTES
-    if wide.any():
+    ends = np.append(first, len(data))
+    if (np.diff(ends) > BYTES).any():
+        first = np.concatenate([np.arange(a, b, BYTES) for a, b in zip(first, ends[1:], strict=True)]).astype(np.intp)
         ends = np.append(first, len(data))
-        first = np.concatenate([np.arange(a, b, BYTES) if w else [a] for a, b, w in zip(first, ends[1:], wide, strict=True)]).astype(np.intp)
-    n = len(first)
-    of = np.zeros(len(data), np.intp)
-    of[first[1:]] = 1
+    words = word_hashes(text)
+    out, i = np.empty((len(first), WIDTH), np.float32), 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SEGMENT, "right")) - 1)
+        out[i:j, :-1] = _encoded(kind, start, words, first[i:j], int(ends[j]))
+        i = j
+    out[:, -1] = min(1.0, len(start) / 2000)
+    return out
+
+
+def _encoded(kind: np.ndarray, start: np.ndarray, words: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """All features but the last of the passages that begin at `first` and go on to `end`."""
+    lo, n = int(first[0]), len(first)
+    own, before = kind[lo:end].astype(np.intp), kind[max(lo, 1) - 1 : end - 1].astype(np.intp)
+    of = np.zeros(end - lo, np.intp)
+    of[first[1:] - lo] = 1
     of = np.cumsum(of)
     size = np.bincount(of, minlength=n).astype(np.float64)
-    single = np.bincount(of * _N + kind, minlength=n * _N).reshape(n, _N) / size[:, None]
-    pair = np.bincount(of[1:] * _PAIRS + _FOLD[kind[:-1] * _N + kind[1:]], minlength=n * _PAIRS).reshape(n, _PAIRS) / size[:, None]
-    w = word_hashes(text)
-    at = of[start]
+    single = np.bincount(of * _N + own, minlength=n * _N).reshape(n, _N) / size[:, None]
+    later = slice(len(own) - len(before), None)  # the text's first byte has none before it
+    pair = np.bincount(of[later] * _PAIRS + _FOLD[before * _N + own[later]], minlength=n * _PAIRS).reshape(n, _PAIRS) / size[:, None]
+    a, b = np.searchsorted(start, [lo, end])
+    w, at = words[a:b], of[start[a:b] - lo]
     count = np.bincount(at, minlength=n).astype(np.float64)
     some = np.maximum(count, 1)
-    new = np.concatenate([[True], at[1:] != at[:-1]])
-    same = np.bincount(at[1:], (w[1:] == w[:-1]) & ~new[1:], minlength=n) / some
+    again = (w[1:] == w[:-1]) & (at[1:] == at[:-1])
+    same = np.bincount(at[1:], again, minlength=n) / some
     order = np.lexsort((w, at))
     ws, ps = w[order], at[order]
-    distinct = np.bincount(ps, np.concatenate([[True], (ws[1:] != ws[:-1]) | (ps[1:] != ps[:-1])]), minlength=n) / some
-    length = size / some
-    lines = np.bincount(of, kind == 6, minlength=n) / some
-    more = np.stack([same, distinct, np.minimum(length, 50) / 10, np.minimum(lines, 1), np.minimum(count, WORDS) / WORDS, np.full(n, min(1.0, len(start) / 2000))], axis=1)
-    return np.concatenate([np.sqrt(single), np.sqrt(pair), more], axis=1).astype(np.float32)
+    distinct = (count - np.bincount(ps[1:], (ws[1:] == ws[:-1]) & (ps[1:] == ps[:-1]), minlength=n)) / some
+    lines = np.bincount(of, own == 6, minlength=n) / some
+    more = np.stack([same, distinct, np.minimum(size / some, 50) / 10, np.minimum(lines, 1), np.minimum(count, WORDS) / WORDS], axis=1)
+    return np.concatenate([np.sqrt(single), np.sqrt(pair), more], axis=1)
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+_NAMES = ("E", "e", "V", "U", "w", "c", "b")
+
+
 class AttentionMIL:
     """h = tanh(x E + e); a = softmax over a bag of (tanh(h V) * sigmoid(h U)) w; score = sigmoid(sum(a h) c + b)."""
 
@@ -108,28 +132,29 @@ class AttentionMIL:
         first = np.cumsum([0, *(len(b) for b in bags[:-1])])
         return self._forward((np.concatenate(bags) - self.mean) / self.scale, first)[-1]
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> AttentionMIL:
-        rows = np.concatenate(bags)
-        self.mean, self.scale = rows.mean(axis=0, dtype=np.float64), rows.std(axis=0, dtype=np.float64) + 0.01
-        del rows
-        y = np.asarray(labels, float)
-        self.p["b"][0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-        m1, m2, step, r = {k: 0 * v for k, v in self.p.items()}, {k: 0 * v for k, v in self.p.items()}, 0, np.random.default_rng(seed)
-        for epoch in range(epochs):
-            order = r.permutation(len(bags))
-            for i in range(0, len(order), batch):
-                pick = order[i : i + batch]
-                own = [bags[k] for k in pick]
-                first = np.cumsum([0, *(len(b) for b in own[:-1])])
-                g = self._gradient((np.concatenate(own) - self.mean) / self.scale, first, y[pick])
-                step += 1
-                for k in self.p:
-                    g[k] = g[k] + decay * self.p[k]
-                    m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g[k], 0.999 * m2[k] + 0.001 * g[k] ** 2
-                    lr = rate * (1 - epoch / epochs)
-                    self.p[k] = self.p[k] - lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+    def begin(self, sums: np.ndarray, squares: np.ndarray, rows: int, docs: int, positive: int) -> AttentionMIL:
+        """Scale the features and set out from the share of positive labels, given sums over all passages."""
+        self.mean = sums / rows
+        self.scale = np.sqrt(np.maximum(squares / rows - self.mean**2, 0)) + 0.01
+        y = positive / docs
+        self.p["b"][0] = np.log((y + 1e-3) / (1 - y + 1e-3))
+        self._m1, self._m2, self._step = {k: 0 * v for k, v in self.p.items()}, {k: 0 * v for k, v in self.p.items()}, 0
         return self
 
+    def gradient(self, bags: list[np.ndarray], labels: list[int], docs: int) -> dict[str, np.ndarray]:
+        """The part of the mean loss' gradient over `docs` documents that these bags give."""
+        first = np.cumsum([0, *(len(b) for b in bags[:-1])])
+        g = self._gradient((np.concatenate(bags) - self.mean) / self.scale, first, np.asarray(labels, float))
+        return {k: v * (len(bags) / docs) for k, v in g.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float, decay: float = 1e-4) -> None:
+        """One step of Adam by the whole gradient."""
+        self._step += 1
+        for k in self.p:
+            v = g[k] + decay * self.p[k]
+            self._m1[k], self._m2[k] = 0.9 * self._m1[k] + 0.1 * v, 0.99 * self._m2[k] + 0.01 * v**2
+            self.p[k] = self.p[k] - rate * (self._m1[k] / (1 - 0.9**self._step)) / (np.sqrt(self._m2[k] / (1 - 0.99**self._step)) + 1e-8)
+
     def _gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         h, t, s, n, a, m, out = self._forward(x, first)
@@ -142,34 +167,77 @@ class AttentionMIL:
         return {"E": x.T @ dh, "e": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": ((t * s) * dl[:, None]).sum(axis=0), "c": m.T @ d, "b": np.array([d.sum()])}
 
 
-def bags(labelled: DataFrame, most: int = FIT_PASSAGES) -> DataFrame:
-    """(label, rows, values): at most `most` encoded passages of each document, evenly spread over the text."""
+def bags(labelled: DataFrame) -> DataFrame:
+    """(doc_id, label, rows, values): all encoded passages of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 x = passages(text)
-                out.append(x[np.unique(np.linspace(0, len(x) - 1, most).astype(int))] if len(x) > most else x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([len(x) for x in out], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], ["label", "rows", "values"]
-            )
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:2]), pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["doc_id", "label", "rows", "values"])
 
-    return labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(trimmed(run), "label int, rows int, values binary")
+    rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
+    return rows.mapInArrow(trimmed(run), "doc_id string, label int, rows long, values binary")
+
+
+def _in_tasks(held: DataFrame, work) -> list[np.ndarray]:
+    """work(bags, labels) summed over the bags of each task, a bounded number of passages at a time;
+    one row of numbers for each task comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, own, labels, size = None, [], [], 0
+        for batch in batches:
+            for y, n, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if own and size + n > PASSAGES:
+                    part = work(own, labels)
+                    total, own, labels, size = part if total is None else total + part, [], [], 0
+                own.append(np.frombuffer(v, np.float32).reshape(n, WIDTH))
+                labels.append(y)
+                size += n
+        if own:
+            part = work(own, labels)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return [np.frombuffer(r["total"]) for r in held.select("label", "rows", "values").mapInArrow(trimmed(run), "total binary").collect()]
+
+
+def _sums(own: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    x = np.concatenate(own).astype(np.float64)
+    return np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x), len(own), sum(labels)]])
+
+
+def fit(held: DataFrame, steps: int = STEPS, rate: float = 0.06) -> AttentionMIL | None:
+    """A model of all bags (label, rows, values): each step sums the gradients of all tasks, so the
+    driver sees sums only and a task holds a bounded number of passages, or one document's."""
+    sums = _in_tasks(held, _sums)
+    if not sums:
+        return None
+    total = np.sum(sums, axis=0)
+    rows, docs, positive = (int(x) for x in total[-3:])
+    model = AttentionMIL().begin(total[:WIDTH], total[WIDTH : 2 * WIDTH], rows, docs, positive)
+    shapes = {k: v.shape for k, v in model.p.items()}
+    ends = np.cumsum([v.size for v in model.p.values()])[:-1]
+    for k in range(steps):
+        flat = np.sum(_in_tasks(held, lambda own, labels: np.concatenate([v.ravel() for v in model.gradient(own, labels, docs).values()])), axis=0)  # noqa: B023
+        model.step({n: v.reshape(shapes[n]) for n, v in zip(_NAMES, np.split(flat, ends), strict=True)}, rate * (1 - k / steps))
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS, scratch: Scratch | None = None) -> AttentionMIL | None:
-    """A model fitted on at most `fit_docs` labelled documents, chosen by a hash of the id; None if
-    no document has a label. Labels other than 0 and 1 are ignored; if a document has several, each counts."""
+    """A model fitted on at most `fit_docs` labelled documents, chosen by a hash of the id, and all
+    their passages; None if no document has a label. Labels other than 0 and 1 are ignored; if a
+    document has several, each counts."""
     scratch = scratch or Scratch(docs.sparkSession)
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_docs)  # ids and labels only: a top-k, not a global sort
     chosen = scratch.cut(chosen, "chosen")
-    rows = bags(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()  # at most fit_docs rows of bounded size
-    rows = sorted((r["values"], r["label"], r["rows"]) for r in rows)
-    if not rows:
-        return None
-    return AttentionMIL().fit([np.frombuffer(v, np.float32).reshape(n, WIDTH) for v, _, n in rows], np.array([y for _, y, _ in rows]))
+    rows = bags(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most fit_docs rows
+    held = scratch.cut(rows.repartition(max(1, -(-fit_docs // SHARE)), F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "label"), "bags")
+    model = fit(held)
+    scratch.free(chosen, held)
+    return model
 
 
 def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text") -> DataFrame:
