@@ -51,12 +51,26 @@ def test_ids_are_those_of_the_public_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     r = random.Random(3)
     letters = "abc XYZ é日🙂\t\n  '’s 12,.!|<>endoftext"
     texts = ["", "Hello  world!\n\n", "<|endoftext|> it's", *("".join(r.choice(letters) for _ in range(r.randrange(200))) for _ in range(200))]
     for text in texts:
-        assert op.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert op.token_ids(text, added=True).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_200_000 + "<|endoftext|>", "x <|endoftext|> " + " " * 1_000_000])
+def test_long_runs_of_blanks(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert op.token_ids(text, added=True).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_a_blank_text_beyond_the_fast_encoder_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_100_000), (2, "a b")], "doc_id long, text string")
+    rows = op.pack_documents(docs).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == len(op.token_ids(" " * 1_100_000)) and {r["doc_id"] for r in rows} == {1, 2}
 
 
 def check(rows, texts, room):

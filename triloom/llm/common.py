@@ -19,9 +19,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only. lower() agrees with that on pure ASCII and is much faster there."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, A_Z, a_z))
+def ascii_lower(text: Column, blanks: str = "") -> Column:
+    """Lower-case A-Z only, and turn `blanks` (beyond ASCII) into spaces. lower() agrees with that on
+    pure ASCII and is much faster there."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, A_Z + blanks, a_z + " " * len(blanks)))
 
 
 #: What a Python worker gets at once: texts are long, and a worker keeps what it once needed.
@@ -38,6 +39,17 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from the columns (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,21 +57,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 class Scratch:
     """Tables written to the shared checkpoint folder. A lost executor costs a re-read, not a
     recomputation, and whatever is read back is a plain scan, so adaptive execution can split
-    the skewed side of a later join."""
+    the skewed side of a later join. Results read them lazily, so tables that are not freed live until
+    close(), the end of a `with Scratch(spark)` block, or the application's end."""
 
     def __init__(self, spark: SparkSession):
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/triloom-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete all tables: for callers that have written what they wanted of the result."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._triloom_path = path
         return out
 
@@ -81,32 +107,34 @@ def ranked(scratch: Scratch, df: DataFrame, order: list[Column], rank: str = "ra
     """
     spark = scratch.spark
     parts = shuffle_partitions(spark)
+    part, row, start = unused([*df.columns, rank], "_pid", "_row", "_start")
     pid = F.spark_partition_id()
     placed = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .withColumns({"_pid": pid, "_row": F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)})
+        .withColumns({part: pid, row: F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)})
     )
     placed = scratch.cut(placed, "ranked")
-    counts = sorted((r["_pid"], r["n"]) for r in placed.groupBy("_pid").agg(F.count("*").alias("n")).collect())
+    counts = sorted((r[part], r["n"]) for r in placed.groupBy(part).agg(F.count("*").alias("n")).collect())
     total, starts = 0, []
-    for part, n in counts:
-        starts.append((part, total))
+    for p, n in counts:
+        starts.append((p, total))
         total += n
-    offsets = spark.createDataFrame(starts or [(-1, 0)], "_pid int, _start long")
-    out = placed.join(F.broadcast(offsets), "_pid").withColumn(rank, F.col("_start") + F.col("_row"))
-    return out.drop("_pid", "_row", "_start"), total
+    offsets = spark.createDataFrame(starts or [(-1, 0)], f"`{part}` int, `{start}` long")
+    out = placed.join(F.broadcast(offsets), part).withColumn(rank, F.col(start) + F.col(row))
+    return out.drop(part, row, start), total
 
 
-def row_keys(scratch: Scratch, docs: DataFrame, nulls_first: bool = False) -> DataFrame | None:
-    """docs with a gapless `_key` for each row in the order of doc_id, if a doc_id is null or repeated;
-    None if doc_id names the rows already. Only then are texts moved and written."""
-    same = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null")
+def row_keys(scratch: Scratch, docs: DataFrame, nulls_first: bool = False) -> tuple[DataFrame, str] | None:
+    """docs with a gapless key for each row in the order of doc_id, and the key's name, if a doc_id is
+    null or repeated; None if doc_id names the rows already. Only then are texts moved and written."""
+    same = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if same.isEmpty():
         return None
+    key, tie = unused(docs.columns, "_key", "_tie")
     own = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
-    rows = docs.withColumn("_tie", F.monotonically_increasing_id())  # equal rows too are dealt to many tasks
-    return ranked(scratch, rows, [own, F.xxhash64("text"), F.col("_tie")], "_key")[0].drop("_tie")
+    rows = docs.withColumn(tie, F.monotonically_increasing_id())  # equal rows too are dealt to many tasks
+    return ranked(scratch, rows, [own, F.xxhash64("text"), F.col(tie)], key)[0].drop(tie), key
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -200,8 +200,9 @@ def near_duplicates(
     keyed = row_keys(scratch, docs)
     if keyed is None:
         return _by_id(docs, words, percent, rows, bands, scratch)
-    ids = keyed.select("_key", F.col("doc_id").alias("_own"))
-    found = _by_id(keyed.select(F.col("_key").alias("doc_id"), "text"), words, percent, rows, bands, scratch)
+    named_rows, key = keyed
+    ids = named_rows.select(F.col(key).alias("_key"), F.col("doc_id").alias("_own"))
+    found = _by_id(named_rows.select(F.col(key).alias("doc_id"), "text"), words, percent, rows, bands, scratch)
     found = scratch.cut(found.join(ids, found["doc_id"] == ids["_key"]).select("_key", "_own", "n_shingles", F.col("component_id").alias("_comp")), "by-row")
     low = scratch.cut(found.where("_own is not null").groupBy("_own").agg(F.min("_comp").alias("_low")), "by-doc")
     same = connected_components(scratch, found.join(low, "_own").select(F.col("_comp").alias("a"), F.col("_low").alias("b")))

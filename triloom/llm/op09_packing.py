@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch, ranked
+from triloom.llm.common import Scratch, ranked, unused
 from triloom.llm.memory import trimmed
 
 END = 2
@@ -43,10 +43,26 @@ def encoder(vocabulary: str | None):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+@lru_cache(maxsize=2)
+def tokenizer(vocabulary: str | None, added: bool):
+    """The tokenizer itself, for texts that `encoder` refuses."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(str(vocabulary).replace(".tiktoken", ".json") if vocabulary else public_tokenizers.path("byte_bpe_50k.json"))
+    out.encode_special_tokens = not added
+    return out
+
+
 def token_ids(text: str | None, vocabulary: str | None = None, added: bool = False) -> np.ndarray:
     """The ids of a text (null: none) and the end id. With `added`, strings of added tokens get
-    their id, as the tokenizer does by itself; else they are ordinary text."""
-    ids = encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all" if added else set(), disallowed_special=())
+    their id, as the tokenizer does by itself; else they are ordinary text. The fast encoder's
+    pattern search has a bounded stack, which a run of about a million blanks exceeds: such a text
+    goes to the tokenizer as a whole."""
+    try:
+        ids = encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all" if added else set(), disallowed_special=())
+    except ValueError:
+        ids = np.array(tokenizer(vocabulary, added).encode(text, add_special_tokens=False).ids, "<u4")
     return np.append(ids.astype("<u4"), np.uint32(END))
 
 
@@ -124,7 +140,7 @@ def pack(pieces: DataFrame, room: int = 1024, scratch: Scratch | None = None) ->
     """
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark)
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `room` rows
     if counts and not 1 <= min(counts) <= max(counts) <= room:
         raise ValueError(f"lengths must lie in 1..{room}")
@@ -133,16 +149,22 @@ def pack(pieces: DataFrame, room: int = 1024, scratch: Scratch | None = None) ->
     for length in sorted(counts, reverse=True):
         base.append((length, above))
         above += counts[length]
-    order = [F.col("length").desc(), F.xxhash64(*columns)]
-    placed, _ = ranked(scratch, pieces, order, "_rank")
+    (rank,) = unused(columns, "_rank")
+    order = [F.col("length").desc(), F.xxhash64(*[F.col(f"`{c}`") for c in columns])]
+    placed, _ = ranked(scratch, pieces.select(*[F.col(f"`{c}`") for c in columns]), order, rank)
     first = dict(base)
-    plan = spark.createDataFrame([(m[0], first[m[0]] + m[1], first[m[0]] + m[2], *m[3:]) for m in matches], "length long, _lo long, _hi long, _seq long, _each long, _off long")
-    hit = placed.join(F.broadcast(plan), "length").where("_rank >= _lo and _rank < _hi")
-    nth = F.col("_rank") - F.col("_lo")
+    lo, hi, seq, each, off, slot = unused(columns, "_lo", "_hi", "_seq", "_each", "_off", "_slot")
+    plan = spark.createDataFrame([(first[m[0]] + m[1], first[m[0]] + m[2], *m[3:]) for m in matches], f"`{lo}` long, `{hi}` long, `{seq}` long, `{each}` long, `{off}` long")
+    # Matches are disjoint intervals of ranks: they and the documents meet by slot of ranks, an equal
+    # join whose sides adaptive execution may broadcast or split by their sizes.
+    wide = max(16, above // max(1, len(matches)))
+    plan = plan.withColumn(slot, F.explode(F.sequence(F.floor(F.col(lo) / wide), F.floor((F.col(hi) - 1) / wide))))
+    hit = placed.withColumn(slot, F.floor(F.col(rank) / wide)).join(plan, slot).where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+    nth = F.col(rank) - F.col(lo)
     return hit.select(
-        *columns,
-        (F.col("_seq") + F.floor(nth / F.col("_each"))).alias("sequence_id"),
-        (F.col("_off") + (nth % F.col("_each")) * F.col("length")).alias("offset"),
+        *[F.col(f"`{c}`") for c in columns],
+        (F.col(seq) + F.floor(nth / F.col(each))).alias("sequence_id"),
+        (F.col(off) + (nth % F.col(each)) * F.col("length")).alias("offset"),
     )
 
 
