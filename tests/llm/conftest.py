@@ -23,5 +23,9 @@ AWKWARD = [
 @pytest.fixture(scope="session")
 def awkward(spark):
     """documents whose extra columns bear names that results use."""
-    rows = [(*r, i, "x", 0.5, True, b"k", 1) for i, r in enumerate(AWKWARD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rank long, digest string, score double, kept boolean, key binary, size int")
+    rows = [(*r, i, "x", 0.5, True, b"k", 1, *range(10)) for i, r in enumerate(AWKWARD)]
+    return spark.createDataFrame(
+        rows,
+        "doc_id long, text string, lang string, source string, rank long, digest string, score double, kept boolean, key binary, size int, "
+        "_id int, _copies int, _copy int, _pid int, _rank int, _key int, _row int, sequence_id int, lang_pred int, `a.b` int",
+    )

@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text") -> Da
             yield pd.Series(np.concatenate([*out, model.scores(held)]))
         release()
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
     rows = docs.select(*kept, call(F.col(text)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch
+from triloom.llm.common import Scratch, unused
 from triloom.llm.memory import release, trimmed
 
 #: n-grams of a profile, and the lengths counted.
@@ -151,8 +151,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, te
     Null and empty texts, and those without a letter, are `und` with score 0, as is everything if
     there are no profiles. The profiles travel with the tasks: languages times `top` numbers.
     """
-    if {"lang_pred", "score"} & set(docs.columns):
-        docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
 
     @F.pandas_udf("lang_pred string, score double")
     def call(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -161,7 +160,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, te
             yield pd.DataFrame([model.identify(x) for x in t], columns=["lang_pred", "score"])
         release()
 
-    return docs.withColumn("_id", call(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], "_id.lang_pred", "_id.score")
+    (told,) = unused(docs.columns, "_told")
+    return docs.withColumn(told, call(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], f"{told}.lang_pred", f"{told}.score")
 
 
 def held_out(ident: Column) -> Column:
