@@ -57,6 +57,24 @@ def test_recall_of_the_index_and_cells(spark):
     assert [cost[c] for c in v] == sorted(cost)[: len(v)] and len(v) < 64
 
 
+@pytest.mark.parametrize("seed", range(4, 8))
+def test_recall_at_the_default_settings(spark, seed):
+    rows = clustered(300, 24, seed)
+    want, got = brute(rows), found(spark, rows)
+    assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want)
+
+
+def test_fit_on_a_sample_without_links():
+    m = op.MultiIndex(np.eye(16), 4, 0.93)
+    assert m._of_pairs(op.unit(np.eye(16)), m.distances(op.unit(np.eye(16))), 0.93, 0.999) == 0.0
+
+
+def test_rows_of_a_repeated_id_count_each_by_itself(spark):
+    near, far = [1.0, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, near, 1), (1, far, 1), (2, [0.0, 0.01, 1.0], 1), (3, [0.0, 1.0, 0.0], 1), (4, near, 2)]
+    assert found(spark, rows) == sorted([(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)], key=repr)
+
+
 def test_small_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 5)
     r = np.random.default_rng(3)

@@ -22,6 +22,9 @@ from triloom.llm.memory import trimmed
 
 #: Vectors the codebooks and the traversal's end are fitted on; vectors a cell should hold; rows of a block.
 FIT_VECTORS, PER_CELL, BLOCK = 8192, 256, 1024
+#: Vectors of the sample for each codeword at least, which bounds a codebook. Cells hold PER_CELL vectors
+#: up to (8192 / 8) squared times that many of a label, 268 million; beyond that they grow.
+PER_WORD = 8
 #: Share of the pairs that the traversals must find: of those exactly at the limit in random
 #: directions, and of the sample's own; vectors of the sample whose links are looked at for that.
 RECALL, FIT_PAIRS = 0.999, 512
@@ -68,13 +71,15 @@ class MultiIndex:
 
     def _of_pairs(self, x: np.ndarray, d: tuple[np.ndarray, np.ndarray], limit: float, recall: float) -> float:
         """The same for the links within the sample, which lie along its clusters: of FIT_PAIRS
-        vectors, evenly spread, against all of it."""
-        need = [np.zeros(1, np.float32)]
+        vectors, evenly spread, against all others of it; 0 if there is none."""
+        need = []
         for i in np.unique(np.linspace(0, len(x) - 1, FIT_PAIRS).astype(int)):
             j = np.flatnonzero(x @ x[i] >= limit)
+            j = j[j != i]
             own, other = tuple(np.repeat(t[i : i + 1], len(j), axis=0) for t in d), tuple(t[j] for t in d)
             need.append(np.minimum(self._slack(own, other), self._slack(other, own)).astype(np.float32))
-        return float(np.quantile(np.concatenate(need), recall))
+        need = np.concatenate(need)
+        return float(np.quantile(need, recall)) if len(need) else 0.0
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _squares(x[:, : self.half], self.books[0]), _squares(x[:, self.half :], self.books[1])
@@ -195,7 +200,8 @@ def near_duplicates(
     Vectors are compared when their labels are equal and not null and their lengths are equal, and
     linked at a cosine of `limit` or more. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, and so do rows without vec_id. Equal vectors of a label
-    are compared as one and count as often as there are rows. The index is fitted on at most
+    are compared as one and count as often as there are rows; rows that repeat a vec_id with another
+    vector or label count each by itself. component_id is the least vec_id of a component. The index is fitted on at most
     `fit_vectors` vectors of each length; every vector is filed and searches. An empty table gives
     no rows; other columns are ignored.
     """
@@ -206,14 +212,15 @@ def near_duplicates(
     ok = F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("vec"), ok.alias("ok"))
     good = rows.where("ok").drop("ok")
-    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = scratch.cut(classes.select("id", "copies", "label", "vec", F.size("vec").alias("dim")), "classes")
+    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # A class has a number of its own, as two may share their least vec_id; it holds once it is written.
+    classes = scratch.cut(classes.select(F.monotonically_increasing_id().alias("id"), "least", "copies", "label", "vec", F.size("vec").alias("dim")), "classes")
 
     models = {}
     groups = classes.groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()  # one row a vector length
     for g in groups:
-        sample = classes.where(F.col("dim") == g["dim"]).select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(fit_vectors).collect()
-        k = int(np.clip(np.ceil(np.sqrt(g["n"] / per_cell)), 1, 64))
+        sample = classes.where(F.col("dim") == g["dim"]).select("vec").orderBy(F.xxhash64("vec"), "vec").limit(fit_vectors).collect()
+        k = int(np.clip(np.ceil(np.sqrt(g["n"] / per_cell)), 1, max(1, fit_vectors // PER_WORD)))
         models[g["dim"]] = MultiIndex(np.array([r["vec"] for r in sample]), k, limit, recall)
     kind = dict(classes.dtypes)
     filed = classes.select("id", "copies", "label", "vec", "dim").mapInArrow(
@@ -238,9 +245,11 @@ def near_duplicates(
 
     parts = connected_components(scratch, found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.select("id", "copies", "label", "vec").join(links, "id", "left").join(parts, "id", "left")
-    known = known.select("label", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    known = scratch.cut(known, "known")
+    known = classes.select("id", "least", "copies", "label", "vec").join(links, "id", "left").join(parts, "id", "left")
+    known = known.select("label", "vec", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    known = scratch.cut(known, "linked")
+    lowest = scratch.cut(known.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")
+    known = scratch.cut(known.join(lowest, "component").select("label", "vec", "n_links", "component_id"), "known")
     scratch.free(classes, filed, held, asks, found)
     out = good.join(known, ["label", "vec"], "left").select("vec_id", "n_links", "component_id")
     rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
