@@ -78,3 +78,10 @@ def test_full_texts_and_usual_forms(spark):
     ]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     assert [r["license_id"] for r in op.scan(docs).orderBy("doc_id").collect()] == [n for n, _ in texts]
+
+
+def test_typographic_punctuation_is_punctuation(spark):
+    text = op.LICENSES["MIT"]
+    other = text.replace('"AS IS"', "\u201cAS\u00a0IS\u201d").replace("and/or", "and/or \u2014")
+    docs = spark.createDataFrame([(1, text), (2, other), (3, other + " \u00e9t\u00e9")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in op.scan(docs).collect()} == {1: "MIT", 2: "MIT", 3: None}

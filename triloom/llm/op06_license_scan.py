@@ -58,6 +58,8 @@ SPELLINGS = (
     ("whilst", "while"),
     ("wilful", "willful"),
 )
+#: Typographic quotes, dashes, blanks, bullets and the ellipsis: punctuation beyond ASCII.
+PUNCTUATION = "\u00a0\u00ab\u00b7\u00bb" + "".join(map(chr, [*range(0x2000, 0x200C), *range(0x2010, 0x2016), *range(0x2018, 0x2020), 0x2022, 0x2026, 0x202F, 0x2212, 0x3000, 0xFEFF]))
 #: A copyright line: comment marks, then the word or sign with a year, a sign or a name; or the reservation of rights.
 COPYRIGHT_LINE = r"(?:^|\n)[ \t*#/;%-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9])|\(c\)[ \t]|©|copyright <|all rights reserved)[^\n]*"
 
@@ -161,9 +163,9 @@ def forms() -> tuple[tuple[str, str], ...]:
 
 def canonical(text: Column) -> Column:
     """Lower-cased (A-Z), without copyright lines, punctuation as single spaces, spellings unified.
-    White space and punctuation are all that is not a letter or digit, beyond ASCII everything
-    counts as a letter. Null gives the empty form."""
-    out = ascii_lower(F.coalesce(text, F.lit("")))
+    White space and punctuation are all ASCII that is not a letter or digit, and PUNCTUATION; all else
+    beyond ASCII counts as a letter. Null gives the empty form."""
+    out = ascii_lower(F.coalesce(text, F.lit("")), PUNCTUATION)
     out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+", " "), F.lit(" "))
     for old, new in SPELLINGS:
@@ -187,7 +189,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, ident: str = "doc_id",
     licences is broadcast if adaptive execution finds it small. Other columns are ignored.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    form, low = canonical(F.col(text)), ascii_lower(F.col(text))
+    form, low = canonical(F.col(text)), ascii_lower(F.col(text), PUNCTUATION)
     named = F.when(low.rlike(NAMED_LINE), F.sha2(canonical(F.regexp_replace(low, NAMED_LINE, "\n")), 256))
     rows = docs.select(F.col(ident).alias("doc_id"), form.alias("form"), named.alias("named"))
     digest = F.sha2("form", 256)
@@ -202,7 +204,7 @@ def scan_sql(licenses: dict[str, str] | None = None) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(text: str) -> str:
-        out = f"translate(coalesce({text}, ''), '{A_Z}', '{a_z}')"
+        out = f"translate(coalesce({text}, ''), '{A_Z}{PUNCTUATION}', '{a_z}{' ' * len(PUNCTUATION)}')"
         out = f"regexp_replace({out}, {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
         out = f"' ' || regexp_replace({out}, {quote(r'[\x00-\x2F\x3A-\x60\x7B-\x7F©]+')}, ' ', 'g') || ' '"
         for old, new in SPELLINGS:
