@@ -43,6 +43,44 @@ def test_shares_follow_weights(spark):
         op.assign(keys(spark, 1), "doc_id", [op.Shard("a", "x", 0, 0.0)])
 
 
+def test_shards_are_recomputed_from_the_law(spark):
+    import math
+
+    import xxhash
+
+    topology = [*op.grid(30), op.Shard("g0", "k1", 30, 2.5), op.Shard("g7", "k0", 31, 0.5)]
+
+    def draw(key, level, name, weight):
+        seed = xxhash.xxh64_intdigest(str(key).encode(), 42)
+        bits = xxhash.xxh64_intdigest(f"{level}/{name}".encode(), seed) >> 12
+        return -math.log((bits + 0.5) / 2**52) / weight
+
+    def descend(key):
+        regions = {s.region for s in topology}
+        weight = lambda **at: sum(s.weight for s in topology if all(getattr(s, k) == v for k, v in at.items()))
+        g = min(regions, key=lambda n: draw(key, "region", n, weight(region=n))) if len(regions) > 1 else next(iter(regions))
+        racks = {s.rack for s in topology if s.region == g}
+        r = min(racks, key=lambda n: draw(key, f"rack/{g}", n, weight(region=g, rack=n)))
+        leaves = [s for s in topology if (s.region, s.rack) == (g, r)]
+        return min(leaves, key=lambda s: draw(key, f"shard/{g}/{r}", s.number, s.weight)).number
+
+    got = where(keys(spark, 500), topology)
+    assert got == {k: descend(k) for k in range(500)}
+
+
+def test_a_shard_added_to_a_rack_moves_rows_by_level(spark):
+    old = op.grid(40)
+    new = op.add_shard(old, region="g1", rack="k5")
+    before, after = where(keys(spark), old), where(keys(spark), new)
+    region, rack = {s.number: s.region for s in new}, {s.number: s.rack for s in new}
+    for k in before:
+        if before[k] != after[k]:
+            assert region[after[k]] == "g1"
+            assert region[before[k]] != "g1" or rack[after[k]] == "k5"
+            assert rack[before[k]] != "k5" or after[k] == 40
+    assert Counter(after.values())[40] > 50
+
+
 def test_documents(spark, awkward):
     docs = awkward.select("doc_id", "text").union(spark.createDataFrame([(i, f"t{i}") for i in range(100, 400)], "doc_id long, text string"))
     rows = op.shard_documents(docs, op.grid(40)).collect()

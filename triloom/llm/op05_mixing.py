@@ -1,7 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document of a source gets the same expected number of copies, target / size of the source.
-Its fraction is rounded in pairs: two documents move mass between each other in a random direction,
+Every document of a source is to get the same number of copies, target / size of the source. The
+documents are rounded in three classes of size, largest first, and a class takes the probability
+that makes up for what those before it missed, so the copies of smaller documents depend on those
+draws; the expectation is exact in the first class and close to it in the others.
+A fraction is rounded in pairs: two documents move mass between each other in a random direction,
 with the words they stand for kept in sum, until one of them is integral. Each block of a source
 leaves at most one fractional document, and these residuals meet in a reduction tree of blocks.
 """

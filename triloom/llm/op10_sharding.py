@@ -30,10 +30,12 @@ def grid(shards: int, racks: int = 4, per_rack: int = 5) -> list[Shard]:
     return [Shard(f"g{i // (racks * per_rack)}", f"k{i // per_rack}", i) for i in range(shards)]
 
 
-def add_shard(topology: list[Shard], weight: float = 1.0) -> list[Shard]:
-    """One more shard, in a region of its own: rows move only into it."""
+def add_shard(topology: list[Shard], weight: float = 1.0, region: str | None = None, rack: str | None = None) -> list[Shard]:
+    """One more shard. By itself it is a region of its own, and rows move only into it. With a region
+    (and a rack in it) it joins that subtree, whose weights grow: rows of other regions move only into
+    the region, rows of its other racks only into the rack, and rows of the rack only to the new shard."""
     number = max(s.number for s in topology) + 1
-    return [*topology, Shard(f"added{number}", f"added{number}", number, weight)]
+    return [*topology, Shard(region or f"added{number}", rack or f"added{number}", number, weight)]
 
 
 def _draw(key: Column, level: str, name: str, weight: float) -> Column:
