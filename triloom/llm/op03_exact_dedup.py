@@ -1,8 +1,8 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame operations only.
 
-A text is cut where its content says so, each chunk gets a 64-bit identifier that is verified
-against the chunks' contents, and documents are equal when their ordered identifier lists are.
-Chunk contents move once, one per distinct chunk and task; documents themselves never move.
+A text is cut where its content says so, each chunk gets a 64-bit identifier that is verified by
+the SHA-256 of the chunks' contents, and documents are equal when their ordered identifier lists
+are. Texts are read and cut once; neither they nor their chunks ever move, only digests do.
 """
 
 from __future__ import annotations
@@ -30,14 +30,19 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def verified_collisions(chunked: DataFrame) -> DataFrame:
+def recipe(text: Column) -> Column:
+    """(fp, digest) of each chunk in order."""
+    return F.transform(chunks(text), lambda c: F.struct(F.xxhash64(c).alias("fp"), F.unhex(F.sha2(c, 256)).alias("digest")))
+
+
+def verified_collisions(lists: DataFrame) -> DataFrame:
     """Identifiers (fp) that two different chunks share; all others stand for one content.
 
-    The aggregation keeps the least and the greatest content of each identifier: they differ if
-    and only if the identifier is ambiguous. Copies of a chunk meet before the shuffle.
+    The aggregation keeps the least and the greatest digest of each identifier: they differ if and
+    only if the identifier is ambiguous. Copies of a chunk meet before the shuffle.
     """
-    parts = chunked.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("fp"), "chunk")
-    return parts.groupBy("fp").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where("lo <> hi").select("fp")
+    parts = lists.select(F.explode("parts").alias("part")).select("part.fp", "part.digest")
+    return parts.groupBy("fp").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("fp")
 
 
 def duplicates(docs: DataFrame, scratch: Scratch | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,9 +56,9 @@ def duplicates(docs: DataFrame, scratch: Scratch | None = None, ident: str = "do
     scratch = scratch or Scratch(docs.sparkSession)
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     base = docs.select(F.col(ident).alias("doc_id"), norm.alias("norm"))
-    cut = base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("chunks"))
-    collided = scratch.cut(verified_collisions(cut), "collided")
-    lists = scratch.cut(cut.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe")), "recipes")
+    lists = scratch.cut(base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), recipe(F.col("norm")).alias("parts")), "recipes")
+    collided = scratch.cut(verified_collisions(lists), "collided")
+    lists = lists.select("doc_id", "text_sha256", F.col("parts.fp").alias("recipe"))
     # A list with an ambiguous identifier says nothing by itself: there the whole text's digest is
     # compared beside it. The table is as small as 64-bit collisions are rare.
     unsure = lists.select("recipe", F.explode("recipe").alias("fp")).join(collided, "fp", "left_semi").select("recipe").distinct()
