@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from triloom import cli
 from triloom.functions import ids
-from triloom.index import ExistsError, SampleIndex, from_bitmaps, to_bitmaps, union_bitmaps
-from triloom.operators import align, typing
+from triloom.index import ExistsError, SampleIndex, from_bitmaps, init_project, new_samples, open_project, to_bitmaps, union_bitmaps
+from triloom.operators import align, lookup, typing
 from triloom.query import SamplesQuery
 from triloom.sources import formats, readers, sinks
 from triloom.streaming.ingest import stream_variants
@@ -36,12 +36,17 @@ def files(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def index(spark, files, tmp_path_factory):
-    root = str(tmp_path_factory.mktemp("project"))
+def project(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("project"))
+
+
+@pytest.fixture(scope="module")
+def index(spark, files, project):
+    root = project
     assert cli.main(["--project", root, "init"], spark) == 0
     cli.main(["--project", root, "load", "vcf", str(files / "fofn.tsv"), "--reference-file", str(files / "ref.fasta.gz"), "--reference-name", "genome"], spark)
     cli.main(["--project", root, "load", "mlst-tseemann", str(files / "mlst.tsv")], spark)
-    return SampleIndex(spark, root)
+    return open_project(spark, root)
 
 
 def test_vcf_and_best_annotation(spark, files):
@@ -168,8 +173,8 @@ def test_stream(spark, index, tmp_path):
     assert SamplesQuery.all(index).hasa("ref:5:A:C").toset() >= {"B", "D"}
 
 
-def test_command_line(spark, index, tmp_path, capsys):
-    p = ["--project", index.root]
+def test_command_line(spark, index, project, tmp_path, capsys):
+    p = ["--project", project]
     cli.main([*p, "list", "genomes"], spark)
     cli.main([*p, "query", "hasa:ref:3:G:T", "--summary"], spark)
     cli.main([*p, "query", "hasa:ref:3:G:T", "--features-summary", "mutations"], spark)
@@ -222,7 +227,210 @@ def test_typing(spark, index):
     d = typing.definitions([text, text.replace("nuc:G3T", "bad")], lambda s: {"nuc:G3T": "ref:3:G:T", "nuc:A5C": "ref:5:A:C"}.get(s))
     assert set(d) == {"t", "L"} and d["L"].needed == 1
     q = SamplesQuery.all(index).isa(["A", "B", "C"]).reset_universe()
-    status = lambda f: q.feature_status(ids.parse_feature(f))
-    out = typing.isa_type(q.state, [status(f) for f in d["L"].sites], [status(f) for f in d["L"].must_have], 1, 1)
+    out = q.typed(d["L"]).state
+    apart = typing.isa_type(q.state, typing.sites_of([q.feature_status(ids.parse_feature(f)) for f in d["L"].sites]), q.feature_sites(list(d["L"].must_have)), 1, 1)
+    assert sorted(out.collect()) == sorted(apart.collect())
     named = {r["sample_name"]: r["status"] for r in out.join(index.samples, "sample_id").collect()}
     assert named["A"] == 2 and named["B"] == 2
+
+
+def test_a_lookup_reads_the_folder_of_its_position_only(spark, tmp_path):
+    own = SampleIndex(spark, str(tmp_path / "wide"))
+    rows = [(f"s{i % 5}", f"chr{i % 3}", 1 + i * 1000, "A", "C", "SNP") for i in range(400)]
+    own.add_variants(spark.createDataFrame(rows, "sample string, chrom string, pos int, ref string, alt string, type string"))
+    found = own.samples_query().hasa("chr1:1001:1:C").state
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sequence" in plan and "(bin" in plan and "PushedFilters: [" in plan and "GreaterThanOrEqual(position,1001)" in plan
+    scanned = own.calls.where(lookup.at(own.calls, "chr1", 1001, 1001))
+    assert len(scanned.inputFiles()) > 1 and scanned.select(F.input_file_name()).distinct().count() == 1
+    read = own.calls._jdf.queryExecution().toString()
+    assert "Exchange" not in read and "Aggregate" not in read  # nothing is deduplicated on reading
+    assert own.samples_query().hasa("chr1:1001:1:C").toset() == {"s1"}
+
+
+def test_a_refused_load_leaves_nothing_behind(spark, tmp_path):
+    own = SampleIndex(spark, str(tmp_path / "own"))
+    v = lambda *names: spark.createDataFrame([(n, "c", 5, "A", "C", "SNP") for n in names], "sample string, chrom string, pos int, ref string, alt string, type string")
+    own.add_variants(v("a"))
+    with pytest.raises(ExistsError, match="variants"):
+        own.add_variants(v("a", "b"))
+    assert own.sample_names() == ["a"] and own.calls.count() == 1
+    own.add_variants(v("a", "a", "b"), allow_existing=True)
+    own.add_variants(v("a", "b"), allow_existing=True)
+    assert own.sample_names() == ["a", "b"] and own.calls.count() == 2
+
+
+def test_names_are_numbered_in_order_over_ranges(spark):
+    samples = spark.createDataFrame([(4, "n0007")], "sample_id long, sample_name string")
+    names = spark.createDataFrame([(f"n{i:04}",) for i in range(3000, -1, -1)] * 2, "sample_name string")
+    got = sorted(tuple(r) for r in new_samples(samples, names).collect())
+    want = [n for n in sorted({f"n{i:04}" for i in range(3001)}) if n != "n0007"]
+    assert got == [(5 + i, n) for i, n in enumerate(want)]
+    assert new_samples(samples, names.limit(0)).count() == 0
+
+
+def test_masks_of_both_kinds_and_load_options(spark, tmp_path, capsys):
+    d = tmp_path
+    for s in ("A", "B", "E"):
+        (d / f"{s}.vcf").write_text(HEAD + ("ref\t3\t.\tG\tT\t.\t.\tTYPE=SNP\n" if s != "E" else ""))
+    (d / "A.fa").write_text(">ref\nACGTANNTACG-\n")
+    (d / "B.bed").write_text("ref\t0\t2\n")
+    (d / "ref.fa").write_text(f">ref\n{REF}\n")
+    (d / "fofn.tsv").write_text(f"Sample\tVCF\tMask File\nA\t{d}/A.vcf\t{d}/A.fa\nB\t{d}/B.vcf\t{d}/B.bed\nE\t{d}/E.vcf\tNA\n")
+    unknown = {}
+    for name, more in (("with", []), ("without", ["--no-index-unknown"]), ("batches", ["--sample-batch-size", "1"])):
+        root = str(d / name)
+        cli.main(["--project", root, "init"], spark)
+        cli.main(["--project", root, "load", "vcf", str(d / "fofn.tsv"), "--reference-file", str(d / "ref.fa"), *more], spark)
+        i = open_project(spark, root)
+        assert i.sample_names() == ["A", "B", "E"]  # a sample without variants is one too
+        masks = sorted((r["sample_name"], r["start0"], r["end0"]) for r in i.masks.join(i.samples, "sample_id").collect())
+        assert masks == [("A", 5, 7), ("A", 11, 12), ("B", 0, 2)]
+        unknown[name] = sorted((r["sample_name"], r["position"]) for r in i.calls.where("insertion = '?'").join(i.samples, "sample_id").collect())
+    assert unknown["with"] == unknown["batches"] == [("A", 6), ("A", 7), ("A", 12), ("B", 1), ("B", 2)] and unknown["without"] == []
+    q = SamplesQuery.on_reference(open_project(spark, str(d / "with")), "ref")
+    full = {r["record_id"]: r["alignment"] for r in q.alignment("ref").collect()}
+    assert full["A"] == "ACTTANNTACGN" and full["B"] == "NNTTACGTACGT" and full["ref"] == REF
+    with pytest.raises(ValueError):
+        q.alignment("ref", "other")
+    cli.main(["--project", str(d / "with"), "build", "tree", "--reference-name", "ref", "--align-type", "core"], spark)
+    assert "A" in capsys.readouterr().out
+
+
+def test_masked_positions_are_no_core(spark, tmp_path):
+    own = SampleIndex(spark, str(tmp_path / "own"))
+    own.add_reference("one", spark.createDataFrame([("r", "ACGTACGT")], "sequence string, bases string"))
+    own.add_reference("two", spark.createDataFrame([("p", "TTTT")], "sequence string, bases string"))
+    v = [("a", "r", 2, "C", "G", "SNP"), ("b", "r", 6, "C", "T", "SNP"), ("a", "p", 1, "T", "A", "SNP"), ("c", "r", 6, "C", "T", "SNP")]
+    masks = spark.createDataFrame([("c", "r", 1, 2)], "sample string, sequence string, start0 long, end0 long")
+    own.add_variants(spark.createDataFrame(v, "sample string, chrom string, pos int, ref string, alt string, type string"), masks)
+    q = SamplesQuery.on_reference(own, "one")
+    assert {r["record_id"]: r["alignment"] for r in q.alignment("one", "core").collect()} == {"one": "C", "a": "C", "b": "T", "c": "T"}
+    full = q.build_tree("mutation", reference_name="one")
+    assert sorted(full.root.leaf_names()) == ["a", "b", "c", "one"] and full.alignment_length == 8
+    assert full.isin("b", kind="distance", distance=0.5, units="substitutions").toset() == {"b", "c"}
+    with pytest.raises(ValueError, match="reference"):
+        q.build_tree("mutation")
+    own.rebuild_tree("one", "core")
+    assert own.stored_tree("one")[1] == 1 and SamplesQuery.on_reference(own, "one").reference_leaf == "one"
+
+
+def test_experimental_tree_follows_the_selection(spark, index):
+    q = SamplesQuery.all(index).reset_universe().join_tree("(genome:0,A:2,(B:1,C:1):1);", 10, "genome").experimental()
+    assert sorted(q.isa("A").root.leaf_names()) == ["A", "genome"]
+    assert sorted(q.isa("A").complement().root.leaf_names()) == ["B", "C", "genome"]
+    b = q.isa(["B", "C"])
+    assert sorted(b.universe_root.leaf_names()) == ["A", "B", "C", "genome"]
+    assert sorted(b.reset_universe(include_unknown=False).universe_root.leaf_names()) == ["B", "C", "genome"]
+    assert b.isin("B", kind="distance", distance=20, units="substitutions").toset() == {"B", "C"}
+
+
+def test_leaf_names_and_styles(spark, index):
+    m = spark.createDataFrame([("A", "red"), ("B", "blue"), ("C", None)], "who string, color string")
+    q = SamplesQuery.all(index).join(m, sample_names_column="who").join_tree("(A:2,(B:1,C:1):1);")
+    rows = q.tree_annotations({"x": q.isa("A"), "y": ~q.isa("A")}, leaf_name=lambda n: F.concat_ws("|", n, "color")).collect()
+    assert {(r["leaf"], r["column"], r["color"]) for r in rows} == {("A|red", "x", "black"), ("A|red", "y", "white"), ("B|blue", "x", "white"), ("B|blue", "y", "black"), ("C", "x", "white"), ("C", "y", "black")}
+    assert q.label_internal(lambda names: "+".join(names)).name == "A+B+C"
+
+
+def test_projects(spark, tmp_path):
+    root = str(tmp_path / "p")
+    with pytest.raises(ValueError, match="init"):
+        open_project(spark, root)
+    assert init_project(spark, root).root == f"{root}/data"
+    with pytest.raises(ExistsError):
+        init_project(spark, root)
+    (tmp_path / "p" / "triloom.json").write_text('{"format": 1, "data": "/elsewhere"}')
+    assert open_project(spark, root).root == "/elsewhere"
+    (tmp_path / "p" / "triloom.json").write_text('{"format": 9}')
+    with pytest.raises(ValueError):
+        open_project(spark, root)
+
+
+def test_analysis(spark, tmp_path, capsys):
+    """From files of samples and a folder of results to an index; missing and known ones are skipped."""
+    d = tmp_path
+    (d / "ref.fa").write_text(f">ref\n{REF}\n")
+    (d / "out" / "y").mkdir(parents=True)
+    for s in ("x", "y", "z"):
+        (d / f"{s}.fa").write_text(f">c\n{'ACGTTGCATTAGCCGATAGGCTTAACGGATCCA' * 2}\n")
+    (d / "out" / "x.vcf").write_text(HEAD + "ref\t3\t.\tG\tT\t.\t.\tTYPE=SNP\n")
+    (d / "out" / "x.bed").write_text("ref\t4\t5\n")
+    (d / "out" / "y" / "snps.vcf").write_text(HEAD + "ref\t5\t.\tA\tC\t.\t.\tTYPE=SNP\n")
+    root = str(d / "p")
+    cli.main(["--project", root, "init"], spark)
+    call = ["--project", root, "analysis", "--reference-file", str(d / "ref.fa"), "--artefacts", str(d / "out")]
+    files = [str(d / f"{s}.fa") for s in ("x", "y", "z", "gone")]
+    cli.main([*call, "--no-load-data", *files], spark)
+    shown = capsys.readouterr()
+    assert "x.vcf" in shown.out and "gone" in shown.err and "z" in shown.err
+    assert open_project(spark, root).count_samples() == 0
+    cli.main([*call, "--include-kmer", "--kmer-scaled", "1", "--kmer-size", "21", "--build-tree", *files], spark)
+    i = open_project(spark, root)
+    assert i.sample_names() == ["x", "y"] and i.has_kmer_index("x") and i.stored_tree("ref")
+    assert i.samples_query().hasa("ref:5:1:C").toset(include_unknown=True) == {"x", "y"}
+    cli.main([*call, "--skip-existing-samples", *files], spark)
+    assert "x" in capsys.readouterr().err and i.count_samples() == 2
+
+
+def test_signature_files(spark, tmp_path):
+    doc = formats.signature("A", {21: [5, -1], 31: [7]}, abundances={21: [2, 9], 31: [1]})
+    protein = {"name": "A", "signatures": [{"ksize": 7, "mins": [3], "molecule": "protein"}]}
+    (tmp_path / "a.sig").write_text(json.dumps([doc, protein]))
+    got = sorted((r["sample"], r["ksize"], r["hash"], r["abundance"]) for r in readers.signatures(spark, str(tmp_path / "a.sig")).collect())
+    assert got == [("A", 21, -1, 9), ("A", 21, 5, 2), ("A", 31, 7, 1)]
+    with pytest.raises(ValueError):
+        list(formats.signature_hashes(json.dumps({"name": "A", "signatures": [{"ksize": 3, "mins": [1], "seed": 7}]}).encode()))
+
+
+def test_comparison_by_a_column_of_too_many_values(spark, index, monkeypatch):
+    from triloom import query
+
+    monkeypatch.setattr(query, "MOST_CATEGORIES", 1)
+    m = spark.createDataFrame([("A", "red"), ("B", "blue")], "who string, color string")
+    with pytest.raises(ValueError, match="values"):
+        SamplesQuery.all(index).join(m, sample_names_column="who").features_comparison("color")
+    monkeypatch.setattr(query, "MOST_LEAVES", 1)
+    with pytest.raises(ValueError, match="subsample"):
+        SamplesQuery.all(index).build_tree("kmer")
+
+
+def test_summaries_are_planned_without_a_job(spark, index):
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    rows = SamplesQuery.all(index).isa("A").features_summary()
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert {r["total"] for r in rows.collect()} == {1}
+
+
+def test_sample_sets(spark):
+    from triloom.operators.sample_set import SampleSet
+
+    of = lambda *x: SampleSet.of(spark.createDataFrame([(i,) for i in x], "sample_id long"))
+    ids_of = lambda s: sorted(r[0] for r in s.ids.collect())
+    a, b = of(1, 2, 3, 3, None), of(3, 4)
+    assert ids_of(a.intersection(b)) == [3] and ids_of(a.union(b, of(9))) == [1, 2, 3, 4, 9] and ids_of(a.minus(b, of(1))) == [2] and ids_of(a.minus()) == [1, 2, 3]
+    assert a.jaccard(b).first()[0] == 0.25 and len(a) == 3 and 2 in a and 9 not in a
+    none = SampleSet.empty(spark)
+    assert none.is_empty() and not a.is_empty() and ids_of(a.minus(none)) == [1, 2, 3] and a.described(7).first()["contains"] is False
+
+
+def test_many_variants_overlap_in_a_consensus(spark):
+    """Edits are put in by place, masks over them; what reaches beyond the end is left out."""
+    s = spark.createDataFrame([(1, "a"), (2, "b")], "sample_id long, sample_name string")
+    r = spark.createDataFrame([("c", "ACGTACGTAC")], "sequence string, bases string")
+    calls = [(1, "c", 2, 3, "T", "INDEL"), (1, "c", 4, 1, "G", "SNP"), (1, "c", 9, 3, "GTA", "MNP"), (1, "c", 6, 1, "CAA", "INDEL")]
+    c = spark.createDataFrame(calls, "sample_id long, sequence string, position int, deletion int, insertion string, var_type string")
+    m = spark.createDataFrame([(1, "c", 0, 1), (1, "c", 8, 9)], "sample_id long, sequence string, start0 long, end0 long")
+    got = {x["record_id"]: x["bases"] for x in align.consensus(c, s, r, m).collect()}
+    assert got == {"a": "NT-GACGTNT", "b": "ACGTACGTAC"}
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    from triloom.streaming.ingest import stream_counts
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.csv").write_text("2024-01-01T00:01:00Z,SNP\n2024-01-01T00:02:00Z,SNP\n2024-01-01T00:07:00Z,INDEL\n")
+    calls = spark.readStream.schema("at timestamp, var_type string").csv(str(tmp_path / "in"))
+    run = stream_counts(calls, "at").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted((r["var_type"], r["n"]) for r in spark.table("counted").collect()) == [("INDEL", 1), ("SNP", 2)]

@@ -84,3 +84,38 @@ def test_mask_genome(spark):
     m = table(spark, [("r", 1, 3), ("r", 6, 99)])
     assert {r["sequence"]: r["bases"] for r in intervals.mask_genome(s, m).collect()} == {"r": "A??TAC??", "q": "AC"}
     assert {r["sequence"]: r["bases"] for r in intervals.mask_genome(s, m, None).collect()} == {"r": "ATAC", "q": "AC"}
+
+
+def test_long_intervals_over_many_spans(spark, monkeypatch):
+    """Merging, intersection and difference against sets of positions, with spans of 8 positions."""
+    import random
+
+    monkeypatch.setattr(intervals, "_SPAN", 8)
+    r = random.Random(3)
+
+    def some(n):
+        out = []
+        for _ in range(n):
+            s = r.randrange(200)
+            out.append((r.choice("xy"), s, s + r.choice([0, 1, 3, 8, 16, 40])))
+        return out
+
+    a, b = some(40), some(30)
+    table = lambda rows: spark.createDataFrame(rows, "sequence string, start0 long, end0 long")
+    points = lambda rows: {(k, p) for k, s, e in rows for p in range(s, e)}
+
+    def runs(p):
+        out = []
+        for k, x in sorted(p):
+            if out and out[-1][0] == k and out[-1][2] == x:
+                out[-1] = (k, out[-1][1], x + 1)
+            else:
+                out.append((k, x, x + 1))
+        return out
+
+    got = lambda t: sorted(tuple(x) for x in t.select("sequence", "start0", "end0").where("end0 > start0").collect())
+    pa, pb = points(a), points(b)
+    assert got(intervals.merge(table(a))) == runs(pa)
+    assert got(intervals.intersect(table(a), table(b))) == runs(pa & pb)
+    assert got(intervals.subtract(table(a), table(b))) == runs(pa - pb)
+    assert got(intervals.union_all([table(a), table(b)])) == runs(pa | pb)

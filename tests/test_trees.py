@@ -3,7 +3,7 @@ import pytest
 
 from triloom.operators import cluster, kmer, tree
 
-# The tree and the distances are facts of the original's own tests.
+# A tree and its distances.
 TEXT = "(genome:0,SampleA:2,(SampleB:1,SampleC:1):1);"
 
 
@@ -109,3 +109,132 @@ def test_canonical_kmers(spark):
     for r in kmer.dna_sketch(t, 21, 1).collect():
         got.setdefault(r["sample_id"], set()).add(r["hash"])
     assert got[1] == got[2] and 3 not in got
+
+
+def test_hashes_are_those_of_signature_files():
+    from triloom.functions.hashing import canonical_kmer_hashes, most, murmur3
+
+    # Fixed value: the published hash of a k-mer.
+    assert murmur3(np.frombuffer(b"ACG", np.uint8)[None, :]).tolist() == [1731421407650554201]
+
+    def plain(data, seed=42):
+        """The same hash, a row at a time."""
+        mask, turn = 2**64 - 1, lambda x, n: ((x << n) | (x >> (64 - n))) & (2**64 - 1)
+        c1, c2, h1, h2 = 0x87C37B91114253D5, 0x4CF5AD432745937F, seed, seed
+        word = lambda b: int.from_bytes(b, "little")
+        whole = len(data) // 16 * 16
+        for i in range(0, whole, 16):
+            h1 ^= turn(word(data[i : i + 8]) * c1 & mask, 31) * c2 & mask
+            h1 = ((turn(h1, 27) + h2) * 5 + 0x52DCE729) & mask
+            h2 ^= turn(word(data[i + 8 : i + 16]) * c2 & mask, 33) * c1 & mask
+            h2 = ((turn(h2, 31) + h1) * 5 + 0x38495AB5) & mask
+        rest = data[whole:]
+        if len(rest) > 8:
+            h2 ^= turn(word(rest[8:]) * c2 & mask, 33) * c1 & mask
+        if rest:
+            h1 ^= turn(word(rest[:8]) * c1 & mask, 31) * c2 & mask
+        h1, h2 = h1 ^ len(data), h2 ^ len(data)
+        h1 = (h1 + h2) & mask
+        h2 = (h2 + h1) & mask
+        out = []
+        for h in (h1, h2):
+            h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & mask
+            h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & mask
+            out.append(h ^ h >> 33)
+        return (out[0] + out[1]) & mask
+
+    r = np.random.default_rng(1)
+    for k in (1, 7, 8, 16, 21, 31, 33, 51):
+        text = "".join(r.choice(list("ACGT"), k + 20))
+        back = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        want = [plain(min(text[i : i + k], back[len(text) - i - k : len(text) - i]).encode()) for i in range(21)]
+        assert canonical_kmer_hashes(text, k).tolist() == want
+    assert most(1000) == round(2**64 / 1000) and most(1) == 2**64 - 1
+    with pytest.raises(ValueError):
+        canonical_kmer_hashes("ACGT", 0)
+
+
+def ladder(n):
+    """A tree as deep as it has leaves."""
+    root = at = tree.Node("root")
+    for i in range(n):
+        at.children = [tree.Node(f"l{i}", 1.0), tree.Node(None, 1.0)]
+        at = at.children[1]
+    at.name = f"l{n}"
+    return root
+
+
+def test_deep_trees_are_reshaped():
+    from triloom.sources import sinks
+
+    t = ladder(3000)
+    assert tree.prune(t, {"l0", "l2999", "l3000"}).leaf_names() == ["l0", "l2999", "l3000"]
+    assert len(tree.relabel(t, str.upper).leaf_names()) == 3001
+    out = tree.set_outgroup(t, "l3000")
+    assert out.children[0].name == "l3000" and len(out.leaf_names()) == 3001
+    assert len(sinks.ascii_tree(t).splitlines()) == 6001 and sinks.svg_tree(t, [("l1", "x", "Present", "black")]).count("<rect ") == 1
+    assert tree.parse_newick(tree.to_newick(tree.label_internal(ladder(40), lambda n: str(len(n))))).name == "41"
+
+
+@pytest.mark.parametrize("leaf", ["a", "c", "e"])
+def test_outgroup_keeps_distances(leaf):
+    text = "((a:1,b:2):1.5,(c:3,d:1):0.5,e:2);"
+    before = path_lengths(tree.parse_newick(text))
+    t = tree.parse_newick(text)
+    out = tree.set_outgroup(t, leaf)
+    after = path_lengths(out)
+    assert {k: pytest.approx(v) for k, v in before.items()} == after
+    assert out.children[0].name == leaf and out.children[0].length == tree.parse_newick(text).leaves()[["a", "b", "c", "d", "e"].index(leaf)].length / 2
+    assert tree.to_newick(t) == tree.to_newick(tree.parse_newick(text))  # the old tree is as it was
+    with pytest.raises(ValueError):
+        tree.set_outgroup(t, "nobody")
+
+
+def test_distances_on_a_ladder(spark):
+    t = ladder(30)
+    want = path_lengths(t)
+    nodes = tree.tree_nodes(spark, t)
+    got = {(r["anchor"], r["name"]): r["distance"] for r in tree.distances(nodes, nodes.where("is_leaf and name in ('l0', 'l7', 'l30')"), chunk=4).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] in ("l0", "l7", "l30")}
+    plan = tree.distances(nodes, nodes.where("is_leaf"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_single_linkage_is_the_minimum_bottleneck():
+    r = np.random.default_rng(2)
+    x = r.random((25, 25))
+    m = np.minimum(x, x.T)
+    np.fill_diagonal(m, 0)
+    best = m.copy()
+    for k in range(25):
+        best = np.minimum(best, np.maximum(best[:, k : k + 1], best[k : k + 1, :]))
+    d = path_lengths(tree.single_linkage([str(i) for i in range(25)], m))
+    assert all(d[(str(i), str(j))] == pytest.approx(best[i, j]) for i in range(25) for j in range(25))
+
+
+def test_pairs_share_hashes_in_any_blocks(spark):
+    r = np.random.default_rng(5)
+    rows = sorted({(int(s), int(h)) for s, h in zip(r.integers(0, 40, 600), r.integers(0, 60, 600), strict=True)} | {(s, 99) for s in range(40)})
+    s = spark.createDataFrame(rows, "sample_id long, hash long")
+    sets = {i: {h for x, h in rows if x == i} for i in range(40)}
+    want = {(a, b): len(sets[a] & sets[b]) for a in range(40) for b in range(a + 1, 40)}
+    for block in (1000, 7):
+        assert {(x["sample_a"], x["sample_b"]): x["shared"] for x in kmer.pair_counts(s, block=block).collect()} == want
+
+
+def test_snp_distances_in_any_blocks(spark):
+    from triloom.operators import align
+
+    r = np.random.default_rng(6)
+    rows = [(f"s{i:02}", "".join(r.choice(list("ACGTN-"), 90))) for i in range(20)] + [("none", "N" * 90)]
+    a = spark.createDataFrame(rows, "record_id string, alignment string")
+    want = {}
+    for i, (x, p) in enumerate(rows):
+        for y, q in rows[i + 1 :]:
+            both = [(c, d) for c, d in zip(p, q, strict=True) if c in "ACGT" and d in "ACGT"]
+            if both:
+                want[tuple(sorted((x, y)))] = sum(c != d for c, d in both)
+    for block, width in ((256, 1 << 15), (4, 13)):
+        assert {(x["a"], x["b"]): x["distance"] for x in align.snp_distances(a, block, width).collect()} == want
+    labels, length, m = align.distance_matrix(a)
+    assert length == 90 and m[labels.index("s00"), labels.index("s01")] == want[("s00", "s01")]

@@ -243,6 +243,11 @@ def sanitize_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9_.\-]", "__")
 
 
+def persistence_name(name: Column) -> Column:
+    """A file name for a sample's data, whatever its name."""
+    return F.md5(name)
+
+
 def size_in_unit(bytes_: Column, unit: str = "B") -> Column:
     power = {"B": 0, "KB": 1, "MB": 2, "GB": 3}[unit]
     return bytes_ / F.lit(float(1024**power))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import cached_property
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triloom import schema
 from triloom.functions import ids
+from triloom.session import write_text
+from triloom.view import IndexView
 
 
 class ExistsError(ValueError):
@@ -53,18 +55,43 @@ def merge_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # Pure functions behind the sinks.
 
+#: Names that are numbered at once: a batch is cut into so many ranges.
+_RANGES = 64
+
+
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """(column, n): distinct values numbered from 1 in order. The driver picks _RANGES splitters, by a
+    hash so that reruns agree, and gets a count for each range; ranges are numbered side by side."""
+    picked = [r[0] for r in names.select(column).orderBy(F.xxhash64(column), column).limit(_RANGES * 16).collect()]
+    splitters = sorted(picked)[:: max(1, len(picked) // _RANGES)]
+    below = F.array(*[F.lit(s) for s in splitters]) if splitters else F.array().cast("array<string>")
+    ranged = names.select(column, F.size(F.filter(below, lambda s: s <= F.col(column))).alias("_range"))
+    at, starts = 0, []
+    for r in sorted(ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()):
+        starts.append((r["_range"], at))
+        at += r["n"]
+    start = F.create_map(*[F.lit(x) for pair in starts for x in pair])[F.col("_range")] if starts else F.lit(0)
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.select(column, (start + own).cast("long").alias("n"))
+
 
 def new_samples(samples: DataFrame, names: DataFrame) -> DataFrame:
     """(sample_id, sample_name) for the names that are not there yet, numbered on in order of name."""
     fresh = names.select("sample_name").distinct().join(samples, "sample_name", "left_anti")
     top = samples.agg(F.coalesce(F.max("sample_id"), F.lit(0)).alias("_top"))
-    return fresh.crossJoin(F.broadcast(top)).select((F.col("_top") + F.row_number().over(Window.orderBy("sample_name"))).cast("long").alias("sample_id"), "sample_name")  # top is one row
+    return numbered(fresh, "sample_name").crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("n")).alias("sample_id"), "sample_name")  # top is one row
+
+
+def fresh_rows(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """One of the new rows for each key that does not exist yet: the least of several."""
+    rest = [c for c in new.columns if c not in key]
+    once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else new.distinct()
+    return once.join(existing.select(*key), key, "left_anti").select(*new.columns)
 
 
 def upsert_calls(calls: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old and new rows, one for each key; an old row wins, so a repeated ingest changes nothing."""
-    fresh = new.dropDuplicates(key).join(calls.select(*key), key, "left_anti")
-    return calls.unionByName(fresh.select(*calls.columns))
+    return calls.unionByName(fresh_rows(calls, new, key).select(*calls.columns))
 
 
 def require_new(existing: DataFrame, samples: DataFrame, what: str) -> None:
@@ -73,25 +100,33 @@ def require_new(existing: DataFrame, samples: DataFrame, what: str) -> None:
         raise ExistsError(f"samples have {what} already: {', '.join(str(r[0]) for r in n)}")
 
 
+_NOTES = "spdi string, sequence string, position int, deletion int, insertion string, var_type string, annotation string, impact string, gene_name string, gene_id string, hgvs_c string, hgvs_p string, id_hgvs_c string, id_hgvs_p string"
 _TABLES = {
     "samples": schema.SAMPLES,
-    "calls": schema.VARIANT_CALLS,
+    "loads": schema.struct("sample_id long, kind string"),
+    "calls": schema.struct("sample_id long, sequence string, position int, deletion int, insertion string, var_type string, spdi string, bin int"),
     "mlst": schema.MLST_CALLS,
     "masks": schema.MASKS,
     "reference_sequences": schema.REFERENCE_SEQUENCES,
     "kmer": schema.KMER_SKETCH,
-    "annotations": schema.struct(
-        "spdi string, sequence string, position int, deletion int, insertion string, var_type string, annotation string, impact string, gene_name string, gene_id string, hgvs_c string, hgvs_p string, id_hgvs_c string, id_hgvs_p string"
-    ),
+    "annotations": schema.struct(_NOTES + ", bin int"),
     "trees": schema.struct("reference_name string, newick string, alignment_length int"),
 }
+#: Folders of a table, and the order of rows within its files: what a lookup prunes and skips by.
+_FOLDERS = {"calls": ["sequence", "bin"], "annotations": ["sequence", "bin"], "mlst": ["scheme"], "kmer": ["ksize"], "masks": ["sequence"], "loads": ["kind"]}
+_SORTED = {"calls": ["position", "sample_id"], "annotations": ["position"], "mlst": ["locus", "allele"], "kmer": ["hash"], "masks": ["start0"]}
+#: What makes a row of a table: enforced when rows are written, so that no reader deduplicates.
+_KEYS = {"calls": ["sequence", "bin", "spdi", "sample_id"], "mlst": ["scheme", "sample_id", "locus", "allele"], "kmer": ["ksize", "sample_id", "hash"], "annotations": ["sequence", "bin", "spdi"], "masks": ["sequence", "sample_id", "start0", "end0"]}
 
 
-class SampleIndex:
+class SampleIndex(IndexView):
     """Tables under one folder, addressed relative to it, so the folder can be moved.
 
-    A table is a series of appended batches; rows are unique by key when they are read, so a batch
-    that is appended twice counts once.
+    Rows are unique by key when they are written. Calls and annotations lie by sequence and position
+    bin and are sorted by position within a file, so a lookup of a variant lists the folders of its
+    bin and skips row groups by position; it neither scans nor shuffles the rest. A load first notes
+    its samples in `loads`; one that broke off can only be repeated with allow_existing, which adds
+    the rows that are missing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -100,16 +135,38 @@ class SampleIndex:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def _there(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        files, path = self._files(self._path(name))
+        return files.exists(path)
 
     def table(self, name: str) -> DataFrame:
         kind = _TABLES[name]
-        return self.spark.read.schema(kind).parquet(self._path(name)) if self._there(name) else self.spark.createDataFrame([], kind)
+        if not self._there(name):
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(self._path(name)).select([f.name for f in kind])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.select([F.col(f.name).cast(f.dataType) for f in _TABLES[name]]).write.mode("append").parquet(self._path(name))
+        """Add rows as they are; keys are the caller's business, see `add`."""
+        if "bin" in _TABLES[name].names:
+            rows = rows.withColumn("bin", F.floor(F.col("position") / schema.BIN))
+        rows = rows.select([F.col(f.name).cast(f.dataType) for f in _TABLES[name]])
+        folders = _FOLDERS.get(name, [])
+        if folders:  # adaptive execution joins small folders' rows and splits those of a large one
+            rows = rows.hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders, *_SORTED.get(name, []))
+        rows.write.mode("append").partitionBy(*folders).parquet(self._path(name))
+
+    def add(self, name: str, rows: DataFrame, known_new: bool = False) -> None:
+        """Add the rows whose key is not there yet, one for each key. known_new: the caller knows that
+        none is there, so only the new rows are compared with each other."""
+        if "bin" in _TABLES[name].names:
+            rows = rows.withColumn("bin", F.floor(F.col("position") / schema.BIN).cast("int"))
+        rows = rows.select([F.col(f.name).cast(f.dataType) for f in _TABLES[name]])
+        existing = self.table(name)
+        self.append(name, fresh_rows(existing.where(F.lit(False)) if known_new else existing, rows, _KEYS[name]))
 
     @property
     def samples(self) -> DataFrame:
@@ -117,11 +174,11 @@ class SampleIndex:
 
     @property
     def calls(self) -> DataFrame:
-        return self.table("calls").dropDuplicates(["spdi", "sample_id"])
+        return self.table("calls")
 
     @property
     def mlst(self) -> DataFrame:
-        return self.table("mlst").dropDuplicates(["sample_id", "scheme", "locus", "allele"])
+        return self.table("mlst")
 
     @property
     def masks(self) -> DataFrame:
@@ -129,14 +186,12 @@ class SampleIndex:
 
     @property
     def sketch(self) -> DataFrame:
-        return self.table("kmer").distinct()
+        return self.table("kmer")
 
     @property
     def annotations(self) -> DataFrame:
-        """One row a variant; of several loads the least row counts."""
-        a = self.table("annotations")
-        w = Window.partitionBy("spdi").orderBy(*[F.col(c).asc_nulls_last() for c in a.columns])
-        return a.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        """One row a variant; of several loads the first counts, and of one load the least row."""
+        return self.table("annotations").drop("bin")
 
     @property
     def references(self) -> DataFrame:
@@ -146,84 +201,67 @@ class SampleIndex:
     def sequences(self) -> DataFrame:
         return self.table("reference_sequences").select(F.col("sequence_name").alias("sequence"), "length", F.col("sequence").alias("bases"))
 
+    def bases_of(self, reference_name: str) -> DataFrame:
+        t = self.table("reference_sequences").where(F.col("reference_name") == reference_name)
+        return t.select(F.col("sequence_name").alias("sequence"), F.col("sequence").alias("bases"))
+
     @cached_property
     def query_all(self):
         from triloom.query import SamplesQuery
 
         return SamplesQuery.all(self)
 
-    # Queries and summaries of the whole index.
-
-    def samples_query(self, universe: str = "all", reference_name: str | None = None, data_frame: DataFrame | None = None, sample_ids_column: str | None = None, sample_names_column: str | None = None):
-        """A query over all samples, those on a reference ('mutations') or those of a frame ('dataframe')."""
-        from triloom.query import SamplesQuery
-
-        if universe == "all":
-            return SamplesQuery.all(self)
-        if universe == "mutations":
-            return SamplesQuery.on_reference(self, reference_name)
-        if universe == "dataframe":
-            return SamplesQuery.all(self).join(data_frame, sample_ids_column, sample_names_column)
-        raise ValueError(f"unknown universe {universe}")
+    # Results on the driver.
 
     def sample_names(self) -> list[str]:
         return [r[0] for r in self.samples.select("sample_name").orderBy("sample_name").collect()]
 
     def reference_names(self) -> list[str]:
-        return [r[0] for r in self.references.select("reference_name").distinct().orderBy("reference_name").collect()]
+        return [r[0] for r in self.reference_table().orderBy("reference_name").collect()]
 
     def mlst_schemes(self) -> list[str]:
-        return [r[0] for r in self.mlst.select("scheme").distinct().orderBy("scheme").collect()]
+        return [r[0] for r in self.schemes().orderBy("scheme").collect()]
 
     def count_samples(self) -> int:
         return self.samples.count()
 
     def count_references(self) -> int:
-        return self.references.select("reference_name").distinct().count()
+        return self.reference_table().count()
 
     def count_mutations(self, reference_name: str, include_unknown: bool = False) -> int:
-        on = self.references.where(F.col("reference_name") == reference_name)
-        calls = self.calls.join(on, "sequence", "left_semi")
-        return (calls if include_unknown else calls.where("insertion <> '?'")).select("spdi").distinct().count()
-
-    def mutations_summary(self, reference_name: str, **which) -> DataFrame:
-        """Of the samples on the reference; features of other references are not filtered out, as in the original."""
-        return self.samples_query("mutations", reference_name).features_summary("mutations", **which)
-
-    def mlst_summary(self, scheme: str | None = None, locus: str | None = None, **which) -> DataFrame:
-        """Of all samples, or of those with the scheme where one is given."""
-        query = self.samples_query()
-        if scheme:
-            query = query.set_universe(self.mlst.where(F.col("scheme") == scheme))
-        return query.features_summary("mlst", scheme=scheme, locus=locus, **which)
-
-    def features_summary(self, kind: str = "mutations", scope: str | None = None, **which) -> DataFrame:
-        if kind in ("mutations", "mutation"):
-            return self.mutations_summary(scope, **which)
-        if kind == "mlst":
-            return self.mlst_summary(scope, **which)
-        raise ValueError(f"unknown kind {kind}")
+        return self.mutation_counts(reference_name, include_unknown).count()
 
     def sample_ids(self, names: list[str], ignore_missing: bool = False) -> DataFrame:
         """(sample_id, sample_name) of the names; unknown ones are an error that lists ten of them, unless ignored."""
-        asked = self.spark.createDataFrame([(n,) for n in names], "sample_name string").distinct()
+        asked = self.spark.createDataFrame([(n,) for n in names], "sample_name string")
         if not ignore_missing:
-            lost = [r[0] for r in asked.join(self.samples, "sample_name", "left_anti").orderBy("sample_name").limit(10).collect()]
+            lost = [r[0] for r in self.missing_names(asked).orderBy("sample_name").limit(10).collect()]
             if lost:
                 raise ValueError(f"no such samples: {', '.join(lost)}")
-        return self.samples.join(asked, "sample_name", "left_semi")
+        return self.samples_named(asked)
+
+    def _asked(self, features: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(f,) for f in features], "feature string")
 
     def find_samples_by_features(self, features: list[str]) -> dict[str, list[str]]:
-        """Names of the samples that are found to have each feature."""
+        """Names of the samples that are found to have each feature: one plan for all variants and
+        alleles; HGVS ids go by their query, as several variants may carry one."""
         from triloom.query import SamplesQuery
 
-        return {f: SamplesQuery.all(self).hasa(f).tolist() for f in features}
+        named = [f for f in features if f.startswith(("hgvs:", "hgvs_gn:"))]
+        rows = self.samples_of_features(self._asked([f for f in features if f not in named])).join(self.samples, "sample_id")
+        found: dict[str, list[str]] = {f: SamplesQuery.all(self).hasa(f).tolist() if f in named else [] for f in features}
+        for r in rows.orderBy("sample_name").collect():
+            found[r["feature"]].append(r["sample_name"])
+        return found
 
     def count_samples_by_features(self, features: list[str]) -> dict[str, int]:
-        return {f: len(n) for f, n in self.find_samples_by_features(features).items()}
+        plain = [f for f in features if not f.startswith(("hgvs:", "hgvs_gn:"))]
+        counts = {r["feature"]: r["n"] for r in self.feature_sample_counts(self._asked(plain)).collect()}
+        return {f: counts[f] if f in counts else len(self.samples_query().hasa(f)) for f in features}
 
     def has_kmer_index(self, sample_name: str) -> bool:
-        return not self.sketch.join(self.samples.where(F.col("sample_name") == sample_name), "sample_id", "left_semi").isEmpty()
+        return not self.with_kmer_index().join(self.samples.where(F.col("sample_name") == sample_name), "sample_id", "left_semi").isEmpty()
 
     def spdi_with_bases(self, spdi: list[str]) -> dict[str, str]:
         """Ids with the deletion spelled out from the reference."""
@@ -234,12 +272,23 @@ class SampleIndex:
 
     # Ingest.
 
+    def _claim(self, names: DataFrame, kind: str, allow_existing: bool) -> DataFrame:
+        """(sample_id, sample_name) of all names, new ones numbered and noted as loaded. Samples that
+        have a load of the kind are an error before anything is written, unless allowed."""
+        before = self.samples_named(names)
+        loaded = self.table("loads").where(F.col("kind") == kind)
+        if not allow_existing:
+            require_new(loaded, before, kind)
+        known = self.add_samples(names)
+        self.append("loads", known.join(loaded, "sample_id", "left_anti").select("sample_id", F.lit(kind).alias("kind")))
+        return known
+
     def add_samples(self, names: DataFrame) -> DataFrame:
         """Get or create: ids of all names."""
         fresh = new_samples(self.samples, names)
         if not fresh.isEmpty():
             self.append("samples", fresh)
-        return self.samples.join(names.select("sample_name").distinct(), "sample_name", "left_semi")
+        return self.samples_named(names)
 
     def add_reference(self, name: str, seqs: DataFrame) -> None:
         """seqs (sequence, bases)."""
@@ -247,17 +296,18 @@ class SampleIndex:
             raise ExistsError(f"reference {name} exists")
         self.append("reference_sequences", seqs.select(F.lit(name).alias("reference_name"), F.col("sequence").alias("sequence_name"), F.length("bases").alias("length"), F.col("bases").alias("sequence")))
 
-    def add_variants(self, variants: DataFrame, masks: DataFrame | None = None, allow_existing: bool = False) -> None:
-        """variants: VCF rows (sample, chrom, pos, ref, alt, type, annotation fields or none);
-        masks (sample, sequence, start0, end0). Masked positions become unknown calls and win over variants."""
+    def add_variants(self, variants: DataFrame, masks: DataFrame | None = None, allow_existing: bool = False, index_unknown: bool = True, names: DataFrame | None = None) -> None:
+        """variants: VCF rows (sample, chrom, pos, ref, alt, type, annotation fields or none) of any
+        number of samples; masks (sample, sequence, start0, end0). Masked positions become unknown
+        calls and win over variants; without index_unknown they are kept as masks only. names
+        (sample_name): samples that are there even if they have neither variant nor mask."""
         from triloom.operators import annotate, intervals
 
-        names = variants.select(F.col("sample").alias("sample_name"))
-        if masks is not None:
-            names = names.union(masks.select("sample"))
-        known = self.add_samples(names)
-        if not allow_existing:
-            require_new(self.table("calls"), known, "variants")
+        if names is None:
+            names = variants.select(F.col("sample").alias("sample_name"))
+            if masks is not None:
+                names = names.union(masks.select("sample"))
+        known = self._claim(names, "variants", allow_existing)
         own = variants.join(known, variants["sample"] == known["sample_name"])
         calls = own.select(
             "sample_id", F.col("chrom").alias("sequence"), F.col("pos").alias("position"), F.length("ref").alias("deletion"), F.col("alt").alias("insertion"), F.col("type").alias("var_type")
@@ -265,32 +315,33 @@ class SampleIndex:
         if masks is not None:
             m = masks.join(known, masks["sample"] == known["sample_name"]).select("sample_id", "sequence", "start0", "end0")
             m = intervals.merge(m, ["sample_id", "sequence"])
-            self.append("masks", m)
-            calls = calls.unionByName(intervals.unknown_features(m).select(*calls.columns))
+            self.add("masks", m, not allow_existing)
+            if index_unknown:
+                calls = calls.unionByName(intervals.unknown_features(m).select(*calls.columns))
         calls = annotate.mask_precedence(calls, ["sample_id", "sequence", "position"], "insertion")
         calls = calls.withColumn("spdi", ids.spdi_format(F.col("sequence"), F.col("position"), F.col("deletion"), F.col("insertion")))
-        self.append("calls", calls)
+        self.add("calls", calls, not allow_existing)
         if "annotation" in variants.columns:
             s, g = F.col("chrom"), F.col("gene_id")
             spdi = ids.spdi_format(s, F.col("pos"), F.length("ref"), F.col("alt"))
             notes = variants.where("annotation is not null or hgvs_c is not null").select(
                 spdi.alias("spdi"), s.alias("sequence"), F.col("pos").alias("position"), F.length("ref").alias("deletion"), F.col("alt").alias("insertion"), F.col("type").alias("var_type"), "annotation", "impact", "gene_name", "gene_id", "hgvs_c", "hgvs_p"
             )
-            g = F.col("gene_id")
-            self.append("annotations", notes.distinct().withColumns({"id_hgvs_c": ids.hgvs_id(F.col("sequence"), g, F.col("hgvs_c")), "id_hgvs_p": ids.hgvs_id(F.col("sequence"), g, F.col("hgvs_p"))}))
+            s = F.col("sequence")
+            self.add("annotations", notes.withColumns({"id_hgvs_c": ids.hgvs_id(s, g, F.col("hgvs_c")), "id_hgvs_p": ids.hgvs_id(s, g, F.col("hgvs_p"))}))
 
     def add_mlst(self, rows: DataFrame, allow_existing: bool = False) -> None:
         """rows (sample, scheme, locus, allele) as the table readers give them."""
-        known = self.add_samples(rows.select(F.col("sample").alias("sample_name")))
-        if not allow_existing:
-            require_new(self.table("mlst"), known, "alleles")
-        self.append("mlst", rows.join(known, rows["sample"] == known["sample_name"]).select("sample_id", "scheme", "locus", "allele").distinct())
+        known = self._claim(rows.select(F.col("sample").alias("sample_name")), "alleles", allow_existing)
+        self.add("mlst", rows.join(known, rows["sample"] == known["sample_name"]).select("sample_id", "scheme", "locus", "allele"), not allow_existing)
 
     def add_sketches(self, rows: DataFrame) -> None:
         """rows (sample, ksize, hash); samples with a sketch are skipped."""
-        known = self.add_samples(rows.select(F.col("sample").alias("sample_name")))
-        new = known.join(self.sketch.select("sample_id"), "sample_id", "left_anti")
-        self.append("kmer", rows.join(new, rows["sample"] == new["sample_name"]).select("sample_id", "ksize", "hash"))
+        names = rows.select(F.col("sample").alias("sample_name"))
+        loaded = self.table("loads").where("kind = 'sketch'")
+        fresh = names.distinct().join(self.samples.join(loaded, "sample_id", "left_semi"), "sample_name", "left_anti")
+        known = self._claim(fresh, "sketch", True)
+        self.add("kmer", rows.join(known, rows["sample"] == known["sample_name"]).select("sample_id", "ksize", "hash"), True)
 
     def update_tree(self, reference_name: str, newick: str, alignment_length: int) -> None:
         if alignment_length <= 0:
@@ -303,27 +354,53 @@ class SampleIndex:
         r = self.table("trees").where(F.col("reference_name") == reference_name).first()
         return (r["newick"], r["alignment_length"]) if r else None
 
-    def rebuild_tree(self, reference_name: str) -> str:
+    def rebuild_tree(self, reference_name: str, align_type: str = "full", include_variants: tuple[str, ...] | None = None) -> str:
         """Neighbour joining of the SNP distances of all samples on the reference, stored with it."""
         from triloom.operators import tree
         from triloom.query import SamplesQuery
 
-        q = SamplesQuery.on_reference(self, reference_name).build_tree("mutation", reference_name=reference_name)
+        q = SamplesQuery.on_reference(self, reference_name).build_tree("mutation", reference_name=reference_name, align_type=align_type, include_variants=include_variants)
         newick = tree.to_newick(q.root)
         self.update_tree(reference_name, newick, q.alignment_length)
         return newick
 
     def sizes(self, unit: str = "B") -> DataFrame:
         """(part, size, files) of each table's folder and their total."""
-        jvm, rows = self.spark._jvm, []
+        rows = []
         for name in _TABLES:
             if self._there(name):
-                path = jvm.org.apache.hadoop.fs.Path(self._path(name))
-                s = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path)
+                files, path = self._files(self._path(name))
+                s = files.getContentSummary(path)
                 rows.append((name, float(s.getLength()), int(s.getFileCount())))
         rows.append(("Total", sum(r[1] for r in rows), sum(r[2] for r in rows)))
         return self.spark.createDataFrame(rows, "part string, size double, files int").withColumn("size", ids.size_in_unit(F.col("size"), unit))
 
 
-def project_file(root: str) -> str:
-    return str(PurePosixPath(root) / "triloom.json")
+#: The project's settings, beside its data.
+CONFIG = "triloom.json"
+
+
+def _config(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{CONFIG}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def init_project(spark: SparkSession, root: str, data: str = "data") -> SampleIndex:
+    """A new project folder: settings that name the data folder, relative to it. One that is there is an error."""
+    files, path = _config(spark, root)
+    if files.exists(path):
+        raise ExistsError(f"{root} is a project already")
+    write_text(spark, path.toString(), json.dumps({"format": 1, "data": data}), overwrite=False)
+    return open_project(spark, root)
+
+
+def open_project(spark: SparkSession, root: str) -> SampleIndex:
+    """The index of a project folder, as its settings say."""
+    files, path = _config(spark, root)
+    if not files.exists(path):
+        raise ValueError(f"{root} is no project: it has no {CONFIG}; run init first")
+    config = json.loads("\n".join(r[0] for r in spark.read.text(path.toString()).collect()))
+    if config.get("format") != 1 or not config.get("data"):
+        raise ValueError(f"{root}/{CONFIG} is not understood: {config}")
+    data = config["data"]
+    return SampleIndex(spark, data if "://" in data or data.startswith("/") else f"{root.rstrip('/')}/{data}")

@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triloom.operators import intervals
 from triloom.schema import UNKNOWN_TYPE
+from triloom.session import ship
+
+#: What a full alignment shows unless told otherwise.
+VARIANTS = ("SNP", "MNP", "DELETION")
+
+
+def _put(bases: Column, at: Column, put: Column) -> Column:
+    """bases with each string of `put` written over them from place `at` on (from 1), in the order of the
+    lists; what reaches beyond the end is left out. One pass over a buffer: time is that of the
+    bases and the edits together, whatever their number."""
+
+    @F.pandas_udf("string")
+    def call(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for b, places, strings in rows:
+            out = []
+            for text, ats, puts in zip(b, places, strings, strict=True):
+                if text is not None and ats is not None and len(ats):
+                    buffer = bytearray(text, "utf-8")
+                    for i, s in zip(ats, puts, strict=True):
+                        if i <= len(buffer):
+                            buffer[i - 1 : i - 1 + len(s)] = s.encode()[: len(buffer) - i + 1]
+                    text = buffer.decode()
+                out.append(text)
+            yield pd.Series(out, dtype=object)
+
+    return call(bases, at, put)
 
 
 def core_positions(calls: DataFrame, masks: DataFrame | None = None) -> DataFrame:
@@ -47,15 +77,15 @@ def core_alignment(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks:
     edit = F.struct(F.col("_at").alias("at"), F.repeat("alt", F.col("times").cast("int")).alias("s"))
     edits = own.groupBy("sample_id", "sequence").agg(F.sort_array(F.collect_list(edit)).alias("_e"))
     t = samples.select("sample_id", "sample_name").crossJoin(core).join(edits, ["sample_id", "sequence"], "left")
-    none = F.array().cast("array<struct<at:int,s:string>>")
-    put = F.aggregate(F.coalesce("_e", none), F.col("bases"), lambda acc, x: F.overlay(acc, x["s"], x["at"]))
+    ship(samples.sparkSession)
+    put = _put(F.col("bases"), F.col("_e.at"), F.col("_e.s"))
     rows = t.select(F.col("sample_name").alias("record_id"), "sequence", put.alias("bases"))
     if reference_name:
         rows = rows.union(core.select(F.lit(reference_name), "sequence", "bases"))
     return concat(rows, refs)
 
 
-def consensus(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks: DataFrame | None = None, types: tuple[str, ...] = ("SNP", "MNP", "DELETION")) -> DataFrame:
+def consensus(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks: DataFrame | None = None, types: tuple[str, ...] = VARIANTS) -> DataFrame:
     """(record_id, sequence, bases) of the full reference length: variants put in, deletions as -, masked bases as N.
 
     Only variants that keep the length are applied: an insertion beyond the deleted bases is not.
@@ -68,13 +98,12 @@ def consensus(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks: Data
         edit = edit.union(m.select("sample_id", "sequence", F.col("start0") + 1, F.repeat(F.lit("N"), (F.col("end0") - F.col("start0")).cast("int")), F.lit(1)))
     edits = edit.groupBy("sample_id", "sequence").agg(F.sort_array(F.collect_list(F.struct("o", "at", "s"))).alias("_e"))
     t = samples.select("sample_id", "sample_name").crossJoin(refs).join(edits, ["sample_id", "sequence"], "left")
-    none = F.array().cast("array<struct<o:int,at:bigint,s:string>>")
-    n = F.length("bases")
-    put = F.aggregate(F.coalesce("_e", none), F.col("bases"), lambda acc, x: F.when(x["at"] <= n, F.substring(F.overlay(acc, x["s"], x["at"].cast("int")), F.lit(1), n)).otherwise(acc))
+    ship(samples.sparkSession)
+    put = _put(F.col("bases"), F.col("_e.at"), F.col("_e.s"))
     return t.select(F.col("sample_name").alias("record_id"), "sequence", put.alias("bases"))
 
 
-def full_alignment(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks: DataFrame | None = None, reference_name: str | None = None, types: tuple[str, ...] = ("SNP", "MNP", "DELETION")) -> DataFrame:
+def full_alignment(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks: DataFrame | None = None, reference_name: str | None = None, types: tuple[str, ...] = VARIANTS) -> DataFrame:
     """(record_id, alignment): concatenated consensus, the last sequence first, then ascending."""
     rows = consensus(calls, samples, refs, masks, types)
     if reference_name:
@@ -83,13 +112,56 @@ def full_alignment(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks:
 
 
 def concat(rows: DataFrame, names: DataFrame) -> DataFrame:
-    rows = rows.join(F.broadcast(_sequence_order(names)), "sequence")
+    rows = rows.join(_sequence_order(names), "sequence")  # one row a sequence, broadcast if found small
     parts = F.sort_array(F.collect_list(F.struct("_rank", "bases")))
     return rows.groupBy("record_id").agg(F.array_join(F.transform(parts, lambda x: x["bases"]), "").alias("alignment"))
 
 
-def snp_distances(alignment: DataFrame) -> DataFrame:
-    """(a, b, distance) for a < b: positions at which both have one of ACGT and differ, from long base rows."""
-    long = alignment.select("record_id", F.posexplode(F.split("alignment", "")).alias("i", "b")).where("b rlike '^[ACGT]$'")
-    x, y = long.select(F.col("record_id").alias("a"), "i", F.col("b").alias("p")), long.select(F.col("record_id").alias("b"), "i", F.col("b").alias("q"))
-    return x.join(y, "i").where("a < b").groupBy("a", "b").agg(F.sum((F.col("p") != F.col("q")).cast("double")).alias("distance"))
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
+
+
+def snp_distances(alignment: DataFrame, block: int = 256, width: int = 1 << 15) -> DataFrame:
+    """(a, b, distance) for a < b: positions at which both have one of ACGT and differ, of the pairs
+    that share a position.
+
+    Records are dealt into blocks and cut into slices; a unit compares two blocks on one slice by
+    products of their letters' incidence, so rows are records times blocks times slices, and no
+    position is ever a row.
+    """
+    n = alignment.agg(F.ceil(F.count("*") / block).cast("int")).scalar()
+    own = F.pmod(F.xxhash64("record_id"), F.greatest(n, F.lit(1))).cast("int")
+    cut = F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("alignment"), F.lit(1)), F.lit(width)), lambda i: F.substring("alignment", i, F.lit(width))))
+    rows = alignment.select("record_id", own.alias("own"), cut.alias("slice", "bases")).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)))
+    rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "slice", "own", "record_id", "bases")
+
+    def compare(unit: pd.DataFrame) -> pd.DataFrame:
+        names, own = unit["record_id"].to_numpy(), unit["own"].to_numpy()
+        letters = np.zeros((len(unit), max(map(len, unit["bases"]))), np.uint8)
+        for k, text in enumerate(unit["bases"]):
+            letters[k, : len(text)] = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+        i, j = int(unit["i"].iloc[0]), int(unit["j"].iloc[0])
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        same, both = 0, 0
+        valid = np.isin(letters, _LETTERS).astype(np.float32)
+        both = valid[left] @ valid[right].T
+        for c in _LETTERS:
+            hit = (letters == c).astype(np.float32)
+            same = same + hit[left] @ hit[right].T
+        x, y = np.nonzero(both)
+        a, b = names[left[x]], names[right[y]]
+        keep = a < b if i == j else a != b
+        low, high = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep]
+        return pd.DataFrame({"a": low, "b": high, "distance": (both - same)[x, y][keep].astype(float)})
+
+    parts = rows.groupBy("i", "j", "slice").applyInPandas(compare, "a string, b string, distance double")
+    return parts.groupBy("a", "b").agg(F.sum("distance").alias("distance"))
+
+
+def distance_matrix(alignment: DataFrame) -> tuple[list[str], int, np.ndarray]:
+    """(record ids, alignment length, matrix of SNP distances) on the driver, as tree building demands."""
+    rows = alignment.select("record_id", F.length("alignment").alias("n")).collect()
+    labels, length = sorted(r["record_id"] for r in rows), max((r["n"] for r in rows), default=0)
+    at, m = {x: i for i, x in enumerate(labels)}, np.zeros((len(labels), len(labels)))
+    for r in snp_distances(alignment).toLocalIterator():
+        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["distance"]
+    return labels, length, m

@@ -62,6 +62,3 @@ def jensen_shannon(proportions: DataFrame) -> DataFrame:
     pairs = names.select(F.col("category").alias("a")).join(names.select(F.col("category").alias("b")), F.col("a") < F.col("b"))
     return pairs.join(near, ["a", "b"], "left").select("a", "b", F.sqrt(F.greatest(F.lit(0.0), F.lit(float(np.log(2))) - F.coalesce("s", F.lit(0.0)))).alias("distance"))
 
-
-def merge_tree(labels: list[str], matrix: np.ndarray) -> tree.Node:
-    return tree.single_linkage(labels, matrix)

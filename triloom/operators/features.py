@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triloom.functions.ids import percent
+from triloom.functions.ids import percent, sanitize_name
 from triloom.schema import UNKNOWN_ALLELE, UNKNOWN_TYPE
 
 MUTATION_COLUMNS = ["sequence", "position", "deletion", "insertion", "var_type"]
@@ -92,3 +92,10 @@ def comparison(
             cols += [value(F.col(f"_u{i}"), n).alias(f"{n}_Unknown {unit}"), value(F.col(f"_p{i}") + F.col(f"_u{i}"), n).alias(f"{n}_Present and Unknown {unit}")]
         cols.append(F.lit(sizes.get(n, 0)).cast("long").alias(f"{n}_total"))
     return out.select("feature", *cols).join(features.select("feature", *columns).distinct(), "feature")
+
+
+def restore_names(rows: DataFrame, safe: str, names: DataFrame, column: str) -> DataFrame:
+    """rows with the names (column) that their sanitised forms (safe) stand for. Names that share a form
+    are both given; the join is left to choose its side by size."""
+    known = names.select(column).distinct().withColumn(safe, sanitize_name(F.col(column)))
+    return rows.join(known, safe)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 KEYS = ["sequence"]
 
 
-#: Positions that are merged among themselves before the rest of their sequence.
+#: Positions of a span: spans are merged and swept side by side.
 _SPAN = 1 << 16
 
 
@@ -20,26 +20,39 @@ def _islands(a: DataFrame, keys: list[str]) -> DataFrame:
     return island.groupBy(*keys, "_island").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_island")
 
 
-def merge(a: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Sorted, with overlapping and bookended intervals merged: a running end starts islands.
+def _cut(a: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals cut where a span ends, with their span (_span)."""
+    spans = F.sequence(F.floor(F.col("start0") / _SPAN), F.floor(F.greatest(F.col("start0"), F.col("end0") - 1) / _SPAN))
+    t = a.select(*keys, "start0", "end0", F.explode(spans).alias("_span"))
+    lo = F.col("_span") * _SPAN
+    return t.select(*keys, F.greatest(F.col("start0"), lo).alias("start0"), F.least(F.col("end0"), lo + _SPAN).alias("end0"), "_span")
+
+
+def _joined(t: DataFrame, keys: list[str]) -> DataFrame:
+    """Islands of spans joined over span ends. Only those that touch an end meet in one task a sequence:
+    two a span at most, whatever the number of intervals."""
+    inside = (F.col("start0") > F.col("_span") * _SPAN) & (F.col("end0") < (F.col("_span") + 1) * _SPAN)
+    return _islands(t.withColumn("_part", F.when(inside, F.col("_span"))), [*keys, "_part"]).drop("_part")
+
 
-    Spans of a sequence are merged first, so that a long or hot sequence is dealt to many tasks and
-    only the islands that are left meet in one.
-    """
-    spans = a.select(*keys, "start0", "end0", F.floor(F.col("start0") / _SPAN).alias("_span"))
-    return _islands(_islands(spans, [*keys, "_span"]), keys)
+def merge(a: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Sorted, with overlapping and bookended intervals merged: a running end starts islands, span by span."""
+    return _joined(_islands(_cut(a, keys), [*keys, "_span"]), keys)
 
 
 def _sweep(a: DataFrame, b: DataFrame, keys: list[str], keep: Column) -> DataFrame:
     """Segments between neighbouring boundaries of a and b where keep holds of the coverages _a and _b,
-    merged. One sort per key whatever the overlaps: no pair of intervals is formed."""
+    merged. One sort a span whatever the overlaps: no pair of intervals is formed."""
+    span = [*keys, "_span"]
+
     def ends(t: DataFrame, x: int, y: int) -> DataFrame:
-        return t.select(*keys, F.explode(F.array(F.struct(F.col("start0").alias("at"), F.lit(x).alias("da"), F.lit(y).alias("db")), F.struct(F.col("end0").alias("at"), F.lit(-x).alias("da"), F.lit(-y).alias("db")))).alias("e")).select(*keys, "e.*")
+        return t.select(*span, F.explode(F.array(F.struct(F.col("start0").alias("at"), F.lit(x).alias("da"), F.lit(y).alias("db")), F.struct(F.col("end0").alias("at"), F.lit(-x).alias("da"), F.lit(-y).alias("db")))).alias("e")).select(*span, "e.*")
 
-    points = ends(merge(a, keys), 1, 0).union(ends(merge(b, keys), 0, 1)).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    seg = points.select(*keys, F.col("at").alias("start0"), F.lead("at").over(w).alias("end0"), F.sum("da").over(w).alias("_a"), F.sum("db").over(w).alias("_b"))
-    return _islands(seg.where(keep & F.col("end0").isNotNull()), keys)
+    in_spans = lambda t: _islands(_cut(t, keys), span)
+    points = ends(in_spans(a), 1, 0).union(ends(in_spans(b), 0, 1)).groupBy(*span, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    w = Window.partitionBy(*span).orderBy("at")
+    seg = points.select(*span, F.col("at").alias("start0"), F.lead("at").over(w).alias("end0"), F.sum("da").over(w).alias("_a"), F.sum("db").over(w).alias("_b"))
+    return _joined(_islands(seg.where(keep & F.col("end0").isNotNull()), span), keys)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -132,3 +145,8 @@ def mask_genome(seqs: DataFrame, masks: DataFrame, char: str | None = "?") -> Da
 
 def length(a: DataFrame) -> DataFrame:
     return a.agg(F.coalesce(F.sum(F.col("end0") - F.col("start0")), F.lit(0)).cast("long").alias("length"))
+
+
+def sequence_names(a: DataFrame) -> DataFrame:
+    """(sequence) that the mask has an interval on."""
+    return a.where("end0 > start0").select("sequence").distinct()

@@ -7,23 +7,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.functions.hashing import canonical_kmer_hashes
+from triloom.functions.hashing import canonical_kmer_hashes, most
+from triloom.session import ship
 
 
-def dna_sketch(seqs: DataFrame, k: int = 31, scaled: int = 1000) -> DataFrame:
-    """(sample_id, ksize, hash) of canonical k-mers whose 64-bit hash lies in the lowest 1/scaled, from (sample_id, bases)."""
-    limit = np.uint64(2**64 // scaled - (scaled == 1))
+def dna_sketch(seqs: DataFrame, k: int | list[int] = 31, scaled: int = 1000, key: str = "sample_id") -> DataFrame:
+    """(key, ksize, hash) of canonical k-mers whose 64-bit hash lies in the lowest 1/scaled, for each k,
+    from (key, bases); hashes as signed numbers, the same that signature files hold."""
+    ship(seqs.sparkSession)
+    sizes, limit = [k] if isinstance(k, int) else list(k), np.uint64(most(scaled))
 
     def run(batches):
         for t in batches:
             rows = []
-            for sample, bases in zip(t["sample_id"], t["bases"], strict=True):
-                h = canonical_kmer_hashes(bases or "", k)
-                h = np.unique(h[h <= limit])
-                rows.append(pd.DataFrame({"sample_id": sample, "ksize": k, "hash": h.view("i8")}))
-            yield pd.concat(rows) if rows else pd.DataFrame(columns=["sample_id", "ksize", "hash"])
+            for own, bases in zip(t[key], t["bases"], strict=True):
+                for size in sizes:
+                    h = canonical_kmer_hashes(bases or "", size)
+                    rows.append(pd.DataFrame({key: own, "ksize": size, "hash": np.unique(h[h <= limit]).view("i8")}))
+            yield pd.concat(rows) if rows else pd.DataFrame({key: [], "ksize": [], "hash": []})
 
-    return seqs.select("sample_id", "bases").mapInPandas(run, "sample_id long, ksize int, hash long").distinct()
+    kind = dict(seqs.dtypes)[key]
+    return seqs.select(key, "bases").mapInPandas(run, f"`{key}` {kind}, ksize int, hash long").distinct()
 
 
 def text_sketch(docs: DataFrame, k: int = 3, prefix: str = "1") -> DataFrame:
@@ -35,10 +39,33 @@ def text_sketch(docs: DataFrame, k: int = 3, prefix: str = "1") -> DataFrame:
     return s.where(F.col("hash") < prefix).distinct()
 
 
-def pair_counts(sketch: DataFrame) -> DataFrame:
-    """(sample_a, sample_b, shared) for a < b that share a hash, by one equi join on the hash."""
-    a, b = sketch.select("hash", F.col("sample_id").alias("sample_a")), sketch.select("hash", F.col("sample_id").alias("sample_b"))
-    return a.join(b, "hash").where("sample_a < sample_b").groupBy("sample_a", "sample_b").agg(F.count("*").alias("shared"))
+def pair_counts(sketch: DataFrame, block: int = 256, parts: int = 16) -> DataFrame:
+    """(sample_a, sample_b, shared) for a < b that share a hash.
+
+    Samples are dealt into blocks of about `block`; a hash brings the lists of two blocks together
+    once, so a hash that all samples have costs the square of the blocks and not of the samples.
+    Units of two blocks and one share of the hashes add up their counts before the shuffle.
+    """
+    ship(sketch.sparkSession)
+    n = sketch.agg(F.ceil(F.approx_count_distinct("sample_id") / block).cast("int")).scalar()
+    own = F.pmod(F.xxhash64("sample_id"), F.greatest(n, F.lit(1))).cast("int")
+    lists = sketch.groupBy("hash", own.alias("own")).agg(F.collect_list("sample_id").alias("ids"))
+    x, y = lists.select("hash", F.col("own").alias("i"), F.col("ids").alias("left")), lists.select("hash", F.col("own").alias("j"), F.col("ids").alias("right"))
+    share = F.pmod(F.xxhash64("hash"), F.lit(parts)).cast("int")
+    units = x.join(y, "hash").where("i < j or i = j and size(left) > 1").select("i", "j", share.alias("share"), "left", "right")
+
+    def count(unit: pd.DataFrame) -> pd.DataFrame:
+        left, right = np.unique(np.concatenate(unit["left"].tolist())), np.unique(np.concatenate(unit["right"].tolist()))
+        shared = np.zeros((len(left), len(right)), np.int64)
+        for x, y in zip(unit["left"], unit["right"], strict=True):
+            shared[np.ix_(np.searchsorted(left, x), np.searchsorted(right, y))] += 1
+        x, y = np.nonzero(shared)
+        a, b = left[x], right[y]
+        keep = a < b if unit["i"].iloc[0] == unit["j"].iloc[0] else a != b
+        return pd.DataFrame({"sample_a": np.minimum(a, b)[keep], "sample_b": np.maximum(a, b)[keep], "shared": shared[x, y][keep]})
+
+    counted = units.groupBy("i", "j", "share").applyInPandas(count, "sample_a long, sample_b long, shared long")
+    return counted.groupBy("sample_a", "sample_b").agg(F.sum("shared").alias("shared"))
 
 
 def similar_pairs(sketch: DataFrame) -> DataFrame:
@@ -59,11 +86,10 @@ def distance_matrix(sketch: DataFrame, samples: DataFrame) -> tuple[list[int], n
     own = sketch.join(samples.select("sample_id"), "sample_id", "left_semi")
     if (gone := missing_sketches(own, samples).count()) > 0:
         raise ValueError(f"{gone} samples have no sketch")
-    at, m = {s: i for i, s in enumerate(ids)}, np.ones((len(ids), len(ids)))
+    m, pairs = np.ones((len(ids), len(ids))), similar_pairs(own).toArrow()
     np.fill_diagonal(m, 0)
-    for r in similar_pairs(own).collect():
-        i, j = at[r["sample_a"]], at[r["sample_b"]]
-        m[i, j] = m[j, i] = r["distance"]
+    i, j = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("sample_a", "sample_b"))
+    m[i, j] = m[j, i] = pairs.column("distance").to_numpy()
     return ids, m
 
 

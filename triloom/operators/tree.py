@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triloom.schema import TREE_NODES
@@ -113,10 +113,10 @@ def tree_nodes(spark: SparkSession, root: Node, tree_id: str = "tree") -> DataFr
     return spark.createDataFrame(node_rows(root, tree_id), TREE_NODES)
 
 
-def ancestors(nodes: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+def ancestors(nodes: DataFrame, chunk: int = 1 << 16, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """(tree_id, leaf, lft, rgt, root_dist, depth): every leaf number with each node above it, so that
     ancestors are found by an equi join; leaves times depth rows, dealt out in chunks."""
-    n = nodes.select("tree_id", "lft", "rgt", "root_dist", "depth")
+    n = nodes.select("tree_id", "lft", "rgt", "root_dist", "depth", *keep)
     n = n.withColumn("_from", F.explode(F.sequence("lft", "rgt", F.lit(chunk))))
     return n.withColumn("leaf", F.explode(F.sequence("_from", F.least("rgt", F.col("_from") + chunk - 1)))).drop("_from")
 
@@ -135,69 +135,109 @@ def leaves_below(nodes: DataFrame, top: DataFrame) -> DataFrame:
     return nodes.where("is_leaf").join(t, "tree_id").where("lft between _lo and _hi").select("name").distinct()
 
 
-def distances(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+def distances(nodes: DataFrame, anchors: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """(anchor, name, distance) of every leaf to every anchor: root_dist of both less twice that of
-    their last common ancestor. The ancestors of an anchor partition the leaves, so each leaf joins
-    one row per anchor and ancestor range, not each pair with each node."""
+    their last common ancestor. The ancestors of an anchor cut the leaves into ranges, two for each
+    ancestor: those below it and not below the next. Ranges become leaf numbers, in chunks, which
+    meet the leaves by an equal join; so rows are as many as there are pairs in the result."""
     leaf = nodes.where("is_leaf").select("tree_id", "name", "lft", "root_dist")
     a = leaf.join(anchors.select("name").distinct(), "name", "left_semi").select("tree_id", F.col("name").alias("anchor"), F.col("lft").alias("al"), F.col("root_dist").alias("ad"))
     above = ancestors(nodes).select("tree_id", F.col("leaf").alias("al"), F.col("lft").alias("nl"), F.col("rgt").alias("nr"), F.col("root_dist").alias("nd"), "depth")
-    up = a.join(above, ["tree_id", "al"])
-    hit = up.join(leaf, "tree_id").where("lft between nl and nr")
-    far = hit.groupBy("anchor", "name").agg(F.max_by("nd", "depth").alias("nd"), F.first("ad").alias("ad"), F.first("root_dist").alias("rd"))
-    return far.select("anchor", "name", (F.col("ad") + F.col("rd") - 2 * F.col("nd")).alias("distance"))
+    w = Window.partitionBy("tree_id", "anchor").orderBy(F.col("depth").desc())
+    up = a.join(above, ["tree_id", "al"]).withColumns({"bl": F.lag("nl").over(w), "br": F.lag("nr").over(w)})
+    whole = F.array(F.struct(F.col("nl").alias("lo"), F.col("nr").alias("hi")))
+    sides = F.array(F.struct(F.col("nl").alias("lo"), (F.col("bl") - 1).alias("hi")), F.struct((F.col("br") + 1).alias("lo"), F.col("nr").alias("hi")))
+    parts = up.select("tree_id", "anchor", "ad", "nd", F.explode(F.when(F.col("bl").isNull(), whole).otherwise(sides)).alias("r")).where("r.lo <= r.hi")
+    parts = parts.withColumn("from", F.explode(F.sequence("r.lo", "r.hi", F.lit(chunk))))
+    parts = parts.select("tree_id", "anchor", "ad", "nd", F.explode(F.sequence("from", F.least(F.col("r.hi"), F.col("from") + chunk - 1))).alias("lft"))
+    return parts.join(leaf, ["tree_id", "lft"]).select("anchor", "name", (F.col("ad") + F.col("root_dist") - 2 * F.col("nd")).alias("distance"))
 
 
-# Driver-side reshaping.
+def leaves_of_inner(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node, name): every inner node's name with each leaf below it, by equal joins."""
+    inner = ancestors(nodes.where("not is_leaf").select("tree_id", F.col("name").alias("node"), "lft", "rgt", "root_dist", "depth"), keep=["node"])
+    leaf = nodes.where("is_leaf").select("tree_id", F.col("lft").alias("leaf"), "name")
+    return inner.join(leaf, ["tree_id", "leaf"]).select("tree_id", "node", "name")
+
+
+# Driver-side reshaping; without recursion, as trees may be as deep as they have leaves.
+
+
+def _rebuilt(root: Node, make) -> Node | None:
+    """A new tree from the bottom up: make(node, new children) gives a node's successor or None."""
+    made: dict[int, Node | None] = {}
+    todo = [(root, False)]
+    while todo:
+        n, ready = todo.pop()
+        if n.children and not ready:
+            todo.append((n, True))
+            todo += [(c, False) for c in n.children]
+        else:
+            made[id(n)] = make(n, [k for c in n.children if (k := made.pop(id(c))) is not None])
+    return made[id(root)]
 
 
 def prune(root: Node, keep: set[str], preserve_length: bool = True) -> Node | None:
-    """The tree of the kept leaves; nodes with one child are merged, their lengths summed if asked."""
-    def go(n: Node) -> Node | None:
+    """The tree of the kept leaves, a new one; nodes with one child are merged, their lengths summed if asked."""
+    def make(n: Node, kids: list[Node]) -> Node | None:
         if not n.children:
             return Node(n.name, n.length) if n.name in keep else None
-        kids = [k for k in map(go, n.children) if k is not None]
-        if not kids:
-            return None
         if len(kids) == 1:
-            kid = kids[0]
-            kid.length += n.length if preserve_length else 0
-            return kid
-        return Node(n.name, n.length, kids)
+            kids[0].length += n.length if preserve_length else 0
+            return kids[0]
+        return Node(n.name, n.length, kids) if kids else None
 
-    out = go(root)
+    out = _rebuilt(root, make)
     if out is not None:
         out.length = 0.0
     return out
 
 
 def set_outgroup(root: Node, leaf: str) -> Node:
-    """Re-rooted halfway along the branch above the leaf."""
-    graph: dict[int, list[tuple[Node, float]]] = {}
-    todo = [root]
+    """Re-rooted halfway along the branch above the leaf; a node that is left with one child is merged."""
+    above: dict[int, Node] = {}
+    todo, target = [root], None
     while todo:
         n = todo.pop()
         for c in n.children:
-            graph.setdefault(id(n), []).append((c, c.length))
-            graph.setdefault(id(c), []).append((n, c.length))
-            todo.append(c)
-    target = next((n for n in root.leaves() if n.name == leaf), None)
-    if target is None:
+            above[id(c)] = n
+        todo += n.children
+        target = n if not n.children and n.name == leaf else target
+    if target is None or target is root:
         raise ValueError(f"no leaf {leaf}")
-    (next_to, length), = graph[id(target)]
-
-    def grow(n: Node, came: Node, length: float) -> Node:
-        kids = [grow(c, n, d) for c, d in graph.get(id(n), []) if c is not came]
+    # From the old root down to the leaf, each node becomes a child of the next one below it.
+    path = [target]
+    while path[-1] is not root:
+        path.append(above[id(path[-1])])
+    rest: Node | None = None
+    for n, below in zip(reversed(path[1:]), reversed(path[:-1]), strict=True):
+        kids = [_rebuilt(c, lambda x, k: Node(x.name, x.length, k)) for c in n.children if c is not below]
+        kids += [rest] if rest is not None else []
         if len(kids) == 1:
-            kids[0].length += length
-            return kids[0]
-        return Node(n.name, length, kids)
-
-    return Node(None, 0.0, [Node(target.name, length / 2), grow(next_to, target, length / 2)])
+            rest = kids[0]
+            rest.length += below.length
+        else:
+            rest = Node(n.name, below.length, kids)
+    rest.length -= target.length / 2
+    return Node(None, 0.0, [Node(target.name, target.length / 2), rest])
 
 
 def relabel(root: Node, rename) -> Node:
-    return Node(rename(root.name) if not root.children and root.name else root.name, root.length, [relabel(c, rename) for c in root.children])
+    return _rebuilt(root, lambda n, kids: Node(rename(n.name) if not kids and n.name else n.name, n.length, kids))
+
+
+def label_internal(root: Node, label) -> Node:
+    """Inner nodes named by a function of the sorted leaf names below each."""
+    names: dict[int, list[str]] = {}
+
+    def make(n: Node, kids: list[Node]) -> Node:
+        out = Node(n.name, n.length, kids)
+        names[id(out)] = sorted(x for k in kids for x in names.pop(id(k))) if kids else [n.name or ""]
+        if kids:
+            out.name = label(names[id(out)])
+        return out
+
+    return _rebuilt(root, make)
 
 
 def single_linkage(labels: list[str], matrix: np.ndarray) -> Node:
@@ -206,7 +246,17 @@ def single_linkage(labels: list[str], matrix: np.ndarray) -> Node:
     n = len(labels)
     if n == 0:
         raise ValueError("no samples")
-    edges = sorted((float(matrix[i, j]), i, j) for i in range(n) for j in range(i + 1, n))
+    # Prim's spanning tree: n steps of one row each.
+    near, via, out = np.array(matrix[0], float), np.zeros(n, np.intp), np.ones(n, bool)
+    out[0] = False
+    edges = []
+    for _ in range(n - 1):
+        j = int(np.where(out, near, np.inf).argmin())
+        edges.append((float(near[j]), *sorted((int(via[j]), j))))
+        out[j] = False
+        closer = out & (matrix[j] < near)
+        near[closer], via[closer] = matrix[j][closer], j
+    edges.sort()
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -218,9 +268,8 @@ def single_linkage(labels: list[str], matrix: np.ndarray) -> Node:
     made, height = {i: Node(labels[i]) for i in range(n)}, dict.fromkeys(range(n), 0.0)
     for d, i, j in edges:
         a, b = root(i), root(j)
-        if a != b:
-            made[a].length, made[b].length = d / 2 - height[a], d / 2 - height[b]
-            made[a], height[a], parent[b] = Node(None, 0.0, [made[a], made[b]]), d / 2, a
+        made[a].length, made[b].length = d / 2 - height[a], d / 2 - height[b]
+        made[a], height[a], parent[b] = Node(None, 0.0, [made[a], made[b]]), d / 2, a
     return made[root(0)]
 
 

@@ -9,6 +9,8 @@ from triloom.operators import annotate, features
 from triloom.plans.projection import Tables
 from triloom.plans.q_states import H1, H12, h, q
 from triloom.plans.registry import query
+from triloom.sources import readers
+from triloom.view import IndexView
 
 _COLS = "sequence, position, deletion, insertion, var_type"
 _PCT = "CAST(count AS DOUBLE) / CAST(total AS DOUBLE) * 100.0 AS percent"
@@ -41,10 +43,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("mlst_summary_scheme", "SELECT feature, scheme, locus, allele, count, total, " + _PCT + " FROM (SELECT feature, scheme, locus, allele, count(*) AS count, (SELECT count(DISTINCT sample_id) FROM mlst WHERE scheme = 'EUROPE') AS total FROM mlstf WHERE scheme = 'EUROPE' AND allele <> '?' GROUP BY ALL)")
 def _(t: Tables) -> DataFrame:
-    """Of all samples with a scheme given: the total is the scheme's samples."""
-    f = features.mlst_features(t.mlst_features, scheme="EUROPE")
-    total = t.mlst.where("scheme = 'EUROPE'").select("sample_id").distinct().count()
-    return features.summary(f, features.MLST_COLUMNS, None, F.lit(total).cast("long"))
+    return t.mlst_summary(scheme="EUROPE")
 
 
 _UNK = {
@@ -92,7 +91,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("tofeaturesset", "SELECT DISTINCT spdi AS feature FROM calls WHERE insertion <> '?' AND sample_id IN (SELECT sample_id FROM h1 WHERE status = 2)", **H1)
 def _(t: Tables) -> DataFrame:
-    return t.features.where("insertion <> '?'").join(h(t, 1)._selected(), "sample_id", "left_semi").select("feature").distinct()
+    return t.spark.createDataFrame([(f,) for f in h(t, 1).tofeaturesset()], "feature string")
 
 
 def _compare_sql(names: list[str], unit: str, cats: str, total: str, threshold: int = 0) -> str:
@@ -108,13 +107,22 @@ def _compare_sql(names: list[str], unit: str, cats: str, total: str, threshold:
 _CATS = "SELECT sample_id, 'one' AS category FROM h1 WHERE status = 2 UNION ALL SELECT sample_id, 'two' FROM h2 WHERE status = 2"
 _TOTAL = "(SELECT count(DISTINCT sample_id) FROM cats)"
 
-for _unit, _name in (("percent", "features_comparison"), ("count", "features_comparison_count"), ("proportion", "only_samples_in_categories")):
+for _unit, _name in (("percent", "features_comparison"), ("count", "features_comparison_count"), ("proportion", "features_comparison_proportion")):
 
     @query(_name, _compare_sql(["one", "two"], _unit, _CATS, _TOTAL), **H12, cats=_CATS)
     def _(t: Tables, unit: str = _unit) -> DataFrame:
         return q(t).features_comparison({"one": h(t, 1), "two": h(t, 2)}, unit=unit)
 
 
+_ANY = _compare_sql(["one", "two"], "proportion", _CATS, "(SELECT count(*) FROM samples)").replace("FROM calls JOIN cats USING (sample_id)", "FROM calls LEFT JOIN cats USING (sample_id)")
+
+
+@query("only_samples_in_categories", _ANY, **H12, cats=_CATS)
+def _(t: Tables) -> DataFrame:
+    """Of all samples, those outside the categories too."""
+    return q(t).features_comparison({"one": h(t, 1), "two": h(t, 2)}, unit="proportion", only_samples_in_categories=False)
+
+
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -130,96 +138,97 @@ def _(t: Tables) -> DataFrame:
     return q(t).features_comparison({"big": big, "small": small}, category_samples_threshold=2)
 
 
+def _two_schemes(t: Tables) -> IndexView:
+    view = IndexView()
+    view.mlst = t.mlst.select("sample_id", "scheme", "locus", "allele").union(t.mlst.where("allele = '1'").select("sample_id", F.lit("second"), "locus", "allele"))
+    return view
+
+
 # Counts.
 
 
 @query("count_samples", "SELECT (SELECT count(*) FROM samples) AS samples, (SELECT count(DISTINCT reference_name) FROM refs) AS refs, (SELECT count(*) FROM variants) AS mutations")
 def _(t: Tables) -> DataFrame:
-    n = t.samples.agg(F.count("*").alias("samples"))
-    return n.crossJoin(t.references.agg(F.count_distinct("reference_name").alias("refs"))).crossJoin(t.calls.where("insertion <> '?'").agg(F.count_distinct("spdi").alias("mutations")))
+    return t.totals()
 
 
 @query("count_references", "SELECT count(DISTINCT reference_name) AS n FROM refs")
 def _(t: Tables) -> DataFrame:
-    return t.references.agg(F.count_distinct("reference_name").alias("n"))
+    return t.totals().select(F.col("refs").alias("n"))
 
 
 @query("count_mutations", "SELECT reference_name, count(DISTINCT spdi) AS n FROM calls JOIN refs USING (sequence) WHERE insertion <> '?' GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.calls.where("insertion <> '?'").join(t.references, "sequence").groupBy("reference_name").agg(F.count_distinct("spdi").alias("n"))
+    return t.reference_mutations()
 
 
 @query("mutation_counts_on_reference", "SELECT spdi, count(*) AS n FROM calls JOIN refs USING (sequence) WHERE insertion <> '?' AND reference_name = 'genome' GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    on = t.references.where("reference_name = 'genome'")
-    return t.calls.where("insertion <> '?'").join(on, "sequence", "left_semi").groupBy("spdi").agg(F.count("*").alias("n"))
+    return t.mutation_counts("genome")
 
 
 @query("variants_on_reference", "SELECT DISTINCT spdi, insertion = '?' AS is_unknown FROM calls JOIN refs USING (sequence) WHERE reference_name = 'plasmid'")
 def _(t: Tables) -> DataFrame:
-    on = t.references.where("reference_name = 'plasmid'")
-    return t.calls.join(on, "sequence", "left_semi").select("spdi", (F.col("insertion") == "?").alias("is_unknown")).distinct()
+    return t.variants_on_reference("plasmid")
 
 
 @query("mutation_counts_in_samples", "SELECT spdi, count(*) AS n FROM calls JOIN metadata USING (sample_id) WHERE var_type = 'INDEL' AND balance > 0 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.calls.where("var_type = 'INDEL'").join(t.metadata.where("balance > 0"), "sample_id", "left_semi").groupBy("spdi").agg(F.count("*").alias("n"))
+    return t.mutation_counts_in(t.metadata.where("balance > 0"), "INDEL")
 
 
 @query("vcf_union", "SELECT sequence AS chrom, position AS pos, deletion AS ref, insertion AS alt, count(*) AS n FROM calls WHERE insertion <> '?' GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    c = t.calls.where("insertion <> '?'").groupBy(F.col("sequence").alias("chrom"), F.col("position").alias("pos"), F.col("deletion").alias("ref"), F.col("insertion").alias("alt"))
-    return c.agg(F.count("*").alias("n"))
+    return t.variant_union()
 
 
 @query("count_samples_by_features", "SELECT feature, count(m.sample_id) AS n FROM (SELECT DISTINCT 'mlst:' || scheme || ':' || locus || ':' || (allele_n) AS feature FROM (SELECT DISTINCT scheme, locus FROM mlst), (SELECT unnest(['1', '99']) AS allele_n)) LEFT JOIN mlstf m USING (feature) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """Features no sample has count 0."""
     asked = t.mlst.select("scheme", "locus").distinct().withColumn("allele", F.explode(F.array(F.lit("1"), F.lit("99"))))
-    asked = asked.select(F.concat_ws(":", F.lit("mlst"), "scheme", "locus", "allele").alias("feature"))
-    return asked.join(t.mlst_features, "feature", "left").groupBy("feature").agg(F.count("sample_id").alias("n"))
+    return t.feature_sample_counts(asked.select(F.concat_ws(":", F.lit("mlst"), "scheme", "locus", "allele").alias("feature")))
 
 
 @query("find_samples_by_features", "SELECT spdi AS feature, array_to_string(list_sort(list(sample_id)), ',') AS samples FROM calls JOIN top USING (spdi) WHERE rk <= 3 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    c = t.features.where(F.col("feature").isin(t.top(3)))
-    return c.groupBy("feature").agg(F.array_join(F.sort_array(F.collect_list("sample_id")).cast("array<string>"), ",").alias("samples"))
+    found = t.feature_sample_lists(t.spark.createDataFrame([(f,) for f in t.top(3)], "feature string"))
+    return found.select("feature", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
 
 
 @query("count_samples_reference", "SELECT reference_name, count(DISTINCT sample_id) AS n FROM calls JOIN refs USING (sequence) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.calls.join(t.references, "sequence").groupBy("reference_name").agg(F.count_distinct("sample_id").alias("n"))
+    return t.reference_sample_counts()
 
 
 @query("count_samples_scheme", "SELECT scheme, count(DISTINCT sample_id) AS n FROM mlst GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.mlst.groupBy("scheme").agg(F.count_distinct("sample_id").alias("n"))
+    return t.scheme_sample_counts()
 
 
 @query("mlst_loci_alleles", "SELECT DISTINCT locus, allele FROM mlst WHERE scheme = 'AFRICA'")
 def _(t: Tables) -> DataFrame:
-    return t.mlst.where("scheme = 'AFRICA'").select("locus", "allele").distinct()
+    return t.loci_alleles("AFRICA")
 
 
-@query("mlst_alleles", "SELECT DISTINCT allele FROM mlst WHERE scheme = 'AFRICA' AND locus = (SELECT min(locus) FROM mlst)")
+@query("mlst_alleles", "SELECT DISTINCT allele FROM mlst WHERE scheme = 'AFRICA' AND locus = 'Brand#11'")
 def _(t: Tables) -> DataFrame:
-    low = t.mlst.agg(F.min("locus").alias("locus"))
-    return t.mlst.where("scheme = 'AFRICA'").join(F.broadcast(low), "locus").select("allele").distinct()  # one row
+    return t.alleles("AFRICA", "Brand#11")
 
 
 @query("mlst_scheme_lookup", "SELECT scheme, count(DISTINCT locus) AS loci FROM mlst GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.mlst.groupBy("scheme").agg(F.count_distinct("locus").alias("loci"))
+    return t.scheme_loci()
 
 
-@query("mlst_single_scheme_guard", "SELECT sample_id, count(DISTINCT scheme) AS schemes FROM mlst GROUP BY 1 HAVING count(DISTINCT scheme) > 1")
+@query("mlst_single_scheme_guard", "SELECT sample_id, count(DISTINCT scheme) AS schemes FROM (SELECT * FROM mlst UNION ALL SELECT sample_id, 'second', locus, allele FROM mlst WHERE allele = '1') GROUP BY 1 HAVING count(DISTINCT scheme) > 1")
 def _(t: Tables) -> DataFrame:
-    return t.mlst.groupBy("sample_id").agg(F.count_distinct("scheme").alias("schemes")).where("schemes > 1")
+    """Each allele row also under a second scheme where it is the first of its locus."""
+    return _two_schemes(t).several_schemes()
 
 
 @query("mlst_scheme_override", "SELECT DISTINCT sample_id, 'own' AS scheme, locus, allele FROM mlst")
 def _(t: Tables) -> DataFrame:
-    return t.mlst.withColumn("scheme", F.lit("own")).select("sample_id", "scheme", "locus", "allele").distinct()
+    return readers.with_scheme(t.mlst, "own").select("sample_id", "scheme", "locus", "allele")
 
 
 @query("aggregate_feature_samples", "SELECT spdi, var_type, count(*) AS n, min(sample_id) AS low, max(sample_id) AS high, CAST(sum(sample_id) AS BIGINT) AS ids FROM calls GROUP BY 1, 2")
@@ -231,25 +240,28 @@ def _(t: Tables) -> DataFrame:
     return s.select(F.col("feature").alias("spdi"), "var_type", F.size(at).cast("long").alias("n"), F.array_min(at).alias("low"), F.array_max(at).alias("high"), F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
 
 
-@query("index_summary_facade", "SELECT 'mutations' AS kind, count(*) AS n FROM variants UNION ALL SELECT 'mlst', count(DISTINCT feature) FROM mlstf WHERE allele <> '?'")
+@query("index_summary_facade", "SELECT 'mutations' AS kind, count(DISTINCT spdi) AS n FROM calls WHERE insertion <> '?' AND sample_id IN (SELECT sample_id FROM calls JOIN refs USING (sequence) WHERE reference_name = 'genome') UNION ALL SELECT 'mlst', count(DISTINCT feature) FROM mlstf WHERE allele <> '?'")
 def _(t: Tables) -> DataFrame:
-    a = q(t).features_summary(kind="mutations").agg(F.lit("mutations").alias("kind"), F.count("*").alias("n"))
-    return a.union(q(t).features_summary(kind="mlst").agg(F.lit("mlst").alias("kind"), F.count("*").alias("n")))
+    index = t.stored()
+    a = index.features_summary("mutations", "genome").agg(F.lit("mutations").alias("kind"), F.count("*").alias("n"))
+    return a.union(index.features_summary("mlst").agg(F.lit("mlst").alias("kind"), F.count("*").alias("n")))
 
 
 @query("scan_index_tables", "SELECT sample_id, locus, allele FROM mlst WHERE scheme = 'ASIA' AND locus = 'Brand#11' AND allele <> '?'")
 def _(t: Tables) -> DataFrame:
-    return features.mlst_features(t.mlst, scheme="ASIA", locus="Brand#11").select("sample_id", "locus", "allele")
+    return t.stored().mlst_table("ASIA", "Brand#11").select("sample_id", "locus", "allele")
 
 
 @query("read_index", "SELECT spdi, sample_id FROM calls JOIN top USING (spdi) WHERE rk <= 5")
 def _(t: Tables) -> DataFrame:
-    return t.calls.where(F.col("spdi").isin(t.top(5))).select("spdi", "sample_id")
+    return t.stored().calls_of(t.top(5)).select("spdi", "sample_id")
 
 
-@query("existing_features_guard", "SELECT count(DISTINCT sample_id) AS n FROM calls")
+@query("existing_features_guard", "SELECT DISTINCT sample_id, sample_name FROM calls JOIN samples USING (sample_id)")
 def _(t: Tables) -> DataFrame:
-    return t.calls.agg(F.count_distinct("sample_id").alias("n"))
+    """The samples that a second load is refused for."""
+    index = t.stored()
+    return index.samples_by_ids(index.with_calls())
 
 
 @query("features_sort_desc", f"SELECT feature, count FROM ({_summary(_ALL)})")
@@ -259,7 +271,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("variants_ordered", "SELECT position, spdi FROM variants WHERE sequence = 'chr2' AND var_type = 'SNP'")
 def _(t: Tables) -> DataFrame:
-    return t.calls.where("sequence = 'chr2' and var_type = 'SNP'").select("position", "spdi").distinct().orderBy("position", "spdi")
+    return t.variants_in_order("chr2", "SNP")
 
 
 # Annotations.

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from triloom.functions import ids
 from triloom.index import SampleIndex
 from triloom.operators import intervals, tree
+from triloom.operators.features import restore_names
+from triloom.operators.sample_set import SampleSet
 from triloom.plans.projection import Tables
 from triloom.plans.q_intervals import _merged
 from triloom.plans.q_states import H1, h, q
 from triloom.plans.q_trees import _newick
 from triloom.plans.registry import query
-from triloom.session import shared_folder
+from triloom.session import shared_folder, write_text
 from triloom.sources import readers, sinks
 
 C = F.col
@@ -90,7 +92,7 @@ def _(t: Tables) -> DataFrame:
     return readers.sequences(t.spark, path + "/*").select("sequence", "bases")
 
 
-@query("convert_sequence_format", "SELECT sequence, length FROM sequences")
+@query("convert_sequence_format", _SEQ)
 def _(t: Tables) -> DataFrame:
     """GenBank text of each sequence, parsed again in the tasks."""
     from triloom.session import ship
@@ -103,16 +105,16 @@ def _(t: Tables) -> DataFrame:
         from triloom.sources import formats
 
         for b in batches:
-            rows = [(n, len(s)) for name, bases in zip(b["sequence"], b["bases"], strict=True) for n, s in formats.genbank(formats.to_genbank([(name, bases)]))]
-            yield pd.DataFrame(rows, columns=["sequence", "length"])
+            rows = [r for name, bases in zip(b["sequence"], b["bases"], strict=True) for r in formats.genbank(formats.to_genbank([(name, bases)]))]
+            yield pd.DataFrame(rows, columns=["sequence", "bases"])
 
-    return t.sequences.select("sequence", "bases").mapInPandas(run, "sequence string, length int")
+    return t.sequences.select("sequence", "bases").mapInPandas(run, "sequence string, bases string")
 
 
 _NUMBER = "SELECT sample_id, CAST('0x' || substring(hash, 1, 12) AS BIGINT) AS hash FROM sketch"
 
 
-@query("scan_kmer_sig", "SELECT CAST(sample_id AS VARCHAR) AS sample, 31 AS ksize, hash FROM (" + _NUMBER + ") GROUP BY ALL")
+@query("scan_kmer_sig", "SELECT CAST(sample_id AS VARCHAR) AS sample, 31 AS ksize, hash, 1 AS abundance FROM (" + _NUMBER + ") GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     n = F.conv(F.substring("hash", 1, 12), 16, 10).cast("long")
     s = t.sketch.groupBy("sample_id").agg(F.sort_array(F.collect_set(n)).alias("mins"))
@@ -120,7 +122,7 @@ def _(t: Tables) -> DataFrame:
     whole = s.groupBy((C("sample_id") % 16).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(sig), ","), F.lit("]")).alias("v"))
     path = shared_folder(t.spark, "sig")
     whole.repartition(16, "k").select("k", "v").write.partitionBy("k").text(path)
-    return readers.signatures(t.spark, path + "/*").select("sample", "ksize", "hash")
+    return readers.signatures(t.spark, path + "/*").select("sample", "ksize", "hash", "abundance")
 
 
 @query("write_query_tsv", 'SELECT feature, CAST(count AS VARCHAR) AS count, \'-\' AS nothing FROM (SELECT spdi AS feature, count(*) AS count FROM calls WHERE insertion <> \'?\' GROUP BY 1)')
@@ -139,15 +141,19 @@ def _(t: Tables) -> DataFrame:
 _FILES = ["a_1.fq.gz", "a_2.fq.gz", "b.fa", "c_R1.fastq", "c_R2.fastq", "d.fq"]
 
 
-@query("pair_reads", "SELECT * FROM (VALUES ('a', NULL, 'a_1.fq.gz', 'a_2.fq.gz'), ('b', 'b.fa', NULL, NULL), ('c', NULL, 'c_R1.fastq', 'c_R2.fastq'), ('d', NULL, 'd.fq', NULL)) t(sample, assembly, reads1, reads2)")
+_PAIRED = "SELECT * FROM (VALUES ('a', NULL, 'a_1.fq.gz', 'a_2.fq.gz'), ('b', 'b.fa', NULL, NULL), ('c', NULL, 'c_R1.fastq', 'c_R2.fastq'), ('d', NULL, 'd.fq', NULL)) t(sample, assembly, reads1, reads2)"
+
+
+@query("pair_reads", _PAIRED)
 def _(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(readers.pair_reads(_FILES), "sample string, assembly string, reads1 string, reads2 string")
 
 
-@query("write_samples_tsv", "SELECT unnest(['a', 'b', 'c', 'd']) AS \"Sample\"")
+@query("write_samples_tsv", _PAIRED)
 def _(t: Tables) -> DataFrame:
     text = sinks.samples_tsv(readers.pair_reads(_FILES))
-    return readers.sample_sheet(t.spark, _written(t, t.spark.createDataFrame([(text.rstrip("\n"),)], "v string"), "sheet")).select("Sample")
+    sheet = readers.sample_sheet(t.spark, _written(t, t.spark.createDataFrame([(text.rstrip("\n"),)], "v string"), "sheet"))
+    return sheet.select(C("Sample").alias("sample"), C("Assemblies").alias("assembly"), C("Reads1").alias("reads1"), C("Reads2").alias("reads2"))
 
 
 @query("mask_source_dispatch", "SELECT * FROM (VALUES ('a.bed', 'bed'), ('a.bed.gz', 'bed'), ('a.fa.xz', 'sequence'), ('a.fasta', 'sequence')) t(path, source)")
@@ -169,21 +175,24 @@ def _(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(k, len(x.sites), x.needed, x.max_ref, x.sites[0]) for k, x in d.items()], "label string, sites int, min_alt int, max_ref int, first string")
 
 
-@query("scan_snippy_dir", "SELECT DISTINCT sequence AS chrom, position AS pos, insertion AS alt FROM variants")
+@query(
+    "scan_snippy_dir",
+    """SELECT DISTINCT CASE WHEN sequence < 'chr3' THEN 'S1' ELSE 'S2' END AS sample, sequence AS chrom, position AS pos, insertion AS alt FROM variants
+UNION ALL SELECT CASE WHEN sequence < 'chr3' THEN 'S1' ELSE 'S2' END, sequence, CAST(p AS INTEGER), 'N' FROM (SELECT sequence, unnest([1, 2]) AS p FROM sequences) s
+WHERE NOT EXISTS (SELECT 1 FROM variants v WHERE v.sequence = s.sequence AND s.p BETWEEN v.position AND v.position + v.deletion - 1)""",
+)
 def _(t: Tables) -> DataFrame:
-    """One sample folder with its variants and an aligned sequence."""
-    from pyspark.errors import AnalysisException
-
+    """Two sample folders with their variants and aligned sequences: the variants, and the masked positions."""
     root = shared_folder(t.spark, "snippy")
     v = t.calls.where("insertion <> '?'").select("sequence", "position", "deletion", "insertion", "var_type").distinct().join(t.sequences, "sequence")
     ref = F.substring("bases", C("position"), C("deletion"))
-    v.select(F.concat_ws("\t", "sequence", C("position").cast("string"), F.lit("."), ref, "insertion", F.lit("."), F.lit("."), F.concat(F.lit("TYPE="), C("var_type")))).write.text(f"{root}/S1/snps.vcf")
-    t.sequences.select(F.concat(F.lit(">"), "sequence", F.lit("\n"), F.repeat(F.lit("N"), 2), "bases")).write.text(f"{root}/S1/snps.aligned.fa")
-    try:
-        found, _ = readers.snippy_dirs(t.spark, root)
-        return found.select("chrom", "pos", "alt").distinct()
-    except AnalysisException as error:  # names what is missing
-        raise ValueError(f"no sample folders in {root}") from error
+    for name, part in (("S1", "sequence < 'chr3'"), ("S2", "sequence >= 'chr3'")):
+        line = F.concat_ws("\t", "sequence", C("position").cast("string"), F.lit("."), ref, "insertion", F.lit("."), F.lit("."), F.concat(F.lit("TYPE="), C("var_type")))
+        v.where(part).select(line).write.text(f"{root}/{name}/snps.vcf")
+        t.sequences.where(part).select(F.concat(F.lit(">"), "sequence", F.lit("\n"), F.repeat(F.lit("N"), 2), "bases")).write.text(f"{root}/{name}/snps.aligned.fa")
+    found, gone = readers.snippy_dirs(t.spark, root)
+    masked = intervals.positions(gone, 1).select("sample", C("sequence").alias("chrom"), C("position").cast("int").alias("pos"), F.lit("N").alias("alt"))
+    return found.select("sample", "chrom", "pos", "alt").distinct().union(masked)
 
 
 # The warehouse.
@@ -202,33 +211,50 @@ def _(t: Tables) -> DataFrame:
     return index.references.join(index.sequences, "sequence").select("reference_name", "sequence", "length")
 
 
-@query("update_tree", "SELECT n_name AS name FROM nation")
-def _(t: Tables) -> DataFrame:
+_NODES = "SELECT n_name AS name, CAST(r_regionkey + 2 + n_nationkey % 7 AS DOUBLE) AS root_dist, true AS is_leaf FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT r_name, CAST(r_regionkey + 1 AS DOUBLE), false FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'root', 0.0, false"
+
+
+def _shown(t: Tables, root: tree.Node) -> DataFrame:
+    return tree.tree_nodes(t.spark, root).select("name", "root_dist", "is_leaf")
+
+
+def _on_tree(t: Tables):
+    """An index with the nations as samples and their tree as that of its reference; the query on it."""
     index = SampleIndex(t.spark, shared_folder(t.spark, "project"))
-    index.update_tree("genome", "(a,b);", 1)
+    index.add_reference("genome", t.spark.createDataFrame([("chr0", "ACGT")], "sequence string, bases string"))
+    index.add_variants(t.raw("nation").select(C("n_name").alias("sample"), F.lit("chr0").alias("chrom"), F.lit(1).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.lit("SNP").alias("type")))
     index.update_tree("genome", tree.to_newick(_newick(t)), 10)
-    return tree.tree_nodes(t.spark, tree.parse_newick(index.stored_tree("genome")[0])).where("is_leaf").select("name")
+    return index.samples_query("mutations", "genome")
 
 
-@query("reference_tree", "SELECT n_name AS name FROM nation")
+@query("update_tree", _NODES)
 def _(t: Tables) -> DataFrame:
     index = SampleIndex(t.spark, shared_folder(t.spark, "project"))
+    index.update_tree("genome", "(a,b);", 1)
+    index.update_tree("other", "(c,d);", 1)
     index.update_tree("genome", tree.to_newick(_newick(t)), 10)
-    return tree.tree_nodes(t.spark, tree.parse_newick(index.stored_tree("genome")[0])).where("is_leaf").select("name")
+    return _shown(t, tree.parse_newick(index.stored_tree("genome")[0]))
+
+
+@query("reference_tree", _NODES)
+def _(t: Tables) -> DataFrame:
+    """The stored tree of a reference comes with the query on it, and its leaves are the samples."""
+    return _on_tree(t).nodes.select("name", "root_dist", "is_leaf")
 
 
-@query("write_tree_newick", "SELECT n_name AS name FROM nation")
+@query("write_tree_newick", _NODES)
 def _(t: Tables) -> DataFrame:
-    path = _written(t, t.spark.createDataFrame([(tree.to_newick(_newick(t)),)], "v string"), "newick")
-    text = t.spark.read.text(path).first()[0]
-    return tree.tree_nodes(t.spark, tree.parse_newick(text)).where("is_leaf").select("name")
+    path = shared_folder(t.spark, "newick")
+    sinks.newick_file(t.spark, tree.to_newick(_newick(t)), path)
+    return _shown(t, tree.parse_newick(t.spark.read.text(path).first()[0]))
 
 
 for _name in ("db_size", "storage_size"):
 
-    @query(_name)
+    @query(_name, "SELECT * FROM (VALUES ('reference_sequences', true), ('Total', true)) t(part, filled)")
     def _(t: Tables) -> DataFrame:
-        return _index(t).sizes("KB")
+        """Sizes depend on the writer, so only that there are some is told."""
+        return _index(t).sizes("KB").select("part", ((C("size") > 0) & (C("files") > 0)).alias("filled"))
 
 
 # Other names of what is registered already.
@@ -236,12 +262,12 @@ for _name in ("db_size", "storage_size"):
 
 @query("set_len", "SELECT count(*) AS n FROM metadata WHERE balance > 0")
 def _(t: Tables) -> DataFrame:
-    return t.metadata.where("balance > 0").agg(F.count("*").alias("n"))
+    return SampleSet.of(t.metadata.where("balance > 0")).size()
 
 
 @query("set_is_empty", "SELECT count(*) = 0 AS is_empty FROM metadata WHERE balance > 1e9")
 def _(t: Tables) -> DataFrame:
-    return t.metadata.where("balance > 1e9").agg((F.count("*") == 0).alias("is_empty"))
+    return t.spark.createDataFrame([(SampleSet.of(t.metadata.where("balance > 1e9")).is_empty(),)], "is_empty boolean")
 
 
 @query("is_empty", "SELECT count(*) FILTER (status >= 1) = 0 AS is_empty FROM h1", **H1)
@@ -251,7 +277,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("toset", "SELECT sample_name FROM h1 JOIN samples USING (sample_id) WHERE status = 1", **H1)
 def _(t: Tables) -> DataFrame:
-    return h(t, 1).select_unknown()._selected().join(t.samples, "sample_id").select("sample_name")
+    return t.spark.createDataFrame([(n,) for n in h(t, 1).select_unknown().toset()], "sample_name string")
 
 
 @query("str", "SELECT '<SamplesQuery[selected=' || round_even(100.0 * p / n, 0)::INT || '% (' || p || '/' || n || ') samples, unknown=' || round_even(100.0 * u / n, 0)::INT || '% (' || u || '/' || n || ') samples]>' AS text FROM (SELECT count(*) FILTER (status = 2) AS p, count(*) FILTER (status = 1) AS u, count(*) AS n FROM h1)", **H1)
@@ -262,19 +288,18 @@ def _(t: Tables) -> DataFrame:
 @query("which_exists", "SELECT sample_name FROM samples JOIN customer ON c_custkey = sample_id WHERE c_nationkey = 2")
 def _(t: Tables) -> DataFrame:
     asked = t.raw("customer").where("c_nationkey = 2").select(C("c_name").alias("sample_name")).union(t.spark.createDataFrame([("nobody",)], "sample_name string"))
-    return asked.join(t.samples, "sample_name", "left_semi")
+    return t.samples_named(asked).select("sample_name")
 
 
 @query("has_kmer_index", "SELECT DISTINCT sample_id FROM sketch")
 def _(t: Tables) -> DataFrame:
-    return t.sketch.select("sample_id").distinct()
+    return t.with_kmer_index()
 
 
 @query("restore_name", "SELECT DISTINCT p_partkey, p_name FROM part")
 def _(t: Tables) -> DataFrame:
     p = t.raw("part").select("p_partkey", "p_name")
-    names = p.select("p_name").distinct().withColumn("safe", ids.sanitize_name(C("p_name")))
-    return p.select("p_partkey", ids.sanitize_name(C("p_name")).alias("safe")).join(names, "safe").select("p_partkey", "p_name").distinct()
+    return restore_names(p.select("p_partkey", ids.sanitize_name(C("p_name")).alias("safe")), "safe", p, "p_name").select("p_partkey", "p_name").distinct()
 
 
 @query("union_all", _ALL)
@@ -291,7 +316,47 @@ def _(t: Tables) -> DataFrame:
     return q(t).join_nodes(t.tree).tree_annotations({"first": h(t, 1)}, ("red", "yellow", "green"))
 
 
-@query("render_tree_image", "SELECT count(*) AS lines FROM (SELECT n_name FROM nation UNION ALL SELECT DISTINCT r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'root')")
+@query("render_tree_image", "SELECT 'text' AS what, count(*) AS n FROM nation UNION ALL SELECT 'rect', count(*) FROM nation UNION ALL SELECT 'lines', count(*) FROM (SELECT n_name FROM nation UNION ALL SELECT DISTINCT r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'root')")
+def _(t: Tables) -> DataFrame:
+    """The drawn picture: a label and a square for each leaf; and the plain one: a line a node."""
+    q_ = _on_tree(t)
+    marks = [tuple(r) for r in q_.tree_annotations({"all": q_}).collect()]
+    svg = sinks.svg_tree(q_.root, marks)
+    return t.spark.createDataFrame([("text", svg.count("<text ")), ("rect", svg.count("<rect ")), ("lines", len(sinks.ascii_tree(q_.root).splitlines()))], "what string, n long")
+
+
+@query("scan_genbank", _SEQ)
+def _(t: Tables) -> DataFrame:
+    from triloom.sources import formats
+
+    rows = [(r["sequence"], r["bases"]) for r in t.sequences.select("sequence", "bases").collect()]  # five sequences
+    path = shared_folder(t.spark, "genbank") + "/x.gbk"
+    write_text(t.spark, path, formats.to_genbank(rows))
+    return readers.sequences(t.spark, path).select("sequence", "bases")
+
+
+@query("scan_vcf_kmer_fofn", "SELECT * FROM (VALUES ('a', 'chr0', 2, 'C', 1), ('b', 'chr0', 3, 'G', 2)) t(sample, sequence, position, insertion, hashes)")
+def _(t: Tables) -> DataFrame:
+    """A sheet of variants and sketches, loaded in one go."""
+    from triloom import loading
+
+    root = shared_folder(t.spark, "sheet")
+    for name, line, mins in (("a", "chr0\t2\t.\tA\tC\t.\t.\tTYPE=SNP", [5]), ("b", "chr0\t3\t.\tA\tG\t.\t.\tTYPE=SNP", [5, 7])):
+        write_text(t.spark, f"{root}/{name}.vcf", "##fileformat=VCFv4.2\n" + line + "\n")
+        write_text(t.spark, f"{root}/{name}.sig", json.dumps([{"name": "other", "signatures": [{"ksize": 31, "mins": mins}]}]))
+    write_text(t.spark, f"{root}/fofn.tsv", "Sample\tVCF\tMask File\tSketch File\n" + "".join(f"{n}\t{root}/{n}.vcf\tNA\t{root}/{n}.sig\n" for n in "ab"))
+    index = SampleIndex(t.spark, shared_folder(t.spark, "project"))
+    sheet = readers.vcf_fofn(t.spark, f"{root}/fofn.tsv").collect()
+    loading.load_vcfs(index, [(r["Sample"], r["VCF"], r["Mask File"]) for r in sheet])
+    loading.load_signatures(index, [(r["Sample"], r["Sketch File"]) for r in sheet], [31])
+    n = index.sketch.groupBy("sample_id").agg(F.count("*").cast("int").alias("hashes"))
+    return index.calls.join(index.samples, "sample_id").join(n, "sample_id").select(C("sample_name").alias("sample"), "sequence", "position", "insertion", "hashes")
+
+
+@query("skip_missing_files", "SELECT * FROM (VALUES ('a', true), ('b', false), ('c', true)) t(sample, kept)")
 def _(t: Tables) -> DataFrame:
-    """The plain picture: a line a node."""
-    return t.spark.createDataFrame([(len(sinks.ascii_tree(_newick(t)).splitlines()),)], "lines long")
+    root = shared_folder(t.spark, "reads")
+    write_text(t.spark, f"{root}/a.fa", ">a\nACGT\n")
+    sheet = [("a", f"{root}/a.fa", None, None), ("b", None, f"{root}/b_1.fq", f"{root}/b_2.fq"), ("c", None, None, None)]
+    kept, gone = readers.existing_files(t.spark, sheet)
+    return t.spark.createDataFrame([(r[0], True) for r in kept] + [(s, False) for s in gone], "sample string, kept boolean")

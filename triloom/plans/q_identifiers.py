@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions import ids
+from triloom.operators.features import restore_names
 from triloom.plans.projection import Tables
 from triloom.plans.registry import query
 
@@ -142,9 +143,8 @@ def _(t: Tables) -> DataFrame:
 @query("restore_names_join", "SELECT DISTINCT p_partkey, p_name FROM part")
 def _(t: Tables) -> DataFrame:
     p = t.raw("part").select("p_partkey", "p_name")
-    names = p.select("p_name").distinct().withColumn("safe", ids.sanitize_name(C("p_name")))
     data = p.select("p_partkey", ids.sanitize_name(C("p_name")).alias("safe"))
-    return data.join(names, "safe").select("p_partkey", "p_name").distinct()
+    return restore_names(data, "safe", p.select("p_name"), "p_name").select("p_partkey", "p_name").distinct()
 
 
 _FILES = "SELECT '/data/' || replace(c_name, '#', '_') || ['.fasta.gz', '.fq', '_1.fastq.gz', '_R2.fastq'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS path FROM customer"
@@ -174,7 +174,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("persistence_name", "SELECT sample_id, md5(sample_name) AS name FROM samples")
 def _(t: Tables) -> DataFrame:
-    return t.samples.select("sample_id", F.md5("sample_name").alias("name"))
+    return t.samples.select("sample_id", ids.persistence_name(C("sample_name")).alias("name"))
 
 
 @query("status_label", "SELECT unnest([0, 1, 2]) AS status, unnest(['Absent', 'Unknown', 'Present']) AS label")

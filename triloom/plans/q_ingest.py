@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.index import merge_sets, new_samples, upsert_calls
+from triloom.index import SampleIndex, merge_sets, new_samples
 from triloom.plans.projection import Tables
 from triloom.plans.registry import query
+from triloom.session import shared_folder
 from triloom.sources import readers
 
 _LINES = "SELECT 'dir/' || c_name || '.fa' || chr(9) || 'scheme' || CAST(c_nationkey AS VARCHAR) || chr(9) || '-' || chr(9) || 'abc(' || c_custkey % 9 || ')' || chr(9) || 'bgl(' || CASE WHEN c_custkey % 5 = 0 THEN '?' ELSE c_custkey % 7 || '' END || ')' || chr(9) || 'ldh(-)' AS value FROM customer"
@@ -42,12 +43,16 @@ def _wide(t: Tables) -> DataFrame:
 
 @query("scan_mlst_sistr", _MELT.format(s="sistr_330"), wd=_WIDE)
 def _(t: Tables) -> DataFrame:
-    return readers._tidy(readers.melt(_wide(t), "FILE", "sistr_330"))
+    path = shared_folder(t.spark, "sistr")
+    _wide(t).write.csv(path, header=True)
+    return readers.mlst_sistr(t.spark, path)
 
 
 @query("scan_mlst_chewbbaca", _MELT.format(s="own"), wd=_WIDE)
 def _(t: Tables) -> DataFrame:
-    return readers._tidy(readers.melt(_wide(t), "FILE", "own"))
+    path = shared_folder(t.spark, "chewbbaca")
+    _wide(t).write.csv(path, header=True, sep="\t")
+    return readers.mlst_chewbbaca(t.spark, path, "own")
 
 
 @query("melt", "SELECT file, 'm' AS scheme, 'l1' AS locus, l1 AS allele FROM wd UNION ALL SELECT file, 'm', 'l2', l2 FROM wd", wd=_WIDE)
@@ -57,20 +62,26 @@ def _(t: Tables) -> DataFrame:
 
 @query("scan_metadata", "SELECT sample_id, name, segment, nation, balance FROM metadata")
 def _(t: Tables) -> DataFrame:
-    return t.metadata
+    path = shared_folder(t.spark, "metadata")
+    t.metadata.write.csv(path, header=True, sep="\t")
+    m = readers.metadata(t.spark, path)
+    return m.select(F.col("sample_id").cast("long").alias("sample_id"), "name", "segment", F.col("nation").cast("int").alias("nation"), F.col("balance").cast("double").alias("balance"))
 
 
 @query("scan_kmer_fofn", 'SELECT c_name AS "Sample", unnest([c_name || \'_1.fq\', c_name || \'_2.fq\']) AS "File" FROM customer WHERE c_nationkey <> 3')
 def _(t: Tables) -> DataFrame:
-    f = t.raw("customer").select(F.col("c_name").alias("Sample"), F.concat("c_name", F.lit("_1.fq,"), "c_name", F.lit("_2.fq")).alias("Files"))
-    known = t.raw("customer").where("c_nationkey = 3").select(F.col("c_name").alias("Sample"))
-    return f.select("Sample", F.explode(F.split("Files", ",")).alias("File")).join(known, "Sample", "left_anti")
+    path = shared_folder(t.spark, "sketches")
+    t.raw("customer").select(F.col("c_name").alias("Sample"), F.concat("c_name", F.lit("_1.fq,"), "c_name", F.lit("_2.fq")).alias("Files")).write.csv(path, header=True, sep="\t")
+    return readers.kmer_fofn(t.spark, path, t.raw("customer").where("c_nationkey = 3").select(F.col("c_name").alias("sample_name")))
 
 
-@query("scan_vcf_fofn", "SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+@query("scan_vcf_fofn", 'SELECT c_name AS "Sample", c_name || \'.vcf\' AS "VCF", CASE WHEN c_custkey % 3 <> 0 THEN c_name || \'.bed\' END AS "Mask File" FROM customer')
 def _(t: Tables) -> DataFrame:
-    """The guard of a file of files: names that occur more than once."""
-    return t.raw("customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n")).where("n > 1")
+    path = shared_folder(t.spark, "fofn")
+    name = F.col("c_name")
+    mask = F.when(F.col("c_custkey") % 3 == 0, "NA").otherwise(F.concat(name, F.lit(".bed")))
+    t.raw("customer").select(name.alias("Sample"), F.concat(name, F.lit(".vcf")).alias("VCF"), mask.alias("Mask File")).write.csv(path, header=True, sep="\t")
+    return readers.vcf_fofn(t.spark, path)
 
 
 @query("insert_samples_batch", "SELECT max_id + row_number() OVER (ORDER BY sample_name) AS sample_id, sample_name FROM (SELECT s_name AS sample_name FROM supplier), (SELECT max(sample_id) AS max_id FROM samples)")
@@ -82,9 +93,10 @@ def _(t: Tables) -> DataFrame:
 @query("index_features_upsert", "SELECT spdi, count(*) AS n FROM calls GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """Two overlapping loads give what one load of all gives."""
-    c = t.calls
-    once = upsert_calls(c.where("sequence <> 'chr0'"), c.where("sequence <> 'chr1'"), ["spdi", "sample_id"])
-    return once.groupBy("spdi").agg(F.count("*").alias("n"))
+    index = SampleIndex(t.spark, shared_folder(t.spark, "upsert"))
+    index.add("calls", t.calls.where("sequence <> 'chr0'"))
+    index.add("calls", t.calls.where("sequence <> 'chr1'"))
+    return index.calls.groupBy("spdi").agg(F.count("*").alias("n"))
 
 
 @query("merge_sample_sets", "SELECT spdi AS feature, count(DISTINCT sample_id) AS n FROM calls GROUP BY 1")
@@ -101,6 +113,9 @@ def _(t: Tables) -> DataFrame:
     return readers.random_sequences(t.sequences, 2, 5).select("sequence")
 
 
-@query("scan_samples_tsv", 'SELECT c_name AS "Sample", c_name || \'.fa\' AS "Assemblies" FROM customer')
+@query("scan_samples_tsv", 'SELECT c_name AS "Sample", c_name || \'.fa\' AS "Assemblies", \'none\' AS reads FROM customer')
 def _(t: Tables) -> DataFrame:
-    return t.raw("customer").select(F.col("c_name").alias("Sample"), F.concat("c_name", F.lit(".fa")).alias("Assemblies"))
+    path = shared_folder(t.spark, "sheet")
+    name, none = F.col("c_name"), F.lit(None).cast("string")
+    t.raw("customer").select(name.alias("Sample"), F.concat(name, F.lit(".fa")).alias("Assemblies"), none.alias("Reads1"), none.alias("Reads2")).write.csv(path, header=True, sep="\t")
+    return readers.sample_sheet(t.spark, path).select("Sample", "Assemblies", F.coalesce("Reads1", "Reads2", F.lit("none")).alias("reads"))

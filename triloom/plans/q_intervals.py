@@ -74,7 +74,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("mask_sequence_names", "SELECT DISTINCT sequence FROM masks")
 def _(t: Tables) -> DataFrame:
-    return t.masks.select("sequence").distinct()
+    return intervals.sequence_names(t.masks)
 
 
 @query("mask_contains", "SELECT e.event_id, count(*) AS n FROM events e JOIN masks m ON m.sequence = e.event_type AND m.start0 <= e.user_id * 100 AND e.user_id * 100 < m.end0 GROUP BY 1")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions import ids
-from triloom.operators import kmer, lookup, state
+from triloom.operators import kmer, lookup
+from triloom.operators.sample_set import SampleSet
 from triloom.plans.projection import Tables
 from triloom.plans.registry import query
 from triloom.query import SamplesQuery
-from triloom.schema import PRESENT, UNKNOWN
 
 
 def hasa_ctes(n: int) -> dict[str, str]:
@@ -40,6 +42,12 @@ def _(t: Tables) -> DataFrame:
     return h(t, 1).state
 
 
+@query("hasa_spdi_stored", "SELECT * FROM h1", **H1)
+def _(t: Tables) -> DataFrame:
+    """On the stored index: the folder of one position bin is read."""
+    return SamplesQuery.all(t.stored()).hasa(t.top(1)[0]).state
+
+
 @query("has", "SELECT * FROM h2", **H2)
 def _(t: Tables) -> DataFrame:
     return q(t).has(t.top(2)[1]).state
@@ -145,13 +153,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("include_expression", "SELECT sequence, count(*) AS n FROM calls WHERE var_type = 'INDEL' AND length(insertion) < deletion GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.calls.where("var_type = 'INDEL' and length(insertion) < deletion").groupBy("sequence").agg(F.count("*").alias("n"))
+    """A predicate over the call table, as variants() of a query takes it."""
+    return q(t).variants((F.col("var_type") == "INDEL") & (F.length("insertion") < F.col("deletion"))).groupBy("sequence").agg(F.count("*").alias("n"))
 
 
 @query("existing_samples", "SELECT sample_name FROM samples JOIN (SELECT DISTINCT c_name AS sample_name FROM customer WHERE c_nationkey = 1 UNION SELECT 'nobody') USING (sample_name)")
 def _(t: Tables) -> DataFrame:
     asked = t.raw("customer").where("c_nationkey = 1").select(F.col("c_name").alias("sample_name")).union(t.spark.createDataFrame([("nobody",)], "sample_name string"))
-    return t.samples.join(asked, "sample_name", "left_semi").select("sample_name")
+    return t.samples_named(asked).select("sample_name")
 
 
 # Sets.
@@ -159,36 +168,37 @@ def _(t: Tables) -> DataFrame:
 _A, _B = "balance > 0", "segment IN ('BUILDING', 'MACHINERY')"
 
 
-def _sets(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.metadata.where(_A).select("sample_id"), t.metadata.where(_B).select("sample_id")
+def _sets(t: Tables) -> tuple[SampleSet, SampleSet]:
+    return SampleSet.of(t.metadata.where(_A)), SampleSet.of(t.metadata.where(_B))
 
 
 @query("set_intersection", f"SELECT sample_id FROM metadata WHERE {_A} AND {_B}")
 def _(t: Tables) -> DataFrame:
     a, b = _sets(t)
-    return a.join(b, "sample_id", "left_semi")
+    return a.intersection(b).ids
 
 
 @query("set_union", f"SELECT sample_id FROM metadata WHERE {_A} OR {_B}")
 def _(t: Tables) -> DataFrame:
     a, b = _sets(t)
-    return a.union(b).distinct()
+    return a.union(b).ids
 
 
 @query("set_minus", f"SELECT sample_id FROM metadata WHERE {_A} AND NOT ({_B}) AND nation <> 5")
 def _(t: Tables) -> DataFrame:
     a, b = _sets(t)
-    return a.join(b, "sample_id", "left_anti").join(t.metadata.where("nation = 5"), "sample_id", "left_anti")
+    return a.minus(b, SampleSet.of(t.metadata.where("nation = 5"))).ids
 
 
 @query("set_jaccard", f"SELECT CAST(count(*) FILTER ({_A} AND {_B}) AS DOUBLE) / CAST(count(*) FILTER ({_A} OR {_B}) AS DOUBLE) AS jaccard FROM metadata")
 def _(t: Tables) -> DataFrame:
-    return state.jaccard(*_sets(t))
+    a, b = _sets(t)
+    return a.jaccard(b)
 
 
 @query("set_contains", "SELECT count(*) AS len, count(*) = 0 AS is_empty, count(*) FILTER (sample_id = 4) > 0 AS contains_4 FROM metadata WHERE balance > 0")
 def _(t: Tables) -> DataFrame:
-    return _sets(t)[0].agg(F.count("*").alias("len"), (F.count("*") == 0).alias("is_empty"), (F.count_if(F.col("sample_id") == 4) > 0).alias("contains_4"))
+    return _sets(t)[0].described(4).withColumnRenamed("contains", "contains_4")
 
 
 @query("set_serialize", "SELECT sample_id FROM metadata WHERE balance > 0")
@@ -196,7 +206,7 @@ def _(t: Tables) -> DataFrame:
     """A round trip through bitmap buckets."""
     from triloom.index import from_bitmaps, to_bitmaps
 
-    return from_bitmaps(to_bitmaps(_sets(t)[0].withColumn("feature", F.lit("x")))).select("sample_id")
+    return from_bitmaps(to_bitmaps(_sets(t)[0].ids.withColumn("feature", F.lit("x")))).select("sample_id")
 
 
 # Query algebra.
@@ -205,13 +215,13 @@ def _(t: Tables) -> DataFrame:
 @query("query_and", "SELECT sample_id, least(coalesce(a.status, 0), coalesce(b.status, 0)) AS status FROM a FULL JOIN b USING (sample_id)", **H12, a=f"SELECT h1.* FROM h1 JOIN metadata USING (sample_id) WHERE {_A}", b=f"SELECT h2.* FROM h2 JOIN metadata USING (sample_id) WHERE {_B}")
 def _(t: Tables) -> DataFrame:
     a, b = _sets(t)
-    return (h(t, 1).set_universe(a) & h(t, 2).set_universe(b)).state
+    return (h(t, 1).set_universe(a.ids) & h(t, 2).set_universe(b.ids)).state
 
 
 @query("query_or", "SELECT sample_id, greatest(coalesce(a.status, 0), coalesce(b.status, 0)) AS status FROM a FULL JOIN b USING (sample_id)", **H12, a=f"SELECT h1.* FROM h1 JOIN metadata USING (sample_id) WHERE {_A}", b=f"SELECT h2.* FROM h2 JOIN metadata USING (sample_id) WHERE {_B}")
 def _(t: Tables) -> DataFrame:
     a, b = _sets(t)
-    return (h(t, 1).set_universe(a) | h(t, 2).set_universe(b)).state
+    return (h(t, 1).set_universe(a.ids) | h(t, 2).set_universe(b.ids)).state
 
 
 @query("query_complement", "SELECT sample_id, 2 - status AS status FROM h1", **H1)
@@ -233,7 +243,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("set_universe", "SELECT sample_id, coalesce(status, 0) AS status FROM (SELECT sample_id FROM metadata WHERE balance > 0) LEFT JOIN (SELECT * FROM h1 WHERE status = 2) USING (sample_id)", **H1)
 def _(t: Tables) -> DataFrame:
-    return h(t, 1).reset_universe(include_unknown=False).set_universe(_sets(t)[0]).state
+    return h(t, 1).reset_universe(include_unknown=False).set_universe(_sets(t)[0].ids).state
 
 
 @query("subsample", "SELECT sample_id, CASE WHEN rk <= n THEN 2 ELSE 0 END AS status FROM (SELECT sample_id, row_number() OVER (ORDER BY md5('7:' || sample_id), sample_id) AS rk, CAST(round_even(0.1 * count(*) OVER (), 0) AS BIGINT) AS n FROM samples)")
@@ -272,7 +282,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("tolist", "SELECT sample_name FROM h1 JOIN samples USING (sample_id) WHERE status = 2", **H1)
 def _(t: Tables) -> DataFrame:
-    return h(t, 1)._selected().join(t.samples, "sample_id").select("sample_name")
+    return t.spark.createDataFrame([(n,) for n in h(t, 1).tolist()], "sample_name string")
 
 
 _COUNTS = """count(*) FILTER (status = 2) AS present, count(*) FILTER (status = 0) AS absent, count(*) FILTER (status = 1) AS unknown, count(*) AS total"""
@@ -292,12 +302,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("len", "SELECT count(*) FILTER (status = 2) AS len, count(*) FILTER (status = 2) = 0 AS is_empty FROM h1", **H1)
 def _(t: Tables) -> DataFrame:
-    return h(t, 1).state.agg(F.count_if(F.col("status") == PRESENT).alias("len"), (F.count_if(F.col("status") == PRESENT) == 0).alias("is_empty"))
+    """By what the query itself says."""
+    r = h(t, 1)
+    return t.spark.createDataFrame([(len(r), r.is_empty())], "len long, is_empty boolean")
 
 
 @query("samples_on_reference", "SELECT DISTINCT reference_name, sample_id FROM calls JOIN refs USING (sequence)")
 def _(t: Tables) -> DataFrame:
-    return t.calls.select("sequence", "sample_id").distinct().join(t.references, "sequence").select("reference_name", "sample_id").distinct()
+    return t.reference_samples()
 
 
 @query("samples_query_mutations", "SELECT DISTINCT sample_id, 2 AS status FROM calls JOIN refs USING (sequence) WHERE reference_name = 'genome'")
@@ -307,35 +319,33 @@ def _(t: Tables) -> DataFrame:
 
 @query("samples_on_sequence", "SELECT DISTINCT sample_id FROM calls WHERE sequence = 'chr1'")
 def _(t: Tables) -> DataFrame:
-    return t.calls.where("sequence = 'chr1'").select("sample_id").distinct()
+    return t.on_sequence("chr1")
 
 
 @query("samples_with_scheme", "SELECT DISTINCT sample_id FROM mlst WHERE scheme = 'ASIA'")
 def _(t: Tables) -> DataFrame:
-    return t.mlst.where("scheme = 'ASIA'").select("sample_id").distinct()
+    return t.with_scheme("ASIA")
 
 
 @query("references_for_sample", "SELECT DISTINCT sample_name, reference_name FROM calls JOIN refs USING (sequence) JOIN samples USING (sample_id)")
 def _(t: Tables) -> DataFrame:
-    return t.calls.select("sample_id", "sequence").distinct().join(t.references, "sequence").join(t.samples, "sample_id").select("sample_name", "reference_name").distinct()
+    return t.sample_references().select("sample_name", "reference_name")
 
 
 @query("reference_for_sequence", "SELECT reference_name FROM refs WHERE sequence = 'chr4'")
 def _(t: Tables) -> DataFrame:
-    return t.references.where("sequence = 'chr4'").select("reference_name")
+    return t.reference_of("chr4")
 
 
 @query("name_id_lookup", "SELECT sample_name, sample_id FROM samples JOIN customer ON c_custkey = sample_id WHERE c_nationkey = 7")
 def _(t: Tables) -> DataFrame:
-    asked = t.raw("customer").where("c_nationkey = 7").select(F.col("c_name").alias("sample_name"))
-    return t.samples.join(asked, "sample_name").select("sample_name", "sample_id")
+    return t.samples_named(t.raw("customer").where("c_nationkey = 7").select(F.col("c_name").alias("sample_name")))
 
 
-@query("sample_set_by_names", "SELECT 'nobody' AS missing")
+@query("sample_set_by_names", "SELECT s_name AS sample_name FROM supplier WHERE s_name NOT IN (SELECT sample_name FROM samples)")
 def _(t: Tables) -> DataFrame:
-    """The names a strict lookup would complain of."""
-    asked = t.samples.select("sample_name").union(t.spark.createDataFrame([("nobody",)], "sample_name string"))
-    return asked.join(t.samples, "sample_name", "left_anti").select(F.col("sample_name").alias("missing"))
+    """The names a strict lookup complains of."""
+    return t.missing_names(t.raw("supplier").select(F.col("s_name").alias("sample_name")).union(t.samples.select("sample_name")))
 
 
 @query("variant_unknown_range_join", "SELECT DISTINCT v.spdi AS feature, c.sample_id FROM (SELECT spdi, sequence, unnest(range(position, position + deletion)) AS position FROM variants) v JOIN calls c ON c.sequence = v.sequence AND c.position = v.position AND c.insertion = '?'")
@@ -346,38 +356,37 @@ def _(t: Tables) -> DataFrame:
 
 @query("semi_anti", "SELECT sample_id FROM h1 WHERE status <> 2", **H1)
 def _(t: Tables) -> DataFrame:
-    return t.samples.join(h(t, 1)._selected(), "sample_id", "left_anti").select("sample_id")
+    return t.samples_other_than(h(t, 1)._selected()).select("sample_id")
 
 
 @query("samples_by_ids", "SELECT sample_id, sample_name FROM samples WHERE sample_id IN (1, 2, 3)")
 def _(t: Tables) -> DataFrame:
-    return t.samples.where(F.col("sample_id").isin(1, 2, 3))
+    return t.samples_by_ids(t.spark.createDataFrame([(1,), (2,), (3,), (-1,)], "sample_id long"))
 
 
 @query("sample_exists", "SELECT count(*) > 0 AS sample_exists, (SELECT count(*) > 0 FROM sketch WHERE sample_id = 1) AS has_kmer_index FROM samples WHERE sample_id = 1")
 def _(t: Tables) -> DataFrame:
-    one = t.samples.where("sample_id = 1").agg((F.count("*") > 0).alias("sample_exists"))
-    return one.crossJoin(t.sketch.where("sample_id = 1").agg((F.count("*") > 0).alias("has_kmer_index")))
+    return t.exists(1)
 
 
 @query("sample_variation_rows", "SELECT DISTINCT sample_id, sample_name, reference_name FROM calls JOIN refs USING (sequence) JOIN samples USING (sample_id)")
 def _(t: Tables) -> DataFrame:
-    return t.calls.join(t.references, "sequence").join(t.samples, "sample_id").select("sample_id", "sample_name", "reference_name").distinct()
+    return t.sample_references()
 
 
-@query("sample_names", "SELECT sample_name FROM samples")
+@query("sample_names", "SELECT DISTINCT sample_name FROM samples JOIN calls USING (sample_id)")
 def _(t: Tables) -> DataFrame:
-    return t.samples.select("sample_name")
+    return t.samples_by_ids(t.with_calls()).select("sample_name")
 
 
 @query("reference_names", "SELECT DISTINCT reference_name FROM refs")
 def _(t: Tables) -> DataFrame:
-    return t.references.select("reference_name").distinct()
+    return t.reference_table()
 
 
 @query("mlst_schemes", "SELECT DISTINCT scheme FROM mlst")
 def _(t: Tables) -> DataFrame:
-    return t.mlst.select("scheme").distinct()
+    return t.schemes()
 
 
 # K-mers.
@@ -405,9 +414,13 @@ def _(t: Tables) -> DataFrame:
     return kmer.similar_pairs(t.sketch)
 
 
-@query("to_distances", _DIST, pr=_PAIRS, sz=_SIZES)
+@query("to_distances", _DIST + " WHERE sample_a IN (SELECT sample_id FROM samples) AND sample_b IN (SELECT sample_id FROM samples)", pr=_PAIRS, sz=_SIZES)
 def _(t: Tables) -> DataFrame:
-    return kmer.similar_pairs(t.sketch)
+    """The square matrix of the samples that have a sketch, as its pairs below distance 1."""
+    order, m = q(t).intersect(t.with_kmer_index()).to_distances(kmer_size=3)
+    i, j = np.nonzero(np.triu(m < 1, 1))
+    pairs = pd.DataFrame({"sample_a": np.array(order)[i], "sample_b": np.array(order)[j], "distance": m[i, j]})
+    return t.spark.createDataFrame(pairs, "sample_a long, sample_b long, distance double")
 
 
 @query("within_kmer_jaccard", "SELECT DISTINCT b.sample_id FROM (SELECT a.sample_id AS anchor, b.sample_id, count(*) AS shared FROM sketch a JOIN sketch b USING (hash) WHERE a.sample_id % 100 = 0 GROUP BY 1, 2) b JOIN sz x ON x.sample_id = anchor JOIN sz y ON y.sample_id = b.sample_id WHERE shared / CAST(x.n + y.n - shared AS DOUBLE) >= 1 - 0.5", sz=_SIZES)
@@ -421,8 +434,9 @@ _SITES = """SELECT s.sample_id, (h1.status = 2)::INT + (h2.status = 2)::INT + (h
 FROM samples s JOIN h1 USING (sample_id) JOIN h2 USING (sample_id) JOIN h3 USING (sample_id)"""
 
 
-def _statuses(t: Tables) -> list[DataFrame]:
-    return [lookup.spdi_status(t.calls, ids.parse_feature(f)) for f in t.top(3)]
+def _statuses(t: Tables):
+    """Three sites in one scan."""
+    return q(t).feature_sites(t.top(3))
 
 
 @query("typing_perfect", "SELECT sample_id, CASE WHEN p = 3 THEN 2 WHEN p + u = 3 THEN 1 ELSE 0 END AS status FROM sites", **H123, sites=_SITES)
@@ -446,19 +460,14 @@ _TYPED = "SELECT sample_id, CASE WHEN p = 3 OR (p >= 1 AND 3 - p - u <= 2) THEN
 def _(t: Tables) -> DataFrame:
     from triloom.operators import typing
 
-    return typing.isa_type(q(t).state, _statuses(t), [], 1, 2)
+    return typing.isa_type(q(t).state, _statuses(t), None, 1, 2)
 
 
 @query("isa_type", _TYPED, **H123, sites=_SITES)
 def _(t: Tables) -> DataFrame:
-    """The same through a registered typer of the fluent query."""
+    """The same through a registered typer of the fluent query and a definition."""
     from triloom.operators import typing
     from triloom.query import register_typer
 
-    def typer(label: str, own: SamplesQuery) -> SamplesQuery:
-        return own._next(typing.isa_type(own.state, _statuses(t), [], 1, 2), f"isa_type({label})")
-
-    return register_typer(q(t), "lineage", typer).isa("first", kind="lineage").state
-
-
-assert UNKNOWN == 1
+    known = {"first": typing.Definition("first", tuple(t.top(3)), (), 1, 2)}
+    return register_typer(q(t), "lineage", lambda label, own: own.typed(known[label])).isa("first", kind="lineage").state

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.operators import cluster, tree
+from triloom.operators import align, cluster, tree
 from triloom.plans.projection import Tables
 from triloom.plans.q_states import H1, H12, h, q
 from triloom.plans.registry import query
+from triloom.query import SamplesQuery
 
-_ANCHORS = "SELECT c_name AS name FROM customer WHERE c_custkey <= 3"
+_ANCHORS = "SELECT c_name AS name FROM customer WHERE c_custkey % 100 = 0"
 
 
 def _anchors(t: Tables) -> DataFrame:
-    return t.samples.where("sample_id <= 3").select(F.col("sample_name").alias("name"))
+    return t.samples.where("sample_id % 100 = 0").select(F.col("sample_name").alias("name"))
 
 
 _MRCA = {
@@ -31,7 +32,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("within_mrca", "SELECT sample_id, CASE WHEN lft BETWEEN (SELECT lft FROM mr) AND (SELECT rgt FROM mr) THEN 2 ELSE 0 END AS status FROM samples JOIN tree ON name = sample_name AND is_leaf", **_MRCA)
 def _(t: Tables) -> DataFrame:
-    return q(t).join_nodes(t.tree).isin(t.samples.where("sample_id <= 3"), kind="mrca").state
+    return q(t).join_nodes(t.tree).isin(t.samples.where("sample_id % 100 = 0"), kind="mrca").state
 
 
 _LCA = {
@@ -50,12 +51,12 @@ _NEAR = "SELECT sample_id, CASE WHEN sample_name IN (SELECT name FROM ld WHERE d
 
 @query("within_tree_distance", _NEAR, **_LCA)
 def _(t: Tables) -> DataFrame:
-    return q(t).join_nodes(t.tree).isin(t.samples.where("sample_id <= 3"), kind="distance", distance=14, units="substitutions/site").state
+    return q(t).join_nodes(t.tree).isin(t.samples.where("sample_id % 100 = 0"), kind="distance", distance=14, units="substitutions/site").state
 
 
 @query("within", _NEAR, **_LCA)
 def _(t: Tables) -> DataFrame:
-    return q(t).join_nodes(t.tree).within(t.samples.where("sample_id <= 3"), distance=14).state
+    return q(t).join_nodes(t.tree).within(t.samples.where("sample_id % 100 = 0"), distance=14).state
 
 
 @query("join_tree", "SELECT sample_id, CASE WHEN sample_name IN (SELECT name FROM leaf WHERE r_name = 'ASIA') THEN status ELSE 0 END AS status FROM h1 JOIN samples USING (sample_id)", **H1)
@@ -66,16 +67,20 @@ def _(t: Tables) -> DataFrame:
     return h(t, 1).join_nodes(nodes).state
 
 
-@query("tree_from_reference", "SELECT name, lft, rgt, depth, root_dist FROM tree")
+@query("tree_from_reference", "SELECT n_name AS name, CAST(r_regionkey + 2 + n_nationkey % 7 AS DOUBLE) AS root_dist, 2 AS status FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(t: Tables) -> DataFrame:
-    return t.tree.select("name", "lft", "rgt", "depth", "root_dist")
+    """The query on a reference that has a tree: its leaves are the samples that are selected."""
+    from triloom.plans.q_files import _on_tree
+
+    on = _on_tree(t)
+    selected = on.state.join(on.db.samples, "sample_id").select(F.col("sample_name").alias("name"), "status")
+    return on.nodes.where("is_leaf").select("name", "root_dist").join(selected, "name")
 
 
 @query("tree_label_internal", "SELECT n.name, count(*) AS leaves, count(DISTINCT segment) AS segments FROM tree n JOIN tree l ON l.is_leaf AND l.lft BETWEEN n.lft AND n.rgt JOIN metadata m ON m.name = l.name WHERE NOT n.is_leaf GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    leaf = t.tree.where("is_leaf").select("name", F.col("lft").alias("at")).join(t.metadata, "name").select("at", "segment")
-    inner = t.tree.where("not is_leaf").select("name", "lft", "rgt")
-    return leaf.join(inner, F.col("at").between(F.col("lft"), F.col("rgt"))).groupBy("name").agg(F.count("*").alias("leaves"), F.count_distinct("segment").alias("segments"))
+    below = tree.leaves_of_inner(t.tree).join(t.metadata, "name")
+    return below.groupBy(F.col("node").alias("name")).agg(F.count("*").alias("leaves"), F.count_distinct("segment").alias("segments"))
 
 
 def _score(groups: str) -> str:
@@ -153,10 +158,15 @@ def _(t: Tables) -> DataFrame:
     return tree.tree_nodes(t.spark, tree.prune(root, keep)).where("is_leaf").select("name", "root_dist")
 
 
-@query("tree_set_outgroup")
+_NATIONS = "SELECT n_name AS name, n_nationkey % 7 + 1 AS own, r_regionkey + 1 AS up, r_regionkey AS r FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query("tree_set_outgroup", "SELECT a.name AS anchor, b.name, CAST(CASE WHEN a.name = b.name THEN 0 WHEN a.r = b.r THEN a.own + b.own ELSE a.own + a.up + b.own + b.up END AS DOUBLE) AS distance FROM nn a, nn b", nn=_NATIONS)
 def _(t: Tables) -> DataFrame:
+    """Re-rooted, all distances between leaves stay."""
     root = _newick(t)
-    return tree.tree_nodes(t.spark, tree.set_outgroup(root, min(root.leaf_names()))).drop("tree_id")
+    nodes = tree.tree_nodes(t.spark, tree.set_outgroup(root, min(root.leaf_names())))
+    return tree.distances(nodes, nodes.where("is_leaf")).withColumn("distance", F.round("distance", 6))
 
 
 @query("tree_relabel", "SELECT lower(n_name) AS name FROM nation")
@@ -164,25 +174,42 @@ def _(t: Tables) -> DataFrame:
     return tree.tree_nodes(t.spark, tree.relabel(_newick(t), str.lower)).where("is_leaf").select("name")
 
 
-@query("build_tree_kmer")
+_KPAIRS = "SELECT a.sample_id AS x, b.sample_id AS y, count(*) AS shared FROM sketch a JOIN sketch b ON a.hash = b.hash AND a.sample_id <> b.sample_id WHERE a.sample_id IN (SELECT sample_id FROM samples) AND b.sample_id IN (SELECT sample_id FROM samples) GROUP BY 1, 2"
+
+
+@query(
+    "build_tree_kmer",
+    "SELECT sample_name AS name, coalesce(min(1.0 - CAST(shared AS DOUBLE) / CAST(a.n + b.n - shared AS DOUBLE)), 1.0) / 2 AS branch_length FROM sz a JOIN samples USING (sample_id) LEFT JOIN kp ON kp.x = a.sample_id LEFT JOIN sz b ON b.sample_id = kp.y GROUP BY 1",
+    sz="SELECT sample_id, count(*) AS n FROM sketch GROUP BY 1",
+    kp=_KPAIRS,
+)
 def _(t: Tables) -> DataFrame:
-    """Single linkage of the languages' shared k-mers: a tree of the languages."""
-    langs = t.raw("documents").select(F.col("doc_id").alias("sample_id"), "lang")
-    s = t.sketch.join(langs, "sample_id").select(F.crc32(F.col("lang").cast("binary")).alias("sample_id"), "hash", "lang").distinct()
-    from triloom.operators import kmer
+    """Single linkage of the documents: a leaf's branch is half its distance to the nearest other one."""
+    own = q(t).intersect(t.with_kmer_index())
+    root = own.build_tree("kmer", kmer_size=3).root
+    return t.spark.createDataFrame([(n.name, n.length) for n in root.leaves()], "name string, branch_length double")
+
 
-    ids, m = kmer.distance_matrix(s, s)
-    names = {r[0]: r[1] for r in s.select("sample_id", "lang").distinct().collect()}
-    return tree.tree_nodes(t.spark, tree.single_linkage([names[i] for i in ids], m)).drop("tree_id")
+_SNPS = "SELECT DISTINCT sample_name AS s, spdi FROM calls JOIN refs USING (sequence) JOIN samples USING (sample_id) WHERE var_type = 'SNP' AND reference_name = 'genome'"
 
 
-@query("build_tree_mutation")
+@query(
+    "build_tree_mutation",
+    "SELECT a.s AS a, b.s AS b, CAST(a.n + b.n - 2 * coalesce(both_, 0) AS DOUBLE) AS distance FROM cn a JOIN cn b ON a.s < b.s LEFT JOIN sh ON sh.a = a.s AND sh.b = b.s",
+    sn=_SNPS,
+    cn="SELECT sample_name AS s, count(spdi) AS n FROM (SELECT DISTINCT sample_name FROM calls JOIN refs USING (sequence) JOIN samples USING (sample_id) WHERE reference_name = 'genome') LEFT JOIN sn ON s = sample_name GROUP BY 1",
+    sh="SELECT x.s AS a, y.s AS b, count(*) AS both_ FROM sn x JOIN sn y ON x.spdi = y.spdi AND x.s < y.s GROUP BY 1, 2",
+)
 def _(t: Tables) -> DataFrame:
-    """Neighbour joining of the nations' feature sets (Jaccard distance)."""
-    import numpy as np
+    """What the tree of the samples on a reference is joined by: the SNP distances of their alignment."""
+    rows = SamplesQuery.on_reference(t, "genome").alignment("genome", "core", include_reference=False)
+    return align.snp_distances(rows)
 
-    from triloom.operators import kmer
 
-    s = t.calls.where("insertion <> '?'").join(t.metadata, "sample_id").select(F.col("nation").cast("long").alias("sample_id"), F.xxhash64("spdi").alias("hash")).distinct()
-    ids, m = kmer.distance_matrix(s, s)
-    return tree.tree_nodes(t.spark, tree.neighbour_joining([str(i) for i in ids], np.array(m))).drop("tree_id")
+@query("experimental_tree_query", "SELECT n_name AS name, CAST(r_regionkey + 2 + n_nationkey % 7 AS DOUBLE) AS root_dist FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+def _(t: Tables) -> DataFrame:
+    """The tree follows the selection, and the universe's tree stays: what is absent comes back by complement."""
+    from triloom.plans.q_files import _on_tree
+
+    asia = [r[0] for r in t.raw("nation").join(t.raw("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name").collect()]
+    return _on_tree(t).experimental().isa(asia).complement().nodes.where("is_leaf").select("name", "root_dist")

@@ -6,18 +6,23 @@ and, optionally, joined metadata and a tree, so the order of joins decides nothi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions import ids
-from triloom.operators import cluster, features, kmer, lookup, state, tree
+from triloom.operators import cluster, features, kmer, lookup, state, tree, typing
 from triloom.schema import ABSENT, PRESENT, UNKNOWN
 
 
+#: Values of a metadata column that a comparison makes columns of, and leaves of a tree that is built: its
+#: distances are a square on the driver. More are an error.
+MOST_CATEGORIES, MOST_LEAVES = 1000, 10_000
+
+
 @dataclass(frozen=True)
 class SamplesQuery:
     db: Any  # has samples, calls, mlst, annotations, sketch
@@ -205,34 +210,68 @@ class SamplesQuery:
         """Attach a tree that is a nested-set table already."""
         return self._next(state.restrict(self.state, self._by_name(nodes.where("is_leaf").select("name"))), "join_tree", nodes=nodes, alignment_length=alignment_length)
 
-    def build_tree(self, kind: str = "kmer", **how) -> SamplesQuery:
+    def _leaf_limit(self, chosen: DataFrame) -> None:
+        if chosen.limit(MOST_LEAVES + 1).count() > MOST_LEAVES:
+            raise ValueError(f"trees are built of at most {MOST_LEAVES} samples; subsample() first")
+
+    def alignment(self, reference_name: str | None = None, align_type: str = "full", include_variants: tuple[str, ...] | None = None, include_reference: bool = True) -> DataFrame:
+        """(record_id, alignment) of the present samples on a reference (the only one, if it is not
+        named): SNPs at core positions, or the whole sequences. Masked positions are N, or no core."""
+        from triloom.operators import align
+
+        if align_type not in ("core", "full"):
+            raise ValueError(f"unknown align type {align_type}")
+        if reference_name is None:
+            names = [r[0] for r in self.db.reference_table().limit(2).collect()]
+            if len(names) != 1:
+                raise ValueError("name the reference: there is none or more than one")
+            reference_name = names[0]
+        chosen = self._selected()
+        samples = self.db.samples.join(chosen, "sample_id", "left_semi")
+        refs = self.db.bases_of(reference_name)
+        here = refs.select("sequence")
+        own = self.db.calls.join(chosen, "sample_id", "left_semi").join(here, "sequence", "left_semi")
+        masks = self.db.masks.join(chosen, "sample_id", "left_semi").join(here, "sequence", "left_semi")
+        label = reference_name if include_reference else None
+        if align_type == "core":
+            if include_variants not in (None, ("SNP",), ["SNP"]):
+                raise ValueError("a core alignment is of SNPs only")
+            return align.core_alignment(own, samples, refs, masks, label)
+        return align.full_alignment(own, samples, refs, masks, label, tuple(include_variants or align.VARIANTS))
+
+    def build_tree(self, kind: str = "kmer", kmer_size: int = 31, reference_name: str | None = None, align_type: str = "full", include_variants: tuple[str, ...] | None = None, include_reference: bool = True) -> SamplesQuery:
         """A tree of the present samples: single linkage of k-mer distances, or neighbour joining of SNP
-        distances of the alignment (no maximum-likelihood tree is claimed)."""
-        chosen = self.state.where(F.col("status") == PRESENT).select("sample_id")
-        names = {r["sample_id"]: r["sample_name"] for r in self.db.samples.join(chosen, "sample_id", "left_semi").collect()}
+        distances of the alignment (no maximum-likelihood tree is claimed). kind
+        'mutation_experimental' gives an experimental query of the same tree."""
+        chosen = self._selected()
+        self._leaf_limit(chosen)
         if kind == "kmer":
-            order, matrix = kmer.distance_matrix(self._sketch(how.get("kmer_size", 31)), chosen)
+            names = {r["sample_id"]: r["sample_name"] for r in self.db.samples.join(chosen, "sample_id", "left_semi").collect()}
+            order, matrix = kmer.distance_matrix(self._sketch(kmer_size), chosen)
             return self.join_tree(tree.single_linkage([names[i] for i in order], matrix))
         if kind in ("mutation", "mutation_experimental"):
-            import numpy as np
-
             from triloom.operators import align
 
-            samples = self.db.samples.join(chosen, "sample_id", "left_semi")
-            refs = self.db.sequences.select("sequence", "bases")
-            own = self.db.calls.join(chosen, "sample_id", "left_semi")
-            rows = align.core_alignment(own, samples, refs, reference_name=how.get("reference_name"))
-            labels = sorted(r["record_id"] for r in rows.select("record_id").collect())
-            length = rows.agg(F.max(F.length("alignment"))).first()[0] or 1
-            at, m = {x: i for i, x in enumerate(labels)}, np.zeros((len(labels), len(labels)))
-            for r in align.snp_distances(rows).collect():
-                m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["distance"] / length
-            return self.join_tree(tree.neighbour_joining(labels, m), length, how.get("reference_name"))
+            rows = self.alignment(reference_name, align_type, include_variants, include_reference)
+            labels, length, m = align.distance_matrix(rows)
+            if reference_name is None and include_reference:
+                reference_name = self.db.reference_table().first()[0]
+            out = self.join_tree(tree.neighbour_joining(labels, m / max(1, length)), max(1, length), reference_name if include_reference else None)
+            return out.experimental() if kind == "mutation_experimental" else out
         raise ValueError(f"unknown kind {kind}")
 
+    def experimental(self) -> SamplesQuery:
+        """The same query with a tree that follows it: after each step the tree is that of the universe,
+        pruned to the present samples."""
+        return ExperimentalTreeQuery(**{f.name: getattr(self, f.name) for f in fields(self)}, universe_root=self.root)
+
+    def label_internal(self, label: Callable[[list[str]], str] = lambda names: "{" + ", ".join(names) + "}") -> tree.Node:
+        """The tree with inner nodes named by a function of the sorted leaf names below each."""
+        return tree.label_internal(self.root, label)
+
     def prune(self, include_present: bool = True, include_unknown: bool = False, include_absent: bool = False) -> tree.Node | None:
         keep = {*self.tolist(True, include_present, include_unknown, include_absent), *([self.reference_leaf] if self.reference_leaf else [])}
-        return tree.prune(tree.parse_newick(tree.to_newick(self.root)), keep)
+        return tree.prune(self.root, keep)
 
     def set_outgroup(self, name: str) -> SamplesQuery:
         return self.join_tree(tree.set_outgroup(self.root, name), self.alignment_length, self.reference_leaf)
@@ -299,7 +338,8 @@ class SamplesQuery:
         table, columns = self._table(kind, include_present_features, include_unknown_features, **which)
         unknown = self._unknowns(kind, table) if include_unknown_samples else None
         chosen = self._selected()
-        out = features.summary(table, columns, chosen, F.lit(chosen.count()).cast("long"), unknown, include_unknown_no_present_samples)
+        total = chosen.agg(F.count("*")).scalar()  # a subquery: nothing runs while this is planned
+        out = features.summary(table, columns, chosen, total, unknown, include_unknown_no_present_samples)
         if selection == "unique":
             rest = self.state.where(F.col("status") != PRESENT).select("sample_id")
             out = features.unique_summary(out, features.summary(table, columns, rest, F.lit(1)))
@@ -311,10 +351,12 @@ class SamplesQuery:
         return out
 
     def features_comparison(self, categories: dict[str, SamplesQuery] | str, kind: str = "mutations", unit: str = "percent", category_samples_threshold: int | None = None, include_unknown_samples: bool = False, only_samples_in_categories: bool = True) -> DataFrame:
-        """By queries under names, or by the values of a metadata column."""
+        """By queries under names, or by the values of a metadata column, MOST_CATEGORIES of them at most."""
         if isinstance(categories, str):
             rows = self.metadata.where(F.col(categories).isNotNull()).select("sample_id", F.col(categories).cast("string").alias("category"))
-            names = [r[0] for r in rows.select("category").distinct().orderBy("category").collect()]
+            names = [r[0] for r in rows.select("category").distinct().orderBy("category").limit(MOST_CATEGORIES + 1).collect()]
+            if len(names) > MOST_CATEGORIES:
+                raise ValueError(f"{categories} has more than {MOST_CATEGORIES} values, each of which would be several columns")
         else:
             names, rows = list(categories), None
             for n, q in categories.items():
@@ -324,6 +366,11 @@ class SamplesQuery:
         unknown = self._unknowns(kind, table) if include_unknown_samples else None
         return features.comparison(table, columns, rows, names, unit, self._selected(), unknown, category_samples_threshold, only_samples_in_categories)
 
+    def variants(self, which: Column | None = None) -> DataFrame:
+        """The calls of the present samples that a predicate over the call table's columns holds of."""
+        calls = self.db.calls if which is None else self.db.calls.where(which)
+        return calls.join(self._selected(), "sample_id", "left_semi")
+
     def tofeaturesset(self, kind: str = "mutations") -> set[str]:
         table, _ = self._table(kind, True, False)
         return {r[0] for r in table.join(self._selected(), "sample_id", "left_semi").select("feature").distinct().collect()}
@@ -337,24 +384,70 @@ class SamplesQuery:
             raise ValueError(f"unknown kind {kind}")
         return kmer.distance_matrix(self._sketch(kmer_size), self._selected())
 
+    def feature_sites(self, listed: list[str]) -> typing.Sites:
+        """Statuses at many features: variants in one scan of the calls, others in one each."""
+        parsed = [ids.parse_feature(f) for f in listed]
+        if parsed and all(isinstance(f, ids.Spdi) for f in parsed):
+            return typing.Sites(len(parsed), lookup.sites_status(self.db.calls, parsed))
+        return typing.sites_of([self.feature_status(f) for f in parsed])
+
+    def typed(self, definition: typing.Definition, strict: bool = True, perfect_only: bool = False) -> SamplesQuery:
+        """Samples that match a typing definition."""
+        must = self.feature_sites(list(definition.must_have)) if definition.must_have else None
+        new = typing.isa_type(self.state, self.feature_sites(list(definition.sites)), must, definition.needed, definition.max_ref, strict, perfect_only)
+        return self._next(new, f"isa_type('{definition.label}')")
+
     def score_groups(self, column: str, **how) -> DataFrame:
         meta = self.metadata.join(self.db.samples, "sample_id").select(F.col("sample_name").alias("name"), column)
         return cluster.score_groupby(self._tree(), meta, column, **how)
 
-    def tree_annotations(self, columns: dict[str, SamplesQuery], colors: tuple[str, str, str] = ("white", "lightgray", "black")) -> DataFrame:
-        """(leaf, column, status, color) of each leaf for each named query: what a tree picture shows."""
-        leaves = self._tree().where("is_leaf").join(self.db.samples.withColumnRenamed("sample_name", "name"), "name").select(F.col("name").alias("leaf"), "sample_id")
-        out = None
-        for name, q in columns.items():
-            s = F.coalesce("status", F.lit(ABSENT))
-            part = leaves.join(q.state, "sample_id", "left").select("leaf", F.lit(name).alias("column"), ids.status_label(s).alias("status"), F.element_at(F.array(*[F.lit(c) for c in colors]), s + 1).alias("color"))
-            out = part if out is None else out.union(part)
-        return out
+    def tree_annotations(self, columns: dict[str, SamplesQuery], colors: tuple[str, str, str] = ("white", "lightgray", "black"), leaf_name: Callable[[Column], Column] | None = None) -> DataFrame:
+        """(leaf, column, status, color) of each leaf for each named query: what a tree picture shows.
+        The states meet by sample in one aggregation; leaf_name renames the leaves, from their name and,
+        if metadata is joined, its columns."""
+        leaves = self._tree().where("is_leaf").join(self.db.samples.withColumnRenamed("sample_name", "name"), "name")
+        if self.metadata is not None:
+            leaves = leaves.join(self.metadata.drop(*[c for c in self.metadata.columns if c != "sample_id" and c in leaves.columns]), "sample_id", "left")
+        leaves = leaves.select((leaf_name(F.col("name")) if leaf_name else F.col("name")).alias("leaf"), "sample_id")
+        marks = None
+        for i, q in enumerate(columns.values()):
+            part = q.state.select("sample_id", F.lit(i).alias("i"), "status")
+            marks = part if marks is None else marks.union(part)
+        if marks is None:
+            raise ValueError("no queries to show")
+        wide = marks.groupBy("sample_id").agg(*[F.max(F.when(F.col("i") == i, F.col("status"))).alias(f"_{i}") for i in range(len(columns))])
+        cells = F.array(*[F.struct(F.lit(n).alias("column"), F.coalesce(F.col(f"_{i}"), F.lit(ABSENT)).alias("s")) for i, n in enumerate(columns)])
+        rows = leaves.join(wide, "sample_id", "left").select("leaf", F.explode(cells).alias("c"))
+        shade = F.element_at(F.array(*[F.lit(c) for c in colors]), F.col("c.s") + 1)
+        return rows.select("leaf", "c.column", ids.status_label(F.col("c.s")).alias("status"), shade.alias("color"))
+
+
+@dataclass(frozen=True)
+class ExperimentalTreeQuery(SamplesQuery):
+    """A tree query whose tree is pruned to the present samples after each step, from a tree of the
+    whole universe that is kept beside it; reset_universe() makes the pruned tree the universe's."""
+
+    universe_root: tree.Node | None = None
+
+    def _next(self, new: DataFrame, step: str, **more) -> SamplesQuery:
+        out = super()._next(new, step, **more)
+        if "root" in more:  # a tree was joined: it is the universe's from now on
+            return replace(out, universe_root=more["root"])
+        return out._pruned(self.universe_root)
+
+    def _pruned(self, whole: tree.Node) -> SamplesQuery:
+        keep = {*SamplesQuery.tolist(self), *([self.reference_leaf] if self.reference_leaf else [])}
+        root = tree.prune(whole, keep)
+        nodes = tree.tree_nodes(self.state.sparkSession, root if root is not None else tree.Node())
+        if self.reference_leaf:
+            nodes = nodes.where(~(F.col("is_leaf") & (F.col("name") == self.reference_leaf)))
+        return replace(self, root=root, nodes=nodes)
+
+    def reset_universe(self, include_unknown: bool = True) -> SamplesQuery:
+        out = super().reset_universe(include_unknown)
+        return replace(out, universe_root=out.root)
 
 
 def register_typer(query: SamplesQuery, kind: str, typer: Callable[[Any, SamplesQuery], SamplesQuery]) -> SamplesQuery:
     return replace(query, typers={**query.typers, kind: typer})
 
-
-def as_ids(spark, values: Iterable[int]) -> DataFrame:
-    return spark.createDataFrame([(int(v),) for v in values], "sample_id long")

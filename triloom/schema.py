@@ -29,6 +29,8 @@ def struct(columns: str) -> T.StructType:
 STATE = struct("sample_id long, status int")
 SAMPLES = struct("sample_id long, sample_name string")
 VARIANT_CALLS = struct("sample_id long, sequence string, position int, deletion int, insertion string, var_type string, spdi string")
+#: Positions of a folder of calls: they lie by sequence and position // BIN.
+BIN = 1 << 16
 MLST_CALLS = struct("sample_id long, scheme string, locus string, allele string")
 MASKS = struct("sample_id long, sequence string, start0 long, end0 long")
 REFERENCE_SEQUENCES = struct("reference_name string, sequence_name string, length int, sequence string")

@@ -6,7 +6,11 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 4, partitions: int = 8, app: str = "triloom", **conf: str) -> SparkSession:
-    """A local session for tests; on a cluster the session comes from spark-submit."""
+    """A local session for tests; on a cluster the session comes from spark-submit, with a shared
+    spark.checkpoint.dir. Here it is a temporary folder unless given."""
+    import tempfile
+
+    conf.setdefault("spark__checkpoint__dir", tempfile.mkdtemp(prefix="triloom-"))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -55,7 +59,26 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
+    """A fresh path in the shared folder, deleted when the application ends."""
     import uuid
 
-    return f"{shared_root(spark)}/triloom-{uuid.uuid4().hex}/{name}"
+    top = f"{shared_root(spark)}/triloom-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{top}/{name}"
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """A small text file on whatever file system the path names. A local one gets no checksum file
+    beside it, as people edit such files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(p, overwrite)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if files.getScheme() == "file" and hasattr(files, "getRaw"):
+        files.getRaw().delete(files.getChecksumFile(files.makeQualified(p)), False)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom import schema
 from triloom.functions import ids
 from triloom.session import ship
 
@@ -18,7 +17,12 @@ def vcf(spark: SparkSession, paths: str | list[str], sample: str | None = None)
     Plain or gzipped text, one DataFrame for all files; the sample is the file name up to its first
     dot unless given. No Python on the way.
     """
-    lines = spark.read.text(paths).withColumn("file", F.input_file_name()).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return vcf_lines(spark.read.text(paths).withColumn("file", F.input_file_name()), sample)
+
+
+def vcf_lines(lines: DataFrame, sample: str | None = None) -> DataFrame:
+    """The same from lines (file, value)."""
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     f = F.split("value", "\t")
     alt = F.split(f[4], ",")[0]
     info = F.expr("str_to_map(split(value, '\t')[7], ';', '=')")
@@ -31,42 +35,85 @@ def vcf(spark: SparkSession, paths: str | list[str], sample: str | None = None)
     return t.select(name.alias("sample"), "chrom", "pos", "ref", "alt", "type", "file", key.alias("variant_id"), "info", F.split(F.col("info")["ANN"], ",").alias("ann"))
 
 
-def ann_names(spark: SparkSession, path: str) -> list[str]:
-    """The ANN fields' names from a VCF's header; empty without one."""
+def ann_names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The ANN fields' names from the VCFs' headers; empty without one, an error where they differ."""
     from triloom.operators.annotate import ann_header
 
     d = spark.read.text(path).where(F.col("value").startswith("##INFO=<ID=ANN"))
-    r = d.select(ann_header(F.regexp_extract("value", 'Description="(.*)"', 1)).alias("n")).first()
-    return list(r["n"]) if r else []
+    found = d.select(ann_header(F.regexp_extract("value", 'Description="(.*)"', 1)).alias("n")).distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("the files name their annotation fields differently; load them apart")
+    return list(found[0]["n"]) if found else []
 
 
 def vcf_with_annotations(spark: SparkSession, paths: str | list[str], names: list[str], sample: str | None = None) -> DataFrame:
     """VCF records with the best annotation of each."""
+    v = vcf(spark, paths, sample)
+    return _annotated(v, names)
+
+
+def _annotated(v: DataFrame, names: list[str]) -> DataFrame:
     from triloom.operators import annotate
 
-    v = vcf(spark, paths, sample)
     short = {"Allele": "Allele", "Annotation": "annotation", "Annotation_Impact": "impact", "Gene_Name": "gene_name", "Gene_ID": "gene_id", "HGVS.c": "hgvs_c", "HGVS.p": "hgvs_p", "cDNA.pos / cDNA.length": "cdna"}
     a = annotate.explode_ann(v.select("variant_id", "ann").where("ann is not null").distinct(), names)
     a = a.select("variant_id", *[F.col(f"`{k}`").alias(n) for k, n in short.items()])
     return annotate.with_best_annotation(v, a)
 
 
+def repeated(names: DataFrame, column: str) -> DataFrame:
+    """(column, n) of the names that occur more than once, which a sheet may not hold."""
+    return names.groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def vcf_fofn(spark: SparkSession, path: str) -> DataFrame:
     """TSV Sample, VCF, Mask File[, Sketch File]; a repeated sample is an error, a missing mask is null."""
     t = spark.read.csv(path, sep="\t", header=True)
-    twice = t.groupBy("Sample").count().where("count > 1").limit(10).collect()
+    twice = repeated(t, "Sample").limit(10).collect()
     if twice:
         raise ValueError(f"samples named more than once: {', '.join(r[0] for r in twice)}")
     na = lambda c: F.when(F.col(c).isin("", "NA", "nan"), None).otherwise(F.col(c)).alias(c)
     return t.select("Sample", "VCF", *[na(c) for c in t.columns if c not in ("Sample", "VCF")])
 
 
-def kmer_fofn(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """(Sample, File) from TSV Sample, Files (a comma list); samples in known (sample_name) are skipped."""
-    t = spark.read.csv(path, sep="\t", header=True).select("Sample", F.explode(F.split("Files", ",")).alias("File"))
+#: Files that are named in one read.
+_FILES = 1000
+
+
+def _uri_path(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath()
+
+
+def _by_path(spark: SparkSession, sheet: list[tuple[str, str]], column: Column) -> Column:
+    """The sample that a sheet of (sample, path) gives a file, by the path within its file system."""
+    names = F.create_map(*[F.lit(x) for s, p in sheet for x in (_uri_path(spark, p), s)])
+    return names[F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:(//[^/]*)?", "")]
+
+
+def sheet_files(spark: SparkSession, sheet: list[tuple[str, str]], read) -> DataFrame | None:
+    """One table of all files of a sheet of (sample, path): read(paths) gives rows with a column
+    `file`, and `sample` is filled in from the sheet. Files are named a thousand at a time and read
+    side by side, in one job of the caller, not a job a sample."""
+    out = None
+    for i in range(0, len(sheet), _FILES):
+        part = sheet[i : i + _FILES]
+        rows = read([p for _, p in part])
+        rows = rows.withColumn("sample", _by_path(spark, part, F.col("file")))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def kmer_files(sheet: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(Sample, File) from a sheet (Sample, Files): a comma list a sample; samples in known (sample_name) are skipped."""
+    t = sheet.select("Sample", F.explode(F.split("Files", ",")).alias("File"))
     return t if known is None else t.join(known.select(F.col("sample_name").alias("Sample")), "Sample", "left_anti")
 
 
+def kmer_fofn(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    return kmer_files(spark.read.csv(path, sep="\t", header=True), known)
+
+
 def sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.csv(path, sep="\t", header=True)
     if t.columns != ["Sample", "Assemblies", "Reads1", "Reads2"]:
@@ -82,12 +129,28 @@ def bed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Sorted and merged intervals of BED files (sample, sequence, start0, end0)."""
     from triloom.operators import intervals
 
-    t = spark.read.text(paths).where(~F.col("value").rlike("^(#|track|browser|\\s*$)"))
-    f = F.split("value", r"\t")
-    rows = t.select(ids.sample_from_filename(F.input_file_name()).alias("sample"), f[0].alias("sequence"), f[1].cast("long").alias("start0"), f[2].cast("long").alias("end0"))
+    rows = bed_rows(spark, paths).withColumn("sample", ids.sample_from_filename(F.col("file")))
     return intervals.merge(rows, ["sample", "sequence"])
 
 
+def bed_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, sequence, start0, end0): the intervals as they stand."""
+    t = spark.read.text(paths).withColumn("file", F.input_file_name()).where(~F.col("value").rlike("^(#|track|browser|\\s*$)"))
+    f = F.split("value", r"\t")
+    return t.select("file", f[0].alias("sequence"), f[1].cast("long").alias("start0"), f[2].cast("long").alias("end0"))
+
+
+def sequence_masks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, sequence, start0, end0): what sequence files lack, their runs of N and -."""
+    from triloom.operators import intervals
+
+    s = sequences(spark, paths)
+    key = F.concat_ws("\x01", "file", "sequence")
+    gone = intervals.from_sequences(s.select(key.alias("sequence"), "bases"))
+    p = F.split("sequence", "\x01")
+    return gone.select(p[0].alias("file"), p[1].alias("sequence"), "start0", "end0")
+
+
 # MLST tables.
 
 
@@ -111,21 +174,43 @@ def melt(wide: DataFrame, file_column: str, scheme: str) -> DataFrame:
     return t.unpivot(["file"], [f"`{c}`" for c in loci], "locus", "allele").withColumn("scheme", F.lit(scheme))
 
 
+def mlst_wide(wide: DataFrame, scheme: str, file_column: str | None = None) -> DataFrame:
+    """Allele rows of a table with a column a locus and one of files (the first, unless named)."""
+    return _tidy(melt(wide, file_column or wide.columns[0], scheme))
+
+
 def mlst_sistr(spark: SparkSession, path: str, scheme: str = "sistr_330") -> DataFrame:
-    wide = spark.read.csv(path, header=True)
-    return _tidy(melt(wide, wide.columns[0], scheme))
+    return mlst_wide(spark.read.csv(path, header=True), scheme)
 
 
 def mlst_chewbbaca(spark: SparkSession, path: str, scheme: str) -> DataFrame:
-    return _tidy(melt(spark.read.csv(path, sep="\t", header=True), "FILE", scheme))
+    return mlst_wide(spark.read.csv(path, sep="\t", header=True), scheme, "FILE")
 
 
-def scheme_of_sample(rows: DataFrame, sample: str) -> str:
-    """The sample's only scheme; several are an error."""
-    found = [r[0] for r in rows.where(F.col("sample") == sample).select("scheme").distinct().limit(2).collect()]
-    if len(found) != 1:
-        raise ValueError(f"{sample} has {'several schemes' if found else 'no scheme'}")
-    return found[0]
+def with_scheme(rows: DataFrame, scheme: str) -> DataFrame:
+    """Allele rows under a scheme's name of one's own."""
+    return rows.withColumn("scheme", F.lit(scheme)).distinct()
+
+
+def metadata(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """A table of sample attributes with a header; numbers are told from text."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=True)
+
+
+def existing_files(spark: SparkSession, sheet: list[tuple], columns: tuple[int, ...] = (1, 2, 3)) -> tuple[list[tuple], list[str]]:
+    """(rows whose files are all there, samples that are skipped) of rows (sample, files or None...);
+    each file is looked up on its own file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def there(path: str | None) -> bool:
+        if not path:
+            return True
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    kept = [r for r in sheet if all(there(r[i]) for i in columns if i < len(r))]
+    names = {r[0] for r in kept}
+    return kept, [r[0] for r in sheet if r[0] not in names]
 
 
 # Sequence files.
@@ -149,7 +234,8 @@ def sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def signatures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(sample, ksize, hash) of k-mer signature files (JSON, plain or gzipped)."""
+    """(sample, ksize, hash, abundance, file) of k-mer signature files (JSON, plain or gzipped);
+    abundance is 1 where a file holds none."""
     ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
@@ -159,10 +245,10 @@ def signatures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         from triloom.sources.formats import signature_hashes, unpacked
 
         for t in batches:
-            rows = [r for p, c in zip(t["path"], t["content"], strict=True) for r in signature_hashes(unpacked(p, bytes(c)))]
-            yield pd.DataFrame(rows, columns=["sample", "ksize", "hash"]).astype({"ksize": "int32", "hash": "int64"})
+            rows = [(*r, p) for p, c in zip(t["path"], t["content"], strict=True) for r in signature_hashes(unpacked(p, bytes(c)))]
+            yield pd.DataFrame(rows, columns=["sample", "ksize", "hash", "abundance", "file"]).astype({"ksize": "int32", "hash": "int64", "abundance": "int64"})
 
-    return files.mapInPandas(run, "sample string, ksize int, hash long")
+    return files.mapInPandas(run, "sample string, ksize int, hash long, abundance long, file string")
 
 
 def snippy_dirs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +256,7 @@ def snippy_dirs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     a sample is its folder, its mask is what the aligned sequence lacks less what its variants span."""
     from triloom.operators import intervals
 
-    folder = lambda c: F.regexp_extract(c, r"([^/]+)/[^/]*$", 1)
+    folder = lambda c: F.regexp_extract(c, r"([^/]+)/snps\.[^/]*(?:/[^/]*)?$", 1)
     v = vcf(spark, f"{root}/*/snps.vcf*").withColumn("sample", folder(F.col("file")))
     s = sequences(spark, f"{root}/*/snps.aligned.fa").withColumn("sample", folder(F.col("file")))
     key = F.concat_ws("\x01", "sample", "sequence")
@@ -237,10 +323,3 @@ def random_sequences(seqs: DataFrame, k: float, seed: int = 0) -> DataFrame:
     take = int(k) if k >= 1 else round(k * n)
     return seqs.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "sequence")), "sequence").limit(take)
 
-
-def numbered(t: DataFrame, column: str) -> DataFrame:
-    return t.withColumn("_n", F.row_number().over(Window.orderBy(column)))
-
-
-def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], getattr(schema, name))
