@@ -379,6 +379,9 @@ def test_signature_files(spark, tmp_path):
     (tmp_path / "a.sig").write_text(json.dumps([doc, protein]))
     got = sorted((r["sample"], r["ksize"], r["hash"], r["abundance"]) for r in readers.signatures(spark, str(tmp_path / "a.sig")).collect())
     assert got == [("A", 21, -1, 9), ("A", 21, 5, 2), ("A", 31, 7, 1)]
+    rows = [("A", 21, -1), ("A", 21, 5), ("A", 31, 7), ("B", 21, 5)]
+    sinks.signatures(spark.createDataFrame(rows, "sample string, ksize int, hash long").coalesce(1), str(tmp_path / "sigs"))
+    assert sorted((r["sample"], r["ksize"], r["hash"]) for r in readers.signatures(spark, str(tmp_path / "sigs")).collect()) == rows
     with pytest.raises(ValueError):
         list(formats.signature_hashes(json.dumps({"name": "A", "signatures": [{"ksize": 3, "mins": [1], "seed": 7}]}).encode()))
 

@@ -360,3 +360,11 @@ def _(t: Tables) -> DataFrame:
     sheet = [("a", f"{root}/a.fa", None, None), ("b", None, f"{root}/b_1.fq", f"{root}/b_2.fq"), ("c", None, None, None)]
     kept, gone = readers.existing_files(t.spark, sheet)
     return t.spark.createDataFrame([(r[0], True) for r in kept] + [(s, False) for s in gone], "sample string, kept boolean")
+
+
+@query("write_kmer_sig", "SELECT CAST(sample_id AS VARCHAR) AS sample, 31 AS ksize, hash FROM (" + _NUMBER + ") GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    n = F.conv(F.substring("hash", 1, 12), 16, 10).cast("long")
+    path = shared_folder(t.spark, "sigs")
+    sinks.signatures(t.sketch.select(C("sample_id").cast("string").alias("sample"), F.lit(31).alias("ksize"), n.alias("hash")).distinct(), path)
+    return readers.signatures(t.spark, path).select("sample", "ksize", "hash")

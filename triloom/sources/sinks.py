@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triloom.session import write_text
+from triloom.session import ship, write_text
 
 
 def mask_bed(masks: DataFrame, path: str) -> None:
@@ -64,6 +64,25 @@ def ascii_tree(root) -> str:
     return "\n".join(out)
 
 
+def signatures(sketch: DataFrame, path: str, scaled: int = 1000) -> None:
+    """A signature document a sample, one a line, from (sample, ksize, hash); readers.signatures() reads
+    them again. A group is a sample's sketch, of its genome's size / scaled."""
+    ship(sketch.sparkSession)
+
+    def document(own):
+        import json
+
+        import pandas as pd
+
+        from triloom.sources import formats
+
+        by = {int(k): g["hash"].tolist() for k, g in own.groupby("ksize")}
+        return pd.DataFrame({"sample": [own["sample"].iloc[0]], "value": [json.dumps(formats.signature(own["sample"].iloc[0], by, scaled))]})
+
+    docs = sketch.select("sample", "ksize", "hash").groupBy("sample").applyInPandas(document, "sample string, value string")
+    docs.select("value").write.mode("overwrite").text(path)
+
+
 def svg_tree(root, annotations: list[tuple[str, str, str, str]] = (), width: int = 600, row: int = 14) -> str:
     """A drawn tree: branches to scale, leaf names, and for each leaf a square of its color in each
     column of annotations (leaf, column, status, color), as a query's tree_annotations() gives them."""
