@@ -80,3 +80,15 @@ def test_scratch_uses_the_session_folder(spark):
     s.free(t)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(s.root + "/001-x")
+
+
+def test_likely_rows_hold_all_that_are_sought(spark, monkeypatch):
+    from triloom.llm import common
+
+    rows = spark.range(5000).selectExpr("id as doc_id", "cast(id as string) as _part")
+    ids = spark.createDataFrame([(i,) for i in (0, 7, 4999, 123456, 7)], "doc_id long")
+    assert {r["doc_id"] for r in common.likely(rows, ids, "doc_id").collect()} == {0, 7, 4999}
+    monkeypatch.setattr(common, "PLACES", 64)  # crowded: more pass, none is lost
+    got = common.likely(rows, ids, "doc_id")
+    assert got.columns == rows.columns and {0, 7, 4999} <= {r["doc_id"] for r in got.collect()} and got.count() < 1000
+    assert common.likely(rows, ids.limit(0), "doc_id").count() == 0

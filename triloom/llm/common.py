@@ -137,6 +137,23 @@ def row_keys(scratch: Scratch, docs: DataFrame, nulls_first: bool = False) -> tu
     return ranked(scratch, rows, [own, F.xxhash64("text"), F.col(tie)], key)[0].drop(tie), key
 
 
+#: Hashed places of a bitmap that is broadcast: 2 MB, whatever the number of ids.
+PLACES = 1 << 24
+
+
+def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among ids (key), for a join to decide: so that long rows that are not
+    asked for are not shuffled. Ids set bits of a bitmap of PLACES; where they are so many that
+    most bits are set, more rows pass than need to, and none is ever lost."""
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES)) + 1  # bitmap positions count from 1
+    maps = ids.select(F.bitmap_bucket_number(place).alias("_part"), F.bitmap_bit_position(place).alias("_bit"))
+    maps = maps.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    part, bits, at = unused(rows.columns, "_part", "_bits", "_at")
+    found = rows.withColumns({part: F.bitmap_bucket_number(place), at: F.bitmap_bit_position(place)}).join(F.broadcast(maps.select(F.col("_part").alias(part), F.col("_bits").alias(bits))), part)
+    byte = F.conv(F.hex(F.substring(bits, (F.col(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, F.col(at) % 8) == 1).drop(part, bits, at)
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every end of an edge; component is the smallest id reachable.
 

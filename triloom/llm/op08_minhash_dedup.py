@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch, connected_components, row_keys
+from triloom.llm.common import Scratch, connected_components, likely, row_keys
 from triloom.llm.memory import trimmed
 from triloom.llm.shingles import alike, circulant, shingle_set
 
@@ -254,7 +254,9 @@ def _by_id(docs: DataFrame, words: int, percent: int, rows: int, bands: int, scr
     shared = entries.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n"), F.sum("size").alias("tokens")).where("n > 1")
     shared = scratch.cut(shared, "shared")
     buckets = scratch.cut(entries.join(shared, "key"), "buckets")  # key, doc_id, size, lead, n, tokens
-    sets = scratch.cut(shingle_sets(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), words), "sets")
+    sought = scratch.cut(buckets.select("doc_id").distinct(), "sought")
+    sets = scratch.cut(shingle_sets(likely(docs, sought, "doc_id").join(sought, "doc_id", "left_semi"), words), "sets")
+    scratch.free(reps, shared, sought)
 
     pairs = buckets.where("doc_id <> lead").select("lead", "doc_id").distinct()
     sizes = scratch.cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / UNIT).alias("chunks")), "leads")
@@ -284,6 +286,6 @@ def _by_id(docs: DataFrame, words: int, percent: int, rows: int, bands: int, scr
     label = classes.join(found, classes["rep"] == found["id"], "left").where("copies > 1 or id is not null")
     label = scratch.cut(label.select("digest", F.coalesce("component", "rep").alias("component_id")), "labels")
     # All that led here has been written on; the sketch and the labels are what the result reads.
-    scratch.free(classes, reps, shared, buckets, sets, sizes, links, known, placed, active, more, found)
+    scratch.free(classes, buckets, sets, sizes, links, known, placed, active, more, found)
     out = sketch.join(label, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
