@@ -263,6 +263,8 @@ class SamplesQuery:
     def experimental(self) -> SamplesQuery:
         """The same query with a tree that follows it: after each step the tree is that of the universe,
         pruned to the present samples."""
+        if self.root is None:
+            raise ValueError("no tree is joined")
         return ExperimentalTreeQuery(**{f.name: getattr(self, f.name) for f in fields(self)}, universe_root=self.root)
 
     def label_internal(self, label: Callable[[list[str]], str] = lambda names: "{" + ", ".join(names) + "}") -> tree.Node:
