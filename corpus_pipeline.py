@@ -50,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, copies, nth = unused([*rows.columns], "_own", "_copies", "_nth")
     taken = op05_mixing.mix(rows.select(F.col(key).alias("doc_id"), "source", "text"), scratch=scratch).where("copies > 0")
     taken = scratch.cut(taken.select(F.col("doc_id").alias(own), F.col("copies").alias(copies)), "copies")
-    taken = rows.join(taken, rows[key] == taken[own])
+    # Both sides grow with the documents, so neither is ever broadcast.
+    taken = rows.join(taken.hint("merge"), rows[key] == taken[own])
     taken = taken.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return taken.select(*_columns(docs))
 
