@@ -218,8 +218,8 @@ def test_pairs_share_hashes_in_any_blocks(spark):
     s = spark.createDataFrame(rows, "sample_id long, hash long")
     sets = {i: {h for x, h in rows if x == i} for i in range(40)}
     want = {(a, b): len(sets[a] & sets[b]) for a in range(40) for b in range(a + 1, 40)}
-    for block in (1000, 7):
-        assert {(x["sample_a"], x["sample_b"]): x["shared"] for x in kmer.pair_counts(s, block=block).collect()} == want
+    for block, hot in ((1000, 64), (1000, 1), (7, 9)):
+        assert {(x["sample_a"], x["sample_b"]): x["shared"] for x in kmer.pair_counts(s, block=block, hot=hot).collect()} == want
 
 
 def test_snp_distances_in_any_blocks(spark):

@@ -39,14 +39,20 @@ def text_sketch(docs: DataFrame, k: int = 3, prefix: str = "1") -> DataFrame:
     return s.where(F.col("hash") < prefix).distinct()
 
 
-def pair_counts(sketch: DataFrame, block: int = 256, parts: int = 16) -> DataFrame:
+def pair_counts(sketch: DataFrame, block: int = 256, parts: int = 16, hot: int = 64) -> DataFrame:
     """(sample_a, sample_b, shared) for a < b that share a hash.
 
-    Samples are dealt into blocks of about `block`; a hash brings the lists of two blocks together
+    Hashes of at most `hot` samples make their pairs in an equal join. For the others, samples are dealt into blocks of about `block`; a hash brings the lists of two blocks together
     once, so a hash that all samples have costs the square of the blocks and not of the samples.
     Units of two blocks and one share of the hashes add up their counts before the shuffle.
     """
     ship(sketch.sparkSession)
+    held = sketch.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    sketch = sketch.join(held, "hash").select("hash", "sample_id", "n")
+    cool = sketch.where(F.col("n") <= hot)
+    cool = cool.select("hash", F.col("sample_id").alias("sample_a")).join(cool.select("hash", F.col("sample_id").alias("sample_b")), "hash").where("sample_a < sample_b")
+    cool = cool.groupBy("sample_a", "sample_b").agg(F.count("*").alias("shared"))
+    sketch = sketch.where(F.col("n") > hot)
     n = sketch.agg(F.ceil(F.approx_count_distinct("sample_id") / block).cast("int")).scalar()
     own = F.pmod(F.xxhash64("sample_id"), F.greatest(n, F.lit(1))).cast("int")
     lists = sketch.groupBy("hash", own.alias("own")).agg(F.collect_list("sample_id").alias("ids"))
@@ -65,7 +71,7 @@ def pair_counts(sketch: DataFrame, block: int = 256, parts: int = 16) -> DataFra
         return pd.DataFrame({"sample_a": np.minimum(a, b)[keep], "sample_b": np.maximum(a, b)[keep], "shared": shared[x, y][keep]})
 
     counted = units.groupBy("i", "j", "share").applyInPandas(count, "sample_a long, sample_b long, shared long")
-    return counted.groupBy("sample_a", "sample_b").agg(F.sum("shared").alias("shared"))
+    return cool.union(counted).groupBy("sample_a", "sample_b").agg(F.sum("shared").alias("shared"))
 
 
 def similar_pairs(sketch: DataFrame) -> DataFrame:
