@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op07_embedding_dedup, op08_minhash_dedup, op09_packing
+from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op07_embedding_dedup, op08_minhash_dedup, op09_packing, op13_vector_codes
 from triloom.llm import op10_sharding as sharding
 from triloom.llm.common import A_Z, a_z, read
 
@@ -54,6 +54,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.grid(40))
 
 
+def op13_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_minhash_dedup,
             op9_packing,
             op10_sharding,
+            op13_vector_compression,
         )
     }
 
@@ -89,6 +94,25 @@ def _url_sql() -> str:
 SELECT page_id, host, path, {case("text")} AS rule, coalesce({case("verdict")}, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS component FROM p"""
 
 
+def _vector_sql(rounds: int = 2) -> str:
+    """Brute force: every part against every entry of its codebook, for vectors of one length that 16 divides."""
+    near = """b{i} AS (SELECT vec_id, label, row, part, z.entry, x, list_sum(list_transform(list_zip(x, z.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d
+FROM p JOIN c{i} z USING (part) QUALIFY row_number() OVER (PARTITION BY row, part ORDER BY d, z.entry) = 1)"""
+    move = """m{i} AS (SELECT part, entry, pos, sum(v) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM b{i}) GROUP BY ALL),
+n{i} AS (SELECT part, entry, list(CAST((s - (((s % n) + n) % n)) // n AS BIGINT) ORDER BY pos) AS e FROM m{i} GROUP BY part, entry),
+c{j} AS (SELECT c{i}.part, c{i}.entry, coalesce(n{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN n{i} USING (part, entry))"""
+    steps = ",\n".join(f"{near.format(i=i)},\n{move.format(i=i, j=i + 1)}" for i in range(rounds))
+    return f"""WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS row, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS x
+FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT vec_id, label, row, part, x[part * len(x) // 16 + 1:(part + 1) * len(x) // 16] AS x FROM v, range(16) t(part)),
+c0 AS (SELECT part, row - 1 AS entry, x AS e FROM p WHERE row <= 64),
+{steps},
+{near.format(i=rounds)},
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT row, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM b{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h"""
+
+
 def oracle_sql() -> dict[str, str]:
     norm = f"translate(coalesce(text, ''), '{A_Z}', '{a_z}')"
     return {
@@ -114,4 +138,5 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
 c AS (SELECT doc_id, len(s.s) AS n_shingles, coalesce(least(rep, low), rep, doc_id) AS component_id FROM s LEFT JOIN k ON k.s = s.s LEFT JOIN m ON m.a = rep)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c""",
+            "op13_vector_compression": _vector_sql(),
     }
