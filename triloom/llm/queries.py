@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op07_embedding_dedup, op08_minhash_dedup, op09_packing, op13_vector_codes
+from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op07_embedding_dedup, op08_minhash_dedup, op09_packing, op11_phrases, op13_vector_codes
 from triloom.llm import op10_sharding as sharding
 from triloom.llm.common import A_Z, a_z, read
 
@@ -54,6 +54,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.grid(40))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_minhash_dedup,
             op9_packing,
             op10_sharding,
+            op11_collocations,
             op13_vector_compression,
         )
     }
@@ -94,6 +99,22 @@ def _url_sql() -> str:
 SELECT page_id, host, path, {case("text")} AS rule, coalesce({case("verdict")}, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS component FROM p"""
 
 
+def _phrase_sql(longest: int = 5, least: int = 100, top: int = 2000) -> str:
+    """Brute force: every stretch of words of every piece."""
+    return f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{A_Z}', '{a_z}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS ph FROM w, range(1, {longest + 1}) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {least}),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+i AS (SELECT lang, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda s: ph[s:s + m - 1])))) AS ph, f FROM f WHERE k > 2),
+c AS (SELECT f.* FROM f LEFT JOIN (SELECT lang, ph, max(f) AS m FROM i GROUP BY ALL) x USING (lang, ph) WHERE k > 1 AND (m IS NULL OR 100 * m < 100 * f)),
+u AS (SELECT c.lang, c.k, c.ph, c.f, h.f AS l, t.f AS r, n.n, s.s, CAST((1000::HUGEINT * c.f * n.n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+FROM c, range(1, {longest}) s(s) JOIN f h ON h.lang = c.lang AND h.ph = c.ph[1:s.s] JOIN f t ON t.lang = c.lang AND t.ph = c.ph[s.s + 1:] JOIN n ON n.lang = c.lang WHERE s.s < c.k),
+b AS (SELECT lang, array_to_string(ph, ' ') AS phrase, f AS a, l, r, n, score FROM u QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, s) = 1)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY rank <= {top}"""
+
+
 def _vector_sql(rounds: int = 2) -> str:
     """Brute force: every part against every entry of its codebook, for vectors of one length that 16 divides."""
     near = """b{i} AS (SELECT vec_id, label, row, part, z.entry, x, list_sum(list_transform(list_zip(x, z.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d
@@ -138,5 +159,6 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
 c AS (SELECT doc_id, len(s.s) AS n_shingles, coalesce(least(rep, low), rep, doc_id) AS component_id FROM s LEFT JOIN k ON k.s = s.s LEFT JOIN m ON m.a = rep)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c""",
-            "op13_vector_compression": _vector_sql(),
+            "op11_collocations": _phrase_sql(),
+        "op13_vector_compression": _vector_sql(),
     }
