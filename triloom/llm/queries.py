@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op07_embedding_dedup, op08_minhash_dedup, op09_packing, op11_phrases, op13_vector_codes
+from triloom.llm import op01_quality, op02_url_filter, op03_exact_dedup, op04_language_id, op05_mixing, op06_license_scan, op07_embedding_dedup, op08_minhash_dedup, op09_packing, op11_phrases, op12_pii, op13_vector_codes
 from triloom.llm import op10_sharding as sharding
 from triloom.llm.common import A_Z, a_z, read
 
@@ -58,6 +58,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op13_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_packing,
             op10_sharding,
             op11_collocations,
+            op12_personal_data,
             op13_vector_compression,
         )
     }
@@ -115,6 +120,55 @@ b AS (SELECT lang, array_to_string(ph, ' ') AS phrase, f AS a, l, r, n, score FR
 SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY rank <= {top}"""
 
 
+def _pii_sql() -> str:
+    """The contract's patterns as they are, and all words of all texts with their places."""
+    o = op12_pii
+    runs = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    patterns = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ]
+    rows = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(patterns))
+    low = f"translate({{}}, '{A_Z}', '{a_z}')"
+
+    def near(side: str, cut: str) -> str:
+        part = f"right({side}, {o.REACH})" if cut == "2:" else f"left({side}, {o.REACH})"
+        words = f"regexp_split_to_array({low.format(part)}, '{o.GAPS}')"
+        return f"list_filter(CASE WHEN length({side}) <= {o.REACH} THEN {words} ELSE {words}[{cut}] END, lambda x: {term('x')})"
+
+    def term(x: str) -> str:
+        return f"length({x}) BETWEEN {o.SHORTEST} AND {o.LONGEST_TERM} AND regexp_matches({x}, '[^0-9]')"
+
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+pat(i, kind, p) AS (VALUES {rows}),
+s AS (SELECT k, i, kind, t, regexp_extract_all(t, p) AS ms, regexp_split_to_array(t, p) AS gs FROM d, pat WHERE regexp_matches(t, p)),
+u AS (SELECT k, i, kind, t, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g, unnest(range(len(ms))) AS j FROM s),
+e AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY k, i ORDER BY j) AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS nr FROM u),
+c AS (SELECT *, stop - length(m) AS start, lag(stop, 1, 0) OVER w AS low, lead(stop - length(m), 1, length(t)) OVER w AS high FROM e WHERE kind <> 'card' OR length(nr) BETWEEN 13 AND 19 WINDOW w AS (PARTITION BY k, i ORDER BY j)),
+v AS (SELECT *, substr(t, CAST(low AS BIGINT) + 1, CAST(start - low AS BIGINT)) AS l, substr(t, CAST(stop AS BIGINT) + 1, CAST(high - stop AS BIGINT)) AS r FROM c
+WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: NOT regexp_matches(x, '^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$'))) = 0 WHEN 'phone' THEN length(nr) BETWEEN 9 AND 15
+WHEN 'card' THEN list_sum(list_transform(range(1, length(nr) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(nr)[i] AS INT) WHEN CAST(reverse(nr)[i] AS INT) > 4 THEN 2 * CAST(reverse(nr)[i] AS INT) - 9 ELSE 2 * CAST(reverse(nr)[i] AS INT) END)) % 10 = 0 ELSE true END),
+b AS (SELECT k, i, kind, start, stop, kind || ':' || CASE kind WHEN 'email' THEN {low.format('m')} WHEN 'ip' THEN m ELSE nr END AS entity, ({near('l', '2:')})[-{o.NEAR}:] || ({near('r', ':-2')})[:{o.NEAR}] AS near FROM v),
+n0 AS (SELECT DISTINCT k, entity, unnest(near) AS term FROM b),
+n1 AS (SELECT * FROM n0 UNION SELECT k, entity, left(term, {o.PREFIX}) || '*' FROM n0 WHERE length(term) > {o.PREFIX}),
+f AS (SELECT entity, term, count(*) AS f FROM n1 GROUP BY ALL HAVING count(*) >= {o.SUPPORT}),
+de AS (SELECT entity, count(DISTINCT k) AS d FROM b GROUP BY entity),
+r0 AS (SELECT k, {low.format('t')} AS t FROM d),
+r1 AS (SELECT k, t, regexp_extract_all(t, '{runs}') AS ws, regexp_split_to_array(t, '{runs}') AS gs FROM r0),
+r2 AS (SELECT k, unnest(ws) AS w, unnest(gs[:len(ws)]) AS g, unnest(range(len(ws))) AS j FROM r1),
+r3 AS (SELECT k, w, sum(length(g) + length(w)) OVER (PARTITION BY k ORDER BY j) AS stop FROM r2),
+dt AS (SELECT w AS term, count(DISTINCT k) AS n FROM r3 GROUP BY w UNION ALL SELECT left(w, {o.PREFIX}) || '*', count(DISTINCT k) FROM r3 WHERE length(w) > {o.PREFIX} AND {term('w')} GROUP BY 1),
+told AS (SELECT DISTINCT term FROM f JOIN de USING (entity) JOIN dt USING (term), (SELECT count(*) AS rows FROM d)
+WHERE rows * f::DOUBLE >= {2.0**o.LEAST_BITS} * d * n AND f >= {2.0**-o.RESIDUE!r}::DOUBLE * n AND NOT ends_with(term, '*')),
+ts AS (SELECT k, 9 AS i, '{o.TERM}' AS kind, stop - length(w) AS start, stop FROM r3 JOIN told ON w = term),
+al AS (SELECT k, i, kind, start, stop FROM b UNION ALL SELECT * FROM ts WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = ts.k AND b.start < ts.stop AND ts.start < b.stop)),
+x AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS line FROM al),
+g AS (SELECT k, string_agg(line, ',' ORDER BY i, start) AS spans, coalesce(string_agg(line, ',' ORDER BY i, start) FILTER (i < 9), '') AS base, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in [*o.PATTERNS, o.TERM])} FROM x GROUP BY k)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in [*o.PATTERNS, o.TERM])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (k)"""
+
+
 def _vector_sql(rounds: int = 2) -> str:
     """Brute force: every part against every entry of its codebook, for vectors of one length that 16 divides."""
     near = """b{i} AS (SELECT vec_id, label, row, part, z.entry, x, list_sum(list_transform(list_zip(x, z.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d
@@ -160,5 +214,6 @@ m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
 c AS (SELECT doc_id, len(s.s) AS n_shingles, coalesce(least(rep, low), rep, doc_id) AS component_id FROM s LEFT JOIN k ON k.s = s.s LEFT JOIN m ON m.a = rep)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c""",
             "op11_collocations": _phrase_sql(),
+        "op12_personal_data": _pii_sql(),
         "op13_vector_compression": _vector_sql(),
     }
