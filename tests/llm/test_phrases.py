@@ -60,6 +60,8 @@ def test_shards_and_segments_cut_anywhere(spark, monkeypatch):
     monkeypatch.setattr(op, "SHARD", 40)
     monkeypatch.setattr(op, "SEGMENT", 30)
     monkeypatch.setattr(op, "BATCH", 64)
+    monkeypatch.setattr(op, "LEAST_PLACES", 1 << 15)
+    monkeypatch.setattr(op, "MOST_PLACES", 1 << 15)
     rows = corpus(60, 9, 3) + [("en", "one two three four five six " * 60)]
     df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
     assert found(df, least=2, top=None) == brute(rows, 5, 2, None)
@@ -73,8 +75,8 @@ def test_shift_and_count_across_blocks():
     for a, b, n in zip(first.tolist(), second.tolist(), np.bitwise_count(bits).tolist()):
         count[a, b] += n
     assert count == {(0, 1): 31, (1, 0): 30}
-    got = {tuple(map(int, i)): int(n) for ids, c in maps.phrases(np.array([1, 2]), 4) for i, n in zip(ids, c)}
-    assert got == {(0, 1, 0): 30, (1, 0, 1): 29, (0, 1, 0, 1): 29, (1, 0, 1, 0): 28}
+    got = {tuple(map(int, i)): int(n) for ids, c in maps.phrases(lambda a, b: a != b, 4) for i, n in zip(ids, c)}
+    assert got == {(0, 1): 31, (1, 0): 30, (0, 1, 0): 30, (1, 0, 1): 29, (0, 1, 0, 1): 29, (1, 0, 1, 0): 28}
 
 
 def test_segments_make_up_the_text():
@@ -101,3 +103,15 @@ def test_exact_beyond_64_bits(spark, monkeypatch):
     totals = spark.createDataFrame([("en", 97 * big)], "lang string, n long")
     monkeypatch.setattr(op, "frequent_phrases", lambda *a: (freq, totals))
     assert found(freq.select("lang", "phrase")) == [("en", 1, "a b", big - 7, 3 * big, big, 97 * big, 1000 * (big - 7) * 97 * big // (3 * big * big))]
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    rows = corpus(80, 4)
+    monkeypatch.setattr(op.Likely, "has", lambda self, hashes: np.ones(len(hashes), bool))
+    assert found(spark.createDataFrame(rows, "lang string, text string"), least=4, top=None) == brute(rows, 5, 4, None)
+
+
+def test_bitmap_has_what_it_was_made_of(spark):
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    likely = op.Likely.of(spark.createDataFrame([(int(h),) for h in hashes], "hash long"))
+    assert likely.has(hashes).all() and likely.has(hashes + 1).mean() < 0.05

@@ -3,16 +3,18 @@
 The words of a language are dealt into shards. In a shard each word has a bitmap of its positions, kept
 as its non-zero blocks of 16 bits. A phrase's bitmap marks where it ends: shifted by one and cut (AND) with
 that of a word it becomes the bitmap of the longer phrase, and its set bits are the phrase's count. Ends
-of pieces take a position that no word has, so no phrase crosses them. Shards sum up: words that are frequent over all
-shards make pairs, frequent pairs are what phrases are extended by, from one batch of pairs down to the
-longest phrase before the next batch. What a shard needs to know of the whole comes to it by joins;
-no vocabulary is broadcast.
+of pieces take a position that no word has, so no phrase crosses them. Counts of shards add up: first of words,
+then of pairs of words that may be frequent; phrases are extended by pairs that may be, from one batch
+of pairs down to the longest phrase before the next batch. Shards stay where they are; what may be
+frequent comes to them as hashed places of a bitmap of bounded size. It lets too much through (more
+where it fills up) but loses nothing, and what counts in the end are the sums of exact strings.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 
 from triloom.llm.common import A_Z, Scratch, a_z, prepare, ranked
 from triloom.llm.memory import trimmed
+from triloom.llm.shingles import mix
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Positions of a shard (and up to a segment more), characters of a segment, pairs or entries of a batch.
 SHARD, SEGMENT, BATCH = 1 << 18, 1 << 19, 1 << 16
-#: Bits of a block of a bitmap.
+#: Bits of a block of a bitmap; places of a bitmap of what may be frequent: 16 for each, 16 MB in all at most.
 BITS = 16
+PLACES_EACH, LEAST_PLACES, MOST_PLACES = 16, 1 << 20, 1 << 27
 
 _ENDS = re.compile(r"[.,;:!?\n-\r]+")
 _GAPS = re.compile(r"[ \t.,;:!?\n-\r]")
@@ -67,26 +71,28 @@ class _Shard:
         self.parts.append(ids)
         self.length += len(ids)
 
-    def row(self) -> tuple[int, list[str], list[int], bytes]:
+    def row(self, lang: str) -> dict:
         stream = np.concatenate(self.parts)
         words = list(self.ids)[2:]
         mine = stream[self.own :]
-        return self.own, words, np.bincount(mine[mine >= 0], minlength=len(words)).tolist(), stream.tobytes()
+        seed = lang.encode("utf-8", "surrogatepass") + b"\n"
+        hashes = [int.from_bytes(hashlib.blake2b(seed + w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in words]
+        counts = np.bincount(mine[mine >= 0], minlength=len(words)).tolist()
+        wide = np.uint16 if len(words) < 1 << 16 else np.uint32
+        return {"lang": lang, "own": self.own, "words": words, "hashes": hashes, "counts": counts, "stream": (stream + 1).astype(wide).tobytes(), "width": wide().itemsize}
 
 
-def _shards(longest: int):
-    schema = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("own", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+SHARDS = pa.schema(
+    [("lang", pa.string()), ("own", pa.int32()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary()), ("width", pa.int32())]
+)
 
-        task, n, open_shards = TaskContext.get().partitionId(), 0, {}
 
-        def closed(lang: str, shard: _Shard) -> pa.RecordBatch:
-            nonlocal n
-            n += 1
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (lang, (task << 32) + n, *shard.row()), strict=True))], schema)
+def _shards(longest: int):
+    def closed(lang: str, shard: _Shard) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([shard.row(lang)], SHARDS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_shards: dict[str, _Shard] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 lang, text = lang.as_py(), text.as_py()
@@ -98,7 +104,7 @@ def _shards(longest: int):
                     if shard.length >= SHARD:
                         yield closed(lang, shard)
                         # A piece that goes on carries its last words over; they are counted where they were.
-                        names, last = list(shard.ids)[2:], np.concatenate(shard.parts[-longest:])[1 - longest :] if longest > 1 else []
+                        names, last = list(shard.ids)[2:], np.concatenate(shard.parts)[1 - longest :]
                         cut = max((i + 1 for i, w in enumerate(last) if w == _BREAK), default=0)
                         open_shards[lang] = _Shard([names[i] for i in last[cut:]])
                 if lang in open_shards:
@@ -109,6 +115,33 @@ def _shards(longest: int):
     return trimmed(run)
 
 
+class Likely:
+    """Hashed places of what may be frequent."""
+
+    def __init__(self, places: int, marks: bytes):
+        self.places, self.marks = np.uint64(places), np.frombuffer(marks, np.uint8)
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Likely:
+        """Of a table's column `hash`: its rows set bits of a bitmap, and only that comes to the driver."""
+        places = min(MOST_PLACES, max(LEAST_PLACES, 1 << (PLACES_EACH * hashes.count()).bit_length()))
+        place = F.col("hash").bitwiseAND(F.lit(places - 1)) + 1
+        parts = hashes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        marks = np.zeros(places // 8, np.uint8)
+        for r in parts.collect():
+            at = (r["part"] - 1) * 4096
+            marks[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        return cls(places, marks.tobytes())
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes.view(np.uint64) & (self.places - np.uint64(1))
+        return (self.marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first.view(np.uint64)) * np.uint64(0x9FB21C651E98DF25) + second.view(np.uint64)).view(np.int64)
+
+
 def packed(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of equal key joined by OR, sorted by key."""
     if not len(key):
@@ -152,8 +185,8 @@ class Bitmaps:
         mine = np.where(block == 0, bits & np.uint16((0xFFFF << self.own) & 0xFFFF), bits)
         return np.bincount(phrase, np.bitwise_count(mine), n).astype(np.int64)
 
-    def pairs(self, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, second word, block, bits) of all pairs, or of those known (sorted first * words + second)."""
+    def pairs(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, second word, block, bits) of all pairs, or of those wanted."""
         owner, block, bits = shifted(self.word, self.block, self.bits, self.blocks)
         order = block.argsort(kind="stable")
         owner, block, bits = owner[order], block[order], bits[order]
@@ -165,24 +198,22 @@ class Bitmaps:
             both = m[i] & self.bits[j]
             hit = both > 0
             i, j, both = i[hit], j[hit], both[hit]
-            if known is not None and len(i):
-                code = o[i] * self.words + self.word[j]
-                found = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
-                hit = known[found] == code if len(known) else np.zeros(len(code), bool)
+            if wanted is not None:
+                hit = wanted(o[i], self.word[j])
                 i, j, both = i[hit], j[hit], both[hit]
             out.append((o[i], self.word[j], b[i], both))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (self.word[:0], self.word[:0], self.block[:0], self.bits[:0])
 
-    def phrases(self, known: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word ids of phrases, their counts) of three words up to longest whose neighbours are all known pairs."""
-        first, second, block, bits = self.pairs(known)
+    def phrases(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word ids of phrases, their counts) of two words up to longest whose neighbours are all wanted pairs."""
+        first, second, block, bits = self.pairs(wanted)
         order = np.lexsort((block, first))
         first, second, block, bits = first[order], second[order], block[order], bits[order]
         key = first * self.blocks + block
         name = first * self.words + second
         batch = np.flatnonzero(np.diff(first, prepend=-1))  # all of a first word stay together
         groups: list[tuple[int, int]] = []
-        for s, e in zip(batch, [*batch[1:], len(first)], strict=True):
+        for s, e in zip(batch, [*batch[1:], len(first)], strict=False):  # nothing where there is no pair
             if groups and e - groups[-1][0] <= BATCH:
                 groups[-1] = (groups[-1][0], e)
             else:
@@ -190,6 +221,7 @@ class Bitmaps:
         for s, e in groups:
             codes, phrase = np.unique(name[s:e], return_inverse=True)
             ids, at, ends = np.stack([codes // self.words, codes % self.words], axis=1), block[s:e], bits[s:e]
+            yield ids, self.counts(phrase, at, ends, len(ids))
             while ids.shape[1] < longest and len(ids):
                 owner, at, ends = shifted(phrase, at, ends, self.blocks)
                 want = ids[owner, -1] * self.blocks + at
@@ -202,38 +234,35 @@ class Bitmaps:
                 yield ids, self.counts(phrase, at, ends, len(ids))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    for row in range(batch.num_rows):
-        lang, shard, own, words, stream, chosen = (batch.column(c)[row] for c in ("lang", "shard", "own", "words", "stream", "chosen"))
-        yield lang.as_py(), shard.as_py(), own.as_py(), np.array(words.as_py(), object), np.frombuffer(stream.as_py(), np.int32).astype(np.int64), np.array(chosen.as_py(), np.int64)
+def _maps(batches: Iterator[pa.RecordBatch], words: Likely) -> Iterator[tuple[str, np.ndarray, np.ndarray, Bitmaps]]:
+    """(lang, words, their hashes, bitmaps of the words that may be frequent) of each shard."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            hashes = np.array(row["hashes"], np.int64)
+            stream = np.frombuffer(row["stream"], {2: np.uint16, 4: np.uint32}[row["width"]]).astype(np.int64) - 1
+            yield row["lang"], np.array(row["words"], object), hashes, Bitmaps(stream, row["own"], np.flatnonzero(words.has(hashes)))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lang, shard, own, words, stream, chosen in _rows(batch):
-            maps = Bitmaps(stream, own, chosen)
+def _pairs(words: Likely):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, hashes, maps in _maps(batches, words):
             a, b, block, bits = maps.pairs()
             codes, pair = np.unique(a * maps.words + b, return_inverse=True)
             n = maps.counts(pair, block, bits, len(codes))
-            # Pairs that only the carried words make are counted where they stood.
             codes, n = codes[n > 0], n[n > 0]
-            names = words[codes // maps.words] + " " + words[codes % maps.words]
-            same = pa.array([lang]).take(pa.array(np.zeros(len(n), np.int32)))
-            yield pa.RecordBatch.from_arrays([same, pa.array(np.full(len(n), shard)), pa.array(codes), pa.array(names, pa.string()), pa.array(n)], ["lang", "shard", "pair", "phrase", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(hashes[codes // maps.words], hashes[codes % maps.words])), pa.array(n.astype(np.int32))], ["hash", "f"])
+
+    return trimmed(run)
 
 
-def _longer(longest: int):
+def _phrases(words: Likely, pairs: Likely, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, _, own, words, stream, known in _rows(batch):
-                size = int(stream.max(initial=0)) + 1
-                known = np.sort(known)
-                maps = Bitmaps(stream, own, np.unique(np.concatenate([known // size, known % size])))
-                for ids, n in maps.phrases(known, longest):
-                    ids, n = ids[n > 0], n[n > 0]
-                    names = [" ".join(row) for row in words[ids].tolist()]
-                    same = pa.array([lang]).take(pa.array(np.zeros(len(n), np.int32)))
-                    yield pa.RecordBatch.from_arrays([same, pa.array(names, pa.string()), pa.array(np.full(len(n), ids.shape[1], np.int32)), pa.array(n)], ["lang", "phrase", "words", "f"])
+        for lang, names, hashes, maps in _maps(batches, words):
+            for ids, n in maps.phrases(lambda a, b: pairs.has(pair_hash(hashes[a], hashes[b])), longest):  # noqa: B023
+                ids, n = ids[n > 0], n[n > 0]  # without those that carried words make
+                found = [" ".join(row) for row in names[ids].tolist()]
+                same = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32)))
+                yield pa.RecordBatch.from_arrays([same, pa.array(found, pa.string()), pa.array(np.full(len(n), ids.shape[1], np.int32)), pa.array(n)], ["lang", "phrase", "words", "f"])
 
     return trimmed(run)
 
@@ -242,29 +271,19 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST,
     """((lang, phrase, words, f) of all phrases of 1 to longest words that occur least times, (lang, n))."""
     prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = rows.mapInArrow(_shards(longest), "lang string, shard long, own int, words array<string>, counts array<long>, stream binary")
+    shards = rows.mapInArrow(_shards(longest), "lang string, own int, words array<string>, hashes array<long>, counts array<long>, stream binary, width int")
     shards = scratch.cut(shards, "shards")
     totals = scratch.cut(shards.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n")), "totals")
-
-    def enough(counted: DataFrame, *more: str) -> DataFrame:
-        return counted.groupBy("lang", "phrase", *more).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-
-    def chosen(found: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-        """The shards that hold some of what was found, with its ids there: never more than a shard has."""
-        own = ids.join(found.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list(column).alias("chosen"))
-        return shards.select("lang", "shard", "own", "words", "stream").join(own, "shard").select("lang", "shard", "own", "words", "stream", "chosen")
-
-    local = shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "w")).select("lang", "shard", F.col("id").cast("long").alias("id"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("f"))
-    words = scratch.cut(enough(local).select("lang", "phrase", F.lit(1).alias("words"), "f"), "words")
-    out = words
-    if longest > 1:
-        pairs = scratch.cut(chosen(words, local.select("lang", "shard", "id", "phrase"), "id").mapInArrow(trimmed(_pairs), "lang string, shard long, pair long, phrase string, f long"), "pairs")
-        twos = scratch.cut(enough(pairs).select("lang", "phrase", F.lit(2).alias("words"), "f"), "twos")
-        out = out.unionByName(twos)
-        if longest > 2:
-            more = chosen(twos, pairs.select("lang", "shard", "pair", "phrase"), "pair").mapInArrow(_longer(longest), "lang string, phrase string, words int, f long")
-            out = out.unionByName(scratch.cut(enough(more, "words"), "longer"))
-    return out, totals
+    local = shards.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.hashes").alias("hash"), F.col("w.counts").alias("f"))
+    words = local.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("hash").alias("hash")).where(F.col("f") >= least)
+    words = scratch.cut(words, "words")
+    streams = shards.select("lang", "own", "words", "hashes", "stream", "width")
+    may = Likely.of(words.select("hash"))
+    pairs = streams.mapInArrow(_pairs(may), "hash long, f int").groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    pairs = scratch.cut(pairs.select("hash"), "pairs")
+    more = streams.mapInArrow(_phrases(may, Likely.of(pairs), longest), "lang string, phrase string, words int, f long")
+    more = more.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(scratch.cut(more, "phrases")), totals
 
 
 def collocations(
