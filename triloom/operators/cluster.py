@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.operators import tree
+from triloom.operators import paths
 
 _KINDS = {}
 
@@ -19,24 +19,25 @@ def register_score_kind(name: str, score) -> None:
 
 
 def mrca_jaccard(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, score): Jaccard index of each group and the leaves under its MRCA, for all groups in
-    one pass over nested-set numbers; a group without a leaf has none and scores NaN."""
+    """(group, tree_id, score): in each tree, the Jaccard index of a group and the leaves under its MRCA,
+    which is that of its first and last leaf; a group without a leaf in any tree has none and scores NaN."""
     leaf = nodes.where("is_leaf").select("tree_id", "name", "lft")
-    g = groups.select("group", "name").distinct().join(leaf, "name", "left")
-    span = g.groupBy("group").agg(F.min("lft").alias("lo"), F.max("lft").alias("hi"), F.count("lft").alias("inside"), F.count("*").alias("n"))
-    above = tree.ancestors(nodes).select(F.col("leaf").alias("lo"), "lft", "rgt", "depth")
-    below = span.join(above, "lo").where("rgt >= hi").groupBy("group").agg(F.max_by(F.col("rgt") - F.col("lft") + 1, F.col("depth")).alias("below"))
-    best = span.join(below, "group", "left")
+    own = groups.select("group", "name").distinct()
+    size = own.groupBy("group").agg(F.count("*").alias("n"))
+    span = own.join(leaf, "name").groupBy("group", "tree_id").agg(F.min("lft").alias("lo"), F.max("lft").alias("hi"), F.count("*").alias("inside"))
+    top = paths.common_ancestors(paths.chains(nodes), span).select("tree_id", "lo", "hi", (F.col("rgt") - F.col("lft") + 1).alias("below"))
+    best = size.join(span.join(top, ["tree_id", "lo", "hi"]), "group", "left")
     score = F.when(F.col("inside") > 0, F.col("inside") / (F.col("below") + F.col("n") - F.col("inside"))).otherwise(F.lit(float("nan")))
-    return best.select("group", score.cast("double").alias("score"))
+    return best.select("group", "tree_id", score.cast("double").alias("score"))
 
 
 register_score_kind("mrca_jaccard", mrca_jaccard)
 
 
 def score_groupby(nodes: DataFrame, metadata: DataFrame, column: str, kind: str = "mrca_jaccard", min_samples: int | None = None, max_samples: int | None = None, na_value: str | None = None, group=None) -> DataFrame:
-    """(group, samples, score) for the values of a metadata column (name, column); null groups are left
-    out unless na_value names them; groups are filtered by size before they are scored. group: a function of the Column."""
+    """(group, samples, tree_id, score) for the values of a metadata column (name, column); null groups are
+    left out unless na_value names them; groups are filtered by size before they are scored. group: a
+    function of the Column. A registered kind without a tree_id gives none."""
     value = F.col(column).cast("string")
     value = F.coalesce(value, F.lit(na_value)) if na_value is not None else value
     m = metadata.select("name", (group(value) if group else value).alias("group")).where("group is not null").distinct()

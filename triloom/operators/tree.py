@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triloom.operators import paths
 from triloom.schema import TREE_NODES
 
 
@@ -36,12 +37,12 @@ class Node:
         return [n.name for n in self.leaves()]
 
 
-_TOKEN = re.compile(r"\s*('(?:[^']|'')*'|[(),;:]|[^(),;:\s]+)")
+_TOKEN = re.compile(r"\s*(?:\[[^\]]*\]\s*)*('(?:[^']|'')*'|[(),;:]|[^(),;:\s\[]+)")  # comments are skipped, quotes kept
 
 
 def parse_newick(text: str) -> Node:
     """The tree of a newick string; inner labels and supports become names."""
-    tokens = _TOKEN.findall(re.sub(r"\[[^\]]*\]", "", text))
+    tokens = _TOKEN.findall(text)
     root = Node()
     at, path, i = root, [], 0
     while i < len(tokens):
@@ -113,14 +114,6 @@ def tree_nodes(spark: SparkSession, root: Node, tree_id: str = "tree") -> DataFr
     return spark.createDataFrame(node_rows(root, tree_id), TREE_NODES)
 
 
-def ancestors(nodes: DataFrame, chunk: int = 1 << 16, keep: list[str] = []) -> DataFrame:  # noqa: B006
-    """(tree_id, leaf, lft, rgt, root_dist, depth): every leaf number with each node above it, so that
-    ancestors are found by an equi join; leaves times depth rows, dealt out in chunks."""
-    n = nodes.select("tree_id", "lft", "rgt", "root_dist", "depth", *keep)
-    n = n.withColumn("_from", F.explode(F.sequence("lft", "rgt", F.lit(chunk))))
-    return n.withColumn("leaf", F.explode(F.sequence("_from", F.least("rgt", F.col("_from") + chunk - 1)))).drop("_from")
-
-
 def mrca(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """(tree_id, lft, rgt, root_dist) of the deepest node over all anchors (name); none without an anchor."""
     a = nodes.where("is_leaf").join(anchors.select("name").distinct(), "name", "left_semi").groupBy("tree_id").agg(F.min("lft").alias("lo"), F.max("lft").alias("hi"))
@@ -142,7 +135,8 @@ def distances(nodes: DataFrame, anchors: DataFrame, chunk: int = 1 << 16) -> Dat
     meet the leaves by an equal join; so rows are as many as there are pairs in the result."""
     leaf = nodes.where("is_leaf").select("tree_id", "name", "lft", "root_dist")
     a = leaf.join(anchors.select("name").distinct(), "name", "left_semi").select("tree_id", F.col("name").alias("anchor"), F.col("lft").alias("al"), F.col("root_dist").alias("ad"))
-    above = ancestors(nodes).select("tree_id", F.col("leaf").alias("al"), F.col("lft").alias("nl"), F.col("rgt").alias("nr"), F.col("root_dist").alias("nd"), "depth")
+    above = paths.ancestors_of(paths.chains(nodes), a.select("tree_id", F.col("al").alias("leaf")))
+    above = above.select("tree_id", F.col("leaf").alias("al"), F.col("lft").alias("nl"), F.col("rgt").alias("nr"), F.col("root_dist").alias("nd"), "depth")
     w = Window.partitionBy("tree_id", "anchor").orderBy(F.col("depth").desc())
     up = a.join(above, ["tree_id", "al"]).withColumns({"bl": F.lag("nl").over(w), "br": F.lag("nr").over(w)})
     whole = F.array(F.struct(F.col("nl").alias("lo"), F.col("nr").alias("hi")))
@@ -153,11 +147,17 @@ def distances(nodes: DataFrame, anchors: DataFrame, chunk: int = 1 << 16) -> Dat
     return parts.join(leaf, ["tree_id", "lft"]).select("anchor", "name", (F.col("ad") + F.col("root_dist") - 2 * F.col("nd")).alias("distance"))
 
 
-def leaves_of_inner(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node, name): every inner node's name with each leaf below it, by equal joins."""
-    inner = ancestors(nodes.where("not is_leaf").select("tree_id", F.col("name").alias("node"), "lft", "rgt", "root_dist", "depth"), keep=["node"])
-    leaf = nodes.where("is_leaf").select("tree_id", F.col("lft").alias("leaf"), "name")
-    return inner.join(leaf, ["tree_id", "leaf"]).select("tree_id", "node", "name")
+def from_nodes(nodes: DataFrame) -> Node:
+    """A table of one tree as a tree on the driver."""
+    rows = nodes.select("node_id", "parent_id", "name", "branch_length").orderBy("lft", "depth").collect()
+    made = {r["node_id"]: Node(r["name"], r["branch_length"]) for r in rows}
+    root = Node()
+    for r in rows:
+        if r["parent_id"] is None:
+            root = made[r["node_id"]]
+        else:
+            made[r["parent_id"]].children.append(made[r["node_id"]])
+    return root
 
 
 # Driver-side reshaping; without recursion, as trees may be as deep as they have leaves.
@@ -256,7 +256,14 @@ def single_linkage(labels: list[str], matrix: np.ndarray) -> Node:
         out[j] = False
         closer = out & (matrix[j] < near)
         near[closer], via[closer] = matrix[j][closer], j
-    edges.sort()
+    return dendrogram(labels, edges)
+
+
+def dendrogram(labels: list[str], edges: list[tuple[float, int, int]]) -> Node:
+    """The tree whose clusters the edges (distance, i, j) of a spanning tree join, shortest first."""
+    n, edges = len(labels), sorted(edges)
+    if n == 0:
+        raise ValueError("no samples")
     parent = list(range(n))
 
     def root(x: int) -> int:

@@ -128,10 +128,11 @@ class Tables(IndexView):
             F.col("c_name").alias("name"), (F.col("c_custkey") % 11 + 1).cast("double").alias("branch_length"), (dist + F.col("c_custkey") % 11 + 1).cast("double").alias("root_dist"), F.row_number().over(w).cast("int").alias("lft"), "r_name", "n_name", "r_regionkey", "n_nationkey"
         )
         span = [F.min("lft").alias("lft"), F.max("lft").alias("rgt")]
-        nation = leaf.groupBy(F.col("n_name").alias("name"), "n_nationkey", "r_regionkey").agg(*span).select("name", (F.col("n_nationkey") % 7 + 1).cast("double").alias("branch_length"), (F.col("r_regionkey") + 2 + F.col("n_nationkey") % 7).cast("double").alias("root_dist"), "lft", "rgt", F.lit(2).alias("depth"), F.lit(False).alias("is_leaf"))
-        region = leaf.groupBy(F.col("r_name").alias("name"), "r_regionkey").agg(*span).select("name", (F.col("r_regionkey") + 1).cast("double").alias("branch_length"), (F.col("r_regionkey") + 1).cast("double").alias("root_dist"), "lft", "rgt", F.lit(1).alias("depth"), F.lit(False).alias("is_leaf"))
-        root = leaf.agg(*span).select(F.lit("root").alias("name"), F.lit(0.0).alias("branch_length"), F.lit(0.0).alias("root_dist"), "lft", "rgt", F.lit(0).alias("depth"), F.lit(False).alias("is_leaf"))
-        leaves = leaf.select("name", "branch_length", "root_dist", "lft", F.col("lft").alias("rgt"), F.lit(3).alias("depth"), F.lit(True).alias("is_leaf"))
+        first = lambda depth, *by: F.concat_ws(":", F.lit(depth), F.min("lft").over(Window.partitionBy(*by)))
+        nation = leaf.groupBy(F.col("n_name").alias("name"), "n_nationkey", "r_regionkey").agg(*span).select("name", (F.col("n_nationkey") % 7 + 1).cast("double").alias("branch_length"), (F.col("r_regionkey") + 2 + F.col("n_nationkey") % 7).cast("double").alias("root_dist"), "lft", "rgt", F.lit(2).alias("depth"), F.lit(False).alias("is_leaf"), first(1, "r_regionkey").alias("parent_id"))
+        region = leaf.groupBy(F.col("r_name").alias("name"), "r_regionkey").agg(*span).select("name", (F.col("r_regionkey") + 1).cast("double").alias("branch_length"), (F.col("r_regionkey") + 1).cast("double").alias("root_dist"), "lft", "rgt", F.lit(1).alias("depth"), F.lit(False).alias("is_leaf"), F.lit("0:1").alias("parent_id"))
+        root = leaf.agg(*span).select(F.lit("root").alias("name"), F.lit(0.0).alias("branch_length"), F.lit(0.0).alias("root_dist"), "lft", "rgt", F.lit(0).alias("depth"), F.lit(False).alias("is_leaf"), F.lit(None).cast("string").alias("parent_id"))
+        leaves = leaf.select("name", "branch_length", "root_dist", "lft", F.col("lft").alias("rgt"), F.lit(3).alias("depth"), F.lit(True).alias("is_leaf"), first(2, "r_regionkey", "n_nationkey").alias("parent_id"))
         nodes = leaves.union(nation).union(region).union(root)
         return nodes.select(F.lit("tree").alias("tree_id"), "*", F.concat_ws(":", "depth", "lft").alias("node_id"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.operators import align, cluster, tree
+from triloom.operators import align, cluster, linkage, paths, tree
 from triloom.plans.projection import Tables
 from triloom.plans.q_states import H1, H12, h, q
 from triloom.plans.registry import query
@@ -79,8 +79,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("tree_label_internal", "SELECT n.name, count(*) AS leaves, count(DISTINCT segment) AS segments FROM tree n JOIN tree l ON l.is_leaf AND l.lft BETWEEN n.lft AND n.rgt JOIN metadata m ON m.name = l.name WHERE NOT n.is_leaf GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    below = tree.leaves_of_inner(t.tree).join(t.metadata, "name")
-    return below.groupBy(F.col("node").alias("name")).agg(F.count("*").alias("leaves"), F.count_distinct("segment").alias("segments"))
+    leaves = t.tree.where("is_leaf").join(t.metadata, "name").select("tree_id", F.col("lft").alias("leaf"), F.col("segment").alias("value"))
+    inner = t.tree.where("not is_leaf").select("tree_id", "node_id", "name")
+    counted = paths.below(t.tree, leaves).groupBy("tree_id", "node_id").agg(F.sum("n").alias("leaves"), F.count("*").alias("segments"))
+    return inner.join(counted, ["tree_id", "node_id"]).select("name", "leaves", "segments")
 
 
 def _score(groups: str) -> str:
@@ -93,17 +95,17 @@ def _groups(t: Tables) -> DataFrame:
 
 @query("cluster_score", f'SELECT "group", score FROM ({_score("SELECT name, nation AS grp FROM metadata")})')
 def _(t: Tables) -> DataFrame:
-    return cluster.mrca_jaccard(t.tree, _groups(t))
+    return cluster.mrca_jaccard(t.tree, _groups(t)).drop("tree_id")
 
 
 @query("cluster_score_entry", f'SELECT "group", samples, score FROM ({_score("SELECT name, segment AS grp FROM metadata")})')
 def _(t: Tables) -> DataFrame:
-    return q(t).join_nodes(t.tree).join(t.metadata.drop("name"), sample_ids_column="sample_id").score_groups("segment")
+    return q(t).join_nodes(t.tree).join(t.metadata.drop("name"), sample_ids_column="sample_id").score_groups("segment").drop("tree_id")
 
 
 @query("cluster_score_groupby", f'SELECT * FROM ({_score("SELECT name, nation AS grp FROM metadata")}) WHERE samples >= 2')
 def _(t: Tables) -> DataFrame:
-    return cluster.score_groupby(t.tree, t.metadata, "nation", min_samples=2)
+    return cluster.score_groupby(t.tree, t.metadata, "nation", min_samples=2).drop("tree_id")
 
 
 _P = {
@@ -151,11 +153,18 @@ def _(t: Tables) -> DataFrame:
     return tree.tree_nodes(t.spark, _newick(t)).where("is_leaf").select("name", "root_dist")
 
 
-@query("tree_prune", "SELECT n_name AS name, CAST(r_regionkey + 2 + n_nationkey % 7 AS DOUBLE) AS root_dist FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+def _kept(which: str) -> str:
+    """Leaves of the pruned tree: an inner node is left where two of its children are."""
+    return f"""SELECT name, root_dist - min(base) OVER () AS root_dist, depth, lft FROM (SELECT name, root_dist, 0.0 AS base, CAST(1 + CASE WHEN nations > 1 THEN 1 ELSE 0 END + CASE WHEN leaves > 1 THEN 1 ELSE 0 END AS INTEGER) AS depth,
+CAST(row_number() OVER (ORDER BY lft) AS INTEGER) AS lft FROM (SELECT *, count(*) OVER (PARTITION BY r_name, n_name) AS leaves, list_unique(list(n_name) OVER (PARTITION BY r_name)) AS nations FROM leaf WHERE {which}))"""
+
+
+@query("tree_prune", _kept("r_name <> 'ASIA' AND CAST(substr(name, 10) AS BIGINT) % 29 = 0"))
 def _(t: Tables) -> DataFrame:
-    root = _newick(t)
-    keep = {r[0] for r in t.raw("nation").join(t.raw("region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name").collect()}
-    return tree.tree_nodes(t.spark, tree.prune(root, keep)).where("is_leaf").select("name", "root_dist")
+    """Every 29th customer outside of Asia: many nations are left with one leaf and are merged with it."""
+    place = t.raw("nation").join(t.raw("region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    keep = t.metadata.where("sample_id % 29 = 0").join(place, F.col("nation") == F.col("n_nationkey"), "left_semi")
+    return paths.pruned(t.tree, keep).where("is_leaf").select("name", "root_dist", "depth", "lft")
 
 
 _NATIONS = "SELECT n_name AS name, n_nationkey % 7 + 1 AS own, r_regionkey + 1 AS up, r_regionkey AS r FROM nation JOIN region ON n_regionkey = r_regionkey"
@@ -186,8 +195,8 @@ _KPAIRS = "SELECT a.sample_id AS x, b.sample_id AS y, count(*) AS shared FROM sk
 def _(t: Tables) -> DataFrame:
     """Single linkage of the documents: a leaf's branch is half its distance to the nearest other one."""
     own = q(t).intersect(t.with_kmer_index())
-    root = own.build_tree("kmer", kmer_size=3).root
-    return t.spark.createDataFrame([(n.name, n.length) for n in root.leaves()], "name string, branch_length double")
+    chosen = own.state.where("status = 2")
+    return linkage.leaf_heights(own.linkage(kmer_size=3), chosen).join(t.samples, "sample_id").select(F.col("sample_name").alias("name"), F.col("height").alias("branch_length"))
 
 
 _SNPS = "SELECT DISTINCT sample_name AS s, spdi FROM calls JOIN refs USING (sequence) JOIN samples USING (sample_id) WHERE var_type = 'SNP' AND reference_name = 'genome'"
@@ -206,10 +215,9 @@ def _(t: Tables) -> DataFrame:
     return align.snp_distances(rows)
 
 
-@query("experimental_tree_query", "SELECT n_name AS name, CAST(r_regionkey + 2 + n_nationkey % 7 AS DOUBLE) AS root_dist FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+@query("experimental_tree_query", _kept("r_name <> 'ASIA'"))
 def _(t: Tables) -> DataFrame:
     """The tree follows the selection, and the universe's tree stays: what is absent comes back by complement."""
-    from triloom.plans.q_files import _on_tree
-
-    asia = [r[0] for r in t.raw("nation").join(t.raw("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name").collect()]
-    return _on_tree(t).experimental().isa(asia).complement().nodes.where("is_leaf").select("name", "root_dist")
+    asia = t.raw("nation").join(t.raw("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    there = t.metadata.join(asia, F.col("nation") == F.col("n_nationkey"), "left_semi")
+    return q(t).join_nodes(t.tree).experimental().isin(there).complement().nodes.where("is_leaf").select("name", "root_dist", "depth", "lft")

@@ -14,21 +14,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions import ids
-from triloom.operators import cluster, features, kmer, lookup, state, tree, typing
+from triloom.operators import cluster, features, kmer, linkage, lookup, paths, state, tree, typing
 from triloom.schema import ABSENT, PRESENT, UNKNOWN
 
 
-#: Values of a metadata column that a comparison makes columns of, and leaves of a tree that is built: its
-#: distances are a square on the driver. More are an error.
+#: Values of a metadata column that a comparison makes columns of, and leaves of a tree that is built by
+#: neighbour joining: its distances are a square on the driver. More are an error.
 MOST_CATEGORIES, MOST_LEAVES = 1000, 10_000
 
 
+class Later:
+    """A table or tree that is made when something of it is asked for, once."""
+
+    def __init__(self, make: Callable[[], Any]):
+        self._make = make
+
+    def made(self) -> Any:
+        if self._make is not None:
+            self._value, self._make = self._make(), None
+        return self._value
+
+    def __getattr__(self, name: str) -> Any:
+        return getattr(self.made(), name)
+
+
+def made(x: Any) -> Any:
+    return x.made() if isinstance(x, Later) else x
+
+
+def _quoted(column: str) -> str:
+    """A column's name as a reference to it, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class SamplesQuery:
     db: Any  # has samples, calls, mlst, annotations, sketch
     state: DataFrame
     steps: tuple[str, ...] = ()
     metadata: DataFrame | None = None
+    ids_column: str | None = None  # which metadata column the ids came from
     nodes: DataFrame | None = None
     root: tree.Node | None = None
     alignment_length: int = 1
@@ -128,7 +153,7 @@ class SamplesQuery:
         if kind == "dataframe":
             if self.metadata is None:
                 raise ValueError("no metadata is joined")
-            c = F.col(column or self.default_column)
+            c = F.col(_quoted(column or self.default_column))
             hit = F.coalesce(c.cast("string").rlike(data), F.lit(False)) if regex else c == data
             return self._next(state.restrict(self.state, self.metadata.where(hit)), f"isa('{data}', column='{column or self.default_column}', regex={regex})")
         if kind in self.typers:
@@ -157,7 +182,7 @@ class SamplesQuery:
                 if lost:
                     raise ValueError(f"{lost} samples are not in the tree")
                 factor = float(self.alignment_length) if units == "substitutions" else 1.0
-                near = self._by_name(tree.distances(self._tree(), names).where(F.col("distance") * factor <= distance))
+                near = self._by_name(paths.least_distances(self._tree(), names).where(F.col("distance") * factor <= distance))
             else:
                 raise ValueError(f"unknown units {units}")
             return self._next(state.restrict(self.state, near), f"within({distance} {units})")
@@ -170,7 +195,12 @@ class SamplesQuery:
     def _tree(self) -> DataFrame:
         if self.nodes is None:
             raise ValueError("no tree is joined")
-        return self.nodes
+        return made(self.nodes)
+
+    def _root(self) -> tree.Node:
+        if self.root is None:
+            return tree.from_nodes(self._tree())
+        return made(self.root)
 
     def _names(self, data: Any) -> DataFrame:
         return self.db.samples.join(self._ids(data), "sample_id", "left_semi").select(F.col("sample_name").alias("name"))
@@ -181,20 +211,35 @@ class SamplesQuery:
     # Joins.
 
     def join(self, frame: DataFrame, sample_ids_column: str | None = None, sample_names_column: str | None = None, default_isa_kind: str = "sample", default_isa_column: str | None = None) -> SamplesQuery:
-        """Attach metadata by id or name; the universe keeps the samples that the frame has."""
+        """Attach metadata by id or name; the universe keeps the samples that the frame has. Columns keep
+        their names here; results show one that has a name of theirs as `<name>_metadata`."""
         if self.metadata is not None:
             raise ValueError("metadata is joined already")
         if (sample_ids_column is None) == (sample_names_column is None):
             raise ValueError("name either the ids' or the names' column")
+        if any(c.lower() == "sample_id" != (sample_ids_column or "").lower() for c in frame.columns):
+            raise ValueError("a column sample_id is in the way")
         if sample_ids_column:
-            meta = frame.withColumn("sample_id", F.col(sample_ids_column).cast("long"))
+            meta = frame.withColumn("sample_id", frame[_quoted(sample_ids_column)].cast("long"))
         else:
-            if "sample_id" in frame.columns:
-                raise ValueError("a column sample_id is in the way")
-            names = self.db.samples.select("sample_id", F.col("sample_name").alias("_name"))
-            meta = frame.join(names, frame[sample_names_column] == F.col("_name")).drop("_name")
+            names = self.db.samples.select("sample_id", F.col("sample_name").alias("_joined_name"))
+            meta = frame.join(names, frame[_quoted(sample_names_column)] == F.col("_joined_name")).drop("_joined_name")
         kept = self.state.join(meta.select("sample_id"), "sample_id", "left_semi")
-        return self._next(kept, "join(dataframe)", metadata=meta, default_kind=default_isa_kind, default_column=default_isa_column)
+        return self._next(kept, "join(dataframe)", metadata=meta, ids_column=sample_ids_column, default_kind=default_isa_kind, default_column=default_isa_column)
+
+    def _metadata_beside(self, taken: list[str], without: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+        """The metadata with its key as _key, columns with a taken name under another one, and its columns."""
+        used, renamed = {c.lower() for c in taken}, []
+        for c in self.metadata.columns:
+            if c.lower() == "sample_id" or c in without:
+                continue
+            new = c
+            while new.lower() in used:
+                new += "_metadata"
+            used.add(new.lower())
+            renamed.append(F.col(_quoted(c)).alias(new))
+        meta = self.metadata.select(F.col("sample_id").alias("_key"), *renamed)
+        return meta, meta.columns[1:]
 
     def join_tree(self, newick: str | tree.Node, alignment_length: int = 1, reference_leaf: str | None = None) -> SamplesQuery:
         """Attach a tree: samples outside it become absent, the universe stays."""
@@ -239,16 +284,26 @@ class SamplesQuery:
             return align.core_alignment(own, samples, refs, masks, label)
         return align.full_alignment(own, samples, refs, masks, label, tuple(include_variants or align.VARIANTS))
 
+    def linkage(self, kmer_size: int = 31) -> DataFrame:
+        """(sample_a, sample_b, distance): the edges along which single linkage of k-mer distances joins the
+        present samples, found without a square of distances; a sample without sketch is an error."""
+        chosen = self._selected()
+        own = self._sketch(kmer_size).join(chosen, "sample_id", "left_semi")
+        if (gone := kmer.missing_sketches(own, chosen).count()) > 0:
+            raise ValueError(f"{gone} samples have no sketch")
+        return linkage.spanning_edges(kmer.similar_pairs(own), chosen)
+
     def build_tree(self, kind: str = "kmer", kmer_size: int = 31, reference_name: str | None = None, align_type: str = "full", include_variants: tuple[str, ...] | None = None, include_reference: bool = True) -> SamplesQuery:
         """A tree of the present samples: single linkage of k-mer distances, or neighbour joining of SNP
         distances of the alignment (no maximum-likelihood tree is claimed). kind
         'mutation_experimental' gives an experimental query of the same tree."""
         chosen = self._selected()
-        self._leaf_limit(chosen)
         if kind == "kmer":
-            names = {r["sample_id"]: r["sample_name"] for r in self.db.samples.join(chosen, "sample_id", "left_semi").collect()}
-            order, matrix = kmer.distance_matrix(self._sketch(kmer_size), chosen)
-            return self.join_tree(tree.single_linkage([names[i] for i in order], matrix))
+            edges = self.linkage(kmer_size).select("sample_a", "sample_b", "distance").collect()  # one fewer than samples
+            names = self.db.samples.join(chosen, "sample_id", "left_semi").orderBy("sample_id").collect()
+            at = {r["sample_id"]: i for i, r in enumerate(names)}
+            return self.join_tree(tree.dendrogram([r["sample_name"] for r in names], [(e["distance"], at[e["sample_a"]], at[e["sample_b"]]) for e in edges]))
+        self._leaf_limit(chosen)
         if kind in ("mutation", "mutation_experimental"):
             from triloom.operators import align
 
@@ -263,23 +318,29 @@ class SamplesQuery:
     def experimental(self) -> SamplesQuery:
         """The same query with a tree that follows it: after each step the tree is that of the universe,
         pruned to the present samples."""
-        if self.root is None:
+        if self.nodes is None:
             raise ValueError("no tree is joined")
-        return ExperimentalTreeQuery(**{f.name: getattr(self, f.name) for f in fields(self)}, universe_root=self.root)
+        whole = self.nodes if self.root is None else tree.tree_nodes(self.state.sparkSession, self._root())
+        return ExperimentalTreeQuery(**{f.name: getattr(self, f.name) for f in fields(self)}, universe_nodes=whole)
 
     def label_internal(self, label: Callable[[list[str]], str] = lambda names: "{" + ", ".join(names) + "}") -> tree.Node:
         """The tree with inner nodes named by a function of the sorted leaf names below each."""
-        return tree.label_internal(self.root, label)
+        return tree.label_internal(self._root(), label)
 
     def prune(self, include_present: bool = True, include_unknown: bool = False, include_absent: bool = False) -> tree.Node | None:
         keep = {*self.tolist(True, include_present, include_unknown, include_absent), *([self.reference_leaf] if self.reference_leaf else [])}
-        return tree.prune(self.root, keep)
+        return tree.prune(self._root(), keep)
+
+    def pruned_nodes(self, include_present: bool = True, include_unknown: bool = False, include_absent: bool = False) -> DataFrame:
+        """The table of the tree of the samples of some classes (and the reference)."""
+        names = self.db.samples.join(self._classes(include_present, include_unknown, include_absent), "sample_id", "left_semi").select(F.col("sample_name").alias("name"))
+        return paths.pruned(self._tree(), names)
 
     def set_outgroup(self, name: str) -> SamplesQuery:
-        return self.join_tree(tree.set_outgroup(self.root, name), self.alignment_length, self.reference_leaf)
+        return self.join_tree(tree.set_outgroup(self._root(), name), self.alignment_length, self.reference_leaf)
 
     def relabel_samples(self, rename: Callable[[str], str]) -> tree.Node:
-        return tree.relabel(self.root, rename)
+        return tree.relabel(self._root(), rename)
 
     # Results.
 
@@ -293,8 +354,8 @@ class SamplesQuery:
         rows = self._classes(include_present, include_unknown, include_absent).join(self.db.samples, "sample_id")
         out = rows.select(F.lit(self.query_expression()).alias("Query"), F.col("sample_name").alias("Sample Name"), F.col("sample_id").alias("Sample ID"), ids.status_label(F.col("status")).alias("Status"))
         if self.metadata is not None:
-            meta = self.metadata.withColumnRenamed("sample_id", "Sample ID")
-            out = out.join(meta.drop(*[c for c in meta.columns if c in out.columns and c != "Sample ID"]), "Sample ID").select(*out.columns, *[c for c in meta.columns if c not in out.columns])
+            meta, more = self._metadata_beside(out.columns, tuple(c for c in self.metadata.columns if c == self.ids_column))
+            out = out.join(meta, out["Sample ID"] == meta["_key"]).select(*[F.col(_quoted(c)) for c in (*out.columns, *more)])
         return out
 
     def tolist(self, names: bool = True, include_present: bool = True, include_unknown: bool = False, include_absent: bool = False) -> list:
@@ -355,7 +416,7 @@ class SamplesQuery:
     def features_comparison(self, categories: dict[str, SamplesQuery] | str, kind: str = "mutations", unit: str = "percent", category_samples_threshold: int | None = None, include_unknown_samples: bool = False, only_samples_in_categories: bool = True) -> DataFrame:
         """By queries under names, or by the values of a metadata column, MOST_CATEGORIES of them at most."""
         if isinstance(categories, str):
-            rows = self.metadata.where(F.col(categories).isNotNull()).select("sample_id", F.col(categories).cast("string").alias("category"))
+            rows = self.metadata.where(F.col(_quoted(categories)).isNotNull()).select("sample_id", F.col(_quoted(categories)).cast("string").alias("category"))
             names = [r[0] for r in rows.select("category").distinct().orderBy("category").limit(MOST_CATEGORIES + 1).collect()]
             if len(names) > MOST_CATEGORIES:
                 raise ValueError(f"{categories} has more than {MOST_CATEGORIES} values, each of which would be several columns")
@@ -400,8 +461,8 @@ class SamplesQuery:
         return self._next(new, f"isa_type('{definition.label}')")
 
     def score_groups(self, column: str, **how) -> DataFrame:
-        meta = self.metadata.join(self.db.samples, "sample_id").select(F.col("sample_name").alias("name"), column)
-        return cluster.score_groupby(self._tree(), meta, column, **how)
+        meta = self.metadata.select("sample_id", F.col(_quoted(column)).alias("value")).join(self.db.samples, "sample_id").select(F.col("sample_name").alias("name"), "value")
+        return cluster.score_groupby(self._tree(), meta, "value", **how)
 
     def tree_annotations(self, columns: dict[str, SamplesQuery], colors: tuple[str, str, str] = ("white", "lightgray", "black"), leaf_name: Callable[[Column], Column] | None = None) -> DataFrame:
         """(leaf, column, status, color) of each leaf for each named query: what a tree picture shows.
@@ -409,7 +470,8 @@ class SamplesQuery:
         if metadata is joined, its columns."""
         leaves = self._tree().where("is_leaf").join(self.db.samples.withColumnRenamed("sample_name", "name"), "name")
         if self.metadata is not None:
-            leaves = leaves.join(self.metadata.drop(*[c for c in self.metadata.columns if c != "sample_id" and c in leaves.columns]), "sample_id", "left")
+            meta, _ = self._metadata_beside(leaves.columns)
+            leaves = leaves.join(meta, leaves["sample_id"] == meta["_key"], "left")
         leaves = leaves.select((leaf_name(F.col("name")) if leaf_name else F.col("name")).alias("leaf"), "sample_id")
         marks = None
         for i, q in enumerate(columns.values()):
@@ -427,27 +489,35 @@ class SamplesQuery:
 @dataclass(frozen=True)
 class ExperimentalTreeQuery(SamplesQuery):
     """A tree query whose tree is pruned to the present samples after each step, from a tree of the
-    whole universe that is kept beside it; reset_universe() makes the pruned tree the universe's."""
+    whole universe that is kept beside it; reset_universe() makes the pruned tree the universe's.
+    Trees are pruned when they are asked for."""
 
-    universe_root: tree.Node | None = None
+    universe_nodes: Any = None
 
     def _next(self, new: DataFrame, step: str, **more) -> SamplesQuery:
         out = super()._next(new, step, **more)
-        if "root" in more:  # a tree was joined: it is the universe's from now on
-            return replace(out, universe_root=more["root"])
-        return out._pruned(self.universe_root)
-
-    def _pruned(self, whole: tree.Node) -> SamplesQuery:
-        keep = {*SamplesQuery.tolist(self), *([self.reference_leaf] if self.reference_leaf else [])}
-        root = tree.prune(whole, keep)
-        nodes = tree.tree_nodes(self.state.sparkSession, root if root is not None else tree.Node())
+        if "nodes" in more:  # a tree was joined: it is the universe's from now on
+            root = more.get("root")
+            return replace(out, universe_nodes=more["nodes"] if root is None else tree.tree_nodes(new.sparkSession, root))
+        return out._pruned()
+
+    def _pruned(self) -> SamplesQuery:
+        def whole() -> DataFrame:
+            names = self.db.samples.join(self._selected(), "sample_id", "left_semi").select(F.col("sample_name").alias("name"))
+            if self.reference_leaf:
+                names = names.union(names.sparkSession.createDataFrame([(self.reference_leaf,)], "name string"))
+            return paths.pruned(made(self.universe_nodes), names)
+
+        table = Later(whole)
+        shown = table
         if self.reference_leaf:
-            nodes = nodes.where(~(F.col("is_leaf") & (F.col("name") == self.reference_leaf)))
-        return replace(self, root=root, nodes=nodes)
+            shown = Later(lambda: table.where(~(F.col("is_leaf") & (F.col("name") == self.reference_leaf))))
+        return replace(self, root=Later(lambda: tree.from_nodes(table.made())), nodes=shown)
 
     def reset_universe(self, include_unknown: bool = True) -> SamplesQuery:
         out = super().reset_universe(include_unknown)
-        return replace(out, universe_root=out.root)
+        kept = out.root
+        return replace(out, universe_nodes=Later(lambda: tree.tree_nodes(out.state.sparkSession, made(kept))))
 
 
 def register_typer(query: SamplesQuery, kind: str, typer: Callable[[Any, SamplesQuery], SamplesQuery]) -> SamplesQuery:

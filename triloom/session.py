@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 4, partitions: int = 8, app: str = "triloom", **conf: str) -> SparkSession:
@@ -70,6 +70,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written to the shared folder and read back: computed once, and its lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
     """A small text file on whatever file system the path names. A local one gets no checksum file
     beside it, as people edit such files."""
