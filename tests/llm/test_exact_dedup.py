@@ -55,6 +55,20 @@ def test_chunks_make_up_the_text_and_share_passages(spark):
     assert len(set(got[1]) & set(got[2])) > len(got[1]) * 0.9
 
 
+@pytest.mark.parametrize("first,last", [(0x430, 0x44F), (0x4E00, 0x9FA0), (0x3041, 0x3096), (0x621, 0x64A), (0x61, 0x7A)])
+def test_scripts_share_chunks_of_shared_passages(spark, first, last):
+    """Cyrillic, CJK, kana, Arabic and Latin: a passage behind other words is cut as it is at the front."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(first)
+    words = ["".join(chr(r.randint(first, last)) for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    long = " ".join(r.choice(words) for _ in range(12000))
+    rows = [(1, long), (2, " ".join(r.choice(words) for _ in range(37)) + " " + long)]
+    got = [set(x["c"]) for x in spark.createDataFrame(rows, "doc_id long, text string").orderBy("doc_id").select(op.chunks(F.col("text")).alias("c")).collect()]
+    assert len(got[0] & got[1]) > 0.8 * len(got[0]) and len(got[0]) > 20
+    assert b"".join(c.encode("latin-1") for c in spark.createDataFrame(rows, "doc_id long, text string").where("doc_id = 1").select(op.chunks(F.col("text")).alias("c")).first()["c"]).decode() == long
+
+
 def test_ambiguous_identifiers_are_told_apart(spark, monkeypatch):
     """With an identifier that all chunks share, contents still decide."""
     from pyspark.sql import functions as F
