@@ -92,3 +92,35 @@ def test_likely_rows_hold_all_that_are_sought(spark, monkeypatch):
     got = common.likely(rows, ids, "doc_id")
     assert got.columns == rows.columns and {0, 7, 4999} <= {r["doc_id"] for r in got.collect()} and got.count() < 1000
     assert common.likely(rows, ids.limit(0), "doc_id").count() == 0
+
+
+FRESH = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+sys.path.insert(0, {repo!r})
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+docs = spark.createDataFrame([(1, "some words are here", "en")], "doc_id long, text string, lang string")
+from triloom.llm import op01_quality, op04_language_id, op08_minhash_dedup, op09_packing
+{call}
+print("DONE")
+"""
+
+
+@pytest.mark.parametrize(
+    "call",
+    [
+        "op01_quality.score(docs, None).collect()",
+        "op04_language_id.identify(docs, {'en': [1, 2]}).collect()",
+        "op04_language_id.gram_counts(docs.select('text', 'lang')).collect()",
+        "op08_minhash_dedup.sketches(docs.select('doc_id', 'text'), 5, 6, 4).collect()",
+        "op09_packing.tokenized_pieces(docs.select('doc_id', 'text')).collect()",
+    ],
+)
+def test_each_python_stage_ships_its_package(call, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = FRESH.format(repo=str(Path(__file__).resolve().parents[2]), call=call)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "DONE" in done.stdout, done.stderr[-2000:]

@@ -95,3 +95,11 @@ def test_documents(spark, awkward):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len({r["shard"] for r in rows if r["doc_id"] == 7}) == 1
     assert op.shard_documents(docs.limit(0), op.grid(40)).count() == 0
+
+
+def test_assign_keeps_columns_and_tells_names_with_slashes_apart(spark):
+    topology = [op.Shard("a/b", "c", 0), op.Shard("a", "b/c", 1)]
+    df = spark.range(400).selectExpr("id as k", "id as _region", "id as _rack", "id as __region")
+    rows = op.assign(df, "k", topology).collect()
+    assert all(r["_region"] == r["_rack"] == r["__region"] == r["k"] for r in rows)
+    assert {0, 1} == {r["shard"] for r in rows}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch
+from triloom.llm.common import Scratch, prepare
 from triloom.llm.memory import release, trimmed
 from triloom.llm.op04_language_id import held_out
 from triloom.llm.shingles import word_hashes
@@ -242,7 +242,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs:
 
 def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted to all rows and columns of docs, from the whole text alone.
-    Without a model every score is 0.5. Null, empty and blank texts are scored too, as one empty passage."""
+    Without a model every score is 0.5. Null, empty and blank texts are scored too, as one empty passage.
+    Columns of docs that are called score or predicted give way to the new ones."""
+    prepare(docs.sparkSession)
 
     @F.pandas_udf("double")
     def call(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch, unused
+from triloom.llm.common import Scratch, prepare, unused
 from triloom.llm.memory import release, trimmed
 
 #: n-grams of a profile, and the lengths counted.
@@ -81,6 +81,7 @@ def _ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): what each task counted, to be summed; over whole texts of rows (text, lang)."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -151,6 +152,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, te
     Null and empty texts, and those without a letter, are `und` with score 0, as is everything if
     there are no profiles. The profiles travel with the tasks: languages times `top` numbers.
     """
+    prepare(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
 
     @F.pandas_udf("lang_pred string, score double")

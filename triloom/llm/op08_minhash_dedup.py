@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch, connected_components, likely, row_keys
+from triloom.llm.common import Scratch, connected_components, likely, prepare, row_keys
 from triloom.llm.memory import trimmed
 from triloom.llm.shingles import alike, circulant, shingle_set
 
@@ -39,6 +39,7 @@ STEP = 1.05
 
 def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, digest (null for an empty set), bands."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = circulant(rows, bands)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch, ranked, unused
+from triloom.llm.common import Scratch, prepare, ranked, unused
 from triloom.llm.memory import trimmed
 
 END = 2
@@ -75,6 +75,7 @@ def cuts(n: int, room: int) -> list[tuple[int, int]]:
 def tokenized_pieces(docs: DataFrame, room: int = 1024, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (little-endian 32-bit ids) and, on request, ids; the
     ids are those of the tokenizer at its default settings, added tokens included."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

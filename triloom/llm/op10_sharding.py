@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.common import Scratch, ranked
+from triloom.llm.common import Scratch, ranked, unused
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,8 @@ def assign(df: DataFrame, key: str, topology: list[Shard], out: str = "shard") -
     """Adds the shard of each row, from the key and the topology alone.
 
     The topology is a short list in driver code. A null key counts as one more key. Shards of
-    weight 0 or less take nothing. Rows that repeat a key share its shard.
+    weight 0 or less take nothing. Rows that repeat a key share its shard. All columns stay; one
+    called `out` gives way to the shard.
     """
     live = [s for s in topology if s.weight > 0]
     if not live:
@@ -72,12 +73,12 @@ def assign(df: DataFrame, key: str, topology: list[Shard], out: str = "shard") -
     for s in live:
         regions.setdefault(s.region, {}).setdefault(s.rack, {})[str(s.number)] = s.weight
     total = lambda racks: {n: sum(x.values()) for n, x in racks.items()}
-    df = df.withColumn("_region", _pick(k, "region", {n: sum(total(r).values()) for n, r in regions.items()}))
-    df = df.withColumn("_rack", _choose(F.col("_region"), {n: _pick(k, f"rack/{n}", total(r)) for n, r in regions.items()}))
+    at_region, at_rack = unused([*df.columns, out], "_region", "_rack")
+    df = df.withColumn(at_region, _pick(k, "region", {n: sum(total(r).values()) for n, r in regions.items()}))
+    df = df.withColumn(at_rack, _choose(F.col(at_region), {n: _pick(k, f"rack/{n}", total(r)) for n, r in regions.items()}))
     racks = {(g, r): x for g, rs in regions.items() for r, x in rs.items()}
-    place = F.concat_ws("/", "_region", "_rack")
-    leaf = _choose(place, {f"{g}/{r}": _pick(k, f"shard/{g}/{r}", x) for (g, r), x in racks.items()})
-    return df.withColumn(out, leaf.cast("int")).drop("_region", "_rack")
+    leaf = _choose(F.col(at_region), {g: _choose(F.col(at_rack), {r: _pick(k, f"shard/{g}/{r}", x) for (h, r), x in racks.items() if h == g}) for g in regions})
+    return df.withColumn(out, leaf.cast("int")).drop(at_region, at_rack)
 
 
 def shard_documents(docs: DataFrame, topology: list[Shard]) -> DataFrame:
