@@ -325,6 +325,46 @@ def test_experimental_tree_follows_the_selection(spark, index):
     assert b.isin("B", kind="distance", distance=20, units="substitutions").toset() == {"B", "C"}
 
 
+def test_metadata_columns_of_any_name(spark, index):
+    at = {r["sample_name"]: r["sample_id"] for r in index.samples.collect()}
+    rows = [(at["A"], "red", "x", "n1", 1.0, "A"), (at["B"], "blue", "y", "n2", 2.0, "B"), (at["C"], "blue", "z", "n3", 3.0, "C")]
+    m = spark.createDataFrame(rows, "`Sample ID` long, `Status` string, Query string, `sample name` string, `a.b` double, name string")
+    q = SamplesQuery.all(index).join(m, sample_ids_column="Sample ID").join_tree("(A:2,(B:1,C:1):1);")
+    frame = q.toframe()
+    assert frame.columns == ["Query", "Sample Name", "Sample ID", "Status", "Status_metadata", "Query_metadata", "sample name_metadata", "a.b", "name"]
+    got = {r["Sample Name"]: r for r in frame.collect()}
+    assert got["B"]["Status"] == "Present" and got["B"]["Status_metadata"] == "blue" and got["B"]["a.b"] == 2.0 and got["B"]["Sample ID"] == at["B"]
+    assert q.isa("blue", kind="dataframe", column="Status").toset() == {"B", "C"} and q.isa("2.0", kind="dataframe", column="a.b").toset() == {"B"}
+    scores = {r["group"]: (r["samples"], r["score"]) for r in q.score_groups("Status").collect()}
+    assert scores == {"red": (1, 1.0), "blue": (2, 1.0)} and q.score_groups("name").count() == 3
+    compared = q.features_comparison("Status").columns
+    assert any("blue" in c for c in compared) and any("red" in c for c in compared)
+    leaves = {r["leaf"] for r in q.tree_annotations({"x": q}, leaf_name=lambda n: F.concat_ws("|", n, "Status", "name_metadata")).collect()}
+    assert leaves == {"A|red|A", "B|blue|B", "C|blue|C"}
+    with pytest.raises(ValueError, match="sample_id"):
+        SamplesQuery.all(index).join(m.withColumn("sample_id", F.lit(1)), sample_ids_column="Sample ID")
+
+
+def test_experimental_steps_are_lazy(spark, index):
+    q = SamplesQuery.all(index).reset_universe().join_tree("(A:2,(B:1,C:1):1);").experimental()
+    seen = []
+    from triloom.operators import paths
+
+    plain, paths.pruned = paths.pruned, lambda *a: seen.append(1) or plain(*a)
+    try:
+        step = q.isa("A").complement().reset_universe()
+        assert seen == [] and sorted(step.root.leaf_names()) == ["B", "C"] and seen == [1]
+    finally:
+        paths.pruned = plain
+
+
+def test_annotated_summaries_can_be_asked_for_again(spark, index):
+    rows = SamplesQuery.all(index).features_summary(ignore_annotations=False).where("id_hgvs_gn_c is not null").collect()
+    assert rows
+    for r in rows:
+        assert SamplesQuery.all(index).hasa(r["id_hgvs_gn_c"]).toset() == SamplesQuery.all(index).hasa(r["feature"]).toset()
+
+
 def test_leaf_names_and_styles(spark, index):
     m = spark.createDataFrame([("A", "red"), ("B", "blue"), ("C", None)], "who string, color string")
     q = SamplesQuery.all(index).join(m, sample_names_column="who").join_tree("(A:2,(B:1,C:1):1);")

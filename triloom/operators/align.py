@@ -59,6 +59,12 @@ def _sequence_order(names: DataFrame) -> DataFrame:
     return n.select("sequence", F.when(F.col("_i") == last, 0).otherwise(F.col("_i")).alias("_rank"))
 
 
+def _grid(samples: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(sample_id, sample_name, sequence): as many rows as the result has, without bases, which come last."""
+    names = F.explode(sequences.agg(F.coalesce(F.collect_set("sequence"), F.array().cast("array<string>"))).scalar())
+    return samples.select("sample_id", "sample_name", names.alias("sequence"))
+
+
 def core_alignment(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks: DataFrame | None = None, reference_name: str | None = None) -> DataFrame:
     """(record_id, alignment): each sample's base at every core position, and the reference's on request.
 
@@ -76,7 +82,7 @@ def core_alignment(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks:
     own = calls.where("var_type = 'SNP'").groupBy("sample_id", "sequence", "position").agg(F.min("insertion").alias("alt")).join(base, ["sequence", "position"])
     edit = F.struct(F.col("_at").alias("at"), F.repeat("alt", F.col("times").cast("int")).alias("s"))
     edits = own.groupBy("sample_id", "sequence").agg(F.sort_array(F.collect_list(edit)).alias("_e"))
-    t = samples.select("sample_id", "sample_name").crossJoin(core).join(edits, ["sample_id", "sequence"], "left")
+    t = _grid(samples, core).join(edits, ["sample_id", "sequence"], "left").join(core, "sequence")
     ship(samples.sparkSession)
     put = _put(F.col("bases"), F.col("_e.at"), F.col("_e.s"))
     rows = t.select(F.col("sample_name").alias("record_id"), "sequence", put.alias("bases"))
@@ -97,7 +103,7 @@ def consensus(calls: DataFrame, samples: DataFrame, refs: DataFrame, masks: Data
         m = intervals.merge(masks, ["sample_id", "sequence"])
         edit = edit.union(m.select("sample_id", "sequence", F.col("start0") + 1, F.repeat(F.lit("N"), (F.col("end0") - F.col("start0")).cast("int")), F.lit(1)))
     edits = edit.groupBy("sample_id", "sequence").agg(F.sort_array(F.collect_list(F.struct("o", "at", "s"))).alias("_e"))
-    t = samples.select("sample_id", "sample_name").crossJoin(refs).join(edits, ["sample_id", "sequence"], "left")
+    t = _grid(samples, refs).join(edits, ["sample_id", "sequence"], "left").join(refs, "sequence")
     ship(samples.sparkSession)
     put = _put(F.col("bases"), F.col("_e.at"), F.col("_e.s"))
     return t.select(F.col("sample_name").alias("record_id"), "sequence", put.alias("bases"))

@@ -42,7 +42,7 @@ def best_annotation(rows: DataFrame, keys: list[str], ties: list[str]) -> DataFr
 
 def with_best_annotation(variants: DataFrame, annotations: DataFrame) -> DataFrame:
     """Variants (variant_id, alt, ...) with their best annotation among those of the same allele, if any."""
-    own = annotations.join(variants.select("variant_id", "alt"), "variant_id").where(F.col("Allele") == F.col("alt")).drop("alt")
+    own = annotations.join(variants.select("variant_id", "alt").distinct(), "variant_id").where(F.col("Allele") == F.col("alt")).drop("alt")
     return variants.join(best_annotation(own, ["variant_id"], ["annotation", "cdna"]), "variant_id", "left")
 
 

@@ -127,20 +127,40 @@ def from_variants(variants: DataFrame) -> DataFrame:
     return merge(variants.select(F.col("chrom").alias("sequence"), start.alias("start0"), (start + F.length("ref")).alias("end0")))
 
 
+#: Bases of a slice: what an edit may cost to put in.
+SLICE = 2048
+
+
+def slices(seqs: DataFrame, bases: str = "bases") -> DataFrame:
+    """seqs with their bases cut, a row a slice: (slice, bases), slices from 0; a null has one null row."""
+    cut = F.when(F.col(bases) == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(F.col(bases), F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0)))
+    return seqs.select(*[c for c in seqs.columns if c != bases], F.posexplode_outer(cut).alias("slice", "bases"))
+
+
+def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bases) from slices; null where there are none."""
+    parts = F.sort_array(F.collect_list(F.struct("slice", "bases")))
+    return rows.groupBy(*keys).agg(F.when(F.count("bases") > 0, F.array_join(F.transform(parts, lambda x: x["bases"]), "")).alias("bases"))
+
+
 def mask_genome(seqs: DataFrame, masks: DataFrame, char: str | None = "?") -> DataFrame:
-    """(sequence, bases) with masked positions replaced by char, or left out if char is None."""
-    m = merge(masks).groupBy("sequence").agg(F.sort_array(F.collect_list(F.struct("start0", "end0"))).alias("_m"))
-    t = seqs.join(m, "sequence", "left").withColumn("_m", F.coalesce("_m", F.array().cast("array<struct<start0:bigint,end0:bigint>>")))
+    """(sequence, bases) with masked positions replaced by char, or left out if char is None. Slices are
+    masked each by itself, with the parts of the intervals that lie in it; one without bases stays so."""
+    m = merge(masks).where("end0 > start0").withColumn("slice", F.explode(F.sequence((F.greatest("start0", F.lit(0)) / SLICE).cast("int"), ((F.col("end0") - 1) / SLICE).cast("int"))))
+    first = F.col("slice").cast("long") * SLICE
+    part = F.struct(F.greatest(F.col("start0") - first, F.lit(0)).cast("int").alias("lo"), F.least(F.col("end0") - first, F.lit(SLICE)).cast("int").alias("hi"))
+    m = m.groupBy("sequence", "slice").agg(F.sort_array(F.collect_list(part)).alias("_m"))
+    t = slices(seqs.select("sequence", "bases")).join(m, ["sequence", "slice"], "left")
     fill = lambda n: F.repeat(F.lit(char), n) if char else F.lit("")
-    zero = F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at"))
-    size = F.length("bases").cast("long")
+    size = F.length("bases")
 
     def step(acc: Column, x: Column) -> Column:
-        lo, hi = F.least(x["start0"], size), F.least(x["end0"], size)
-        return F.struct(F.concat(acc["s"], F.substring("bases", (acc["at"] + 1).cast("int"), (lo - acc["at"]).cast("int")), fill((hi - lo).cast("int"))).alias("s"), hi.alias("at"))
+        lo, hi = F.least(x["lo"], size), F.least(x["hi"], size)
+        return F.struct(F.concat(acc["s"], F.substring("bases", acc["at"] + 1, lo - acc["at"]), fill(hi - lo)).alias("s"), hi.alias("at"))
 
-    done = F.aggregate("_m", zero, step, lambda a: F.concat(a["s"], F.substring("bases", (a["at"] + 1).cast("int"), F.length("bases"))))
-    return t.select("sequence", done.alias("bases"))
+    zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
+    done = F.aggregate("_m", zero, step, lambda a: F.concat(a["s"], F.substring("bases", a["at"] + 1, size)))
+    return joined(t.select("sequence", "slice", F.when(F.col("_m").isNull(), F.col("bases")).otherwise(done).alias("bases")), ["sequence"])
 
 
 def length(a: DataFrame) -> DataFrame:

@@ -277,9 +277,9 @@ def _(t: Tables) -> DataFrame:
 # Annotations.
 
 
-@query("annotations_left_join", f"SELECT s.feature, s.count, a.annotation, a.impact, a.gene_name, a.id_hgvs_c, a.id_hgvs_p FROM ({_summary(_SEL)}) s LEFT JOIN annotations a ON s.feature = a.spdi", **H1)
+@query("annotations_left_join", f"SELECT s.feature, s.count, a.annotation, a.impact, a.gene_name, a.id_hgvs_c, a.id_hgvs_p, 'hgvs_gn:' || a.sequence || ':' || a.gene_name || ':' || a.hgvs_c AS id_hgvs_gn_c, 'hgvs_gn:' || a.sequence || ':' || a.gene_name || ':' || a.hgvs_p AS id_hgvs_gn_p FROM ({_summary(_SEL)}) s LEFT JOIN annotations a ON s.feature = a.spdi", **H1)
 def _(t: Tables) -> DataFrame:
-    return h(t, 1).features_summary(ignore_annotations=False).select("feature", "count", "annotation", "impact", "gene_name", "id_hgvs_c", "id_hgvs_p")
+    return h(t, 1).features_summary(ignore_annotations=False).select("feature", "count", "annotation", "impact", "gene_name", "id_hgvs_c", "id_hgvs_p", "id_hgvs_gn_c", "id_hgvs_gn_p")
 
 
 _RANKS = "['stop_gained', 'missense_variant', 'synonymous_variant']"

@@ -270,9 +270,11 @@ def _(t: Tables) -> DataFrame:
     return h(t, 1).join(m, sample_names_column="name").state
 
 
-@query("toframe_merge", """SELECT 'hasa(''' || (SELECT spdi FROM top WHERE rk = 1) || ''') AND join(dataframe)' AS "Query", sample_name AS "Sample Name", sample_id AS "Sample ID", 'Present' AS "Status", name, segment, nation, balance FROM h1 JOIN samples USING (sample_id) JOIN metadata USING (sample_id) WHERE status = 2""", **H1)
+@query("toframe_merge", """SELECT 'hasa(''' || (SELECT spdi FROM top WHERE rk = 1) || ''') AND join(dataframe)' AS "Query", sample_name AS "Sample Name", sample_id AS "Sample ID", 'Present' AS "Status", name AS "Sample Name_metadata", segment AS "Status_metadata", nation, balance FROM h1 JOIN samples USING (sample_id) JOIN metadata USING (sample_id) WHERE status = 2""", **H1)
 def _(t: Tables) -> DataFrame:
-    return _with_meta(t).toframe()
+    """Metadata with columns named as the result's: the ids are shown once, the others under another name."""
+    m = t.metadata.select(F.col("sample_id").alias("Sample ID"), F.col("name").alias("Sample Name"), F.col("segment").alias("Status"), "nation", "balance")
+    return h(t, 1).join(m, sample_ids_column="Sample ID").toframe()
 
 
 @query("toframe", """SELECT 'hasa(''' || (SELECT spdi FROM top WHERE rk = 1) || ''')' AS "Query", sample_name AS "Sample Name", sample_id AS "Sample ID", CASE status WHEN 2 THEN 'Present' WHEN 1 THEN 'Unknown' ELSE 'Absent' END AS "Status" FROM h1 JOIN samples USING (sample_id)""", **H1)

@@ -410,7 +410,8 @@ class SamplesQuery:
             raise ValueError(f"unknown selection {selection}")
         if kind != "mlst" and not ignore_annotations:
             notes = ["annotation", "impact", "gene_name", "gene_id", "hgvs_c", "hgvs_p", "id_hgvs_c", "id_hgvs_p"]
-            out = out.join(self.db.annotations.select(F.col("spdi").alias("feature"), *notes), "feature", "left")
+            by_name = [ids.hgvs_gn_id(F.col("sequence"), F.col("gene_name"), F.col(c)).alias(f"id_hgvs_gn_{c[-1]}") for c in ("hgvs_c", "hgvs_p")]
+            out = out.join(self.db.annotations.select(F.col("spdi").alias("feature"), *notes, *by_name), "feature", "left")
         return out
 
     def features_comparison(self, categories: dict[str, SamplesQuery] | str, kind: str = "mutations", unit: str = "percent", category_samples_threshold: int | None = None, include_unknown_samples: bool = False, only_samples_in_categories: bool = True) -> DataFrame:
@@ -494,6 +495,10 @@ class ExperimentalTreeQuery(SamplesQuery):
 
     universe_nodes: Any = None
 
+    @property
+    def universe_root(self) -> tree.Node:
+        return tree.from_nodes(made(self.universe_nodes))
+
     def _next(self, new: DataFrame, step: str, **more) -> SamplesQuery:
         out = super()._next(new, step, **more)
         if "nodes" in more:  # a tree was joined: it is the universe's from now on
