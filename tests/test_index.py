@@ -201,7 +201,12 @@ def test_formats(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "split").glob("record=*")) == ["record=s1", "record=s2"]
 
 
-def test_pairing():
+def test_pairing(spark):
+    for files in (["x/a_1.fq.gz", "x/a_2.fq.gz", "b.fa", "c_R1.fastq", "c_R2.fastq", "d.fq", "e_f.fq.xz", "e_r.fq.xz", "g_1_x.fq", "g_2_x.fq", "h_1.fq", "i_2.fq", "k.gbk.gz"], ["a_1_1.fq", "a_1_2.fq"], []):
+        table = readers.paired_files(spark.createDataFrame([(f,) for f in files], "path string"))
+        assert sorted(map(tuple, table.collect())) == sorted(readers.pair_reads(files))
+    with pytest.raises(Exception, match="several inputs"):
+        readers.paired_files(spark.createDataFrame([("a.fa",), ("a.fq",)], "path string")).collect()
     assert readers.pair_reads(["a_1.fq.gz", "a_2.fq.gz", "b.fa", "c_R1.fastq", "c_R2.fastq", "d.fq"]) == [
         ("a", None, "a_1.fq.gz", "a_2.fq.gz"),
         ("b", "b.fa", None, None),

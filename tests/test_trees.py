@@ -238,3 +238,49 @@ def test_snp_distances_in_any_blocks(spark):
         assert {(x["a"], x["b"]): x["distance"] for x in align.snp_distances(a, block, width).collect()} == want
     labels, length, m = align.distance_matrix(a)
     assert length == 90 and m[labels.index("s00"), labels.index("s01")] == want[("s00", "s01")]
+
+
+def test_within_asks_few_where_all_share_a_hash(spark):
+    """Random sets and one hash that all have, against all pairs; candidates are far fewer than pairs."""
+    import random
+
+    r = random.Random(8)
+    base = [{0} | {r.randrange(1, 4000) for _ in range(30)} for _ in range(40)]
+    sets = {i: base[i % 40] if i < 40 else {x if r.random() < 0.9 else r.randrange(1, 4000) for x in base[i % 40]} | {0} for i in range(200)}
+    s = spark.createDataFrame([(i, h) for i, hs in sets.items() for h in hs], "sample_id long, hash long")
+    a = spark.createDataFrame([(i,) for i in range(0, 200, 7)], "sample_id long")
+    for distance in (0.0, 0.2, 0.5, 0.9):
+        want = {j for i in range(0, 200, 7) for j in sets if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 1 - distance}
+        assert {x[0] for x in kmer.within(s, a, distance).collect()} == want
+    assert kmer.near_candidates(s, a, 0.3).count() < 29 * 200 / 10
+    assert kmer.within(s, a, 1.0).count() == 200
+
+
+def test_bottom_sketches_and_abundances(spark):
+    from triloom.functions.hashing import canonical_kmer_hashes
+
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("ACGT"), 300)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1] + texts[2]), (3, texts[3]), (4, "AC"), (4, None), (5, "ACGTACGTTTGA" * 20)]
+    df = spark.createDataFrame(rows, "sample_id long, bases string")
+    counts = {}
+    for i, bases in rows:
+        for h in canonical_kmer_hashes(bases or "", 11).tolist():
+            counts.setdefault(i, {}).setdefault(h, 0)
+            counts[i][h] += 1
+    for num in (5, 60, 10_000):
+        got = {}
+        for x in kmer.dna_sketch(df, 11, None, num=num, abund=True).collect():
+            got.setdefault(x["sample_id"], {})[x["hash"] % 2**64] = x["abundance"]
+        want = {i: dict(sorted(c.items())[:num]) for i, c in counts.items()}
+        assert got == want
+        near = {(x["sample_a"], x["sample_b"]): x["distance"] for x in kmer.num_distances(kmer.dna_sketch(df, 11, None, num=num), num).collect()}
+        for a in want:
+            for b in want:
+                if a < b:
+                    both = sorted({*want[a], *want[b]})[:num]
+                    shared = sum(h in want[a] and h in want[b] for h in both)
+                    expect = 1 - shared / len(both)
+                    assert near.get((a, b), 1.0) == pytest.approx(expect)
+    with pytest.raises(ValueError):
+        kmer.dna_sketch(df, 11, 1000, num=5)

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triloom.functions.hashing import canonical_kmer_hashes, most
-from triloom.session import ship
+from triloom.session import ship, written
 
 
-def dna_sketch(seqs: DataFrame, k: int | list[int] = 31, scaled: int = 1000, key: str = "sample_id") -> DataFrame:
-    """(key, ksize, hash) of canonical k-mers whose 64-bit hash lies in the lowest 1/scaled, for each k,
-    from (key, bases); hashes as signed numbers, the same that signature files hold."""
+#: Signed numbers in the order of the unsigned ones that they stand for.
+SIGN = -(2**63)
+
+
+def dna_sketch(seqs: DataFrame, k: int | list[int] = 31, scaled: int | None = 1000, key: str = "sample_id", num: int | None = None, abund: bool = False) -> DataFrame:
+    """(key, ksize, hash[, abundance]) of canonical k-mers from (key, bases), for each k: those whose 64-bit
+    hash lies in the lowest 1/scaled, or (scaled=None) the `num` lowest of each key over all its sequences.
+
+    Hashes are signed numbers, the same that signature files hold; abundance is how often the k-mer occurs.
+    Either scaled or num; null bases and those shorter than k have no hash.
+    """
+    if (scaled is None) == (num is None):
+        raise ValueError("either scaled or num")
     ship(seqs.sparkSession)
-    sizes, limit = [k] if isinstance(k, int) else list(k), np.uint64(most(scaled))
+    sizes, limit = [k] if isinstance(k, int) else list(k), np.uint64(most(scaled) if scaled else 2**64 - 1)
 
     def run(batches):
         for t in batches:
@@ -23,20 +33,51 @@ def dna_sketch(seqs: DataFrame, k: int | list[int] = 31, scaled: int = 1000, key
             for own, bases in zip(t[key], t["bases"], strict=True):
                 for size in sizes:
                     h = canonical_kmer_hashes(bases or "", size)
-                    rows.append(pd.DataFrame({key: own, "ksize": size, "hash": np.unique(h[h <= limit]).view("i8")}))
-            yield pd.concat(rows) if rows else pd.DataFrame({key: [], "ksize": [], "hash": []})
+                    h, n = np.unique(h[h <= limit], return_counts=True)
+                    rows.append(pd.DataFrame({key: own, "ksize": size, "hash": h[:num].view("i8"), "abundance": n[:num].astype("i8")}))
+            yield pd.concat(rows) if rows else pd.DataFrame({key: [], "ksize": [], "hash": [], "abundance": []})
 
     kind = dict(seqs.dtypes)[key]
-    return seqs.select(key, "bases").mapInPandas(run, f"`{key}` {kind}, ksize int, hash long").distinct()
-
-
-def text_sketch(docs: DataFrame, k: int = 3, prefix: str = "1") -> DataFrame:
-    """(sample_id, ksize, hash) of k-word shingles whose md5 is below a hex prefix: a portable FracMinHash of density prefix/16^len."""
+    found = seqs.select(key, "bases").mapInPandas(run, f"`{key}` {kind}, ksize int, hash long, abundance long")
+    found = found.groupBy(key, "ksize", "hash").agg(F.sum("abundance").alias("abundance"))
+    if num is not None:  # a hash of the lowest of all is among the lowest of each sequence that has it
+        w = Window.partitionBy(key, "ksize").orderBy(F.col("hash").bitwiseXOR(F.lit(SIGN)))
+        found = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= num).drop("_n")
+    return found if abund else found.drop("abundance")
+
+
+def text_sketch(docs: DataFrame, k: int = 3, prefix: str | None = "1", num: int | None = None, abund: bool = False) -> DataFrame:
+    """(sample_id, ksize, hash[, abundance]) of k-word shingles: those whose md5 is below a hex prefix (a
+    portable FracMinHash of density prefix/16^len), or (prefix=None) the `num` lowest of each document."""
+    if (prefix is None) == (num is None):
+        raise ValueError("either prefix or num")
     words = F.filter(F.split(F.lower("text"), r"[ \n]"), lambda w: w != "")
     t = docs.select("sample_id", words.alias("w")).where(F.size("w") >= k)
-    shingle = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, k), " "))))
-    s = t.select("sample_id", F.lit(k).alias("ksize"), shingle.alias("hash"))
-    return s.where(F.col("hash") < prefix).distinct()
+    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, k), " ")))
+    if num is not None and not abund:
+        return t.select("sample_id", F.lit(k).alias("ksize"), F.explode(F.slice(F.array_sort(F.array_distinct(shingles)), 1, num)).alias("hash"))
+    s = t.select("sample_id", F.lit(k).alias("ksize"), F.explode(shingles).alias("hash"))
+    s = s.where(F.col("hash") < prefix) if num is None else s
+    if not abund:
+        return s.distinct()
+    s = s.groupBy("sample_id", "ksize", "hash").agg(F.count("*").alias("abundance"))
+    if num is None:
+        return s
+    w = Window.partitionBy("sample_id", "ksize").orderBy("hash")
+    return s.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= num).drop("_n")
+
+
+def num_distances(sketch: DataFrame, num: int) -> DataFrame:
+    """(sample_a, sample_b, distance) of bottom-`num` sketches (sample_id, hash) that share a hash, by the merge
+    estimator: of the `num` lowest hashes of both together, the share that both hold. Others are at 1.
+    Hashes may be signed numbers that stand for unsigned ones, or strings."""
+    order = F.col("hash").bitwiseXOR(F.lit(SIGN)) if dict(sketch.dtypes)["hash"] == "bigint" else F.col("hash")
+    rows = sketch.select("sample_id", order.alias("hash"))
+    lists = rows.groupBy("sample_id").agg(F.collect_set("hash").alias("hashes"))  # num of them at most
+    pairs = pair_counts(rows).select("sample_a", "sample_b")
+    both = pairs.join(lists.select(F.col("sample_id").alias("sample_a"), F.col("hashes").alias("a")), "sample_a").join(lists.select(F.col("sample_id").alias("sample_b"), F.col("hashes").alias("b")), "sample_b")
+    both = both.withColumn("u", F.slice(F.array_sort(F.array_union("a", "b")), 1, num))
+    return both.select("sample_a", "sample_b", (1.0 - F.size(F.array_intersect(F.array_intersect("u", "a"), F.col("b"))) / F.size("u")).alias("distance"))
 
 
 def pair_counts(sketch: DataFrame, block: int = 256, parts: int = 16, hot: int = 64) -> DataFrame:
@@ -48,11 +89,13 @@ def pair_counts(sketch: DataFrame, block: int = 256, parts: int = 16, hot: int =
     """
     ship(sketch.sparkSession)
     held = sketch.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    sketch = sketch.join(held, "hash").select("hash", "sample_id", "n")
+    sketch = written(sketch.join(held, "hash").select("hash", "sample_id", "n"), "counted")
     cool = sketch.where(F.col("n") <= hot)
     cool = cool.select("hash", F.col("sample_id").alias("sample_a")).join(cool.select("hash", F.col("sample_id").alias("sample_b")), "hash").where("sample_a < sample_b")
     cool = cool.groupBy("sample_a", "sample_b").agg(F.count("*").alias("shared"))
     sketch = sketch.where(F.col("n") > hot)
+    if sketch.isEmpty():
+        return cool
     n = sketch.agg(F.ceil(F.approx_count_distinct("sample_id") / block).cast("int")).scalar()
     own = F.pmod(F.xxhash64("sample_id"), F.greatest(n, F.lit(1))).cast("int")
     lists = sketch.groupBy("hash", own.alias("own")).agg(F.collect_list("sample_id").alias("ids"))
@@ -99,11 +142,29 @@ def distance_matrix(sketch: DataFrame, samples: DataFrame) -> tuple[list[int], n
     return ids, m
 
 
+def near_candidates(sketch: DataFrame, anchors: DataFrame, distance: float) -> DataFrame:
+    """(anchor, sample_id, na, n): pairs that may be within a Jaccard distance below 1, none of which is lost.
+
+    Hashes are ordered by how many samples have them. Sets that are alike share one of their first few, of
+    n less the share that they must have in common, and their sizes differ by no more than that share; so
+    a hash that all samples have brings nobody together as long as there are rarer ones.
+    """
+    share = 1 - distance
+    often = sketch.groupBy("hash").agg(F.count("*").alias("times"))
+    size = sketch.groupBy("sample_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("sample_id").orderBy("times", "hash")
+    ranked = sketch.select("sample_id", "hash").join(often, "hash").withColumn("i", F.row_number().over(w)).join(size, "sample_id")
+    first = ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("sample_id", "hash", "n")
+    own = first.join(anchors.select("sample_id").distinct(), "sample_id", "left_semi").select(F.col("sample_id").alias("anchor"), "hash", F.col("n").alias("na"))
+    met = own.join(first, "hash").where((F.col("n") >= F.col("na") * share - 1e-9) & (F.col("na") >= F.col("n") * share - 1e-9))
+    return met.select("anchor", "sample_id", "na", "n").distinct()
+
+
 def within(sketch: DataFrame, anchors: DataFrame, distance: float) -> DataFrame:
     """(sample_id) at Jaccard distance at most `distance` from any anchor; only samples with a sketch."""
-    a = sketch.join(anchors.select("sample_id").distinct(), "sample_id", "left_semi").select("hash", F.col("sample_id").alias("anchor"))
-    size = sketch.groupBy("sample_id").agg(F.count("*").alias("n"))
-    shared = a.join(sketch, "hash").groupBy("anchor", "sample_id").agg(F.count("*").alias("shared"))
-    t = shared.join(size, "sample_id").join(size.select(F.col("sample_id").alias("anchor"), F.col("n").alias("na")), "anchor")
-    near = t.where(F.col("shared") / (F.col("n") + F.col("na") - F.col("shared")).cast("double") >= 1 - distance).select("sample_id").distinct()
-    return sketch.select("sample_id").distinct() if distance >= 1 else near
+    if distance >= 1:
+        return sketch.select("sample_id").distinct()
+    pairs = near_candidates(sketch, anchors, distance)
+    held = sketch.select(F.col("sample_id").alias("anchor"), "hash")
+    shared = pairs.join(held, "anchor").join(sketch.select("sample_id", "hash"), ["sample_id", "hash"]).groupBy("anchor", "sample_id", "na", "n").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") / (F.col("n") + F.col("na") - F.col("shared")).cast("double") >= 1 - distance).select("sample_id").distinct()

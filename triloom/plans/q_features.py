@@ -310,10 +310,10 @@ def _(t: Tables) -> DataFrame:
     return annotate.explode_ann(v, ["Allele", "Annotation", "Annotation_Impact", "Gene_Name", "Gene_ID"])
 
 
-@query("ann_header_parse", "SELECT unnest(['Allele', 'Annotation', 'Gene_Name']) AS name, unnest([0, 1, 2]) AS i")
+@query("ann_header_parse", "SELECT p_partkey, i, CASE i WHEN 0 THEN 'Allele' WHEN 1 THEN p_brand ELSE p_type END AS name FROM part, (VALUES (0), (1), (2)) t(i)")
 def _(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([("Functional annotations: 'Allele | Annotation | Gene_Name '",)], "d string")
-    return d.select(F.posexplode(annotate.ann_header(F.col("d"))).alias("i", "name"))
+    header = F.concat(F.lit("Functional annotations: 'Allele | "), "p_brand", F.lit(" | "), "p_type", F.lit(" '"))
+    return t.raw("part").select("p_partkey", F.posexplode(annotate.ann_header(header)).alias("i", "name"))
 
 
 @query("mask_over_variant_precedence", "SELECT sample_id, sequence, position, spdi FROM calls QUALIFY row_number() OVER (PARTITION BY sample_id, sequence, position ORDER BY CASE WHEN insertion = '?' THEN 0 ELSE 1 END, spdi) = 1")

@@ -138,40 +138,50 @@ def _(t: Tables) -> DataFrame:
     return readers.genome_list(t.spark, _written(t, lines, "list"))
 
 
-_FILES = ["a_1.fq.gz", "a_2.fq.gz", "b.fa", "c_R1.fastq", "c_R2.fastq", "d.fq"]
+#: A third of the customers have a pair of files of reads, a third an assembly, a third single reads.
+_PAIRED = """SELECT sample, CASE WHEN k = 1 THEN '/in/' || n || '.fa.gz' END AS assembly, CASE WHEN k = 0 THEN '/in/' || n || '_R1.fastq' WHEN k = 2 THEN '/in/' || n || '_1.fq' END AS reads1, CASE WHEN k = 0 THEN '/in/' || n || '_R2.fastq' END AS reads2
+FROM (SELECT CASE WHEN c_custkey % 3 = 2 THEN c_name || '_1' ELSE c_name END AS sample, c_custkey % 3 AS k, c_name AS n FROM customer)"""
 
 
-_PAIRED = "SELECT * FROM (VALUES ('a', NULL, 'a_1.fq.gz', 'a_2.fq.gz'), ('b', 'b.fa', NULL, NULL), ('c', NULL, 'c_R1.fastq', 'c_R2.fastq'), ('d', NULL, 'd.fq', NULL)) t(sample, assembly, reads1, reads2)"
+def _files(t: Tables) -> DataFrame:
+    k = C("sample_id") % 3
+    ends = F.when(k == 0, F.array(F.lit("_R1.fastq"), F.lit("_R2.fastq"))).when(k == 1, F.array(F.lit(".fa.gz"))).otherwise(F.array(F.lit("_1.fq")))
+    return t.samples.select("sample_name", F.explode(ends).alias("end")).select(F.concat(F.lit("/in/"), "sample_name", "end").alias("path"))
 
 
 @query("pair_reads", _PAIRED)
 def _(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(readers.pair_reads(_FILES), "sample string, assembly string, reads1 string, reads2 string")
+    return readers.paired_files(_files(t))
 
 
 @query("write_samples_tsv", _PAIRED)
 def _(t: Tables) -> DataFrame:
-    text = sinks.samples_tsv(readers.pair_reads(_FILES))
-    sheet = readers.sample_sheet(t.spark, _written(t, t.spark.createDataFrame([(text.rstrip("\n"),)], "v string"), "sheet"))
+    path = shared_folder(t.spark, "sheet")
+    sinks.samples_table(readers.paired_files(_files(t)), path)
+    sheet = readers.sample_sheet(t.spark, path)
     return sheet.select(C("Sample").alias("sample"), C("Assemblies").alias("assembly"), C("Reads1").alias("reads1"), C("Reads2").alias("reads2"))
 
 
-@query("mask_source_dispatch", "SELECT * FROM (VALUES ('a.bed', 'bed'), ('a.bed.gz', 'bed'), ('a.fa.xz', 'sequence'), ('a.fasta', 'sequence')) t(path, source)")
+_ENDS = ["bed", "bed.gz", "fa.xz", "fasta"]
+
+
+@query("mask_source_dispatch", "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'bed' ELSE 'sequence' END AS source FROM events")
 def _(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(p, readers.mask_source(p)) for p in ("a.bed", "a.bed.gz", "a.fa.xz", "a.fasta")], "path string, source string")
+    end = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (C("event_id") % 4 + 1).cast("int"))
+    return t.raw("events").select("event_id", readers.mask_kind(F.concat_ws(".", F.concat(F.lit("/masks/"), "event_type"), end)).alias("source"))
 
 
-@query("scan_constellation_json", "SELECT * FROM (VALUES ('tag', 2, 1, 1, 'NC:3:G:T'), ('L', 2, 1, 1, 'NC:3:G:T'), ('M', 1, 1, 0, 'NC:5:A:C')) t(label, sites, min_alt, max_ref, first)")
+@query("scan_constellation_json", "SELECT 'L' || s_suppkey AS label, CAST(2 AS INTEGER) AS sites, CAST(1 + s_nationkey % 2 AS INTEGER) AS min_alt, CAST(s_nationkey % 3 AS INTEGER) AS max_ref, 'NC:' || (s_suppkey + 1) || ':A:C' AS first FROM supplier")
 def _(t: Tables) -> DataFrame:
-    one = {"sites": ["nuc:G3T", "s:HV69-"], "rules": {"min_alt": 1, "max_ref": 1}, "tags": ["tag"], "label": "L"}
-    two = {"sites": ["nuc:A5C"], "rules": {}, "tags": ["tag"], "label": "M"}
-    bad = {"sites": ["unreadable"], "rules": {}, "tags": [], "label": "N"}
-    sites = t.spark.createDataFrame([(s,) for d in (one, two, bad) for s in d["sites"]], "s string")
-    to_id = {r["s"]: r["id"] for r in sites.select("s", ids.constellation_id(C("s"), "NC", F.lit("ACGTACGT")).alias("id")).collect()}
+    """A definition for each supplier, a file each."""
+    n = C("s_suppkey")
+    own = t.raw("supplier").select(F.concat(F.lit("nuc:A"), (n + 1).cast("string"), F.lit("C")).alias("site"), (1 + C("s_nationkey") % 2).alias("min_alt"), (C("s_nationkey") % 3).alias("max_ref"), F.concat(F.lit("L"), n.cast("string")).alias("label"))
+    sites = own.select("site").union(t.spark.createDataFrame([("s:HV69-",)], "site string"))
+    to_id = {r["site"]: r["id"] for r in sites.select("site", ids.constellation_id(C("site"), "NC", F.lit("ACGTACGT")).alias("id")).collect()}
+    text = F.to_json(F.struct(F.array("site", F.lit("s:HV69-")).alias("sites"), F.struct("min_alt", "max_ref").alias("rules"), F.array().cast("array<string>").alias("tags"), "label"))
     path = shared_folder(t.spark, "json")
-    rows = [(i, json.dumps(d)) for i, d in enumerate((one, two, bad))]
-    t.spark.createDataFrame(rows, "i int, v string").repartitionByRange(3, "i").sortWithinPartitions("i").select("v").write.text(path)
-    d = readers.constellations(t.spark, path, to_id.get)
+    own.select("label", text.alias("v")).write.partitionBy("label").text(path)
+    d = readers.constellations(t.spark, f"{path}/*", to_id.get)
     return t.spark.createDataFrame([(k, len(x.sites), x.needed, x.max_ref, x.sites[0]) for k, x in d.items()], "label string, sites int, min_alt int, max_ref int, first string")
 
 
@@ -335,16 +345,18 @@ def _(t: Tables) -> DataFrame:
     return readers.sequences(t.spark, path).select("sequence", "bases")
 
 
-@query("scan_vcf_kmer_fofn", "SELECT * FROM (VALUES ('a', 'chr0', 2, 'C', 1), ('b', 'chr0', 3, 'G', 2)) t(sample, sequence, position, insertion, hashes)")
+@query("scan_vcf_kmer_fofn", "SELECT 'S' || s_suppkey AS sample, 'chr0' AS sequence, CAST(2 + s_nationkey AS INTEGER) AS position, 'C' AS insertion, CAST(2 AS INTEGER) AS hashes FROM supplier")
 def _(t: Tables) -> DataFrame:
-    """A sheet of variants and sketches, loaded in one go."""
+    """A sheet of variants and sketches, a pair of files for each supplier, loaded in one go."""
     from triloom import loading
 
     root = shared_folder(t.spark, "sheet")
-    for name, line, mins in (("a", "chr0\t2\t.\tA\tC\t.\t.\tTYPE=SNP", [5]), ("b", "chr0\t3\t.\tA\tG\t.\t.\tTYPE=SNP", [5, 7])):
-        write_text(t.spark, f"{root}/{name}.vcf", "##fileformat=VCFv4.2\n" + line + "\n")
-        write_text(t.spark, f"{root}/{name}.sig", json.dumps([{"name": "other", "signatures": [{"ksize": 31, "mins": mins}]}]))
-    write_text(t.spark, f"{root}/fofn.tsv", "Sample\tVCF\tMask File\tSketch File\n" + "".join(f"{n}\t{root}/{n}.vcf\tNA\t{root}/{n}.sig\n" for n in "ab"))
+    rows = t.raw("supplier").select("s_suppkey", "s_nationkey").collect()
+    for r in rows:
+        name = f"S{r['s_suppkey']}"
+        write_text(t.spark, f"{root}/{name}.vcf", f"##fileformat=VCFv4.2\nchr0\t{2 + r['s_nationkey']}\t.\tA\tC\t.\t.\tTYPE=SNP\n")
+        write_text(t.spark, f"{root}/{name}.sig", json.dumps([{"name": "other", "signatures": [{"ksize": 31, "mins": [5, 100 + r["s_suppkey"]]}]}]))
+    write_text(t.spark, f"{root}/fofn.tsv", "Sample\tVCF\tMask File\tSketch File\n" + "".join(f"S{r['s_suppkey']}\t{root}/S{r['s_suppkey']}.vcf\tNA\t{root}/S{r['s_suppkey']}.sig\n" for r in rows))
     index = SampleIndex(t.spark, shared_folder(t.spark, "project"))
     sheet = readers.vcf_fofn(t.spark, f"{root}/fofn.tsv").collect()
     loading.load_vcfs(index, [(r["Sample"], r["VCF"], r["Mask File"]) for r in sheet])
@@ -353,11 +365,12 @@ def _(t: Tables) -> DataFrame:
     return index.calls.join(index.samples, "sample_id").join(n, "sample_id").select(C("sample_name").alias("sample"), "sequence", "position", "insertion", "hashes")
 
 
-@query("skip_missing_files", "SELECT * FROM (VALUES ('a', true), ('b', false), ('c', true)) t(sample, kept)")
+@query("skip_missing_files", "SELECT s_name AS sample, s_suppkey % 9 < 7 AS kept FROM supplier")
 def _(t: Tables) -> DataFrame:
+    """A folder for each residue modulo 7, and a sheet that asks for residues modulo 9."""
     root = shared_folder(t.spark, "reads")
-    write_text(t.spark, f"{root}/a.fa", ">a\nACGT\n")
-    sheet = [("a", f"{root}/a.fa", None, None), ("b", None, f"{root}/b_1.fq", f"{root}/b_2.fq"), ("c", None, None, None)]
+    t.spark.range(7).join(t.raw("supplier"), C("s_suppkey") % 7 == C("id"), "left").select("id", F.coalesce("s_name", F.lit("-")).alias("v")).write.partitionBy("id").text(root)
+    sheet = [(r["s_name"], f"{root}/id={r['s_suppkey'] % 9}") for r in t.raw("supplier").select("s_name", "s_suppkey").collect()]
     kept, gone = readers.existing_files(t.spark, sheet)
     return t.spark.createDataFrame([(r[0], True) for r in kept] + [(s, False) for s in gone], "sample string, kept boolean")
 

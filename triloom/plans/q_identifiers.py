@@ -104,25 +104,16 @@ def _(t: Tables) -> DataFrame:
     return t.calls.groupBy("sequence").agg(ids.percent(F.count("*"), F.lit(n)).alias("percent"))
 
 
-_SITES = "SELECT unnest(['nuc:C100T', 's:HV69-', 's:Y144-', 'S:N501Y', '8:Q27*', 'orf1ab:SGF3675-', 'del:4:2', 'x:A1B', 'nuc:bad', 'del:0:3']) AS site"
-_IDS = {
-    "nuc:C100T": "NC:100:C:T",
-    "s:HV69-": "hgvs_gn:NC:S:p.H69_V70del",
-    "s:Y144-": "hgvs_gn:NC:S:p.Y144del",
-    "S:N501Y": "hgvs_gn:NC:S:p.N501Y",
-    "8:Q27*": "hgvs_gn:NC:ORF8:p.Q27*",
-    "orf1ab:SGF3675-": "hgvs_gn:NC:ORF1ab:p.S3675_F3677del",
-    "del:4:2": "NC:4:ACG:A",
-    "x:A1B": None,
-    "nuc:bad": None,
-    "del:0:3": None,
-}
-
-
-@query("constellation_mutation_id", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in _IDS.items()) + ") t(site, id)")
+@query(
+    "constellation_mutation_id",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'NC:' || p_partkey || ':C:T' WHEN 1 THEN 'hgvs_gn:NC:S:p.Y' || p_partkey || 'del' WHEN 2 THEN 'hgvs_gn:NC:S:p.N' || p_partkey || 'Y'
+WHEN 3 THEN 'NC:' || (1 + p_size % 8) || ':' || substring('CGTACGTACGT', CAST(1 + p_size % 8 AS INTEGER), CAST(2 + p_size % 3 AS INTEGER)) || ':' || substring('CGTACGTACGT', CAST(1 + p_size % 8 AS INTEGER), 1) WHEN 4 THEN 'hgvs_gn:NC:ORF8:p.Q' || p_size || '*' END AS id FROM part""",
+)
 def _(t: Tables) -> DataFrame:
-    s = t.spark.createDataFrame([(k,) for k in _IDS], "site string")
-    return s.select("site", ids.constellation_id(C("site"), "NC", F.lit("CGTACGTACGT")).alias("id"))
+    """A site for each part, of six kinds; the last names no gene."""
+    kinds = ["concat('nuc:C', p_partkey, 'T')", "concat('s:Y', p_partkey, '-')", "concat('S:N', p_partkey, 'Y')", "concat('del:', 1 + p_size % 8, ':', 1 + p_size % 3)", "concat('8:Q', p_size, '*')", "concat('x:A', p_size, 'B')"]
+    site = F.element_at(F.array(*[F.expr(k) for k in kinds]), (C("p_partkey") % 6 + 1).cast("int"))
+    return t.raw("part").select("p_partkey", ids.constellation_id(site, "NC", F.lit("CGTACGTACGT")).alias("id"))
 
 
 _AA = "SELECT DISTINCT upper(substring(c_name, 1, 1 + c_nationkey % 3)) || c_custkey || '-' AS m, upper(substring(c_name, 1, 1 + c_nationkey % 3)) AS a, c_custkey AS p, 1 + c_nationkey % 3 AS n FROM customer"
@@ -177,9 +168,9 @@ def _(t: Tables) -> DataFrame:
     return t.samples.select("sample_id", ids.persistence_name(C("sample_name")).alias("name"))
 
 
-@query("status_label", "SELECT unnest([0, 1, 2]) AS status, unnest(['Absent', 'Unknown', 'Present']) AS label")
+@query("status_label", "SELECT sample_id, CASE WHEN sample_id % 3 = 2 THEN 'Present' WHEN sample_id % 3 = 1 THEN 'Unknown' ELSE 'Absent' END AS label FROM samples")
 def _(t: Tables) -> DataFrame:
-    return t.spark.range(3).select(C("id").cast("int").alias("status"), ids.status_label(C("id").cast("int")).alias("label"))
+    return t.samples.select("sample_id", ids.status_label((C("sample_id") % 3).cast("int")).alias("label"))
 
 
 @query("size_unit", "SELECT doc_id, n_chars / 1024.0 AS kb, n_chars / 1048576.0 AS mb FROM documents")

@@ -402,6 +402,15 @@ def _(t: Tables) -> DataFrame:
     return t.sketch
 
 
+_NUM = "SELECT sample_id, md5(unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS hash FROM docwords WHERE len(w) >= 3"
+
+
+@query("kmer_sketch_num", "SELECT sample_id, 3 AS ksize, hash, count(*) AS abundance FROM ns GROUP BY sample_id, hash QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY hash) <= 20", ns=_NUM)
+def _(t: Tables) -> DataFrame:
+    """The 20 lowest shingle hashes of each document, and how often each occurs."""
+    return kmer.text_sketch(t.raw("documents").select(F.col("doc_id").alias("sample_id"), "text"), prefix=None, num=20, abund=True)
+
+
 @query("kmer_pair_join", _PAIRS)
 def _(t: Tables) -> DataFrame:
     return kmer.pair_counts(t.sketch)

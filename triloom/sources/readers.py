@@ -289,6 +289,36 @@ def constellations(spark: SparkSession, paths: str | list[str], to_id) -> dict:
 # Rows of input files.
 
 
+def mask_kind(path: Column) -> Column:
+    """mask_source() of a column of paths."""
+    return (
+        F.when(path.isNull() | path.rlike(r"\.bed(\.gz)?$"), "bed")
+        .when(path.rlike(r"\.(fasta|fa|fna)(\.(gz|xz|bz2))?$"), "sequence")
+        .otherwise(F.raise_error(F.concat(path, F.lit(" is neither a BED file nor a sequence"))))
+    )
+
+
+def paired_files(files: DataFrame) -> DataFrame:
+    """(sample, assembly, reads1, reads2) from files (path), as pair_reads() has it, for any number of them;
+    inputs of one sample name are an error."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.(gz|xz|bz2)$", ""), r"\.(fasta|fa|fna|fastq|fq|gb|gbk|gbff)$", "")
+    f = files.select("path", base.alias("base"), F.col("path").rlike(r"\.(fastq|fq)(\.(gz|xz|bz2))?$").alias("read"))
+    mark = F.coalesce(*[F.when(F.col("base").contains(m), m) for m in ids.PAIR_MARKS])
+    f = f.withColumn("mark", F.when(F.col("read"), mark))
+    before = F.length("base") - F.length("mark") - F.expr("locate(reverse(mark), reverse(base))") + 1
+    f = f.withColumn("before", before).withColumn("stem", F.expr("left(base, before)")).withColumn("end", F.right("mark", F.lit(1)))
+    f = f.withColumns({"kind": F.expr("left(mark, length(mark) - 1)"), "rest": F.expr("substring(base, before + length(mark) + 1)")})
+    one = f.where("mark is not null").groupBy("stem", "kind", "rest").agg(F.sort_array(F.collect_list(F.struct("end", "path", "base"))).alias("ends"))
+    whole = (F.size("ends") == 2) & F.array_join(F.col("ends.end"), "").isin("12", "fr")
+    pairs = one.where(whole).select(F.col("stem").alias("sample"), F.lit(None).cast("string").alias("assembly"), F.col("ends")[0]["path"].alias("reads1"), F.col("ends")[1]["path"].alias("reads2"))
+    lone = one.where(~whole).select(F.explode("ends").alias("e")).select(F.col("e.base").alias("base"), F.col("e.path").alias("path"), F.lit(True).alias("read"))
+    lone = lone.union(f.where("mark is null").select("base", "path", "read"))
+    lone = lone.select(F.col("base").alias("sample"), F.when(~F.col("read"), F.col("path")).alias("assembly"), F.when(F.col("read"), F.col("path")).alias("reads1"), F.lit(None).cast("string").alias("reads2"))
+    out = pairs.union(lone)
+    twice = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("several inputs give the sample name "), F.col("sample")))).otherwise(F.lit(True))
+    return out.groupBy("sample").agg(F.first("assembly").alias("assembly"), F.first("reads1").alias("reads1"), F.first("reads2").alias("reads2"), twice.alias("_one")).where("_one").drop("_one")
+
+
 def pair_reads(files: list[str]) -> list[tuple[str, str | None, str | None, str | None]]:
     """(sample, assembly, reads 1, reads 2): files of reads pair up if their names differ in one mark
     1/2 or f/r only; other files are assemblies or single reads."""

@@ -42,6 +42,12 @@ def samples_tsv(rows: list[tuple], path: str | None = None, absolute: bool = Fal
     return text
 
 
+def samples_table(rows: DataFrame, path: str) -> None:
+    """A sheet of samples of any number: rows (sample, assembly, reads1, reads2) as files with a header each."""
+    named = rows.select(*[F.col(c).alias(n) for c, n in zip(("sample", "assembly", "reads1", "reads2"), ("Sample", "Assemblies", "Reads1", "Reads2"), strict=True)])
+    named.write.csv(path, sep="\t", header=True)
+
+
 def split_fasta(seqs: DataFrame, path: str) -> None:
     """One gzipped FASTA folder a record, named by the sanitised record name; written by the executors."""
     from triloom.functions.ids import sanitize_name
