@@ -28,6 +28,15 @@ def _cut(a: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, F.greatest(F.col("start0"), lo).alias("start0"), F.least(F.col("end0"), lo + _SPAN).alias("end0"), "_span")
 
 
+def _span_islands(a: DataFrame, keys: list[str]) -> DataFrame:
+    """Islands within spans. Where no sample is among the keys, a span may have the intervals of all samples:
+    of those that start in one place the longest is enough, so that a task sorts _SPAN rows a span at most."""
+    span, t = [*keys, "_span"], _cut(a, keys)
+    if keys == KEYS:
+        t = t.groupBy(*span, "start0").agg(F.max("end0").alias("end0")).select(*keys, "start0", "end0", "_span")
+    return _islands(t, span)
+
+
 def _joined(t: DataFrame, keys: list[str]) -> DataFrame:
     """Islands of spans joined over span ends. Only those that touch an end meet in one task a sequence:
     two a span at most, whatever the number of intervals."""
@@ -37,7 +46,7 @@ def _joined(t: DataFrame, keys: list[str]) -> DataFrame:
 
 def merge(a: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Sorted, with overlapping and bookended intervals merged: a running end starts islands, span by span."""
-    return _joined(_islands(_cut(a, keys), [*keys, "_span"]), keys)
+    return _joined(_span_islands(a, keys), keys)
 
 
 def _sweep(a: DataFrame, b: DataFrame, keys: list[str], keep: Column) -> DataFrame:
@@ -48,8 +57,7 @@ def _sweep(a: DataFrame, b: DataFrame, keys: list[str], keep: Column) -> DataFra
     def ends(t: DataFrame, x: int, y: int) -> DataFrame:
         return t.select(*span, F.explode(F.array(F.struct(F.col("start0").alias("at"), F.lit(x).alias("da"), F.lit(y).alias("db")), F.struct(F.col("end0").alias("at"), F.lit(-x).alias("da"), F.lit(-y).alias("db")))).alias("e")).select(*span, "e.*")
 
-    in_spans = lambda t: _islands(_cut(t, keys), span)
-    points = ends(in_spans(a), 1, 0).union(ends(in_spans(b), 0, 1)).groupBy(*span, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    points = ends(_span_islands(a, keys), 1, 0).union(ends(_span_islands(b, keys), 0, 1)).groupBy(*span, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     w = Window.partitionBy(*span).orderBy("at")
     seg = points.select(*span, F.col("at").alias("start0"), F.lead("at").over(w).alias("end0"), F.sum("da").over(w).alias("_a"), F.sum("db").over(w).alias("_b"))
     return _joined(_islands(seg.where(keep & F.col("end0").isNotNull()), span), keys)
