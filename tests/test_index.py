@@ -440,7 +440,7 @@ def test_comparison_by_a_column_of_too_many_values(spark, index, monkeypatch):
         SamplesQuery.all(index).join(m, sample_names_column="who").features_comparison("color")
     monkeypatch.setattr(query, "MOST_LEAVES", 1)
     with pytest.raises(ValueError, match="subsample"):
-        SamplesQuery.all(index).build_tree("kmer")
+        SamplesQuery.all(index).build_tree("mutation", reference_name="ref")
 
 
 def test_summaries_are_planned_without_a_job(spark, index):
@@ -482,3 +482,27 @@ def test_counts_of_a_stream(spark, tmp_path):
     run = stream_counts(calls, "at").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r["var_type"], r["n"]) for r in spark.table("counted").collect()) == [("INDEL", 1), ("SNP", 2)]
+
+
+def test_a_load_reads_the_folders_it_touches(spark, tmp_path):
+    own = SampleIndex(spark, str(tmp_path / "own"))
+    v = lambda s, *at: spark.createDataFrame([(s, c, p, "A", "C", "SNP") for c, p in at], "sample string, chrom string, pos int, ref string, alt string, type string")
+    own.add_variants(v("a", ("r", 5), ("r", 70_000), ("r", 200_000), ("q", 5)))
+    one = v("b", ("r", 70_001)).selectExpr("chrom as sequence", "cast(floor(pos / 65536) as int) as bin")
+    read = own.touched("calls", one)
+    assert [r["position"] for r in read.collect()] == [70_000]
+    assert all("sequence=r" in f and "bin=1" in f for f in read.inputFiles()) and "PartitionFilters: [((sequence" in read._jdf.queryExecution().toString()
+    for _ in range(3):
+        own.add_variants(v("b", ("r", 70_001), ("r", 5)), allow_existing=True)
+    own.add_variants(v("a", ("r", 5)), allow_existing=True)
+    want = sorted(map(tuple, own.calls.collect()))
+    assert len(want) == 6
+    from pathlib import Path
+
+    before = len(list(Path(own.root, "calls").rglob("*.parquet")))
+    own.compact("calls")
+    own.compact("kmer")
+    assert sorted(map(tuple, own.calls.collect())) == want and len(list(Path(own.root, "calls").rglob("*.parquet"))) == 4 < before
+    assert sorted(p.name for p in Path(own.root).iterdir() if p.name.startswith("calls")) == ["calls"]
+    own.add_variants(v("c", ("r", 6)), allow_existing=True)
+    assert own.calls.count() == 7

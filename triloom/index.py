@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from triloom import schema
 from triloom.functions import ids
-from triloom.session import write_text
+from triloom.session import write_text, written
 from triloom.view import IndexView
 
 
+#: Folders that a load may touch to have just those listed; with more, the table is joined by folder.
+MOST_FOLDERS = 2000
+
+
 class ExistsError(ValueError):
     """Something to be added is there already."""
 
@@ -165,8 +169,46 @@ class SampleIndex(IndexView):
         if "bin" in _TABLES[name].names:
             rows = rows.withColumn("bin", F.floor(F.col("position") / schema.BIN).cast("int"))
         rows = rows.select([F.col(f.name).cast(f.dataType) for f in _TABLES[name]])
-        existing = self.table(name)
-        self.append(name, fresh_rows(existing.where(F.lit(False)) if known_new else existing, rows, _KEYS[name]))
+        if known_new:
+            existing = self.table(name).where(F.lit(False))
+        else:
+            rows = written(rows, name)
+            existing = self.touched(name, rows)
+        self.append(name, fresh_rows(existing, rows, _KEYS[name]))
+
+    def touched(self, name: str, rows: DataFrame) -> DataFrame:
+        """What the table holds in the folders that the rows belong to."""
+        folders = _FOLDERS.get(name, [])
+        if not folders:
+            return self.table(name)
+        own = rows.select(*folders).distinct()
+        listed = own.limit(MOST_FOLDERS + 1).collect()
+        if len(listed) > MOST_FOLDERS:
+            return self.table(name).join(own, folders, "left_semi")
+        by_first: dict = {}
+        for r in listed:
+            by_first.setdefault(r[0], []).append(r[1:])
+        which = F.lit(False)
+        for first, rest in by_first.items():
+            same = F.col(folders[0]).eqNullSafe(F.lit(first))
+            which = which | (same & F.col(folders[1]).isin([r[0] for r in rest]) if len(folders) > 1 else same)
+        return self.table(name).where(which)
+
+    def compact(self, name: str) -> None:
+        """Rewrite a table with few files a folder, in place of what many small loads have left. Nobody may load
+        meanwhile; a run that breaks off leaves the old table, or both beside each other."""
+        if not self._there(name):
+            return
+        files, path = self._files(self._path(name))
+        _, new = self._files(self._path(f"{name}-compacted"))
+        _, old = self._files(self._path(f"{name}-replaced"))
+        files.delete(new, True)
+        folders = _FOLDERS.get(name, [])
+        rows = self.table(name).hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders, *_SORTED.get(name, []))
+        rows.write.partitionBy(*folders).parquet(new.toString())
+        files.rename(path, old)
+        files.rename(new, path)
+        files.delete(old, True)
 
     @property
     def samples(self) -> DataFrame:
@@ -303,6 +345,7 @@ class SampleIndex(IndexView):
         (sample_name): samples that are there even if they have neither variant nor mask."""
         from triloom.operators import annotate, intervals
 
+        variants = written(variants, "variants")  # files are parsed once a load
         if names is None:
             names = variants.select(F.col("sample").alias("sample_name"))
             if masks is not None:
