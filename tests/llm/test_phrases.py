@@ -115,3 +115,16 @@ def test_bitmap_has_what_it_was_made_of(spark):
     hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
     likely = op.Likely.of(spark.createDataFrame([(int(h),) for h in hashes], "hash long"))
     assert likely.has(hashes).all() and likely.has(hashes + 1).mean() < 0.05
+
+
+def test_phrases_that_are_not_kept_are_not_extended():
+    stream = np.array([0, 1, 2, 3, -1] * 20 + [1, 2, 3, 0], np.int64)
+    maps = op.Bitmaps(stream, 0, np.arange(4))
+    kept = lambda ids: (ids[:, -3:] == [1, 2, 3]).all(axis=1)
+    got = {tuple(map(int, i)): int(n) for ids, c in maps.phrases(lambda a, b: a >= 0, 4, kept) for i, n in zip(ids, c)}
+    assert got == {(0, 1): 20, (1, 2): 21, (2, 3): 21, (3, 0): 1, (1, 2, 3): 21}
+
+
+def test_hash_of_a_pair_is_one_of_a_phrase():
+    hashes = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, (100, 2))
+    assert (op.phrase_hash(hashes) == op.pair_hash(hashes[:, 0], hashes[:, 1])).all()

@@ -4,10 +4,11 @@ The words of a language are dealt into shards. In a shard each word has a bitmap
 as its non-zero blocks of 16 bits. A phrase's bitmap marks where it ends: shifted by one and cut (AND) with
 that of a word it becomes the bitmap of the longer phrase, and its set bits are the phrase's count. Ends
 of pieces take a position that no word has, so no phrase crosses them. Counts of shards add up: first of words,
-then of pairs of words that may be frequent; phrases are extended by pairs that may be, from one batch
-of pairs down to the longest phrase before the next batch. Shards stay where they are; what may be
-frequent comes to them as hashed places of a bitmap of bounded size. It lets too much through (more
-where it fills up) but loses nothing, and what counts in the end are the sums of exact strings.
+then of pairs of words that may be frequent, then of three words whose pairs may be, these two by hash.
+Phrases are extended while every three of their words may be frequent together, from one batch of pairs
+down to the longest phrase before the next batch; only what is left becomes strings. Shards stay where they
+are; what may be frequent comes to them as hashed places of a bitmap of bounded size. It lets too much through
+(more where it fills up) but loses nothing, and what counts in the end are the sums of exact strings.
 """
 
 from __future__ import annotations
@@ -142,6 +143,14 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first.view(np.uint64)) * np.uint64(0x9FB21C651E98DF25) + second.view(np.uint64)).view(np.int64)
 
 
+def phrase_hash(hashes: np.ndarray) -> np.ndarray:
+    """Of phrases, a row of word hashes each: that of a pair is its `pair_hash`."""
+    out = hashes[:, 0]
+    for i in range(1, hashes.shape[1]):
+        out = pair_hash(out, hashes[:, i])
+    return out
+
+
 def packed(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of equal key joined by OR, sorted by key."""
     if not len(key):
@@ -204,8 +213,11 @@ class Bitmaps:
             out.append((o[i], self.word[j], b[i], both))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (self.word[:0], self.word[:0], self.block[:0], self.bits[:0])
 
-    def phrases(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word ids of phrases, their counts) of two words up to longest whose neighbours are all wanted pairs."""
+    def phrases(
+        self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], longest: int, kept: Callable[[np.ndarray], np.ndarray] | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word ids of phrases, their counts) of two words up to longest whose neighbours are all wanted pairs.
+        Those of three words or more that are not kept are neither given nor extended."""
         first, second, block, bits = self.pairs(wanted)
         order = np.lexsort((block, first))
         first, second, block, bits = first[order], second[order], block[order], bits[order]
@@ -231,6 +243,10 @@ class Bitmaps:
                 i, j = i[hit], j[hit]
                 codes, phrase = np.unique(owner[i] * self.words + second[j], return_inverse=True)
                 ids, at, ends = np.column_stack([ids[codes // self.words], codes % self.words]), block[j], both[hit]
+                if kept is not None:
+                    good = kept(ids)
+                    here = good[phrase]
+                    ids, phrase, at, ends = ids[good], (np.cumsum(good) - 1)[phrase[here]], at[here], ends[here]
                 yield ids, self.counts(phrase, at, ends, len(ids))
 
 
@@ -255,10 +271,23 @@ def _pairs(words: Likely):
     return trimmed(run)
 
 
-def _phrases(words: Likely, pairs: Likely, longest: int):
+def _threes(words: Likely, pairs: Likely):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, hashes, maps in _maps(batches, words):
+            for ids, n in maps.phrases(lambda a, b: pairs.has(pair_hash(hashes[a], hashes[b])), 3):  # noqa: B023
+                if ids.shape[1] == 3:
+                    ids, n = ids[n > 0], n[n > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(phrase_hash(hashes[ids])), pa.array(n.astype(np.int32))], ["hash", "f"])
+
+    return trimmed(run)
+
+
+def _phrases(words: Likely, pairs: Likely, threes: Likely | None, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, hashes, maps in _maps(batches, words):
-            for ids, n in maps.phrases(lambda a, b: pairs.has(pair_hash(hashes[a], hashes[b])), longest):  # noqa: B023
+            wanted = lambda a, b: pairs.has(pair_hash(hashes[a], hashes[b]))  # noqa: B023,E731
+            kept = (lambda ids: threes.has(phrase_hash(hashes[ids[:, -3:]]))) if threes else None  # noqa: B023
+            for ids, n in maps.phrases(wanted, longest, kept):
                 ids, n = ids[n > 0], n[n > 0]  # without those that carried words make
                 found = [" ".join(row) for row in names[ids].tolist()]
                 same = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32)))
@@ -279,9 +308,14 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST,
     words = scratch.cut(words, "words")
     streams = shards.select("lang", "own", "words", "hashes", "stream", "width")
     may = Likely.of(words.select("hash"))
-    pairs = streams.mapInArrow(_pairs(may), "hash long, f int").groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    pairs = scratch.cut(pairs.select("hash"), "pairs")
-    more = streams.mapInArrow(_phrases(may, Likely.of(pairs), longest), "lang string, phrase string, words int, f long")
+
+    def likely(counted, name: str) -> Likely:
+        hashes = streams.mapInArrow(counted, "hash long, f int").groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        return Likely.of(scratch.cut(hashes.select("hash"), name))
+
+    pairs = likely(_pairs(may), "pairs")
+    threes = likely(_threes(may, pairs), "threes") if longest > 2 else None
+    more = streams.mapInArrow(_phrases(may, pairs, threes, longest), "lang string, phrase string, words int, f long")
     more = more.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(scratch.cut(more, "phrases")), totals
 
