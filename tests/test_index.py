@@ -2,14 +2,17 @@
 
 import gzip
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from triloom import cli
 from triloom.functions import ids
-from triloom.index import ExistsError, SampleIndex, from_bitmaps, init_project, new_samples, open_project, to_bitmaps, union_bitmaps
+from triloom.index import ExistsError, SampleIndex, init_project, new_samples, open_project
 from triloom.operators import align, lookup, typing
+from triloom.operators.bitmaps import described, from_bitmaps, sizes, to_bitmaps, union_bitmaps
 from triloom.query import SamplesQuery
 from triloom.sources import formats, readers, sinks
 from triloom.streaming.ingest import stream_variants
@@ -225,6 +228,55 @@ def test_bitmaps(spark):
     pairs = spark.createDataFrame([("f", i) for i in (0, 1, 7, 32767, 32768, 100000)] + [("g", 5)], "feature string, sample_id long")
     m = to_bitmaps(pairs)
     assert sorted(map(tuple, from_bitmaps(union_bitmaps(m.union(m))).collect())) == sorted(map(tuple, pairs.collect()))
+    assert {r["feature"]: r["n"] for r in sizes(m).collect()} == {"f": 6, "g": 1}
+    assert sorted(map(tuple, described(m).collect())) == [("f", 6, 0, 100000, 165543), ("g", 1, 5, 5, 5)]
+    assert from_bitmaps(to_bitmaps(pairs.limit(0))).isEmpty() and sizes(union_bitmaps(m.limit(0))).isEmpty()
+
+
+def test_bitmaps_of_random_sets(spark):
+    r = random.Random(3)
+    rows = [(f"f{k}", i) for k, most in enumerate((1, 70_000, 40)) for i in r.sample(range(most + 100_000), 20 + k * 2000)]
+    df = spark.createDataFrame(rows + rows[:50], "feature string, sample_id long").repartition(3)
+    assert sorted(map(tuple, from_bitmaps(to_bitmaps(df)).collect())) == sorted(rows)
+    halves = [to_bitmaps(df.where(f"sample_id % 3 {how} 0")) for how in ("=", "<>")]
+    assert sorted(map(tuple, sizes(union_bitmaps(*halves)).collect())) == sorted(Counter(f for f, _ in rows).items())
+
+
+def test_stored_sets_follow_the_loads(spark, tmp_path):
+    def vcf(rows):
+        return spark.createDataFrame([(s, "ref", p, "A", alt, "SNP") for s, p, alt in rows], "sample string, chrom string, pos int, ref string, alt string, type string")
+
+    plain, stored = SampleIndex(spark, str(tmp_path / "plain")), SampleIndex(spark, str(tmp_path / "stored"))
+    masks = spark.createDataFrame([("c", "ref", 4, 6)], "sample string, sequence string, start0 int, end0 int")
+    for index in (plain, stored):
+        index.add_reference("genome", spark.createDataFrame([("ref", "ACGT" * 20)], "sequence string, bases string"))
+        index.add_variants(vcf([("a", 3, "T"), ("b", 3, "T"), ("b", 9, "C")]))
+        if index is stored:
+            assert not index.has_sets
+            index.build_sets()
+        index.add_variants(vcf([("c", 3, "T"), ("c", 5, "G"), ("a", 3, "T")]), masks, allow_existing=True)
+        index.add_variants(vcf([("d", 70_000, "T")]))
+
+    def told(index):
+        asked = ["ref:3:A:T", "ref:3:1:T", "ref:70000:1:T", "ref:8:1:T"]
+        tables = [index.mutation_counts(), index.mutation_counts("genome", True), index.mutation_counts("other"), index.reference_mutations(), index.totals(), index.samples_of_features(index._asked(asked)), index.feature_sample_counts(index._asked(asked))]
+        return [sorted(map(tuple, t.collect())) for t in tables], index.count_mutations("genome"), index.find_samples_by_features(asked)
+
+    before = told(stored)
+    assert before == told(plain) and ("ref:3:1:T", 3) in before[0][0] and ("ref:8:1:T", 0) in before[0][6]
+    rows = stored.table("sample_sets").count()
+    stored.compact("sample_sets")
+    assert told(stored) == before and stored.table("sample_sets").count() < rows
+    stored.build_sets()
+    assert told(stored) == before
+
+
+def test_counts_from_sets_read_no_calls(spark, tmp_path):
+    index = SampleIndex(spark, str(tmp_path))
+    index.add("calls", spark.createDataFrame([(1, "ref", 3, 1, "T", "SNP", "ref:3:1:T"), (1, "ref", 200_000, 1, "T", "SNP", "ref:200000:1:T")], "sample_id long, sequence string, position int, deletion int, insertion string, var_type string, spdi string"))
+    index.build_sets()
+    assert all("sample_sets" in f for f in index.mutation_counts().inputFiles())
+    assert all("/calls/" not in f for f in index.variant_samples(index._variants_asked(index._asked(["ref:3:1:T"]))).inputFiles())
 
 
 def test_typing(spark, index):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triloom import schema
 from triloom.functions import ids
+from triloom.operators import bitmaps
 from triloom.session import write_text, written
 from triloom.view import IndexView
 
@@ -22,41 +23,6 @@ class ExistsError(ValueError):
     """Something to be added is there already."""
 
 
-# Compact sample sets.
-
-
-def to_bitmaps(pairs: DataFrame) -> DataFrame:
-    """(feature, bucket, bitmap) from (feature, sample_id): 4 KB bitmaps of 32,768 ids each."""
-    n = F.col("sample_id") + 1  # bitmap positions count from 1
-    p = pairs.select("feature", F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("bit"))
-    return p.groupBy("feature", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-
-
-def from_bitmaps(maps: DataFrame) -> DataFrame:
-    """(feature, sample_id) from bitmaps."""
-    bits = F.explode(F.sequence(F.lit(0), F.length("bitmap") * 8 - 1))
-    m = maps.select("feature", "bucket", "bitmap", bits.alias("i"))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("i") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    on = F.getbit(byte, F.col("i") % 8) == 1
-    return m.where(on).select("feature", ((F.col("bucket") - 1) * 32768 + F.col("i")).cast("long").alias("sample_id"))
-
-
-def union_bitmaps(maps: DataFrame) -> DataFrame:
-    return maps.groupBy("feature", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-
-
-def feature_sets(calls: DataFrame, keep: tuple[str, ...] = ("var_type",)) -> DataFrame:
-    """(feature, samples, ...): the sorted sample ids of each feature and the least value of its other columns."""
-    return calls.groupBy("feature").agg(F.sort_array(F.collect_set("sample_id")).alias("samples"), *[F.min(c).alias(c) for c in keep])
-
-
-def merge_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """United sample sets of two (feature, samples) tables."""
-    both = a.select("feature", "samples").join(b.select("feature", F.col("samples").alias("_s")), "feature", "full_outer")
-    none = F.array().cast("array<bigint>")
-    return both.select("feature", F.sort_array(F.array_union(F.coalesce("samples", none), F.coalesce("_s", none))).alias("samples"))
-
-
 # Pure functions behind the sinks.
 
 #: Names that are numbered at once: a batch is cut into so many ranges.
@@ -98,6 +64,10 @@ def upsert_calls(calls: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return calls.unionByName(fresh_rows(calls, new, key).select(*calls.columns))
 
 
+def _call_sets(calls: DataFrame) -> DataFrame:
+    return bitmaps.to_bitmaps(calls.withColumn("unknown", F.col("var_type") == schema.UNKNOWN_TYPE), _SET)
+
+
 def require_new(existing: DataFrame, samples: DataFrame, what: str) -> None:
     n = samples.select("sample_id").join(existing.select("sample_id").distinct(), "sample_id", "left_semi").limit(10).collect()
     if n:
@@ -114,11 +84,14 @@ _TABLES = {
     "reference_sequences": schema.REFERENCE_SEQUENCES,
     "kmer": schema.KMER_SKETCH,
     "annotations": schema.struct(_NOTES + ", bin int"),
+    "sample_sets": schema.struct("spdi string, sequence string, position int, unknown boolean, bucket long, bitmap binary, bin int"),
     "trees": schema.struct("reference_name string, newick string, alignment_length int"),
 }
 #: Folders of a table, and the order of rows within its files: what a lookup prunes and skips by.
-_FOLDERS = {"calls": ["sequence", "bin"], "annotations": ["sequence", "bin"], "mlst": ["scheme"], "kmer": ["ksize"], "masks": ["sequence"], "loads": ["kind"]}
-_SORTED = {"calls": ["position", "sample_id"], "annotations": ["position"], "mlst": ["locus", "allele"], "kmer": ["hash"], "masks": ["start0"]}
+_FOLDERS = {"calls": ["sequence", "bin"], "sample_sets": ["sequence", "bin"], "annotations": ["sequence", "bin"], "mlst": ["scheme"], "kmer": ["ksize"], "masks": ["sequence"], "loads": ["kind"]}
+_SORTED = {"calls": ["position", "sample_id"], "sample_sets": ["position"], "annotations": ["position"], "mlst": ["locus", "allele"], "kmer": ["hash"], "masks": ["start0"]}
+#: What a sample set belongs to; its rows of several loads are united when they are read or compacted.
+_SET = ("spdi", "sequence", "bin", "position", "unknown")
 #: What makes a row of a table: enforced when rows are written, so that no reader deduplicates.
 _KEYS = {"calls": ["sequence", "bin", "spdi", "sample_id"], "mlst": ["scheme", "sample_id", "locus", "allele"], "kmer": ["ksize", "sample_id", "hash"], "annotations": ["sequence", "bin", "spdi"], "masks": ["sequence", "sample_id", "start0", "end0"]}
 
@@ -131,6 +104,10 @@ class SampleIndex(IndexView):
     bin and skips row groups by position; it neither scans nor shuffles the rest. A load first notes
     its samples in `loads`; one that broke off can only be repeated with allow_existing, which adds
     the rows that are missing.
+
+    After `build_sets` the samples of each variant and unknown position are stored as bitmaps too. A load
+    appends those of its own calls, which repeating it does not change, and counts and lists of samples
+    are read from them, never from the calls.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -169,12 +146,13 @@ class SampleIndex(IndexView):
         if "bin" in _TABLES[name].names:
             rows = rows.withColumn("bin", F.floor(F.col("position") / schema.BIN).cast("int"))
         rows = rows.select([F.col(f.name).cast(f.dataType) for f in _TABLES[name]])
-        if known_new:
-            existing = self.table(name).where(F.lit(False))
-        else:
+        sets = name == "calls" and self.has_sets
+        if sets or not known_new:
             rows = written(rows, name)
-            existing = self.touched(name, rows)
+        existing = self.table(name).where(F.lit(False)) if known_new else self.touched(name, rows)
         self.append(name, fresh_rows(existing, rows, _KEYS[name]))
+        if sets:  # of all rows, so that a load that broke off before this is made up for
+            self.append("sample_sets", _call_sets(rows))
 
     def touched(self, name: str, rows: DataFrame) -> DataFrame:
         """What the table holds in the folders that the rows belong to."""
@@ -197,19 +175,67 @@ class SampleIndex(IndexView):
     def compact(self, name: str) -> None:
         """Rewrite a table with few files a folder, in place of what many small loads have left. Nobody may load
         meanwhile; a run that breaks off leaves the old table, or both beside each other."""
-        if not self._there(name):
-            return
+        if self._there(name):
+            self._replace(name, self.sets() if name == "sample_sets" else self.table(name))
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        """Write a table beside the old one, if there is one, and then put it in its place."""
         files, path = self._files(self._path(name))
         _, new = self._files(self._path(f"{name}-compacted"))
         _, old = self._files(self._path(f"{name}-replaced"))
         files.delete(new, True)
         folders = _FOLDERS.get(name, [])
-        rows = self.table(name).hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders, *_SORTED.get(name, []))
+        rows = rows.select(_TABLES[name].names).hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders, *_SORTED.get(name, []))
         rows.write.partitionBy(*folders).parquet(new.toString())
-        files.rename(path, old)
+        if files.exists(path):
+            files.rename(path, old)
         files.rename(new, path)
         files.delete(old, True)
 
+    # Sample sets.
+
+    @property
+    def has_sets(self) -> bool:
+        return self._there("sample_sets")
+
+    def build_sets(self) -> None:
+        """Store the sample sets of all calls; built again, they are replaced. Nobody may load meanwhile. The
+        table appears when it is whole, so a run that breaks off leaves none."""
+        self._replace("sample_sets", _call_sets(self.table("calls")))
+
+    def sets(self, which: Column | None = None) -> DataFrame:
+        """The stored sample sets, or those a predicate over their columns holds of, united over loads."""
+        rows = self.table("sample_sets")
+        return bitmaps.union_bitmaps(rows if which is None else rows.where(which), by=_SET)
+
+    def _variants_named(self, include_unknown: bool = False) -> DataFrame:
+        if not self.has_sets:
+            return super()._variants_named(include_unknown)
+        rows = self.table("sample_sets")
+        return (rows if include_unknown else rows.where("not unknown")).select("sequence", "spdi").distinct()
+
+    def mutation_counts(self, reference_name: str | None = None, include_unknown: bool = False) -> DataFrame:
+        if not self.has_sets:
+            return super().mutation_counts(reference_name, include_unknown)
+        sets = self.sets(None if include_unknown else ~F.col("unknown"))
+        if reference_name is not None:
+            sets = sets.join(self.references.where(F.col("reference_name") == reference_name), "sequence", "left_semi")
+        return bitmaps.sizes(sets, ("spdi",))
+
+    def _sets_of(self, variants: DataFrame) -> DataFrame:
+        """(feature, bucket, bitmap) of variants (feature, sequence, position, deletion, insertion): the
+        join prunes folders, and a variant that is asked for by several names is found for each."""
+        spdi = ids.spdi_format(F.col("sequence"), F.col("position"), F.col("deletion"), F.col("insertion"))
+        asked = variants.select("feature", "sequence", F.floor(F.col("position") / schema.BIN).cast("int").alias("bin"), "position", spdi.alias("spdi"))
+        known = self.table("sample_sets").where("not unknown")
+        return bitmaps.union_bitmaps(known.join(asked, ["sequence", "bin", "position", "spdi"]).select("feature", "bucket", "bitmap"))
+
+    def variant_samples(self, variants: DataFrame) -> DataFrame:
+        return bitmaps.from_bitmaps(self._sets_of(variants)) if self.has_sets else super().variant_samples(variants)
+
+    def variant_sample_counts(self, variants: DataFrame) -> DataFrame:
+        return bitmaps.sizes(self._sets_of(variants)) if self.has_sets else super().variant_sample_counts(variants)
+
     @property
     def samples(self) -> DataFrame:
         return self.table("samples")

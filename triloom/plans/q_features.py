@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.operators import annotate, features
+from triloom.operators import annotate, bitmaps, features
 from triloom.plans.projection import Tables
 from triloom.plans.q_states import H1, H12, h, q
 from triloom.plans.registry import query
@@ -233,11 +233,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("aggregate_feature_samples", "SELECT spdi, var_type, count(*) AS n, min(sample_id) AS low, max(sample_id) AS high, CAST(sum(sample_id) AS BIGINT) AS ids FROM calls GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    from triloom.index import feature_sets
-
-    s = feature_sets(t.features)
-    at = F.col("samples")
-    return s.select(F.col("feature").alias("spdi"), "var_type", F.size(at).cast("long").alias("n"), F.array_min(at).alias("low"), F.array_max(at).alias("high"), F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+    by = ("feature", "var_type")
+    return bitmaps.described(bitmaps.to_bitmaps(t.features, by), by).withColumnRenamed("feature", "spdi")
 
 
 @query("index_summary_facade", "SELECT 'mutations' AS kind, count(DISTINCT spdi) AS n FROM calls WHERE insertion <> '?' AND sample_id IN (SELECT sample_id FROM calls JOIN refs USING (sequence) WHERE reference_name = 'genome') UNION ALL SELECT 'mlst', count(DISTINCT feature) FROM mlstf WHERE allele <> '?'")

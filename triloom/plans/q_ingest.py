@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.index import SampleIndex, merge_sets, new_samples
+from triloom.index import SampleIndex, new_samples
+from triloom.operators import bitmaps
 from triloom.plans.projection import Tables
 from triloom.plans.registry import query
 from triloom.session import shared_folder
@@ -101,11 +102,30 @@ def _(t: Tables) -> DataFrame:
 
 @query("merge_sample_sets", "SELECT spdi AS feature, count(DISTINCT sample_id) AS n FROM calls GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    from triloom.index import feature_sets
+    """Samples with and without a positive balance; neither is the union."""
+    rich = t.metadata.where("balance > 0")
+    parts = [bitmaps.to_bitmaps(t.features.join(rich, "sample_id", how)) for how in ("left_semi", "left_anti")]
+    return bitmaps.sizes(bitmaps.union_bitmaps(*parts))
 
-    rich = t.features.join(t.metadata.where("balance > 0"), "sample_id", "left_semi")
-    m = merge_sets(feature_sets(rich), feature_sets(t.features.where("var_type <> 'SNP'").unionByName(t.features.where("var_type = 'SNP'"))))
-    return m.select("feature", F.size("samples").cast("long").alias("n"))
+
+@query("sample_sets_stored", "SELECT spdi, count(*) AS n FROM calls GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """Counts of stored sets: built of one load, kept up by a second that overlaps it, then compacted."""
+    index = SampleIndex(t.spark, shared_folder(t.spark, "sets"))
+    index.add("calls", t.calls.where("sequence <> 'chr0'"))
+    index.build_sets()
+    index.add("calls", t.calls.where("sequence <> 'chr1'"))
+    index.compact("sample_sets")
+    return index.mutation_counts(include_unknown=True)
+
+
+@query("sample_sets_listed", "SELECT spdi AS feature, sample_id FROM calls JOIN top USING (spdi) WHERE rk <= 5")
+def _(t: Tables) -> DataFrame:
+    """Samples of five variants from stored sets."""
+    index = SampleIndex(t.spark, shared_folder(t.spark, "sets"))
+    index.add("calls", t.calls, True)
+    index.build_sets()
+    return index.samples_of_features(t.spark.createDataFrame([(f,) for f in t.top(5)], "feature string"))
 
 
 @query("select_random_sequences", "SELECT sequence FROM sequences ORDER BY md5('5:' || sequence), sequence LIMIT 2")

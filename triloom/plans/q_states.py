@@ -204,7 +204,7 @@ def _(t: Tables) -> DataFrame:
 @query("set_serialize", "SELECT sample_id FROM metadata WHERE balance > 0")
 def _(t: Tables) -> DataFrame:
     """A round trip through bitmap buckets."""
-    from triloom.index import from_bitmaps, to_bitmaps
+    from triloom.operators.bitmaps import from_bitmaps, to_bitmaps
 
     return from_bitmaps(to_bitmaps(_sets(t)[0].ids.withColumn("feature", F.lit("x")))).select("sample_id")
 

@@ -18,6 +18,7 @@ _TYPES = {
     "boolean": T.BooleanType(),
     "array<string>": T.ArrayType(T.StringType()),
     "map<string;string>": T.MapType(T.StringType(), T.StringType()),
+    "binary": T.BinaryType(),
 }
 
 

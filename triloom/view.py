@@ -88,6 +88,10 @@ class IndexView:
     def _known(self, include_unknown: bool = False) -> DataFrame:
         return self.calls if include_unknown else self.calls.where(F.col("var_type") != UNKNOWN_TYPE)
 
+    def _variants_named(self, include_unknown: bool = False) -> DataFrame:
+        """(sequence, spdi) of all variants."""
+        return self._known(include_unknown).select("sequence", "spdi").distinct()
+
     def mutation_counts(self, reference_name: str | None = None, include_unknown: bool = False) -> DataFrame:
         """(spdi, n): samples of each variant, of one reference or all."""
         calls = self._known(include_unknown)
@@ -102,7 +106,7 @@ class IndexView:
 
     def reference_mutations(self, include_unknown: bool = False) -> DataFrame:
         """(reference_name, n): distinct variants on each reference."""
-        v = self._known(include_unknown).select("sequence", "spdi").distinct()
+        v = self._variants_named(include_unknown)
         return v.join(self.references, "sequence").groupBy("reference_name").agg(F.count_distinct("spdi").alias("n"))
 
     def variants_on_reference(self, reference_name: str) -> DataFrame:
@@ -136,7 +140,7 @@ class IndexView:
         """One row: samples, references and mutations."""
         n = self.samples.agg(F.count("*").alias("samples"))
         r = self.references.agg(F.count_distinct("reference_name").alias("refs"))
-        return n.crossJoin(r).crossJoin(self._known().agg(F.count_distinct("spdi").alias("mutations")))  # one row each
+        return n.crossJoin(r).crossJoin(self._variants_named().agg(F.count_distinct("spdi").alias("mutations")))  # one row each
 
     def reference_sample_counts(self) -> DataFrame:
         return self.reference_samples().groupBy("reference_name").agg(F.count("*").alias("n"))
@@ -144,19 +148,35 @@ class IndexView:
     def scheme_sample_counts(self) -> DataFrame:
         return self.mlst.groupBy("scheme").agg(F.count_distinct("sample_id").alias("n"))
 
+    @staticmethod
+    def _variants_asked(asked: DataFrame) -> DataFrame:
+        """(feature, sequence, position, deletion, insertion) of the SPDIs, with deleted bases or their number, in a table (feature)."""
+        f = asked.select("feature").distinct().where(ids.feature_kind(F.col("feature")) == "spdi")
+        f = f.select("feature", ids.spdi_parse(ids.spdi_normalize(F.col("feature"))).alias("p"))
+        return f.select("feature", F.col("p.sequence").alias("sequence"), F.col("p.position").cast("int").alias("position"), F.col("p.deletion").cast("int").alias("deletion"), F.col("p.insertion").alias("insertion"))
+
+    def variant_samples(self, variants: DataFrame) -> DataFrame:
+        """(feature, sample_id) of variants (feature, sequence, position, deletion, insertion) and the samples that have them."""
+        return self._known().join(variants, ["sequence", "position", "deletion", "insertion"]).select("feature", "sample_id").distinct()
+
+    def variant_sample_counts(self, variants: DataFrame) -> DataFrame:
+        """(feature, n) of those that a sample has."""
+        return self.variant_samples(variants).groupBy("feature").agg(F.count("*").alias("n"))
+
+    def _allele_samples(self, asked: DataFrame) -> DataFrame:
+        """(feature, sample_id) of the alleles in a table (feature)."""
+        alleles = self.mlst.where(F.col("allele") != UNKNOWN_ALLELE).select(ids.mlst_id(F.col("scheme"), F.col("locus"), F.col("allele")).alias("feature"), "sample_id")
+        return alleles.join(asked.select("feature").where(ids.feature_kind(F.col("feature")) == "mlst"), "feature", "left_semi").distinct()
+
     def samples_of_features(self, asked: DataFrame) -> DataFrame:
         """(feature, sample_id) of the samples found to have each feature of a table (feature): variants
-        (SPDI with deleted bases or their number) and alleles, in one join each."""
-        f = asked.select("feature").distinct().withColumn("kind", ids.feature_kind(F.col("feature")))
-        variants = f.where("kind = 'spdi'").select("feature", ids.spdi_parse(ids.spdi_normalize(F.col("feature"))).alias("p"))
-        variants = variants.select("feature", F.col("p.sequence").alias("sequence"), F.col("p.position").cast("int").alias("position"), F.col("p.deletion").cast("int").alias("deletion"), F.col("p.insertion").alias("insertion"))
-        found = self._known().join(variants, ["sequence", "position", "deletion", "insertion"]).select("feature", "sample_id")
-        alleles = self.mlst.where(F.col("allele") != UNKNOWN_ALLELE).select(ids.mlst_id(F.col("scheme"), F.col("locus"), F.col("allele")).alias("feature"), "sample_id")
-        return found.union(alleles.join(f.where("kind = 'mlst'"), "feature", "left_semi")).distinct()
+        and alleles, in one join each."""
+        return self.variant_samples(self._variants_asked(asked)).union(self._allele_samples(asked))
 
     def feature_sample_counts(self, asked: DataFrame) -> DataFrame:
         """(feature, n) of each feature of a table, 0 where no sample has it."""
-        return asked.select("feature").distinct().join(self.samples_of_features(asked), "feature", "left").groupBy("feature").agg(F.count("sample_id").alias("n"))
+        counts = self.variant_sample_counts(self._variants_asked(asked)).union(self._allele_samples(asked).groupBy("feature").agg(F.count("*").alias("n")))
+        return asked.select("feature").distinct().join(counts, "feature", "left").select("feature", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
     def feature_sample_lists(self, asked: DataFrame) -> DataFrame:
         """(feature, samples): the sorted sample ids, as many features as are asked for."""
