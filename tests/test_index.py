@@ -560,3 +560,15 @@ def test_a_load_reads_the_folders_it_touches(spark, tmp_path):
     assert sorted(p.name for p in Path(own.root).iterdir() if p.name.startswith("calls")) == ["calls"]
     own.add_variants(v("c", ("r", 6)), allow_existing=True)
     assert own.calls.count() == 7
+
+
+def test_sets_and_compaction_from_the_command_line(spark, files, tmp_path, capsys):
+    p = ["--project", str(tmp_path / "own")]
+    cli.main([*p, "init"], spark)
+    cli.main([*p, "load", "vcf", str(files / "fofn.tsv"), "--reference-file", str(files / "ref.fasta.gz"), "--reference-name", "genome"], spark)
+    index = open_project(spark, p[1])
+    before = sorted(map(tuple, index.mutation_counts("genome").collect()))
+    for what in ("sets", "compact"):
+        assert cli.main([*p, "db", what], spark) == 0
+        assert "sample_sets" in capsys.readouterr().out
+        assert sorted(map(tuple, index.mutation_counts("genome").collect())) == before and before

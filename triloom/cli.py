@@ -94,7 +94,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--features-summary-unique", choices=["mutations", "mlst"])
     q.add_argument("--output")
     db = verbs.add_parser("db")
-    db.add_argument("what", choices=["size"])
+    db.add_argument("what", choices=["size", "sets", "compact"])
     db.add_argument("--unit", choices=["B", "KB", "MB", "GB"], default="B")
     return p
 
@@ -217,6 +217,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             rows = q.toframe(include_unknown=True, include_absent=True)
         _show(rows, a.output)
     elif a.verb == "db":
+        if a.what == "sets":
+            index.build_sets()
+        elif a.what == "compact":
+            for name in ("calls", "annotations", "mlst", "masks", "kmer", "sample_sets"):
+                index.compact(name)
         _show(index.sizes(a.unit), None)
     return 0
 
