@@ -90,6 +90,8 @@ _TABLES = {
 #: Folders of a table, and the order of rows within its files: what a lookup prunes and skips by.
 _FOLDERS = {"calls": ["sequence", "bin"], "sample_sets": ["sequence", "bin"], "annotations": ["sequence", "bin"], "mlst": ["scheme"], "kmer": ["ksize"], "masks": ["sequence"], "loads": ["kind"]}
 _SORTED = {"calls": ["position", "sample_id"], "sample_sets": ["position"], "annotations": ["position"], "mlst": ["locus", "allele"], "kmer": ["hash"], "masks": ["start0"]}
+#: Bitmaps are mostly zeros; other tables are written as the session says.
+_CODEC = {"sample_sets": "zstd"}
 #: What a sample set belongs to; its rows of several loads are united when they are read or compacted.
 _SET = ("spdi", "sequence", "bin", "position", "unknown")
 #: What makes a row of a table: enforced when rows are written, so that no reader deduplicates.
@@ -138,7 +140,7 @@ class SampleIndex(IndexView):
         folders = _FOLDERS.get(name, [])
         if folders:  # adaptive execution joins small folders' rows and splits those of a large one
             rows = rows.hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders, *_SORTED.get(name, []))
-        rows.write.mode("append").partitionBy(*folders).parquet(self._path(name))
+        rows.write.mode("append").partitionBy(*folders).parquet(self._path(name), compression=_CODEC.get(name))
 
     def add(self, name: str, rows: DataFrame, known_new: bool = False) -> None:
         """Add the rows whose key is not there yet, one for each key. known_new: the caller knows that
@@ -186,7 +188,7 @@ class SampleIndex(IndexView):
         files.delete(new, True)
         folders = _FOLDERS.get(name, [])
         rows = rows.select(_TABLES[name].names).hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*folders, *_SORTED.get(name, []))
-        rows.write.partitionBy(*folders).parquet(new.toString())
+        rows.write.partitionBy(*folders).parquet(new.toString(), compression=_CODEC.get(name))
         if files.exists(path):
             files.rename(path, old)
         files.rename(new, path)
