@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from triloom.functions import ids
 from triloom.index import SampleIndex
 from triloom.operators import intervals, tree
+from triloom.operators.bases import with_bases
 from triloom.operators.features import restore_names
 from triloom.operators.sample_set import SampleSet
 from triloom.plans.projection import Tables
@@ -17,7 +18,7 @@ from triloom.plans.q_intervals import _merged
 from triloom.plans.q_states import H1, h, q
 from triloom.plans.q_trees import _newick
 from triloom.plans.registry import query
-from triloom.session import shared_folder, write_text
+from triloom.session import shared_folder, write_text, written
 from triloom.sources import readers, sinks
 
 C = F.col
@@ -33,10 +34,14 @@ def _written(t: Tables, lines: DataFrame, name: str) -> str:
 _V = "SELECT v.*, substring(bases, position, deletion) AS ref FROM variants v JOIN sequences USING (sequence)"
 
 
+def _with_ref(t: Tables) -> DataFrame:
+    v = t.calls.where("insertion <> '?'").select("sequence", "position", "deletion", "insertion", "var_type").distinct()
+    return with_bases(v, t.sequences, C("position"), C("deletion"))
+
+
 def _vcf(t: Tables) -> str:
-    v = t.calls.where("insertion <> '?'").select("sequence", "position", "deletion", "insertion", "var_type").distinct().join(t.sequences, "sequence")
-    ref = F.substring("bases", C("position"), C("deletion"))
-    line = F.concat_ws("\t", "sequence", C("position").cast("string"), F.lit("."), ref, F.concat(C("insertion"), F.lit(",N")), F.lit("."), F.lit("."), F.concat(F.lit("DP=3;TYPE="), C("var_type")))
+    v = _with_ref(t)
+    line = F.concat_ws("\t", "sequence", C("position").cast("string"), F.lit("."), "ref", F.concat(C("insertion"), F.lit(",N")), F.lit("."), F.lit("."), F.concat(F.lit("DP=3;TYPE="), C("var_type")))
     return _written(t, v.select(line), "s.vcf")
 
 
@@ -194,10 +199,9 @@ WHERE NOT EXISTS (SELECT 1 FROM variants v WHERE v.sequence = s.sequence AND s.p
 def _(t: Tables) -> DataFrame:
     """Two sample folders with their variants and aligned sequences: the variants, and the masked positions."""
     root = shared_folder(t.spark, "snippy")
-    v = t.calls.where("insertion <> '?'").select("sequence", "position", "deletion", "insertion", "var_type").distinct().join(t.sequences, "sequence")
-    ref = F.substring("bases", C("position"), C("deletion"))
+    v = written(_with_ref(t), "variants")
     for name, part in (("S1", "sequence < 'chr3'"), ("S2", "sequence >= 'chr3'")):
-        line = F.concat_ws("\t", "sequence", C("position").cast("string"), F.lit("."), ref, "insertion", F.lit("."), F.lit("."), F.concat(F.lit("TYPE="), C("var_type")))
+        line = F.concat_ws("\t", "sequence", C("position").cast("string"), F.lit("."), "ref", "insertion", F.lit("."), F.lit("."), F.concat(F.lit("TYPE="), C("var_type")))
         v.where(part).select(line).write.text(f"{root}/{name}/snps.vcf")
         t.sequences.where(part).select(F.concat(F.lit(">"), "sequence", F.lit("\n"), F.repeat(F.lit("N"), 2), "bases")).write.text(f"{root}/{name}/snps.aligned.fa")
     found, gone = readers.snippy_dirs(t.spark, root)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions import ids
+from triloom.operators.bases import with_bases
 from triloom.operators.features import restore_names
 from triloom.plans.projection import Tables
 from triloom.plans.registry import query
@@ -20,7 +21,7 @@ def _spdi(t: Tables) -> DataFrame:
 def _bases(t: Tables) -> DataFrame:
     """Ids with the deletion spelled out, from the reference sequences."""
     v = t.calls.where("insertion <> '?'").select("spdi", "sequence", "position", "deletion", "insertion").distinct()
-    return v.join(t.sequences, "sequence").withColumn("deleted", F.substring("bases", C("position"), C("deletion"))).withColumn("spdi_ref", F.concat_ws(":", "sequence", "position", "deleted", "insertion"))
+    return with_bases(v, t.sequences, C("position"), C("deletion"), "deleted").withColumn("spdi_ref", F.concat_ws(":", "sequence", "position", "deleted", "insertion"))
 
 
 _V = "SELECT v.*, substring(bases, position, deletion) AS deleted, v.sequence || ':' || position || ':' || substring(bases, position, deletion) || ':' || insertion AS spdi_ref FROM variants v JOIN sequences USING (sequence)"
