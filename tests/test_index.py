@@ -572,3 +572,15 @@ def test_sets_and_compaction_from_the_command_line(spark, files, tmp_path, capsy
         assert cli.main([*p, "db", what], spark) == 0
         assert "sample_sets" in capsys.readouterr().out
         assert sorted(map(tuple, index.mutation_counts("genome").collect())) == before and before
+
+
+def test_bitmaps_of_rare_features_are_small_rows(spark):
+    """A row holds 64 ids, not a bitmap of thousands of bytes; ids may be negative or large."""
+    rows = [("a", -65), ("a", -1), ("a", 0), ("a", 63), ("a", 64), ("b", 2**40), ("c", 127), ("c", 127)]
+    m = to_bitmaps(spark.createDataFrame(rows, "feature string, sample_id long"))
+    assert all(t in ("string", "bigint") for _, t in m.dtypes)
+    assert sorted(map(tuple, from_bitmaps(m).collect())) == sorted(set(rows))
+    got = {r[0]: tuple(r[1:]) for r in described(m).collect()}
+    assert got == {"a": (5, -65, 64, 61), "b": (1, 2**40, 2**40, 2**40), "c": (1, 127, 127, 127)}
+    plan = sizes(union_bitmaps(m, m))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
