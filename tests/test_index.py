@@ -584,3 +584,21 @@ def test_bitmaps_of_rare_features_are_small_rows(spark):
     assert got == {"a": (5, -65, 64, 61), "b": (1, 2**40, 2**40, 2**40), "c": (1, 127, 127, 127)}
     plan = sizes(union_bitmaps(m, m))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_distances_of_chosen_samples_are_a_table(spark, monkeypatch):
+    """The query's pairs are those of the matrix, and no square comes to the driver for them."""
+    import numpy as np
+
+    from triloom.operators import kmer
+    from triloom.plans import catalog
+    from triloom.plans.projection import Tables
+    from triloom.query import SamplesQuery
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    on = SamplesQuery.all(t).intersect(t.with_kmer_index())
+    order, m = on.to_distances(kmer_size=3)
+    want = {(order[i], order[j]): m[i, j] for i, j in zip(*np.nonzero(np.triu(m < 1, 1)), strict=True)}
+    monkeypatch.setattr(kmer, "distance_matrix", None)
+    got = catalog.queries()["to_distances"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r["sample_a"], r["sample_b"]): r["distance"] for r in got} == want
