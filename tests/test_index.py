@@ -602,3 +602,20 @@ def test_distances_of_chosen_samples_are_a_table(spark, monkeypatch):
     monkeypatch.setattr(kmer, "distance_matrix", None)
     got = catalog.queries()["to_distances"](spark, "/root/testdata/sf0.001").collect()
     assert {(r["sample_a"], r["sample_b"]): r["distance"] for r in got} == want
+
+
+def test_signature_documents_are_read_one_at_a_time(spark, tmp_path):
+    """The hashes of the first document come before the next one is parsed, and files hold a bounded number."""
+    import json
+
+    from triloom.sources import formats, readers, sinks
+
+    one = json.dumps([{"name": "a", "signatures": [{"ksize": 31, "mins": [1, 2**64 - 1]}]}])
+    found = formats.signature_hashes((one + "\n{broken").encode())
+    assert [next(found), next(found)] == [("a", 31, 1, 1), ("a", 31, -1, 1)]
+    rows = [(f"s{i}", 31, i) for i in range(1100)]
+    sinks.signatures(spark.createDataFrame(rows, "sample string, ksize int, hash long").coalesce(1), str(tmp_path / "sig"))
+    files = [len(p.read_text().splitlines()) for p in (tmp_path / "sig").glob("part-*")]
+    assert max(files) <= 1000 and sum(files) == 1100
+    got = readers.signatures(spark, str(tmp_path / "sig")).select("sample", "ksize", "hash").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)

@@ -70,6 +70,10 @@ def ascii_tree(root) -> str:
     return "\n".join(out)
 
 
+#: Signature documents of a file: a reader holds a file at a time.
+_DOCUMENTS = 1000
+
+
 def signatures(sketch: DataFrame, path: str, scaled: int = 1000) -> None:
     """A signature document a sample, one a line, from (sample, ksize, hash); readers.signatures() reads
     them again. A group is a sample's sketch, of its genome's size / scaled."""
@@ -86,7 +90,7 @@ def signatures(sketch: DataFrame, path: str, scaled: int = 1000) -> None:
         return pd.DataFrame({"sample": [own["sample"].iloc[0]], "value": [json.dumps(formats.signature(own["sample"].iloc[0], by, scaled))]})
 
     docs = sketch.select("sample", "ksize", "hash").groupBy("sample").applyInPandas(document, "sample string, value string")
-    docs.select("value").write.mode("overwrite").text(path)
+    docs.select("value").write.mode("overwrite").option("maxRecordsPerFile", _DOCUMENTS).text(path)
 
 
 def svg_tree(root, annotations: list[tuple[str, str, str, str]] = (), width: int = 600, row: int = 14) -> str:
