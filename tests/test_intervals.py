@@ -164,3 +164,13 @@ def test_one_hot_span_sorts_a_row_a_start(spark, monkeypatch):
     a = spark.createDataFrame(rows, "sequence string, start0 long, end0 long")
     assert [tuple(x) for x in intervals.merge(a).collect()] == [("r", 0, 62)]
     assert max(n for n, keys in seen if "_span" in keys) <= 64
+
+
+def test_coverage_counts_every_interval_over_a_position(spark):
+    rows = [("x", 3, 8), ("x", 3, 8), ("x", 5, 6), ("x", 8, 9), ("x", 4, 4), ("y", 65530, 65540), ("y", 65535, 65537)]
+    n = {}
+    for s, a, b in rows:
+        for p in range(a, b):
+            n[s, p] = n.get((s, p), 0) + 1
+    found = intervals.positions(intervals.coverage(table(spark, rows))).collect()
+    assert {(r["sequence"], r["position"]): r["n"] for r in found} == n and len(found) == len(n)
