@@ -51,3 +51,27 @@ def test_annotation_rows_are_shuffled_once(spark, star, conf):
     plan = Tables(spark, star).annotation_rows._jdf.queryExecution().executedPlan().toString()
     conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_only_what_is_asked_for_is_stored(spark, star):
+    from triloom.index import SampleIndex
+
+    index = Tables(spark, star).stored("calls")
+    assert isinstance(index, SampleIndex) and index._there("calls") and not index._there("mlst") and not index._there("annotations")
+    again = Tables(spark, star).stored("calls", "reference_sequences")
+    assert again.root == index.root and again.calls.count() == 2
+    assert [(r["sequence"], r["length"]) for r in again.sequences.collect()] == [("chr3", 11)]
+
+
+def test_lowest_hashes_with_counts_shuffle_no_other_hash(spark):
+    from triloom.operators import kmer
+
+    text = " ".join(f"w{i % 7}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (1, text + " a b c d"), (2, "one two three"), (3, "x"), (4, None)], "sample_id long, text string")
+    whole = kmer.text_sketch(docs, prefix="g", abund=True)
+    want = sorted(tuple(r) for r in whole.collect())
+    for num in (1, 3, 500):
+        kept = [r for i in (1, 2) for r in [x for x in want if x[0] == i][:num]]
+        assert sorted(tuple(r) for r in kmer.text_sketch(docs, prefix=None, num=num, abund=True).collect()) == kept
+    plan = kmer.text_sketch(docs, prefix=None, num=3, abund=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" in plan
