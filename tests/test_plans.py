@@ -75,3 +75,13 @@ def test_lowest_hashes_with_counts_shuffle_no_other_hash(spark):
         assert sorted(tuple(r) for r in kmer.text_sketch(docs, prefix=None, num=num, abund=True).collect()) == kept
     plan = kmer.text_sketch(docs, prefix=None, num=3, abund=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" in plan
+
+
+def test_a_file_may_hold_several_definitions():
+    import json
+
+    from triloom.operators.typing import definitions
+
+    one = {"label": "a", "tags": ["t"], "sites": ["x"], "rules": {"min_alt": 1}}
+    text = json.dumps(one, indent=1) + "\n" + json.dumps({**one, "label": "b", "tags": []}) + " \n"
+    assert list(definitions([text, "", json.dumps({**one, "label": "c"})], str)) == ["t", "a", "b", "c"]

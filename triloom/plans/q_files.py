@@ -178,15 +178,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("scan_constellation_json", "SELECT 'L' || s_suppkey AS label, CAST(2 AS INTEGER) AS sites, CAST(1 + s_nationkey % 2 AS INTEGER) AS min_alt, CAST(s_nationkey % 3 AS INTEGER) AS max_ref, 'NC:' || (s_suppkey + 1) || ':A:C' AS first FROM supplier")
 def _(t: Tables) -> DataFrame:
-    """A definition for each supplier, a file each."""
+    """A definition for each supplier, a thousand in a file at most."""
     n = C("s_suppkey")
     own = t.raw("supplier").select(F.concat(F.lit("nuc:A"), (n + 1).cast("string"), F.lit("C")).alias("site"), (1 + C("s_nationkey") % 2).alias("min_alt"), (C("s_nationkey") % 3).alias("max_ref"), F.concat(F.lit("L"), n.cast("string")).alias("label"))
     sites = own.select("site").union(t.spark.createDataFrame([("s:HV69-",)], "site string"))
     to_id = {r["site"]: r["id"] for r in sites.select("site", ids.constellation_id(C("site"), "NC", F.lit("ACGTACGT")).alias("id")).collect()}
     text = F.to_json(F.struct(F.array("site", F.lit("s:HV69-")).alias("sites"), F.struct("min_alt", "max_ref").alias("rules"), F.array().cast("array<string>").alias("tags"), "label"))
     path = shared_folder(t.spark, "json")
-    own.select("label", text.alias("v")).write.partitionBy("label").text(path)
-    d = readers.constellations(t.spark, f"{path}/*", to_id.get)
+    own.select(text).write.option("maxRecordsPerFile", 1000).text(path)
+    d = readers.constellations(t.spark, path, to_id.get)
     return t.spark.createDataFrame([(k, len(x.sites), x.needed, x.max_ref, x.sites[0]) for k, x in d.items()], "label string, sites int, min_alt int, max_ref int, first string")
 
 

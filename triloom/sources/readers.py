@@ -287,7 +287,7 @@ def mask_source(path: str | None) -> str:
 
 
 def constellations(spark: SparkSession, paths: str | list[str], to_id) -> dict:
-    """Typing definitions by label; files are few and small."""
+    """Typing definitions by label, of files that hold one or several each; they all come to the driver."""
     from triloom.operators.typing import definitions
 
     rows = spark.read.text(paths, wholetext=True).select("value", F.input_file_name().alias("f")).orderBy("f").collect()
