@@ -240,6 +240,34 @@ def test_snp_distances_in_any_blocks(spark):
     assert length == 90 and m[labels.index("s00"), labels.index("s01")] == want[("s00", "s01")]
 
 
+def test_snp_distances_shuffle_neither_texts_nor_pairs(spark):
+    """Sparse and dense columns, records of several lengths, letters beyond ASCII; no text or pair is in a shuffle."""
+    from triloom.operators import align
+
+    r = np.random.default_rng(8)
+    base = r.choice(list("ACGT"), 200)
+    rows = []
+    for i in range(60):
+        own = base.copy()
+        own[r.integers(0, 200, 3)] = r.choice(list("ACGTNé-"), 3)
+        own[150:170] = r.choice(list("ACGTN"), 20)
+        rows.append((f"s{i:02}", "".join(own)[: 200 - 40 * (i % 7 == 0)]))
+    rows += [("empty", ""), ("null", None)]
+    want = {}
+    for i, (x, p) in enumerate(rows):
+        for y, q in rows[i + 1 :]:
+            both = [(c, d) for c, d in zip(p or "", q or "", strict=False) if c in "ACGT" and d in "ACGT"]
+            if both:
+                want[tuple(sorted((x, y)))] = sum(c != d for c, d in both)
+    a = spark.createDataFrame(rows, "record_id string, alignment string")
+    for block, width in ((1024, 1 << 15), (9, 64)):
+        found = align.snp_distances(a, block, width)
+        assert {(x["a"], x["b"]): x["distance"] for x in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and all("hashpartitioning(i#" in line for line in exchanges) and "bases" not in plan
+
+
 def test_within_asks_few_where_all_share_a_hash(spark):
     """Random sets and one hash that all have, against all pairs; candidates are far fewer than pairs."""
     import random
