@@ -619,3 +619,31 @@ def test_signature_documents_are_read_one_at_a_time(spark, tmp_path):
     assert max(files) <= 1000 and sum(files) == 1100
     got = readers.signatures(spark, str(tmp_path / "sig")).select("sample", "ksize", "hash").collect()
     assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_sheet_of_file_pairs_is_written_by_tasks(spark, monkeypatch):
+    """A pair of files for each supplier: none of them goes through the driver."""
+    from triloom.plans import catalog, q_files
+
+    def refuse(*a, **k):
+        raise AssertionError("a file written by the driver")
+
+    monkeypatch.setattr(q_files, "write_text", refuse)
+    folder = "/root/testdata/sf0.001"
+    rows = catalog.queries()["scan_vcf_kmer_fofn"](spark, folder).collect()
+    want = {(f"S{r['s_suppkey']}", "chr0", 2 + r["s_nationkey"], "C", 2) for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+
+
+def test_paths_of_a_sheet_are_those_of_the_file_system(spark, tmp_path):
+    from triloom.sources import readers
+
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for p in ("/a/b c.vcf", "file:/a/b%20c.vcf", "file:///a//b/", "hdfs://host:90/x/y+z", "/a/é#?.vcf"):
+        assert readers._uri_path(spark, p) == path(p).toUri().getPath()
+    assert readers._uri_path(spark, "here.vcf").endswith("/here.vcf")
+    for name in ("b c+%41.vcf", "é.vcf"):
+        (tmp_path / name).write_text("c\t1\t.\tA\tC\t.\t.\tTYPE=SNP\n")
+    sheet = [("s1", f"{tmp_path}/b c+%41.vcf"), ("s2", f"file://{tmp_path}/é.vcf")]
+    found = readers.sheet_files(spark, sheet, lambda paths: readers.vcf(spark, paths)).collect()
+    assert sorted(r["sample"] for r in found) == ["s1", "s2"]
