@@ -222,6 +222,40 @@ def test_pairs_share_hashes_in_any_blocks(spark):
         assert {(x["sample_a"], x["sample_b"]): x["shared"] for x in kmer.pair_counts(s, block=block, hot=hot).collect()} == want
 
 
+def test_pairs_are_counted_where_they_meet(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = sorted({(int(s), f"h{h}") for s, h in zip(r.integers(0, 60, 500), r.integers(0, 90, 500) ** 2 // 60, strict=True)} | {(s, "all") for s in range(0, 60, 2)} | {(70, "lone")})
+    s = spark.createDataFrame(rows, "sample_id long, hash string")
+    sets = {i: {h for x, h in rows if x == i} for i in {x for x, _ in rows}}
+    want = {(a, b): 1.0 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    monkeypatch.setattr(kmer, "_AT_ONCE", 10)
+    for block, hot in ((None, 16), (9, 2), (9, 0), (9, 99)):
+        found = kmer.similar_pairs(s, block, hot)
+        assert sorted((x["sample_a"], x["sample_b"], x["distance"]) for x in found.collect()) == sorted((*k, d) for k, d in want.items())
+        # Pairs leave the unit that counts them as they are: no exchange above it.
+        plan = found._jdf.queryExecution().executedPlan().toString().split("initial")[0]
+        assert 0 < plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_spanning_pairs_keep_the_tree(spark):
+    from triloom.operators import linkage
+
+    r = np.random.default_rng(9)
+    rows = sorted({(int(s), int(h)) for s, h in zip(r.integers(0, 80, 900), r.integers(0, 120, 900), strict=True)} | {(s, 999) for s in range(80)})
+    s = spark.createDataFrame(rows, "sample_id long, hash long")
+    samples = s.select("sample_id").distinct()
+    tree_of = lambda pairs: sorted(tuple(x) for x in linkage.spanning_edges(pairs, samples).collect())
+    want, few = tree_of(kmer.similar_pairs(s)), kmer.spanning_pairs(s, 20, 4)
+    assert tree_of(few) == want and len(want) == 79
+    assert few.count() < kmer.similar_pairs(s).count() / 4
+
+
+def test_forest_takes_the_least_edges():
+    a, b, d = np.array([1, 1, 2, 5, 3]), np.array([2, 3, 3, 6, 4]), np.array([0.5, 0.5, 0.5, 0.1, 0.9])
+    assert sorted(kmer.forest(a, b, d).tolist()) == [0, 1, 3, 4]
+    assert kmer.forest(a[:0], b[:0], d[:0]).tolist() == []
+
+
 def test_snp_distances_in_any_blocks(spark):
     from triloom.operators import align
 
