@@ -256,6 +256,30 @@ def test_forest_takes_the_least_edges():
     assert kmer.forest(a[:0], b[:0], d[:0]).tolist() == []
 
 
+def test_alignments_shuffle_no_text(spark):
+    from hashlib import md5
+
+    from triloom.operators import align
+
+    refs = spark.createDataFrame([("a", "ACGTACGT"), ("b", "TTTTTT"), ("c", "GGGG")], "sequence string, bases string")
+    samples = spark.createDataFrame([(i, f"s{i}") for i in range(4)], "sample_id long, sample_name string")
+    rows = [(0, "a", 8, 1, "T", "SNP"), (0, "a", 7, 5, "C", "INDEL"), (1, "c", 2, 1, "A", "SNP"), (1, "c", 4, 3, "T", "INDEL"), (1, "b", 1, 1, "C", "SNP"), (2, "gone", 1, 1, "A", "SNP"), (9, "a", 1, 1, "T", "SNP")]
+    calls = spark.createDataFrame(rows, "sample_id long, sequence string, position int, deletion int, insertion string, var_type string")
+    masks = spark.createDataFrame([(3, "b", 4, 99)], "sample_id long, sequence string, start0 long, end0 long")
+    want = {"s0": "GGGGACGTACCTTTTTTT", "s1": "GAGTACGTACGTCTTTTT", "s2": "GGGGACGTACGTTTTTTT", "s3": "GGGGACGTACGTTTTTNN", "ref": "GGGGACGTACGTTTTTTT"}
+    full = align.full_alignment(calls, samples, refs, masks, "ref")
+    assert {r["record_id"]: r["alignment"] for r in full.collect()} == want
+    told = align.full_alignment(calls, samples, refs, masks, "ref", digest=True)
+    assert {r["record_id"]: r["digest"] for r in told.collect()} == {k: md5(x.encode()).hexdigest() for k, x in want.items()}
+    core = align.core_alignment(calls, samples, refs, None, "ref")
+    # Core positions: 2 of c, 1 and 8 of a, 1 of b; the call on an unknown sequence counts for nothing.
+    assert {r["record_id"]: r["alignment"] for r in core.collect()} == {"s0": "GATT", "s1": "AATC", "s2": "GATT", "s3": "GATT", "ref": "GATT"}
+    assert [tuple(r) for r in align.core_alignment(calls, None, refs, None, "ref").collect()] == [("ref", "GATT")]
+    for rows in (align.full_alignment(calls, samples, refs, masks), align.core_alignment(calls, samples, refs)):
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("initial")[0]
+        assert 0 < plan.index("MapInArrow") < plan.index("Exchange")
+
+
 def test_snp_distances_in_any_blocks(spark):
     from triloom.operators import align
 
