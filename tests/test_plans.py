@@ -85,3 +85,20 @@ def test_a_file_may_hold_several_definitions():
     one = {"label": "a", "tags": ["t"], "sites": ["x"], "rules": {"min_alt": 1}}
     text = json.dumps(one, indent=1) + "\n" + json.dumps({**one, "label": "b", "tags": []}) + " \n"
     assert list(definitions([text, "", json.dumps({**one, "label": "c"})], str)) == ["t", "a", "b", "c"]
+
+
+def test_aggregated_features_hold_their_whole_sets_and_annotations(spark, star, tmp_path):
+    from triloom.plans import catalog
+
+    spark.createDataFrame([(2, 70_000), (3, 6), (4, 5)], "o_orderkey long, o_custkey long").write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    more = [(k, 7, 3, "N", "O", 1) for k in (2, 3, 4)]
+    spark.createDataFrame(more, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_linenumber int").write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "steel", "b1", "name", 4)], "p_partkey long, p_type string, p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["aggregate_feature_samples"](spark, star)
+    assert got.columns == ["spdi", "var_type", "block", "n", "samples", "annotation", "impact", "gene_name", "gene_id", "hgvs_c", "hgvs_p"]
+    known = ("steel", "HIGH", "b1", "name", "c.4N>T", "p.4T")
+    assert sorted(map(tuple, got.collect())) == [
+        ("chr3:8:1:?", "UNKNOWN_MISSING", 0, 1, "5", *[None] * 6),
+        ("chr3:8:2:T", "INDEL", 0, 2, "5,6", *known),
+        ("chr3:8:2:T", "INDEL", 1, 1, "70000", *known),
+    ]
