@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -298,6 +300,26 @@ def test_snp_distances_in_any_blocks(spark):
     assert length == 90 and m[labels.index("s00"), labels.index("s01")] == want[("s00", "s01")]
 
 
+def test_core_distances_come_from_calls_and_make_no_text(spark, monkeypatch):
+    """They are those of the core alignment: with masks, alternatives of a position, unknown bases and samples without a SNP."""
+    from triloom.operators import align
+
+    r = random.Random(4)
+    rows = [(s, q, p, 1, r.choice("ACGTN"), "SNP") for s in range(1, 9) for q in ("p", "q", "r") for p in r.sample(range(1, 25), 6)]
+    calls = spark.createDataFrame([*rows, (1, "p", 3, 2, "A", "INDEL")], "sample_id long, sequence string, position int, deletion int, insertion string, var_type string")
+    samples = spark.createDataFrame([(s, f"s{s}") for s in range(1, 11)], "sample_id long, sample_name string")
+    refs = spark.createDataFrame([("p", "ACGTN" * 5), ("q", "CCGTA" * 5), ("r", "GATTA" * 5)], "sequence string, bases string")
+    masks = spark.createDataFrame([("p", 0, 4), ("r", 7, 9)], "sequence string, start0 long, end0 long")
+    pairs = lambda df: {(x["a"], x["b"]): x["distance"] for x in df.collect()}
+    want = [pairs(align.snp_distances(align.core_alignment(calls, samples, refs, m))) for m in (None, masks)]
+    monkeypatch.setattr(align, "_assembled", lambda *_: pytest.fail("texts are made"))
+    for m, w in zip((None, masks), want, strict=True):
+        assert len(w) == 45 and any(w.values())
+        for block, width in ((1024, 1 << 14), (3, 5)):
+            assert pairs(align.core_snp_distances(calls, samples, refs, m, block, width)) == w
+    assert align.core_snp_distances(calls.limit(0), samples, refs).isEmpty()
+
+
 def test_snp_distances_shuffle_neither_texts_nor_pairs(spark):
     """Sparse and dense columns, records of several lengths, letters beyond ASCII; no text or pair is in a shuffle."""
     from triloom.operators import align
