@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from triloom.operators import cluster, kmer, tree
 
@@ -202,6 +203,18 @@ def test_distances_on_a_ladder(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_leaves_and_paths_do_not_pass_through_the_driver(spark):
+    """Stored tables are small files for what they hold: no join on them is a broadcast. Blocks have tasks of their own."""
+    from triloom.operators import paths
+
+    nodes = tree.tree_nodes(spark, ladder(30))
+    leaves = nodes.where("is_leaf").select("tree_id", F.col("lft").alias("leaf"))
+    above = paths.ancestors_of(paths.chains(nodes), leaves)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in above and "SortMergeJoin" in above
+    plan = tree.distances(nodes, nodes.where("is_leaf"), chunk=4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("hashpartitioning(tree_id") >= 2 and "REPARTITION_BY_NUM" in plan
+
+
 def test_single_linkage_is_the_minimum_bottleneck():
     r = np.random.default_rng(2)
     x = r.random((25, 25))
